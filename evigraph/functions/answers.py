@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from . import constants as K
 from .text import as_col, hex_int, norm_text, word_regex
@@ -187,3 +187,32 @@ def quality_flags(text, gold_text) -> Column:
             F.when(F.length(F.coalesce(as_col(gold_text), F.lit(""))) < 2, F.lit("very_short_gold")),
         )
     )
+
+
+def softmax(logps) -> Column:
+    """Probabilities from an array of log-probabilities; missing letters count as -30."""
+    full = F.transform(as_col(logps), lambda x: F.coalesce(x, F.lit(-30.0)))
+    raised = F.transform(full, lambda x: F.exp(x - F.array_max(full)))
+    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
+    return F.transform(raised, lambda x: x / total)
+
+
+def best_letter(scores) -> Column:
+    """Letter of the largest array entry, earliest on ties."""
+    at = F.array_position(as_col(scores), F.array_max(as_col(scores))).cast("int")
+    return F.lit(K.LETTERS).substr(at, F.lit(1))
+
+
+def option_reads(rows: DataFrame, first: str, second: str) -> DataFrame:
+    """First-read distribution with entropy and margin; a weak first read adds the second's log-probabilities."""
+    p = rows.withColumn("_p", softmax(first)).withColumn("_q", softmax(second))
+    ranked = F.sort_array("_p", asc=False)
+    top, margin = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(0)) - F.get(ranked, F.lit(1))
+    entropy = -F.aggregate("_p", F.lit(0.0), lambda a, x: a + x * F.log(F.greatest(x, F.lit(1e-12))))
+    both = F.zip_with("_p", "_q", lambda a, b: F.log(a + 1e-8) + F.log(b + 1e-8))
+    out = (
+        p.withColumn("top_p", top).withColumn("margin", margin).withColumn("entropy", entropy)
+        .withColumn("first_pick", best_letter("_p"))
+    )
+    weak = (F.col("top_p") < 0.80) | (F.col("margin") < 0.45)
+    return out.withColumn("selected", F.when(weak, best_letter(both)).otherwise(F.col("first_pick"))).drop("_p", "_q")
