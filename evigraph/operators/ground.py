@@ -26,7 +26,8 @@ def contained_pairs(
 
     A needle of at least 2g-1 characters inside a text covers one whole block of that text's
     g-character grid, so an equi-join on blocks finds every occurrence and ``contains`` verifies
-    it. Needles use the largest g of ``sizes`` they are long enough for; the last one takes the rest.
+    it. Needles use the largest g of ``sizes`` they are long enough for. The last size takes the rest, so unless it is 1 the
+    caller guarantees needles of at least 2g-1 characters for it.
     """
     parts = []
     for i, g in enumerate(sizes):
