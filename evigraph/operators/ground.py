@@ -117,12 +117,12 @@ def asof_start(points: DataFrame, starts: DataFrame, keys: list[str], ids: list[
 
 
 def evidence_chunks(points: DataFrame, chunks: DataFrame, keys: list[str], ids: list[str]) -> DataFrame:
-    """Chunk holding each evidence start, plus the next chunk when the evidence runs past it."""
-    at = asof_start(points.select(*keys, *ids, "pos"), chunks, keys, ids)
-    ends = chunks.select(*keys, "chunk_idx", "end")
-    full = at.join(ends, [*keys, "chunk_idx"]).join(points.select(*keys, *ids, "length"), [*keys, *ids])
-    both = F.when(F.col("pos") + F.col("length") > F.col("end"), F.array("chunk_idx", F.col("chunk_idx") + 1)).otherwise(F.array("chunk_idx"))
-    return full.select(*keys, *ids, F.explode(both).alias("chunk_idx")).join(ends.drop("end"), [*keys, "chunk_idx"], "left_semi")
+    """Chunk holding each evidence start, plus the next chunk if it starts before the evidence ends."""
+    at = asof_start(points.select(*keys, *ids, "pos"), chunks, keys, ids).drop("start")
+    full = at.join(points.select(*keys, *ids, "length"), [*keys, *ids])
+    both = full.withColumn("next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("chunk_idx", F.col("chunk_idx") + F.col("next"))
+    out = both.join(chunks.select(*keys, "chunk_idx", "start"), [*keys, "chunk_idx"])
+    return out.filter("next = 0 or start <= pos + length").select(*keys, *ids, "chunk_idx")
 
 
 def occurrences(text: Column, span: Column, limit: int = 32) -> Column:

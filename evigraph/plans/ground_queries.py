@@ -133,10 +133,10 @@ def span_to_chunk(spark, sf):
 
 @query(
     "evidence_to_chunks",
-    check("lines chunks", f"""WITH l AS ({LINE_OFF}), hit AS (SELECT l.doc_id, l.seq, l."end" AS stop, arg_max(c.chunk_idx, c.start) AS k, max_by(c."end", c.start) AS c_end
+    check("lines chunks", f"""WITH l AS ({LINE_OFF}), hit AS (SELECT l.doc_id, l.seq, l."end" AS stop, arg_max(c.chunk_idx, c.start) AS k, 0 AS z
       FROM l JOIN chunks c ON c.doc_id = l.doc_id AND c.start <= l.start GROUP BY ALL)
     SELECT doc_id, seq, k AS chunk_idx FROM hit
-    UNION ALL SELECT a.doc_id, a.seq, a.k + 1 FROM hit a JOIN chunks c ON c.doc_id = a.doc_id AND c.chunk_idx = a.k + 1 WHERE a.stop > a.c_end"""),
+    UNION ALL SELECT a.doc_id, a.seq, a.k + 1 FROM hit a JOIN chunks c ON c.doc_id = a.doc_id AND c.chunk_idx = a.k + 1 WHERE c.start <= a.stop"""),
 )
 def evidence_to_chunks(spark, sf):
     points = offsets(spark, sf).select("doc_id", "seq", F.col("start").alias("pos"), (F.col("end") - F.col("start")).alias("length"))
