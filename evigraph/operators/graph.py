@@ -97,7 +97,7 @@ def name_mentions(nodes: DataFrame, texts: DataFrame, min_chars: int = 3) -> Dat
     hits = names.withColumn("tok", longest).filter("tok is not null").join(words, ["graph_id", "tok"])
     hits = hits.filter(F.rlike("body", exact)).select("graph_id", "qid", "node_id")
     bare = names.filter(~F.col("nm").rlike("[a-z0-9]"))
-    odd = contained_pairs(bare, body, GID, "nm", "body", sizes=(3, 1)).filter(F.rlike("body", exact))
+    odd = contained_pairs(bare, body, GID, "nm", "body").filter(F.rlike("body", exact))
     return hits.unionByName(odd.select("graph_id", "qid", "node_id")).distinct()
 
 

@@ -9,42 +9,60 @@ from ..common import first_per_key, prefix_scan
 from ..functions.text import norm_text
 
 
-def aligned_grams(c: Column, g: int) -> Column:
-    """Distinct non-overlapping g-character blocks of a text, in one linear pass."""
-    return F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s).{{{g}}}"), F.lit(0)))
+GRAMS = (9, 5, 3, 1)  # block sizes for needles of at least 17, 9, 5 and 1 characters
+DIRECT = 4096  # pairs of one key that may be compared one by one
 
 
-def lead_grams(c: Column, g: int) -> Column:
-    """The g grams at offsets 0..g-1: one of them is aligned in any text holding ``c``."""
-    return F.transform(F.sequence(F.lit(1), F.lit(g)), lambda i: c.substr(i, F.lit(g)))
+def aligned_grams(c: Column, sizes: tuple[int, ...]) -> Column:
+    """Distinct non-overlapping blocks of a text for each size, in linear passes."""
+    each = [F.array_distinct(F.regexp_extract_all(c, F.lit(f"(?s).{{{g}}}"), F.lit(0))) for g in sizes]
+    return F.concat(*each)
+
+
+def lead_grams(c: Column, sizes: tuple[int, ...]) -> Column:
+    """The g grams at offsets 0..g-1: one of them is a block of any text holding ``c``."""
+    def cuts(g: int) -> Column:
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.lit(g)), lambda i: c.substr(i, F.lit(g))))
+
+    out = None
+    for g in sorted(sizes):
+        grams = cuts(g)
+        out = grams if out is None else F.when(F.length(c) >= 2 * g - 1, grams).otherwise(out)
+    return out
 
 
 def contained_pairs(
-    needles: DataFrame, hay: DataFrame, keys: list[str], needle: str, body: str, sizes: tuple[int, ...] = (9, 3, 1)
+    needles: DataFrame, hay: DataFrame, keys: list[str], needle: str, body: str, sizes: tuple[int, ...] = GRAMS
 ) -> DataFrame:
     """All (needle, hay) row pairs of one key whose needle text lies inside the hay text. Exact.
 
-    A needle of at least 2g-1 characters inside a text covers one whole block of that text's
-    g-character grid, so an equi-join on blocks finds every occurrence and ``contains`` verifies
-    it. Needles use the largest g of ``sizes`` they are long enough for. The last size takes the rest, so unless it is 1 the
-    caller guarantees needles of at least 2g-1 characters for it.
+    Keys with few pairs are compared directly. For the others, and without keys, blocks decide:
+    a needle of at least 2g-1 characters covers one whole block of the g-character grid of any
+    text that holds it, so an equi-join on blocks finds every occurrence and ``contains``
+    verifies it. Only ids travel with the blocks; texts join the surviving pairs. Hay rows are
+    distinct in their non-text columns. Unless 1 is among ``sizes``, needles are at least
+    2g-1 characters long for the smallest g.
     """
-    parts = []
-    for i, g in enumerate(sizes):
-        n = F.length(needle)
-        fits = n >= (2 * g - 1 if i < len(sizes) - 1 else 1)
-        if i:
-            fits = fits & (n < 2 * sizes[i - 1] - 1)
-        left = needles.filter(fits)
-        grams = lead_grams(F.col(needle), g) if g > 1 else F.array(F.left(needle, F.lit(1)))
-        left = left.withColumn("_g", F.explode(F.array_distinct(grams)))
-        right = hay.withColumn("_g", F.explode(aligned_grams(F.col(body), g)))
-        hit = left.join(right, [*keys, "_g"]).filter(F.contains(F.col(body), F.col(needle)))
-        parts.append(hit.drop("_g"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    hit = F.contains(F.col(body), F.col(needle))
+    if not keys:
+        return _block_pairs(needles, hay, keys, needle, body, sizes).filter(hit)
+    count = lambda df, name: df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
+    load = count(needles, "_n").join(count(hay, "_h"), keys)
+    load = load.select(*keys, (F.col("_n") * F.col("_h") <= DIRECT).alias("_few"))
+    tagged = needles.join(load, keys)
+    few = tagged.filter("_few").drop("_few").join(hay, keys).filter(hit)
+    many = hay.join(load.filter("not _few"), keys, "left_semi")
+    rest = _block_pairs(tagged.filter("not _few").drop("_few"), many, keys, needle, body, sizes).filter(hit)
+    return few.unionByName(rest)
+
+
+def _block_pairs(needles: DataFrame, hay: DataFrame, keys: list[str], needle: str, body: str, sizes: tuple[int, ...]) -> DataFrame:
+    """Pairs that share a block, with both texts attached."""
+    ids = [c for c in hay.columns if c not in (*keys, body)] or [body]
+    left = needles.withColumn("_g", F.explode(lead_grams(F.col(needle), sizes)))
+    right = hay.select(*keys, *ids, F.explode(aligned_grams(F.col(body), sizes)).alias("_g"))
+    pairs = left.join(right, [*keys, "_g"]).drop("_g").distinct()
+    return pairs if ids == [body] else pairs.join(hay, [*keys, *ids])
 
 
 def relocated(
@@ -80,8 +98,10 @@ def two_way_hits(gold: DataFrame, corpus: DataFrame, keys: list[str], gold_id: l
     """
     g = gold.filter(F.length("norm") >= min_chars).select(*keys, *gold_id, F.col("norm").alias("gold_norm"))
     c = corpus.filter(F.length("norm") >= min_chars).select(*keys, "unit", F.col("norm").alias("unit_norm"))
-    inside = contained_pairs(g, c, keys, "gold_norm", "unit_norm", sizes=(9, 3)).select(*keys, *gold_id, "unit")
-    around = contained_pairs(c, g, keys, "unit_norm", "gold_norm", sizes=(9, 3)).select(*keys, *gold_id, "unit")
+    inside = contained_pairs(g, c, keys, "gold_norm", "unit_norm", (9, 5, 3)).select(*keys, *gold_id, "unit")
+    longest = g.agg(F.max(F.length("gold_norm"))).first()[0] or 0
+    short = c.filter(F.length("unit_norm") <= longest)
+    around = contained_pairs(short, g, keys, "unit_norm", "gold_norm", (9, 5, 3)).select(*keys, *gold_id, "unit")
     return inside.unionByName(around).distinct()
 
 

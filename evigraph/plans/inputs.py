@@ -10,7 +10,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..common import TABLES, table
+from ..common import TABLES, scratch_path, table
 
 METHODS = [
     ("graph_a", 1, 54), ("graph_b", 2, 48), ("graph_c", 3, 50), ("graph_gate", 4, 52),
@@ -210,14 +210,35 @@ def _closure(names: list[str], out: list[str] | None = None) -> list[str]:
     return out
 
 
+STORED = ("edges", "nodes")
+_stored: dict[tuple, str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A derived graph table, written once per application to the shared folder and read from there."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        path = scratch_path(spark, name)
+        _derive(spark, sf_dir, name).write.parquet(path)
+        _stored[key] = path
+    return spark.read.parquet(_stored[key])
+
+
 def relation(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One derived input as a DataFrame."""
-    parts = _closure([name])
+    return stored(spark, sf_dir, name) if name in STORED else _derive(spark, sf_dir, name)
+
+
+def _derive(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    parts = [n for n in _closure([name]) if n == name or n not in STORED]
     ctes = ", ".join(f"{n} AS ({SPARK_SQL[n]})" for n in parts)
     words = set(re.findall(r"\w+", ctes))
     for base in TABLES:
         if base in words:
             table(spark, sf_dir, base).createOrReplaceTempView(base)
+    for base in STORED:
+        if base in words and base != name:
+            stored(spark, sf_dir, base).createOrReplaceTempView(base)
     return spark.sql(f"WITH {ctes} SELECT * FROM {name}")
 
 
