@@ -336,7 +336,7 @@ def recall_misses(spark, sf):
 
 @query(
     "ablation_delta",
-    check("chunks own_units own_asks", f"""WITH {OWN}, {GOLD}, s AS (SELECT qid, unit, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rk FROM ob_scores) z WHERE rk <= 3),
+    check("chunks own_units own_asks", f"""WITH {OWN}, {GOLD}, s AS (SELECT qid, unit, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rk FROM ob_scores) z WHERE rk <= 3),
       f AS (SELECT qid, sum(score) AS full_score, sum(score) FILTER ((qid, unit) NOT IN (SELECT qid, unit FROM gold)) AS cut_score FROM s GROUP BY qid)
     SELECT qid, round(full_score, 4) AS full_score, round(coalesce(cut_score, 0), 4) AS cut_score, round(full_score - coalesce(cut_score, 0), 4) AS delta FROM f"""),
 )

@@ -127,7 +127,7 @@ def bm25_score(spark, sf):
 
 @query(
     "bm25_top",
-    check(SCORES_IN, """SELECT qid, scope, unit, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank
+    check(SCORES_IN, """SELECT qid, scope, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank
       FROM item_scores WHERE label = 'Q') r WHERE rank <= 8"""),
 )
 def bm25_top(spark, sf):
@@ -159,7 +159,7 @@ def bm25_norm(spark, sf):
     check("items", f"""WITH sents AS (SELECT source AS scope, doc_id * 100000 + idx AS unit, s AS text FROM (SELECT source, doc_id,
         generate_subscripts(regexp_extract_all(text, '{S.SENTENCE}'), 1) - 1 AS idx, unnest(regexp_extract_all(text, '{S.SENTENCE}')) AS s FROM documents) t),
       asks AS (SELECT scope, qid, 'Q' AS label, concat_ws(' ', question, choice_a, choice_b, choice_c) AS query FROM items), {bm25_ctes('sb', 'sents', 'asks')}
-    SELECT qid, unit, rank, round(score, 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM sb_scores) r WHERE rank <= 6"""),
+    SELECT qid, unit, rank, round(round(score, 9), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM sb_scores) r WHERE rank <= 6"""),
 )
 def top_sentences(spark, sf):
     sents = S.sentence_spans(doc_text(spark, sf, "source"), min_chars=0)
@@ -280,8 +280,8 @@ def line_chunks(spark, sf):
       nt AS (SELECT qid, unit AS node, rank - 1 AS r FROM (SELECT *, row_number() OVER (PARTITION BY qid, label ORDER BY round(score, 9) DESC, unit) AS rank FROM lb_scores) a WHERE rank <= 5),
       cs AS (SELECT qid, unit AS item, sum(p) AS score FROM (SELECT qid, unit, 1.0e0 / (60 + r) AS p FROM ct UNION ALL SELECT n.qid, l.unit, 1.0e0 / (65 + r) FROM nt n JOIN line_chunk l USING (node)) u GROUP BY ALL),
       ns AS (SELECT qid, node AS item, sum(1.0e0 / (60 + r)) AS score FROM nt GROUP BY ALL)
-    SELECT 'chunk' AS kind, qid, item, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item) AS rank FROM cs) a WHERE rank <= 10
-    UNION ALL SELECT 'node', qid, item, rank, round(score, 6) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item) AS rank FROM ns) b WHERE rank <= 16"""),
+    SELECT 'chunk' AS kind, qid, item, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item) AS rank FROM cs) a WHERE rank <= 10
+    UNION ALL SELECT 'node', qid, item, rank, round(round(score, 9), 6) FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, item) AS rank FROM ns) b WHERE rank <= 16"""),
 )
 def rrf_option(spark, sf):
     asks = item_queries(spark, sf)
@@ -317,7 +317,7 @@ def l2_normalize(spark, sf):
 
 @query(
     "dense_topk",
-    check("cent unit_vec", """SELECT qid, unit, rank, round(score, 6) AS score FROM (SELECT q.label AS qid, v.vec_id AS unit, list_dot_product(q.vector, v.vector) AS score,
+    check("cent unit_vec", """SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT q.label AS qid, v.vec_id AS unit, list_dot_product(q.vector, v.vector) AS score,
       row_number() OVER (PARTITION BY q.label ORDER BY round(list_dot_product(q.vector, v.vector), 9) DESC, v.vec_id) AS rank FROM cent q, unit_vec v) r WHERE rank <= 20"""),
 )
 def dense_topk(spark, sf):
@@ -378,7 +378,7 @@ def fusion_lists(spark, sf, caps):
     "rrf_dense",
     check(FUSE_IN, f"""{FUSE}, f AS (SELECT qid, unit, 1.0e0 / (60 + coalesce(t.r, 1000000)) + 1.0e0 / (60 + coalesce(d.r, 1000000)) AS score
       FROM (SELECT * FROM t WHERE r < 18) t FULL JOIN (SELECT * FROM d WHERE r < 80) d USING (qid, unit))
-    SELECT qid, unit, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 18"""),
+    SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 18"""),
 )
 def rrf_dense(spark, sf):
     text, dense, _ = fusion_lists(spark, sf, (18, 80, 1))
@@ -390,7 +390,7 @@ def rrf_dense(spark, sf):
     "rrf_three",
     check(FUSE_IN, f"""{FUSE}, f AS (SELECT qid, unit, 1.0e0 / (40 + coalesce(t.r, 1000000)) + 1.2e0 / (40 + coalesce(d.r, 1000000)) + 1.5e0 / (40 + coalesce(g.r, 1000000)) AS score
       FROM (SELECT * FROM t WHERE r < 36) t FULL JOIN (SELECT * FROM d WHERE r < 80) d USING (qid, unit) FULL JOIN (SELECT * FROM g WHERE r < 40) g USING (qid, unit))
-    SELECT qid, unit, rank, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 10"""),
+    SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 10"""),
 )
 def rrf_three(spark, sf):
     a, b, c = fusion_lists(spark, sf, (36, 80, 40))

@@ -268,7 +268,7 @@ def story_hours_cummax(spark, sf):
     return hour_spans(spark, sf).select("doc_id", "chunk_idx", F.round("top_hour", 6).alias("top_hour"))
 
 
-GRID = """SELECT doc_id, cell, round(CASE WHEN px IS NULL THEN ny WHEN nx IS NULL OR nx = px THEN py
+GRID = """SELECT doc_id, cell, round(1e-9 + CASE WHEN px IS NULL THEN ny WHEN nx IS NULL OR nx = px THEN py
     ELSE py + (ny - py) / (nx - px) * (gx - px) END, 6) AS value FROM (
   SELECT g.doc_id, g.cell, g.gx, p.text_position AS px, p.top_hour AS py, n.text_position AS nx, n.top_hour AS ny
   FROM (SELECT doc_id, cell, (cell + 0.5) / 60 AS gx FROM (SELECT DISTINCT doc_id FROM climb) d, range(60) r(cell)) g
@@ -279,7 +279,7 @@ GRID = """SELECT doc_id, cell, round(CASE WHEN px IS NULL THEN ny WHEN nx IS NUL
 @query("interp_grid", check("lines spans", f"WITH {STORY} {GRID}"))
 def interp_grid(spark, sf):
     grid = S.interp_grid(hour_spans(spark, sf), ["doc_id"], "text_position", "top_hour", 60)
-    return grid.select("doc_id", "cell", F.round("value", 6).alias("value"))
+    return grid.select("doc_id", "cell", F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
 HOUR_AT = """, asked AS (SELECT doc_id, cast(unnest(range(cast(ceil(min(top_hour)) AS BIGINT), cast(floor(max(top_hour)) AS BIGINT) + 1)) AS DOUBLE) AS at_hour
@@ -288,7 +288,7 @@ HOUR_AT = """, asked AS (SELECT doc_id, cast(unnest(range(cast(ceil(min(top_hour
     ON a.doc_id = c.doc_id AND c.top_hour <= a.at_hour GROUP BY ALL),
   nxt AS (SELECT a.doc_id, a.at_hour, min(struct_pack(x := top_hour, y := text_position)) AS n FROM asked a JOIN climb c
     ON a.doc_id = c.doc_id AND c.top_hour > a.at_hour GROUP BY ALL)
-  SELECT a.doc_id, a.at_hour, round(CASE WHEN p.p IS NULL THEN n.n.y WHEN n.n IS NULL THEN p.p.y
+  SELECT a.doc_id, a.at_hour, round(1e-9 + CASE WHEN p.p IS NULL THEN n.n.y WHEN n.n IS NULL THEN p.p.y
     ELSE p.p.y + (n.n.y - p.p.y) / (n.n.x - p.p.x) * (a.at_hour - p.p.x) END, 6) AS position
   FROM asked a LEFT JOIN prev p USING (doc_id, at_hour) LEFT JOIN nxt n USING (doc_id, at_hour)"""
 
@@ -300,7 +300,7 @@ def interp_hours(spark, sf):
     bounds = climb.groupBy("doc_id").agg(F.ceil(F.min("top_hour")).alias("a"), F.floor(F.max("top_hour")).alias("b"))
     asked = bounds.filter("a <= b").select("doc_id", F.explode(F.sequence("a", "b")).alias("at_hour"))
     out = S.interp_at(climb, asked, ["doc_id"], "top_hour", "text_position", "at_hour", block=240.0)
-    return out.select("doc_id", "at_hour", F.round("value", 6).alias("position"))
+    return out.select("doc_id", "at_hour", F.round(F.col("value") + 1e-9, 6).alias("position"))
 
 
 @query(
