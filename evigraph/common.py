@@ -30,7 +30,17 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf) -> Spar
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df, "doc_id") if name == "documents" else df
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small input out to all cores; text work on one row group would use a single task.
+
+    Inputs with at least one split per core stay as they are, so no large table is moved by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def shared_dir(spark: SparkSession) -> str:
