@@ -91,10 +91,9 @@ def held_out(counts: DataFrame, groups: DataFrame, keys: list[str], group: str =
     ``counts``: (group, keys, c, n); ``groups``: distinct groups to hold out.
     """
     total = counts.groupBy(*keys).agg(F.sum("c").alias("_c"), F.sum("n").alias("_n"))
-    # totals have one row per key (methods, rules, settings), so they ride along with each group
-    packed = total.agg(F.collect_list(F.struct(*keys, "_c", "_n")).alias("_all")).withColumn("_one", F.lit(1))
-    every = groups.select(group).distinct().withColumn("_one", F.lit(1)).join(packed, "_one")
-    every = every.select(group, F.inline("_all"))
+    # totals have one row per key (methods, rules, settings): a scalar array beside each group
+    packed = total.agg(F.collect_list(F.struct(*keys, "_c", "_n"))).scalar()
+    every = groups.select(group).distinct().withColumn("_all", packed).select(group, F.inline("_all"))
     own = counts.select(group, *keys, "c", "n")
     out = every.join(own, [group, *keys], "left")
     return out.select(
@@ -197,12 +196,11 @@ def gate_grid(rows: DataFrame) -> DataFrame:
         reach = F.sequence(F.lit(0), F.least(F.col(name).cast("int"), F.lit(top)))
         small = small.withColumn(name, F.explode(reach))
     counts = small.groupBy("novel", *names).agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
-    grid = rows.sparkSession.range(1).select(F.lit(0).alias("_"))
+    # every setting exists for every group, also where no row satisfies it
+    grid = rows.select("novel").distinct()
     for name in names:
         grid = grid.withColumn(name, F.explode(F.array(*[F.lit(i) for i in GATE[name]])))
-    novels = rows.select("novel").distinct()
-    # every setting exists for every group, also where no row satisfies it
-    full = novels.withColumn("_", F.lit(0)).join(grid, "_").drop("_").join(counts, ["novel", *names], "left").fillna(0, ["c", "n"])
+    full = grid.join(counts, ["novel", *names], "left").fillna(0, ["c", "n"])
     train = held_out(full, rows, names)
     strict = F.col("evidence") + F.col("support") + F.col("agree") + F.col("confidence")
     order = F.struct("c", -F.col("n"), strict, "third", *names)

@@ -272,11 +272,11 @@ def delta_stats(spark, sf):
     d = (hash_mod(key("pf"), 1000) - hash_mod(key("pa"), 1000)) / 1000
     rows = answers(spark, sf).withColumn("d", d)
     top = rows.filter("selected is not null").groupBy("qid").agg(F.max_by("selected", F.struct("d", -F.col("morder"))).alias("top"), F.first("gold").alias("gold"))
-    acc = top.agg(F.round(F.avg((F.col("top") == F.col("gold")).cast("int")), 6).alias("argmax_accuracy")).withColumn("_one", F.lit(1))
+    acc = top.agg(F.round(F.avg((F.col("top") == F.col("gold")).cast("int")), 6).alias("argmax_accuracy"))
     per = rows.groupBy("method").agg(
         F.count(F.lit(1)).alias("n"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.median("d"), 6).alias("median"), F.round(F.avg((F.col("d") > 0).cast("int")), 6).alias("positive")
     )
-    return per.withColumn("_one", F.lit(1)).join(acc, "_one").drop("_one")
+    return per.withColumn("argmax_accuracy", acc.scalar())
 
 
 # -- recall audits ---------------------------------------------------------------------------

@@ -286,7 +286,7 @@ def blend_select(spark, sf):
     best = V.blend_scores(old, "graph_a", BLENDS).agg(F.max_by("blend", F.struct("correct", -F.col("blend"))).alias("blend"))
     overall = old.groupBy("method").agg(((F.sum("correct") + 1) / (F.count(F.lit(1)) + 2)).alias("g"))
     by_type = old.groupBy("qtype", "method").agg(F.sum("correct").alias("c"), F.count(F.lit(1)).alias("n"))
-    rows = new.join(overall, "method").join(by_type, ["qtype", "method"], "left").withColumn("_one", F.lit(1)).join(best.withColumn("_one", F.lit(1)), "_one")
+    rows = new.join(overall, "method").join(by_type, ["qtype", "method"], "left").withColumn("blend", best.scalar())
     local = (F.coalesce("c", F.lit(0)) + 2 * F.col("g")) / (F.coalesce("n", F.lit(0)) + 2)
     rows = rows.withColumn("weight", (1 - F.col("blend")) * F.col("g") + F.col("blend") * local)
     return V.weighted_vote(rows, ["blend", *V.Q], "graph_a").select("qid", "blend", "winner", F.round("margin", 6).alias("margin"))
