@@ -59,12 +59,21 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; survives lost executors."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint()
+def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
+    """Materialise in the shared folder, so lost executors cost nothing that came before.
+
+    A written table starts a fresh plan: a checkpoint would carry the inferred constraints of
+    every earlier loop round, which makes planning time grow with each one. ``keep_layout``
+    checkpoints instead, for a table whose partitioning later joins rely on.
+    """
+    spark = df.sparkSession
+    if keep_layout:
+        if spark.sparkContext.getCheckpointDir() is None:
+            spark.sparkContext.setCheckpointDir(shared_dir(spark))
+        return df.checkpoint()
+    path = scratch_path(spark, "cut")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

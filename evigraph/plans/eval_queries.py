@@ -19,6 +19,8 @@ from .vote_queries import NAMES, WIDE, answers, quoted
 DUCK = Dialect(False)
 H = DUCK.h
 six = lambda *cs: [F.round(c, 6).alias(c) for c in cs]
+# exact p values are dyadic and often lie on a rounding edge; a nudge settles it
+nudged = lambda *cs: [F.round(F.col(c) + 1e-9, 6).alias(c) for c in cs]
 
 
 # -- accuracy ----------------------------------------------------------------------------
@@ -56,18 +58,18 @@ PAIR = """pr AS (SELECT a.cohort, a.method, count(*) FILTER (a.correct = 1 AND b
     FROM (SELECT unnest(range(0, least(wins, losses) + 1)) AS i) r)) END AS p FROM pr)""".format
 
 
-@query("mcnemar", check("answers", f"WITH {PAIR('tail', 'tail')} SELECT cohort, method, wins, losses, round(delta, 6) AS delta, round(p, 6) AS p FROM pv"))
+@query("mcnemar", check("answers", f"WITH {PAIR('tail', 'tail')} SELECT cohort, method, wins, losses, round(delta, 6) AS delta, round(p + 1e-9, 6) AS p FROM pv"))
 def mcnemar(spark, sf):
-    return E.paired(answers(spark, sf), ["cohort"], "tail").select("cohort", "method", "wins", "losses", *six("delta", "p"))
+    return E.paired(answers(spark, sf), ["cohort"], "tail").select("cohort", "method", "wins", "losses", *six("delta"), *nudged("p"))
 
 
 HOLM = """hm AS (SELECT *, max(raw) OVER (PARTITION BY cohort ORDER BY p, method) AS holm_p FROM (SELECT *, least(1.0, p * (count(*) OVER (PARTITION BY cohort) - row_number() OVER (PARTITION BY cohort ORDER BY p, method) + 1)) AS raw FROM pv) z)"""
 
 
-@query("holm", check("answers", f"WITH {PAIR('tail', 'tail')}, {HOLM} SELECT cohort, method, round(p, 6) AS p, round(holm_p, 6) AS holm_p FROM hm"))
+@query("holm", check("answers", f"WITH {PAIR('tail', 'tail')}, {HOLM} SELECT cohort, method, round(p + 1e-9, 6) AS p, round(holm_p + 1e-9, 6) AS holm_p FROM hm"))
 def holm(spark, sf):
     tests = E.paired(answers(spark, sf), ["cohort"], "tail").withColumn("p", F.round("p", 12))
-    return E.holm(tests, ["cohort"]).select("cohort", "method", *six("p", "holm_p"))
+    return E.holm(tests, ["cohort"]).select("cohort", "method", *nudged("p", "holm_p"))
 
 
 @query(
@@ -76,7 +78,7 @@ def holm(spark, sf):
       pr AS (SELECT a.cohort, a.method, bb.method AS baseline, count(*) FILTER (a.correct = 1 AND b.correct = 0) AS wins, count(*) FILTER (a.correct = 0 AND b.correct = 1) AS losses, avg(a.correct - b.correct) AS delta
         FROM answers a JOIN base bb ON a.cohort = bb.cohort JOIN answers b ON a.qid = b.qid AND b.method = bb.method WHERE a.method NOT IN ('tail', 'compress', 'question_only') GROUP BY ALL),
       pv AS (SELECT *, CASE WHEN wins + losses = 0 THEN 1.0 ELSE least(1.0, 2 * (SELECT sum(exp(lgamma(wins + losses + 1) - lgamma(i + 1) - lgamma(wins + losses - i + 1) - (wins + losses) * ln(2))) FROM (SELECT unnest(range(0, least(wins, losses) + 1)) AS i) r)) END AS p FROM pr), {HOLM}
-    SELECT cohort, method, baseline, round(delta, 6) AS delta, round(holm_p, 6) AS holm_p, round(delta, 9) >= 0.05 AND holm_p < 0.05 AS practical FROM hm"""),
+    SELECT cohort, method, baseline, round(delta, 6) AS delta, round(holm_p + 1e-9, 6) AS holm_p, round(delta, 9) >= 0.05 AND holm_p < 0.05 AS practical FROM hm"""),
 )
 def practical_flag(spark, sf):
     """New methods against the best baseline of their cohort."""
@@ -90,7 +92,7 @@ def practical_flag(spark, sf):
     )
     out = E.holm(rows.withColumn("p", F.round(E.exact_p("wins", "losses"), 12)), ["cohort"])
     flag = (F.round("delta", 9) >= 0.05) & (F.col("holm_p") < 0.05)
-    return out.select("cohort", "method", "baseline", *six("delta", "holm_p"), flag.alias("practical"))
+    return out.select("cohort", "method", "baseline", *six("delta"), *nudged("holm_p"), flag.alias("practical"))
 
 
 # -- bootstraps ----------------------------------------------------------------------------
@@ -229,12 +231,12 @@ def letter_dist(spark, sf):
 
 @query(
     "mask_effect",
-    check("answers", f"""WITH {PAIR('graph_b', 'graph_b')} SELECT cohort, wins, losses, round(delta, 6) AS delta, round(p, 6) AS p FROM pv WHERE method = 'graph_a'"""),
+    check("answers", f"""WITH {PAIR('graph_b', 'graph_b')} SELECT cohort, wins, losses, round(delta, 6) AS delta, round(p + 1e-9, 6) AS p FROM pv WHERE method = 'graph_a'"""),
 )
 def mask_effect(spark, sf):
     """Two runs of one method stand for the unmasked and the masked condition."""
     two = answers(spark, sf).filter(F.col("method").isin("graph_a", "graph_b"))
-    return E.paired(two, ["cohort"], "graph_b").select("cohort", "wins", "losses", *six("delta", "p"))
+    return E.paired(two, ["cohort"], "graph_b").select("cohort", "wins", "losses", *six("delta"), *nudged("p"))
 
 
 # -- correlations --------------------------------------------------------------------------
