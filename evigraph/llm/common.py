@@ -81,3 +81,29 @@ def slices(sizes: Iterator[int], limit: int) -> Iterator[tuple[int, int]]:
         total += n
     if total or at >= start:
         yield start, at + 1
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """Rows (node, component) of all ends of (a, b): the smallest node reachable.
+
+    Each round gives every node the smallest of itself and its neighbours, then links those labels
+    instead: the graph shrinks until no link is left. Rounds are written to the shared folder, so no
+    graph ever meets in one place, and a hub is an aggregate followed by a plain join.
+    """
+    from evigraph.common import cut_lineage
+
+    links = cut_lineage(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct())
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    labels = nodes.select("node", F.col("node").alias("component"))
+    while not links.isEmpty():
+        down = links.groupBy("b").agg(F.min("a").alias("best")).withColumnRenamed("b", "at")
+        links = cut_lineage(
+            links.join(down.select(F.col("at").alias("a"), F.col("best").alias("x")), "a", "left")
+            .join(down.select(F.col("at").alias("b"), F.col("best").alias("y")), "b")
+            .select(F.coalesce("x", "a").alias("x"), "y")
+            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
+            .filter("a < b")
+            .distinct()
+        )
+        labels = cut_lineage(labels.join(down, labels["component"] == down["at"], "left").select("node", F.coalesce("best", "component").alias("component")))
+    return labels
