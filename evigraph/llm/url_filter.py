@@ -53,10 +53,10 @@ def codes(host: Column, path: Column) -> Column:
     """One number per character and one for the end: the symbols before it and its own, in base ``A``."""
     folded = F.regexp_replace(F.translate(F.lower(F.concat(host, path)), "123456789", "0" * 9), "[^a-z0./_%$-]", "?")
     ids = F.transform(F.split(F.concat(F.lit(">>"), F.regexp_replace(folded, r"\$", "?"), F.lit("$")), ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    return F.transform(
-        F.sequence(F.lit(3), F.size(ids)),
-        lambda i: (F.element_at(ids, i - 2) * A + F.element_at(ids, i - 1)) * A + F.element_at(ids, i),
-    )
+    n = F.length(folded) + 1
+    # Shifted copies instead of look-ups by place: an array expression inside a lambda is evaluated once per element.
+    pairs = F.zip_with(F.slice(ids, F.lit(1), n), F.slice(ids, F.lit(2), n), lambda a, b: a * A + b)
+    return F.zip_with(pairs, F.slice(ids, F.lit(3), n), lambda ab, c: ab * A + c)
 
 
 def log_likelihoods(counts: DataFrame, kinds: list[str]) -> DataFrame:
