@@ -31,6 +31,20 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+_TURN = [np.uint64(x) for x in (32, 29, 31)]
+
+
+def chain(words: list[np.ndarray]) -> np.ndarray:
+    """Hash of word sequences (one array per place), one word after the other."""
+    h = words[0] * _ODD[0]
+    for i, w in enumerate(words[1:]):
+        h ^= h >> _TURN[i % 3]
+        h += w
+        h *= _ODD[(i + 1) % 4]
+    return mix(h)
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.astype(np.uint64, copy=False).view(np.int64)
 

@@ -30,6 +30,7 @@ from .common import WORD
 
 SLOTS = 1024
 DP_WORDS = 1 << 16
+BACK = 4
 
 
 def targets(sizes: DataFrame, weights: tuple[float, ...], budget: float, limit: float) -> DataFrame:
@@ -81,6 +82,11 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
             more = min(count[i] - taken[i], missing // length[i])
             taken[i] += more
             missing -= int(more * length[i])
+        # Some short texts go back, so that the table has lengths to choose from.
+        for i in np.flatnonzero(use)[::-1]:
+            back = int(max(0, min(taken[i], BACK, (dp_words - missing) // length[i])))
+            taken[i] -= back
+            missing += int(back * length[i])
         cells = min(missing, dp_words)
         reached = np.zeros(cells + 1, bool)
         reached[0] = True
@@ -124,8 +130,9 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: fl
     aims = targets(rows, weights, budget, limit)
     slots = rows.groupBy("source", "size", "slot").agg(F.count(F.lit(1)).alias("n"))
     lengths = slots.groupBy("source", "size").agg(F.sum("n").alias("n"))
+    whole = F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(1)).cast("int")
     wanted = lengths.alias("l").join(aims.alias("a"), F.col("l.source").eqNullSafe(F.col("a.source"))).select(
-        "l.source", "l.size", "l.n", (F.col("target") - F.floor(F.col("target") / F.col("source_size")) * F.col("source_size")).alias("rest")
+        "l.source", "l.size", "l.n", (F.col("target") - whole * F.col("source_size")).alias("rest")
     )
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -141,7 +148,7 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: fl
     place = F.row_number().over(W.partitionBy("source", "size", "slot").orderBy("key", "id"))
     placed = rows.withColumn("place", place).alias("r").join(ends.alias("q"), same("r", "q") & (F.col("r.slot") == F.col("q.slot"))).select("r.id", "r.source", "r.size", (F.col("place") <= F.col("quota")).cast("int").alias("more"))
     joined = placed.alias("p").join(aims.alias("a"), F.col("p.source").eqNullSafe(F.col("a.source")))
-    copies = F.coalesce(F.floor(F.col("target") / F.col("source_size")).cast("int"), F.lit(1)) + F.col("more")
+    copies = whole + F.col("more")
     return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 

@@ -179,7 +179,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold_parts:
     return fit_rules(rows[[f"stat_{s}" for s in STATS]].to_numpy(), rows["y"].to_numpy())
 
 
-def score(docs: DataFrame, model: RuleModel, keep: list[str], cut: float = 0.3, text_col: str = "text") -> DataFrame:
-    """``keep`` columns, score and predicted (1 from ``cut`` on)."""
-    rows = with_statistics(docs, keep, text_col).withColumn("_score", model.column())
-    return rows.select(*keep, F.col("_score").alias("score"), (F.col("_score") >= cut).cast("int").alias("predicted"))
+def score(docs: DataFrame, model: RuleModel, keep: list[str], cut: float = 0.3, text_col: str = "text", names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """``keep`` columns, the score and whether it reaches ``cut`` (1 or 0), under ``names``."""
+    stats = with_statistics(docs, keep, text_col)
+    value = model.column()
+    return stats.select(*[F.col(f"`{c}`") for c in keep], value.alias(names[0]), (value >= cut).cast("int").alias(names[1]))

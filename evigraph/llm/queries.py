@@ -76,3 +76,28 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import near_links
 
     return near_links(read(spark, sf_dir, "embeddings"))
+
+
+@query("op10_jaccard_join")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard_join import near_sets
+
+    return near_sets(read(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query("op6_hilbert_search")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .hilbert_search import search
+
+    return search(read(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
+@query("op5_piece_sampler")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digest of every sampled segmentation, with the text decoded again from its pieces held against the input."""
+    import public_tokenizers
+
+    from .piece_sampler import decoded_digest, sample_encodings
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    return decoded_digest(sample_encodings(read(spark, sf_dir, "documents"), path), path, ["doc_id", "rank", "log_prob", "inclusion"])

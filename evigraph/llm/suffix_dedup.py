@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evigraph.common import cut_lineage
 
-from .common import Levels, mix, signed
+from .common import Levels, chain, mix, signed
 
 GRAM = 32
 BLOCK = 1 << 18
@@ -39,8 +39,6 @@ HALO = 384
 PAD = 192
 ROOM = 4096
 NO_ID = -(1 << 63)
-_K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
-_R = [np.uint64(x) for x in (32, 29, 31)]
 
 
 def words_at(buffer: np.ndarray) -> np.ndarray:
@@ -53,16 +51,6 @@ def words_at(buffer: np.ndarray) -> np.ndarray:
     return out
 
 
-def chain(words: list[np.ndarray]) -> np.ndarray:
-    """Hash of word sequences, one word after the other."""
-    h = words[0] * _K[0]
-    for i, w in enumerate(words[1:]):
-        h ^= h >> _R[i % 3]
-        h += w
-        h *= _K[(i + 1) % 4]
-    return mix(h)
-
-
 def slide(x: np.ndarray, width: int, op) -> np.ndarray:
     """Minimum or maximum of each run of ``width`` values."""
     done = 1
@@ -187,9 +175,16 @@ def _index_texts(least: int):
 
 def _scan_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of some grams in order of (document, place): repeats become spans; grams with several surroundings come out open."""
-    levels = Levels()
+    levels, last = Levels(), None
     for batch in batches:
         doc, a, b, gram, key, fresh = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+        # The same place once more comes from an equal row in another task; it is no earlier one.
+        same = np.zeros(len(doc), bool)
+        same[1:] = (doc[1:] == doc[:-1]) & (a[1:] == a[:-1]) & (key[1:] == key[:-1])
+        same[0] = (doc[0], a[0], key[0]) == last
+        last = (doc[-1], a[-1], key[-1])
+        if (same & fresh).any():
+            doc, a, b, gram, key, fresh = (x[~(same & fresh)] for x in (doc, a, b, gram, key, fresh))
         spans = np.flatnonzero(~fresh)
         rest = np.flatnonzero(fresh)
         k = key[rest].view(np.uint64)
@@ -288,17 +283,22 @@ def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     """Rows (doc, a, b): bytes [a, b) of a text are covered by strings that also start earlier. Spans may overlap."""
     texts = _texts(docs, id_col, text_col)
     placed = texts.sortWithinPartitions("doc", "text").mapInArrow(_index_texts(least), FOUND)
-    found = cut_lineage(placed.repartition("gram").sortWithinPartitions("doc", "a").mapInArrow(_scan_levels, FOUND))
+    found = cut_lineage(placed.repartition("gram").sortWithinPartitions("doc", "a", "key").mapInArrow(_scan_levels, FOUND))
     wanted = found.filter("open").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "gram")).alias("wanted"))
     around = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(least), "doc long, a long, b long, place long, gram long, around binary")
     more = around.repartition("gram").sortWithinPartitions("doc", "place").mapInArrow(_windows(least), "doc long, a long, b long")
     return found.filter("NOT open").select("doc", "a", "b").unionByName(more)
 
 
-def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, n_bytes, n_removed, n_spans, kept (bytes) for every row."""
+def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
+    """Columns id, n_bytes, n_removed, n_spans, kept (bytes) and those of ``keep`` for every row.
+
+    With ``whole``, what a span leaves of a character it cuts is not among the kept bytes, which then
+    are valid UTF-8; the numbers do not change.
+    """
+    others = [f"k{i}" for i in range(len(keep))]
     spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -315,11 +315,15 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
                 a, b, _ = united(a[order], np.minimum(b[order], len(raw)), new)
                 a, b = a[a < b], b[a < b]
                 ends = np.concatenate([a, [len(raw)]]).tolist()
-                kept = b"".join(raw[x:y] for x, y in zip([0, *b.tolist()], ends))
-                out.append((len(raw), len(raw) - len(kept), len(a), kept))
+                parts = [raw[x:y] for x, y in zip([0, *b.tolist()], ends)]
+                if whole:
+                    parts = [p.decode("utf-8", "ignore").encode() for p in parts]
+                out.append((len(raw), int((b - a).sum()), len(a), b"".join(parts)))
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["id", "n_bytes", "n_removed", "n_spans", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], ["id", "n_bytes", "n_removed", "n_spans", "kept", *others])
+
+    joined = rows.join(spans, "doc", "left").select("id", "text", "spans", *others)
+    kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in others]
+    out = joined.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary", *kinds]))
+    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for c, n in zip(keep, others)])
 
-    joined = rows.join(spans, "doc", "left").select("id", "text", "spans")
-    out = joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
-    return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept")
