@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from operator import methodcaller
@@ -94,10 +95,15 @@ def fit_texts(texts: list[str], y: np.ndarray, prior: float, buckets: int = 1 <<
     rows = [np.fromiter((number.setdefault(w, len(number)) for w in map(_group, WORDS.finditer(t.lower()))), np.int32) for t in texts]
     kept = [i for i, r in enumerate(rows) if len(r)]
     y, rows = y[kept], [rows[i] for i in kept]
-    bags = [word_buckets(w, buckets) for w in number]
-    sizes = np.array([len(b) for b in bags])
-    flat, owner = np.concatenate(bags).astype(np.int64), np.repeat(np.arange(len(bags)), sizes)
+    packed, sizes = array("i"), np.zeros(len(number), np.int64)
+    for i, w in enumerate(number):
+        bag = word_buckets(w, buckets)
+        packed.extend(bag)
+        sizes[i] = len(bag)
+    flat = np.frombuffer(packed, np.int32)
     first = np.cumsum(sizes) - sizes
+    lots = [slice(i, i + 20_000) for i in range(0, len(sizes), 20_000)]  # words a step: bounds what a step gathers
+    edges = [(int(first[lot][0]), int(first[lot][-1] + sizes[lot][-1])) for lot in lots]
     words = np.concatenate(rows)
     counts = np.array([-(-len(r) // window) for r in rows])
     lengths = np.concatenate([np.append(np.full(c - 1, window), len(r) - window * (c - 1)) for c, r in zip(counts, rows)])
@@ -112,7 +118,9 @@ def fit_texts(texts: list[str], y: np.ndarray, prior: float, buckets: int = 1 <<
     bias, table_sq, soft_sq, bias_sq = 0.0, np.full(buckets, 1e-12), np.full((size, 2), 1e-12), 1e-12
 
     def forward():
-        vectors = np.add.reduceat(table[flat], first, axis=0) / sizes[:, None]
+        vectors = np.empty((len(sizes), size), np.float32)
+        for lot, (lo, hi) in zip(lots, edges):
+            vectors[lot] = np.add.reduceat(table[flat[lo:hi]], first[lot] - lo, axis=0) / sizes[lot, None]
         values = vectors @ (soft[:, 1] - soft[:, 0])
         return vectors, np.add.reduceat(values[words], begin) / lengths + bias
 
@@ -126,8 +134,10 @@ def fit_texts(texts: list[str], y: np.ndarray, prior: float, buckets: int = 1 <<
             weight = np.where(best, balance[doc], 0) / np.maximum(1, np.add.reduceat(best.astype(float), doc_begin))[doc]
             weight += 0.3 * np.where(y[doc] == 0, (balance / counts)[doc], 0)
         g = weight * (_sigmoid(z) - y[doc])
-        gw = np.bincount(words, (g / lengths)[segment], minlength=len(bags))
-        gb = np.bincount(flat, (gw / sizes)[owner], minlength=buckets)
+        gw = np.bincount(words, (g / lengths)[segment], minlength=len(sizes))
+        gb = np.zeros(buckets)
+        for lot, (lo, hi) in zip(lots, edges):
+            gb += np.bincount(flat[lo:hi], np.repeat((gw / sizes)[lot], sizes[lot]), minlength=buckets)
         diff = soft[:, 1] - soft[:, 0]
         dv = gw @ vectors
         table_sq += gb**2 * float(diff @ diff) / size
@@ -151,7 +161,7 @@ def fit_texts(texts: list[str], y: np.ndarray, prior: float, buckets: int = 1 <<
     return SubwordModel(weights, float(bias), window, float(a / spread), float(c - a * center / spread))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_parts: int = 3, held_fold: int = 1, sample: int = 2_500, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_parts: int = 3, held_fold: int = 1, sample: int = 1_200, id_col: str = "doc_id", text_col: str = "text") -> SubwordModel:
     """Model from the labels of all folds but ``held_fold``; at most ``sample`` rows of each label are read for it."""
     rows = labels.select(F.col(id_col).alias("id"), F.col(label).cast("double").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     rows = rows.filter(fold(F.col("id"), fold_parts) != held_fold)
@@ -160,7 +170,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_parts: in
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * sample rows of 16 bytes
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
     got = texts.toPandas().sort_values(["id", "y", "text"])
-    return fit_texts(got["text"].tolist(), got["y"].to_numpy(dtype=float), 0.5 if share is None else float(share))
+    listed, y = got["text"].tolist(), got["y"].to_numpy(dtype=float)
+    del got
+    return fit_texts(listed, y, 0.5 if share is None else float(share))
 
 
 def score(docs: DataFrame, model: SubwordModel, id_col: str = "doc_id", text_col: str = "text", cut: float = 0.7) -> DataFrame:
