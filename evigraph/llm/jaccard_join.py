@@ -39,31 +39,67 @@ from .common import chain, components, mix, signed
 HEAVY = 100_000
 CHUNK = 2_000_000
 OFTEN = 6
-BITS = 1024
+BITS, MOST_BITS = 1 << 10, 1 << 16
+BROADCAST = 200_000
+SEEN = 300_000
 #: Cost of one met set relative to one posting.
 MEET = 4.0
 
 
-class WordHashes(dict):
-    """Hash by word; emptied when it holds too many."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) > 500_000:
-            self.clear()
-        if len(word) < 256:
-            self[word] = h
-        return h
-
-
-def shingles(text: str, hashes: WordHashes, words: int) -> np.ndarray:
-    """Distinct shingle hashes, sorted."""
-    found = text.encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.zeros(0, np.uint64)
-    w = np.fromiter(map(hashes.__getitem__, found), np.uint64, len(found))
-    k = min(words, len(w))
-    return np.unique(chain([w[i : len(w) - k + 1 + i] for i in range(k)]))
+_SPACE = np.zeros(256, bool)
+_SPACE[[32, *range(9, 14)]] = True
+SPAN = 1 << 18
+LOT = 1 << 20
+_BASE = 0x9E3779B97F4A7C15
+_POWERS = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(SPAN, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
+
+
+def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of every word of some bytes, without a step per word.
+
+    A word's polynomial value is the difference of two prefix sums, moved to place 0. Words longer than
+    ``SPAN`` bytes are hashed one by one.
+    """
+    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True].view(np.int8)))
+    start, end = edge[::2], edge[1::2]
+    out = np.empty(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        lo = int(start[at])
+        to = int(np.searchsorted(end, lo + SPAN, side="right"))
+        if to == at:
+            out[at] = xxhash.xxh3_64_intdigest(raw[lo : int(end[at])].tobytes())
+            at += 1
+            continue
+        piece = raw[lo : int(end[to - 1])].astype(np.uint64) + np.uint64(1)
+        sums = np.r_[np.uint64(0), np.cumsum(piece * _POWERS[0][: len(piece)])]
+        a, b = start[at:to] - lo, end[at:to] - lo
+        out[at:to] = (sums[b] - sums[a]) * _POWERS[1][a] + (b - a).astype(np.uint64)
+        at = to
+    return mix(out), start
+
+
+def shingles(texts: list[str], words: int) -> list[np.ndarray]:
+    """Distinct shingle hashes of each text, sorted. A-Z are lower-cased; words are cut at ASCII white space."""
+    raws = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(raws):
+        to, held = at, 0
+        while to < len(raws) and (to == at or held + len(raws[to]) <= LOT):
+            held += len(raws[to])
+            to += 1
+        w, start = word_hashes(np.frombuffer(b"\n".join(raws[at:to]), np.uint8))
+        lengths = np.array([len(r) + 1 for r in raws[at:to]])
+        ends = np.searchsorted(start, np.cumsum(lengths)).tolist()
+        every = chain([w[i : len(w) - words + 1 + i] for i in range(words)]) if len(w) >= words else w[:0]
+        for lo, hi in zip([0, *ends], ends):
+            if hi - lo >= words:
+                out.append(np.unique(every[lo : hi - words + 1]))
+            else:
+                out.append(chain([w[i : i + 1] for i in range(lo, hi)]) if hi > lo else w[:0])
+        at = to
+    return out
 
 
 def least_shared(size: int, percent: int) -> int:
@@ -88,7 +124,7 @@ def _survey(words: int):
     """Rows: 0 (id, size, hash, hash) per text; 1 (shingle, count) of shingles frequent in a chunk; 2 (postings, met) per chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen, held, total = WordHashes(), set(), [], 0
+        seen, held, total = set(), [], 0
 
         def counted():
             token, n = np.unique(np.concatenate(held), return_counts=True)
@@ -99,12 +135,14 @@ def _survey(words: int):
 
         for batch in batches:
             size, h1, h2 = (np.zeros(batch.num_rows, t) for t in (np.int64, np.uint64, np.uint64))
-            for i, text in enumerate(batch.column(1)):
-                s = shingles(text.as_py(), hashes, words)
+            maps, wide = [b""] * batch.num_rows, [b""] * batch.num_rows
+            for i, s in enumerate(shingles(batch.column(1).to_pylist(), words)):
                 size[i] = len(s)
                 if len(s):
                     h1[i] = mix(s).sum(dtype=np.uint64)
                     h2[i] = xxhash.xxh3_64_intdigest(s.tobytes())
+                    wide[i] = bitmap(s)
+                    maps[i] = folded(np.frombuffer(wide[i], np.uint64)[None], BITS // 64).tobytes()
                     if int(h2[i]) not in seen:
                         seen.add(int(h2[i]))
                         held.append(s)
@@ -112,16 +150,33 @@ def _survey(words: int):
                         if total > CHUNK:
                             yield from counted()
                             held, total = [], 0
-            yield _rows(0, batch.column(0), size, signed(h1), signed(h2))
+            yield _rows(0, batch.column(0), size, signed(h1), signed(h2), maps, wide)
         if held:
             yield from counted()
 
     return run
 
 
-def _rows(kind, a, n, h1, h2) -> pa.RecordBatch:
+def _rows(kind, a, n, h1, h2, maps=None, wide=None) -> pa.RecordBatch:
     full = lambda x: pa.array(np.full(len(a), x, np.int64) if isinstance(x, int) else x, pa.int64())
-    return pa.RecordBatch.from_arrays([full(kind), a if isinstance(a, pa.Array) else full(a), full(n), full(h1), full(h2)], ["kind", "doc", "n", "h1", "h2"])
+    bits = [pa.array(m if m else [None] * len(a), pa.binary()) for m in (maps, wide)]
+    return pa.RecordBatch.from_arrays([full(kind), a if isinstance(a, pa.Array) else full(a), full(n), full(h1), full(h2), *bits], ["kind", "doc", "n", "h1", "h2", "bitmap", "wide"])
+
+
+def bitmap(s: np.ndarray) -> bytes:
+    """Parity of how many shingles fall on each place; two to four places for each shingle, from ``BITS`` to ``MOST_BITS``."""
+    bits = min(MOST_BITS, max(BITS, 1 << (2 * len(s) - 1).bit_length()))
+    return np.packbits(np.bincount((s >> np.uint64(7)).astype(np.int64) % bits, minlength=bits) & 1 == 1).tobytes()
+
+
+def folded(maps: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows, words) as those of fewer places: parities of places that fall together add up."""
+    return np.bitwise_xor.reduce(maps.reshape(len(maps), -1, words), axis=1)
+
+
+def may_reach(apart: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets with that many differing bits and that sum of sizes can reach the similarity."""
+    return apart * (100 + percent) <= (100 - percent) * sizes
 
 
 def prefix_keys(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray, border: int, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +204,10 @@ def prefix_keys(s: np.ndarray, heavy: np.ndarray, rank: np.ndarray, border: int,
 
 def _postings(words: int, heavy: np.ndarray, rank: np.ndarray, border: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, seen = WordHashes(), set()
+        seen = set()
         for batch in batches:
             docs, keys, most, sizes = [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                s = shingles(text.as_py(), hashes, words)
+            for doc, s in zip(batch.column(0).to_pylist(), shingles(batch.column(1).to_pylist(), words)):
                 if not len(s) or (mark := xxhash.xxh3_64_intdigest(s.tobytes())) in seen:
                     continue
                 seen.add(mark)
@@ -199,35 +253,43 @@ def _heads(percent: int):
     return run
 
 
-def _sets(words: int):
-    """Whole sets as sorted numbers, and their parity bitmaps."""
+def _screen(percent: int):
+    """Pairs (a, b) that neither sizes nor bitmaps exclude."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in batches:
-            tokens, maps = [], []
-            for text in batch.column(1):
-                s = shingles(text.as_py(), hashes, words)
-                tokens.append(s.tobytes())
-                odd = np.bincount((s >> np.uint64(7)).astype(np.int64) % BITS, minlength=BITS) & 1
-                maps.append(np.packbits(odd.astype(bool)).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(tokens, pa.binary()), pa.array(maps, pa.binary())], ["node", "tokens", "bitmap"])
+            x, y = (batch.column(i).to_numpy() for i in (2, 3))
+            apart = np.zeros(len(x), np.int64)
+            maps = [batch.column(i).to_pylist() for i in (4, 5)]
+            sizes = np.array([[len(m) // 8 for m in side] for side in maps]).reshape(2, -1)
+            for pair in np.unique(sizes, axis=1).T:
+                rows = np.flatnonzero((sizes == pair[:, None]).all(0))
+                one, two = (folded(np.frombuffer(b"".join([side[r] for r in rows]), np.uint64).reshape(len(rows), -1), int(pair.min())) for side in maps)
+                apart[rows] = np.bitwise_count(one ^ two).sum(1)
+            ok = may_reach(apart, x + y, percent) & (100 * np.minimum(x, y) >= percent * np.maximum(x, y))
+            rows = batch.filter(pa.array(ok))
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1)], ["a", "b"])
 
     return run
 
 
-def _compare(percent: int):
-    """Linked pairs, from rows (a, b, tokens) in order of (a, b); a row without b holds the set of a."""
+def screened(pairs: DataFrame, classes: DataFrame, percent: int, column: str) -> DataFrame:
+    one = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col(column).alias("ma"))
+    two = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col(column).alias("mb"))
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_screen(percent), "a long, b long")
+
+
+def _compare(words: int, percent: int):
+    """Linked pairs, from rows (head, slot, doc, text) in order; the row whose doc is the head comes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, own = None, []
         for batch in batches:
             out = []
-            for a, b, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                s = np.frombuffer(raw.as_buffer(), np.uint64)
-                if a != at:
-                    at, own = a, []
-                if b is None:
+            for head, slot, doc, s in zip(*(batch.column(i).to_pylist() for i in range(3)), shingles(batch.column(3).to_pylist(), words)):
+                if (head, slot) != at:
+                    at, own = (head, slot), []
+                if doc == head:
                     own.append(s)
                     continue
                 for t in own:
@@ -235,7 +297,7 @@ def _compare(percent: int):
                     where[where == len(t)] = 0
                     both = int((t[where] == s).sum()) if len(t) else 0
                     if both and 100 * both >= percent * (len(s) + len(t) - both):
-                        out.append((a, b))
+                        out.append((head, doc))
                         break
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
@@ -243,17 +305,22 @@ def _compare(percent: int):
     return run
 
 
-def linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose whole sets reach the similarity."""
-    tokens = sets.select("node", "tokens")
-    members = pairs.join(tokens.withColumnRenamed("node", "b"), "b").select("a", "b", "tokens")
-    heads = pairs.select("a").distinct().join(tokens.withColumnRenamed("node", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "tokens")
-    both = members.unionByName(heads).repartition("a").sortWithinPartitions("a", F.col("b").asc_nulls_first())
-    return both.mapInArrow(_compare(percent), "a long, b long")
+def linked(pairs: DataFrame, texts: DataFrame, words: int, percent: int, tile: int) -> DataFrame:
+    """The pairs (a, b) whose whole sets reach the similarity. The pairs of one ``a`` are dealt into slots of about ``tile``."""
+    slots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / tile).alias("slots"))
+    members = pairs.join(slots, "a").select(F.col("a").alias("head"), F.pmod(F.xxhash64("b"), F.col("slots")).alias("slot"), F.col("b").alias("doc"))
+    wanted = members.unionByName(members.select("head", "slot", F.col("head").alias("doc")).distinct())
+    wanted = cut_lineage(wanted)
+    if wanted.count() <= BROADCAST:  # checked: at most that many rows of 24 bytes; more meet the texts by a shuffle
+        wanted = F.broadcast(wanted)
+    rows = texts.join(wanted, "doc").select("head", "slot", "doc", "text")
+    rows = rows.repartition("head", "slot").sortWithinPartitions("head", "slot", F.col("doc") != F.col("head"), "doc")
+    return rows.mapInArrow(_compare(words, percent), "a long, b long")
 
 
 def _differing(percent: int):
     """Pairs of different components within a key and pair of tiles that no bound excludes."""
+    seen: set[tuple[int, int]] = set()
 
     def settle(cols) -> Iterator[pa.RecordBatch]:
         node, comp, size, most, maps, chunk, split = cols
@@ -268,12 +335,25 @@ def _differing(percent: int):
             b = b[(comp[b] != comp[i]) & (np.minimum(most[b], most[i]).astype(np.int64) * (100 + percent) >= total) & (np.minimum(size[b], size[i]).astype(np.int64) * 100 >= percent * np.maximum(size[b], size[i]).astype(np.int64))]
             if len(b):
                 apart = np.bitwise_count(bits[b] ^ bits[i]).sum(1).astype(np.int64)
-                b = b[apart * (100 + percent) <= (100 - percent) * (size[b].astype(np.int64) + size[i])]
+                b = b[may_reach(apart, size[b].astype(np.int64) + size[i], percent)]
                 if len(b):
                     x, y = np.minimum(node[b], node[i]), np.maximum(node[b], node[i])
                     yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
+    def new_ones(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each pair once a task, as far as the memory of ``SEEN`` pairs goes; sets that share much meet under many keys."""
+        for batch in pairs:
+            a, b = (batch.column(i).to_numpy() for i in (0, 1))
+            both = list(zip(a.tolist(), b.tolist()))
+            if len(seen) > SEEN:
+                seen.clear()
+            fresh = [p not in seen for p in both]
+            seen.update(both)
+            if any(fresh):
+                yield batch.filter(pa.array(fresh))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen.clear()
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
@@ -282,10 +362,10 @@ def _differing(percent: int):
             new = np.append(True, np.logical_or.reduce([k[1:] != k[:-1] for k in keys]))
             starts = np.flatnonzero(new)
             for x, y in zip(starts[:-1], starts[1:]):
-                yield from settle(_columns(rest.slice(x, y - x)))
+                yield from new_ones(settle(_columns(rest.slice(x, y - x))))
             rest = rest.slice(starts[-1]).combine_chunks()
         if rest is not None and rest.num_rows:
-            yield from settle(_columns(rest))
+            yield from new_ones(settle(_columns(rest)))
 
     def _columns(t: pa.Table):
         return (*(t[c].to_numpy() for c in ("node", "component", "size", "most")), t["bitmap"].to_pylist(), t["chunk"].to_numpy(), t["lo"].to_numpy() != t["hi"].to_numpy())
@@ -296,9 +376,11 @@ def _differing(percent: int):
 def near_sets(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_shingles, component_id for every row; ``percent`` is the least similarity in hundredths."""
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    found = cut_lineage(texts.mapInArrow(_survey(words), "kind long, doc long, n long, h1 long, h2 long"))
-    rows = found.filter("kind = 0").drop("kind")
-    classes = rows.filter("n > 0 AND doc IS NOT NULL").groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.any_value("n").alias("n"))
+    found = cut_lineage(texts.mapInArrow(_survey(words), "kind long, doc long, n long, h1 long, h2 long, bitmap binary, wide binary"))
+    rows = found.filter("kind = 0").select("doc", "n", "h1", "h2")
+    whole = found.filter("kind = 0 AND n > 0 AND doc IS NOT NULL")
+    # Equal sets have equal sizes and bitmaps.
+    classes = cut_lineage(whole.groupBy("h1", "h2").agg(F.min("doc").alias("node"), F.max("n").alias("n"), F.max("bitmap").alias("bitmap"), F.max("wide").alias("wide")))
     often = found.filter("kind = 1").groupBy("doc").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "doc").limit(HEAVY).toPandas()
     sizes = {r["n"]: r["count"] for r in classes.filter("n <= 400").groupBy("n").count().collect()}
     met = found.filter("kind = 2").agg(F.sum("doc"), F.sum("n")).first()
@@ -314,21 +396,23 @@ def near_sets(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 20
     twins = members.join(by_doc.filter("node < other").select("doc", F.col("node").alias("low")), "doc").filter("node > low").select(F.col("low").alias("a"), F.col("node").alias("b"))
     # Only texts in lists matter from here on.
     listed = cut_lineage(lists.select("doc").distinct().join(by_doc.select("doc", "node"), "doc"))
-    sets = cut_lineage(texts.join(listed.select(F.col("node").alias("doc")).distinct(), "doc").select("doc", "text").mapInArrow(_sets(words), "node long, tokens binary, bitmap binary"))
     pairs = lists.filter("ok").select("head", "doc").distinct()
     pairs = pairs.join(listed.select("doc", F.col("node").alias("y")), "doc").join(listed.select(F.col("doc").alias("head"), F.col("node").alias("x")), "head")
     pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a < b").distinct()
-    links = cut_lineage(linked(pairs, sets, percent).unionByName(twins))
+    pairs = cut_lineage(screened(cut_lineage(screened(pairs, classes, percent, "bitmap")), classes, percent, "wide"))
+    links = cut_lineage(linked(pairs, texts, words, percent, tile).unionByName(twins))
     labels = components(links)
 
-    placed = lists.join(listed, "doc").select("key", "node", "size", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # The head of a list has met all others of it; what is left are pairs of the others.
+    placed = lists.filter("doc <> head").join(listed, "doc").select("key", "node", "size", "most").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = placed.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count(F.lit(1)).alias("n")).filter("x < y").select("key", F.ceil(F.col("n") / tile).cast("int").alias("tiles"))
-    open_ = placed.join(mixed, "key").join(sets.select("node", "bitmap"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+    open_ = placed.join(mixed, "key").join(classes.select("node", "bitmap"), "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
     open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other"))
     open_ = open_.select("key", "lo", "hi", "chunk", "node", "component", "size", "most", "bitmap").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     more = cut_lineage(open_.mapInArrow(_differing(percent), "a long, b long").distinct())
+    more = cut_lineage(screened(more, classes, percent, "wide"))
     if not more.isEmpty():
-        labels = components(links.unionByName(linked(more, sets, percent)))
+        labels = components(links.unionByName(linked(more, texts, words, percent, tile)))
     out = rows.join(classes.select("h1", "h2", "node"), ["h1", "h2"], "left").join(labels, "node", "left")
     component = F.when(F.col("doc").isNull() | (F.col("n") == 0), F.col("doc")).otherwise(F.coalesce("component", "node"))
     kind = docs.schema[id_col].dataType
