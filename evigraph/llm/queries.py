@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import oracles
 from .common import fold, read
 
 QUERIES: dict[str, Callable] = {}
@@ -22,11 +23,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("op1_url_filter")
+@query("op1_url_filter", oracles.url_filter_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .url_filter import judge
 
-    return judge(read(spark, sf_dir, "pages"))
+    return judge(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 @query("op4_token_counts")
@@ -63,7 +64,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_plan(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
-@query("op8_suffix_dedup")
+@query("op8_suffix_dedup", oracles.SUFFIX_DEDUP)
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import remove_repeats
 
@@ -71,14 +72,14 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
-@query("op7_near_vectors")
+@query("op7_near_vectors", oracles.NEAR_VECTORS)
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .near_vectors import near_links
 
     return near_links(read(spark, sf_dir, "embeddings"))
 
 
-@query("op10_jaccard_join")
+@query("op10_jaccard_join", oracles.JACCARD)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .jaccard_join import near_sets
 
