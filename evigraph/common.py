@@ -13,6 +13,10 @@ TABLES = (
 ).split()
 
 
+#: Session setting for tests and benchmarks on one machine: small text tables are dealt out to all cores.
+SPREAD = "spark.evigraph.spreadSmallTexts"
+
+
 def build_session(master: str = "local[8]", partitions: int = 8, **conf) -> SparkSession:
     """Local session for tests and benchmarks; clusters bring their own."""
     builder = (
@@ -22,7 +26,8 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf) -> Spar
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
-        .config("spark.driver.memory", "16g")
+        .config("spark.driver.memory", "7g")
+        .config(SPREAD, "true")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -31,7 +36,7 @@ def build_session(master: str = "local[8]", partitions: int = 8, **conf) -> Spar
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df, "doc_id") if name == "documents" else df
+    return spread(df, "doc_id") if name == "documents" and spark.conf.get(SPREAD, "false") == "true" else df
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
@@ -73,7 +78,18 @@ def cut_lineage(df: DataFrame, keep_layout: bool = False) -> DataFrame:
         return df.checkpoint()
     path = scratch_path(spark, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(df: DataFrame | None) -> None:
+    """Delete the table behind a ``cut_lineage`` result that nothing reads any more."""
+    path = getattr(df, "_scratch", None)
+    if path:
+        spark = df.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def top_k(df: DataFrame, keys: list[str], order: list[Column], k: int, rank: str = "rank") -> DataFrame:

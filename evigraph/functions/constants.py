@@ -114,3 +114,60 @@ RANK_ALPHA, RANK_ITERATIONS = 0.78, 16
 WILSON_Z = 1.959963984540054
 TOKEN_PRICES = {"prompt": 2.1e-6, "cached": 0.21e-6, "completion": 8.4e-6}
 CHUNK_SIZE, CHUNK_OVERLAP = 1500, 100
+
+
+# Named routes of four studies, in order: (route, condition, answer if it holds, answer otherwise).
+# Answers are methods or votes: perm3 (the three orders of one graph method), graph5 (all graph methods), with_both,
+# with_compress and with_vector (the three orders and the named baselines).
+ROUTE_TABLES = {
+    "confidence": [
+        ("graph", "true", "graph_a", "graph_a"),
+        ("gate", "true", "graph_gate", "graph_gate"),
+        ("compress_if_unanimous_else_graph", "unanimous", "compress", "graph_a"),
+        ("vector_if_unanimous_else_graph", "unanimous", "vector", "graph_a"),
+        ("graph_if_unanimous_else_compress", "unanimous", "graph_a", "compress"),
+        ("graph_if_unanimous_else_vector", "unanimous", "graph_a", "vector"),
+        ("graph_vector_agree_else_compress", "graph_a = vector", "graph_a", "compress"),
+        ("majority_plus_compress_vector", "true", "with_both", "with_both"),
+        ("majority_plus_compress", "true", "with_compress", "with_compress"),
+        ("majority_plus_vector", "true", "with_vector", "with_vector"),
+    ],
+    "breakthrough": [
+        ("expand", "true", "graph_expand", "graph_expand"),
+        ("expand_high_else_compress", "high", "graph_expand", "compress"),
+        ("expand_high_else_vector", "high", "graph_expand", "vector"),
+        ("expand_agrees_graph_else_compress", "graph_expand = graph_a", "graph_expand", "compress"),
+        ("expand_agrees_gate_else_compress", "graph_expand = graph_gate", "graph_expand", "compress"),
+        ("expand_agrees_any_graph_else_compress", "agreeing >= 1", "graph_expand", "compress"),
+        ("expand_agrees_two_graph_else_compress", "agreeing >= 2", "graph_expand", "compress"),
+        ("compress_if_unanimous_else_expand", "unanimous", "compress", "graph_expand"),
+        ("expand_if_unanimous_else_compress", "unanimous", "graph_expand", "compress"),
+        ("expand_if_graph_only_ge3_else_compress", "graph_only_chunks >= 3", "graph_expand", "compress"),
+        ("expand_if_overlap_le50_else_compress", "rag_overlap <= 0.5", "graph_expand", "compress"),
+        ("expand_if_relations_ge6_else_compress", "valid_relations >= 6", "graph_expand", "compress"),
+    ],
+    "graph_only": [
+        ("expand", "true", "graph_expand", "graph_expand"),
+        ("gate", "true", "graph_gate", "graph_gate"),
+        ("perm3_majority", "true", "perm3", "perm3"),
+        ("graph5_majority", "true", "graph5", "graph5"),
+        ("expand_gate_agree_else_graph", "graph_expand = graph_gate", "graph_expand", "graph_a"),
+        ("expand_gate_agree_else_perm3", "graph_expand = graph_gate", "graph_expand", "perm3"),
+        ("expand_any_agree_else_perm3", "agreeing >= 1", "graph_expand", "perm3"),
+        ("expand_two_agree_else_perm3", "agreeing >= 2", "graph_expand", "perm3"),
+        ("expand_if_unstable_else_gate", "NOT unanimous", "graph_expand", "graph_gate"),
+        ("gate_if_unstable_else_expand", "NOT unanimous", "graph_gate", "graph_expand"),
+    ],
+    "links": [
+        ("expand", "true", "graph_expand", "graph_expand"),
+        ("perm3", "true", "perm3", "perm3"),
+        ("expand_high_else_perm3", "high", "graph_expand", "perm3"),
+        ("expand_if_unstable_else_perm3", "NOT stable", "graph_expand", "perm3"),
+        ("perm3_if_unanimous_else_expand", "stable", "perm3", "graph_expand"),
+        ("expand_agrees_any_else_perm3", "graph_expand = graph_a OR graph_expand = graph_b OR graph_expand = graph_c", "graph_expand", "perm3"),
+        ("expand_agrees_majority_else_perm3", "graph_expand = perm3", "graph_expand", "perm3"),
+        ("expand_links6_else_perm3", "links >= 6", "graph_expand", "perm3"),
+        ("expand_low_removed_else_perm3", "removed <= 2", "graph_expand", "perm3"),
+        ("expand_margin_positive_else_perm3", "margin > 0", "graph_expand", "perm3"),
+    ],
+}

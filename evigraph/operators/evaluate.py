@@ -42,7 +42,11 @@ def log_factorial(n: Column) -> Column:
 
 
 def exact_p(wins, losses) -> Column:
-    """Two-sided exact McNemar p. Terms fall off within a few sqrt(n) of the smaller count."""
+    """Two-sided exact McNemar p.
+
+    The tail starts 60 * sqrt(n) + 60 below the smaller count: by Hoeffding's bound what lies further out
+    is less than exp(-7200) of the whole, far below what a double can hold.
+    """
     wins, losses = (F.col(x) if isinstance(x, str) else x for x in (wins, losses))
     n, k = wins + losses, F.least(wins, losses)
     low = F.greatest(F.lit(0), k - F.ceil(60 * F.sqrt(n)) - 60).cast("long")
@@ -71,6 +75,9 @@ def holm(tests: DataFrame, family: list[str], p: str = "p", tie: str = "method")
     return raw.withColumn("holm_p", F.max("_raw").over(step)).drop("_raw")
 
 
+BLOCK = 4096  # rows of a group that one draw takes at a time
+
+
 def cluster_index(clusters: DataFrame, name: str) -> DataFrame:
     """Dense 0-based index of clusters in the order of their hash, without a global sort."""
     h = clusters.withColumn("_h", F.md5(F.col(name).cast("string"))).withColumn("_b", F.substring("_h", 1, 2))
@@ -78,9 +85,9 @@ def cluster_index(clusters: DataFrame, name: str) -> DataFrame:
 
 
 def draw_slots(spark, draws: int, slots: DataFrame) -> DataFrame:
-    """(draw, slot, pick): every draw picks one of ``n_clusters`` per slot, by hash."""
-    each = slots.withColumn("slot", F.explode(F.sequence(F.lit(0), F.col("n_clusters").cast("int") - 1)))
-    rows = each.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    """(draw, slot, pick): every draw picks one of ``n_clusters`` per slot, by hash. Draws spread over the tasks."""
+    each = spark.range(draws).select(F.col("id").alias("draw"), slots.select("n_clusters").scalar().alias("n_clusters"))
+    rows = each.withColumn("slot", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_clusters") - 1)))
     return rows.withColumn("pick", hash_mod(F.concat_ws(":", F.lit("seed"), "draw", "slot"), F.col("n_clusters")))
 
 
@@ -113,8 +120,11 @@ def two_stage_bootstrap(rows: DataFrame, group: str, draws: int) -> DataFrame:
         r = hash_mod(F.concat_ws(":", F.lit("row"), "draw", "slot", j), F.col("n"))
         return acc + F.when(r < F.col("neg"), -1).when(r < F.col("neg") + F.col("pos"), 1).otherwise(0)
 
-    inner = F.aggregate(F.sequence(F.lit(0), F.col("n").cast("int") - 1), F.lit(0), sampled)
-    values = joined.groupBy("draw").agg((F.sum(inner) / F.sum("n")).alias("value"))
+    # a large group is drawn in blocks, so no row holds more than one block
+    blocks = joined.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
+    upto = F.least(F.col("from") + BLOCK, F.col("n"))
+    inner = F.aggregate(F.sequence(F.col("from"), upto - 1), F.lit(0), sampled)
+    values = blocks.groupBy("draw").agg((F.sum(inner) / F.sum(upto - F.col("from"))).alias("value"))
     return interval(values, draws)
 
 
@@ -231,3 +241,24 @@ def column_profile(df: DataFrame, text: list[str], categories: list[str]) -> Dat
     pairs = F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in categories]))
     counts = df.select(pairs).groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
     return lengths.unionByName(counts, allowMissingColumns=True)
+
+
+def run_diagnostics(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Counts per run: answers, unparsed, mean elapsed, grounded, fallbacks, consistent and direct ones, by letter and by stage.
+
+    ``rows``: (keys, selected, elapsed, stage) and the flags grounded, fallback, consistent, direct. One
+    row per letter and stage meets after the first aggregate, whatever the size of a run.
+    """
+    flag = lambda c, n: F.count_if(F.col(c)).alias(n)
+    flags = {"grounded": "grounded", "fallback": "fallbacks", "consistent": "consistent", "direct": "direct"}
+    cells = rows.groupBy(*keys, F.coalesce("selected", F.lit("unparsed")).alias("letter"), F.col("stage").cast("string").alias("stage")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("elapsed").alias("e"), F.count("elapsed").alias("timed"), *[flag(c, n) for c, n in flags.items()]
+    )
+    out = cells.groupBy(*keys).agg(
+        F.sum("n").alias("answers"), F.sum(F.when(F.col("letter") == "unparsed", F.col("n")).otherwise(0)).alias("unparsed"),
+        F.try_divide(F.sum("e"), F.sum("timed")).alias("mean_elapsed"), *[F.sum(n).alias(n) for n in flags.values()],
+    )
+    for name, column in (("letters", "letter"), ("stages", "stage")):
+        counts = cells.groupBy(*keys, column).agg(F.sum("n").alias("n"))
+        out = out.join(counts.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct(column, "n"))).alias(name)), keys)
+    return out

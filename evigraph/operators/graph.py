@@ -22,9 +22,16 @@ GID = ["graph_id"]
 
 
 # -- names and endpoints -------------------------------------------------------------
+def all_names(nodes: DataFrame, *keep: str) -> DataFrame:
+    """One row (keep, raw) per name of a node: its name, its ``alias`` and each of its ``aliases``, as far as it has them."""
+    one = F.array(*[F.col(c) for c in ("name", "alias") if c in nodes.columns])
+    every = F.concat(one, F.coalesce("aliases", F.array().cast("array<string>"))) if "aliases" in nodes.columns else one
+    return nodes.select(*keep, F.explode(every).alias("raw"))
+
+
 def name_index(nodes: DataFrame) -> DataFrame:
     """Canonical name or alias -> node; a shared key goes to the smallest node id."""
-    keys = nodes.select("graph_id", "node_id", F.explode(F.array("name", "alias")).alias("raw"))
+    keys = all_names(nodes, "graph_id", "node_id")
     keyed = keys.select("graph_id", "node_id", canonical_name("raw").alias("key")).filter("key <> ''")
     return keyed.groupBy("graph_id", "key").agg(F.min("node_id").alias("node_id"))
 
@@ -59,8 +66,7 @@ def referenced_nodes(nodes: DataFrame, relations: DataFrame) -> DataFrame:
     """Nodes whose name or alias is an endpoint of some relation."""
     used = relations.select("graph_id", F.explode(F.array("source", "target")).alias("raw"))
     used = used.select("graph_id", canonical_name("raw").alias("key")).filter("key <> ''").distinct()
-    keys = nodes.select("graph_id", "node_id", F.explode(F.array("name", "alias")).alias("raw"))
-    keys = keys.select("graph_id", "node_id", canonical_name("raw").alias("key"))
+    keys = all_names(nodes, "graph_id", "node_id").select("graph_id", "node_id", canonical_name("raw").alias("key"))
     hit = keys.join(used, ["graph_id", "key"], "left_semi").select("graph_id", "node_id").distinct()
     return nodes.join(hit, ["graph_id", "node_id"], "left_semi")
 
@@ -85,16 +91,17 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def name_mentions(nodes: DataFrame, texts: DataFrame, min_chars: int = 3) -> DataFrame:
     """Nodes whose name or alias occurs as whole words in a text of their graph.
 
-    A name's longest token must be a token of the text, so the join is on that token.
+    Every token of a name must be a token of the text, so the join is on the one that fewest names of
+    the graph share.
     """
-    names = nodes.select("graph_id", "node_id", F.explode(F.array("name", "alias")).alias("raw"))
-    names = names.select("graph_id", "node_id", norm_text("raw").alias("nm")).filter(F.length("nm") >= min_chars)
-    plain = F.regexp_extract_all("nm", F.lit("[a-z0-9]+"), F.lit(0))
-    longest = F.array_max(F.transform(plain, lambda t: F.struct(F.length(t).alias("n"), t.alias("t"))))["t"]
+    names = all_names(nodes, "graph_id", "node_id").select("graph_id", "node_id", norm_text("raw").alias("nm")).filter(F.length("nm") >= min_chars).distinct()
+    parts = names.withColumn("tok", F.explode(F.array_distinct(F.regexp_extract_all("nm", F.lit("[a-z0-9]+"), F.lit(0)))))
+    shared = parts.groupBy("graph_id", "tok").agg(F.count(F.lit(1)).alias("n"))
+    rarest = parts.join(shared, ["graph_id", "tok"]).groupBy("graph_id", "node_id", "nm").agg(F.min_by("tok", F.struct("n", -F.length("tok"), "tok")).alias("tok"))
     body = texts.select("graph_id", "qid", norm_text("text").alias("body"))
     words = body.withColumn("tok", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))))
     exact = F.concat(F.lit(r"(?<![a-z0-9])\Q"), "nm", F.lit(r"\E(?![a-z0-9])"))
-    hits = names.withColumn("tok", longest).filter("tok is not null").join(words, ["graph_id", "tok"])
+    hits = rarest.join(words, ["graph_id", "tok"])
     hits = hits.filter(F.rlike("body", exact)).select("graph_id", "qid", "node_id")
     bare = names.filter(~F.col("nm").rlike("[a-z0-9]"))
     odd = contained_pairs(bare, body, GID, "nm", "body").filter(F.rlike("body", exact))
@@ -246,8 +253,10 @@ def name_compatible(pairs: DataFrame, left: str, right: str) -> DataFrame:
 def consolidation_plan(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     """Member -> canonical node from ordered candidate groups (graph_id, group_no, member names).
 
-    Groups that share no member cannot influence each other, so the ordered fold runs per
-    connected component of groups, not per graph.
+    A group joins its nodes under one head. It may hold nodes of at most one head of earlier groups,
+    and that head must be in it; without one, its node of highest degree becomes the head. Which
+    names go together is decided beforehand, for all pairs of a group, by ``name_compatible``. Groups
+    that share no member cannot influence each other, so the order matters per connected component.
     """
     index = nodes.groupBy("graph_id", norm_text("name").alias("key")).agg(F.max_by(F.struct("node_id", "name", "degree"), "node_id").alias("n"))
     rows = groups.select("graph_id", "group_no", F.posexplode("members").alias("pos", "raw"))
@@ -256,45 +265,33 @@ def consolidation_plan(groups: DataFrame, nodes: DataFrame) -> DataFrame:
         F.min("pos").alias("pos"), F.first("n.name").alias("name"), F.first("n.degree").alias("degree")
     )
     rows = cut_lineage(rows)
+    group = ["graph_id", "group_no"]
+    a = rows.select(*group, F.col("node_id").alias("left"), F.col("name").alias("left_name"))
+    b = rows.select(*group, F.col("node_id").alias("right"), F.col("name").alias("right_name"))
+    pairs = name_compatible(a.join(b, group).filter("left <> right"), "left_name", "right_name").filter("compatible")
+    fits = pairs.groupBy(*group, F.col("left").alias("node_id")).agg(F.collect_set("right").alias("fits"))
+    member = F.struct("pos", "node_id", "fits")
+    best = F.min_by("node_id", F.struct(-F.col("degree"), "pos"))
+    packed = rows.join(fits, [*group, "node_id"], "left").groupBy(*group).agg(F.array_sort(F.collect_list(member)).alias("members"), best.alias("best"))
     comp = components(rows.select("graph_id", "group_no", "node_id"), GID, "group_no", "node_id")
-    rows = rows.join(comp, ["graph_id", "group_no"])
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        into: dict[str, str] = {}
-        out = []
-        for no, g in pdf.sort_values(["group_no", "pos"]).groupby("group_no", sort=True):
-            ids = list(g.node_id)
-            if len(ids) < 2:
-                continue
-            known = {into[i] for i in ids if i in into} | (set(ids) & set(into.values()))
-            if len(known) > 1 or not known <= set(ids):
+    packed = packed.filter(F.size("members") > 1).join(comp, group)
+
+    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
+        head_of: dict[str, str] = {}  # heads stand for themselves
+        moved = []
+        for row in pdf.sort_values("group_no").itertuples():
+            fits_of = {m["node_id"]: m["fits"] for m in row.members}
+            heads = {head_of[n] for n in fits_of if n in head_of}
+            head = next(iter(heads), row.best)
+            if len(heads) > 1 or head not in fits_of or fits_of[head] is None:
                 continue
-            best = g.sort_values(["degree", "pos"], ascending=[False, True]).iloc[0].node_id
-            head = known.pop() if known else best
-            names = dict(zip(g.node_id, g["name"]))
-            for i in ids:
-                if i != head and i not in into and _compatible(names[head], names[i]):
-                    into[i] = head
-                    out.append((pdf.graph_id.iloc[0], int(no), i, head))
-        return pd.DataFrame(out, columns=["graph_id", "group_no", "node_id", "canonical"])
+            new = [n for n in fits_of if n in set(fits_of[head]) and n not in head_of]
+            head_of.update(dict.fromkeys([*new, head] if new else [], head))
+            moved += [(row.graph_id, row.group_no, n, head) for n in new]
+        return pd.DataFrame(moved, columns=["graph_id", "group_no", "node_id", "canonical"])
 
     kind = dict(groups.dtypes)["graph_id"]
-    return rows.groupBy("graph_id", "label").applyInPandas(fold, f"graph_id {kind}, group_no long, node_id string, canonical string")
-
-
-def _compatible(a: str, b: str) -> bool:
-    """Single-pair form of ``name_compatible`` for the ordered fold."""
-    from difflib import SequenceMatcher
-
-    words = [s.lower().replace(".", " ").replace("-", " ").split() for s in (a, b)]
-    parts = [[w for w in ws if w not in K.TITLE_TOKENS] for ws in words]
-    man, woman = ([bool(set(ws) & set(group)) for ws in words] for group in (K.MALE_TITLES, K.FEMALE_TITLES))
-    if not all(parts) or (man[0] and woman[1]) or (woman[0] and man[1]):
-        return False
-    if set(parts[0]) <= set(parts[1]) or set(parts[1]) <= set(parts[0]):
-        return True
-    x, y = ("".join(p) for p in parts)
-    return x[0] == y[0] and SequenceMatcher(None, x, y).ratio() >= K.NAME_RATIO
+    return packed.groupBy("graph_id", "label").applyInPandas(settle, f"graph_id {kind}, group_no long, node_id string, canonical string")
 
 
 def merged_graph(edges: DataFrame, mapping: DataFrame, order: list[str]) -> DataFrame:
@@ -421,9 +418,15 @@ def strict_mask(nodes: DataFrame, edges: DataFrame, texts: DataFrame) -> tuple[D
 
 
 # -- reading off the graph ----------------------------------------------------------------
-def suspect_chain(nodes: DataFrame, edges: DataFrame, cap: int = 4, per_person: int = 4) -> tuple[DataFrame, DataFrame]:
-    """Persons ranked by weighted incriminating edges, and each one's strongest edges."""
+def suspect_chain(nodes: DataFrame, edges: DataFrame, cap: int = 4, per_person: int = 4, victims: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Persons ranked by weighted incriminating edges, and each one's strongest edges.
+
+    ``victims`` (graph_id, victim): names that are no suspects in their graph.
+    """
     people = nodes.filter("type = 'person'").select("graph_id", F.col("node_id").alias("src"), "name")
+    if victims is not None:
+        out = victims.select("graph_id", F.lower("victim").alias("_low")).distinct()
+        people = people.withColumn("_low", F.lower("name")).join(out, ["graph_id", "_low"], "left_anti").drop("_low")
     weight = (
         F.coalesce("confidence", F.lit(0.0)) * F.when(F.col("decoy"), 0.3).otherwise(1.0)
         * F.greatest(F.coalesce("importance", F.lit(3)), F.lit(1)) / 3.0
@@ -436,6 +439,13 @@ def suspect_chain(nodes: DataFrame, edges: DataFrame, cap: int = 4, per_person:
     return best, proof
 
 
+def victim_neighbours(nodes: DataFrame, edges: DataFrame, victims: DataFrame) -> DataFrame:
+    """First tier of candidate names: persons linked with a victim (graph_id, node_id) of their graph."""
+    near = adjacency(edges).join(victims, ["graph_id", "node_id"], "left_semi").select("graph_id", F.col("neighbor").alias("node_id")).distinct()
+    people = nodes.filter("type = 'person'").join(near, ["graph_id", "node_id"], "left_semi")
+    return people.select("graph_id", "name", F.lit(0).alias("tier"), F.col("node_id").alias("ord"))
+
+
 def candidate_names(tiers: DataFrame, cap: int = 6) -> DataFrame:
     """Distinct candidate names by source tier, then order inside it; generic names are skipped."""
     named = tiers.filter(~F.lower("name").isin(K.GENERIC_PERSONS))

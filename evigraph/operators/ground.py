@@ -99,8 +99,7 @@ def two_way_hits(gold: DataFrame, corpus: DataFrame, keys: list[str], gold_id: l
     g = gold.filter(F.length("norm") >= min_chars).select(*keys, *gold_id, F.col("norm").alias("gold_norm"))
     c = corpus.filter(F.length("norm") >= min_chars).select(*keys, "unit", F.col("norm").alias("unit_norm"))
     inside = contained_pairs(g, c, keys, "gold_norm", "unit_norm", (9, 5, 3)).select(*keys, *gold_id, "unit")
-    longest = g.agg(F.max(F.length("gold_norm"))).first()[0] or 0
-    short = c.filter(F.length("unit_norm") <= longest)
+    short = c.filter(F.length("unit_norm") <= g.agg(F.max(F.length("gold_norm"))).scalar())
     around = contained_pairs(short, g, keys, "unit_norm", "gold_norm", (9, 5, 3)).select(*keys, *gold_id, "unit")
     return inside.unionByName(around).distinct()
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..common import top_k
+from ..common import cut_lineage, top_k
 from ..functions import constants as K
 from ..functions.answers import clean_link
 from ..functions.text import norm_text
@@ -61,7 +61,7 @@ def k_hop(first: DataFrame, edges: DataFrame, sizes: list[int], weight: Column |
     seen = first.withColumn("hop", F.lit(1)).select(*cols)
     frontier = seen
     for i, k in enumerate(sizes):
-        frontier = next_hop(seen, frontier, edges, weight, k, i + 2).select(*cols)
+        frontier = cut_lineage(next_hop(seen, frontier, edges, weight, k, i + 2).select(*cols))  # few rows; later hops read them again
         seen = seen.unionByName(frontier)
     return seen
 

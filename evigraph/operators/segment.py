@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from ..common import first_per_key, prefix_scan, top_k
 from ..functions import constants as K
@@ -55,40 +58,43 @@ def chunk_lines(docs: DataFrame, size: int = K.CHUNK_SIZE) -> DataFrame:
     )
 
 
-def with_offsets(pieces: DataFrame, keys: list[str], gap: int = 0, base: str | None = None) -> DataFrame:
-    """Running start/end of ordered pieces (``idx``, ``text``); blocks bound the work per task."""
-    blocked = pieces.withColumn("_b", F.floor(F.col("idx") / BLOCK))
-    out = prefix_scan(blocked, keys, ["_b"], ["idx"], {"start": ("sum_before", F.length("text") + gap)})
-    if base:
-        out = out.withColumn("start", F.col("start") + F.col(base))
-    return out.withColumn("end", F.col("start") + F.length("text")).drop("_b")
+@F.pandas_udf(ArrayType(LongType()))
+def running_starts(lengths: pd.Series) -> pd.Series:
+    """Sum of all lengths before each one, per row."""
+    return lengths.map(lambda n: None if n is None else np.cumsum(n) - n)
+
+
+def cut_spans(docs: DataFrame, pieces: Column, gap: int = 0, base: Column | None = None) -> DataFrame:
+    """One row per piece of a text with its character offsets: idx, text, start, end.
+
+    One narrow pass: a text's pieces lie in one row anyway, and only their lengths go to Python.
+    """
+    keep = [c for c in docs.columns if c != "text"]
+    first = F.lit(0) if base is None else base
+    cut = docs.select(*keep, first.alias("_base"), pieces.alias("_pieces"))
+    cut = cut.withColumn("_starts", running_starts(F.transform("_pieces", lambda x: F.length(x).cast("bigint") + gap)))
+    rows = cut.select(*keep, "_base", F.posexplode(F.arrays_zip("_pieces", "_starts")).alias("idx", "_z"))
+    start = F.col("_base") + F.col("_z._starts")
+    return rows.select(*keep, "idx", F.col("_z._pieces").alias("text"), start.alias("start"), (start + F.length("_z._pieces")).alias("end"))
 
 
 def line_spans(docs: DataFrame, keep_blank: bool = False) -> DataFrame:
     """Lines with their character offsets; blank lines move the offset but are dropped."""
-    keep = [c for c in docs.columns if c != "text"]
-    lines = docs.select(*keep, F.posexplode(F.split("text", "\n")).alias("idx", "text"))
-    out = with_offsets(lines, keep, gap=1)
+    out = cut_spans(docs, F.split("text", "\n"), gap=1)
     return out if keep_blank else out.filter(F.trim("text") != "")
 
 
 def sentence_spans(docs: DataFrame, min_chars: int = 1) -> DataFrame:
     """Sentences with offsets. Matches are contiguous after leading terminators."""
-    keep = [c for c in docs.columns if c != "text"]
     lead = F.length(F.regexp_extract("text", "^[.!?。！？]*", 0))
-    parts = docs.select(
-        *keep, lead.alias("_lead"), F.posexplode(F.regexp_extract_all("text", F.lit(SENTENCE), 0)).alias("idx", "text")
-    )
-    out = with_offsets(parts, keep, base="_lead").drop("_lead")
+    out = cut_spans(docs, F.regexp_extract_all("text", F.lit(SENTENCE), 0), base=lead)
     clean = F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
     return out.withColumn("text", clean).filter(F.length("text") >= min_chars)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
     """Numbered ``[n]`` paragraphs: from each marker to the next one."""
-    keep = [c for c in docs.columns if c != "text"]
-    parts = docs.select(*keep, F.posexplode(F.split("text", r"(?m)(?=^\[\d+\])")).alias("idx", "text"))
-    out = with_offsets(parts, keep)
+    out = cut_spans(docs, F.split("text", r"(?m)(?=^\[\d+\])"))
     number = F.regexp_extract("text", r"^\[(\d+)\]", 1)
     return out.withColumn("para_no", F.when(number != "", number.try_cast("int"))).filter("para_no is not null")
 

@@ -84,6 +84,16 @@ def agrees(a: str, *others: str) -> Column:
     return sum((F.coalesce(F.col(a) == F.col(m), F.lit(False)).cast("int") for m in others), F.lit(0))
 
 
+def route_tables(rows: DataFrame, tables: dict[str, list[tuple[str, str, str, str]]]) -> DataFrame:
+    """Every route of every table on every wide row, long: (.., study, rule, priority, choice). Conditions are SQL over the row."""
+    routes = [
+        F.struct(F.lit(study).alias("study"), F.lit(name).alias("rule"), F.lit(i).alias("priority"), F.when(F.expr(f"coalesce({cond}, false)"), F.col(then)).otherwise(F.col(other)).alias("choice"))
+        for study, table in tables.items()
+        for i, (name, cond, then, other) in enumerate(table)
+    ]
+    return rows.select("*", F.inline(F.array(*routes)))
+
+
 # -- reliability -----------------------------------------------------------------------
 def held_out(counts: DataFrame, groups: DataFrame, keys: list[str], group: str = "novel") -> DataFrame:
     """For every group, sums of ``c`` and ``n`` per key over all *other* groups.
@@ -91,9 +101,9 @@ def held_out(counts: DataFrame, groups: DataFrame, keys: list[str], group: str =
     ``counts``: (group, keys, c, n); ``groups``: distinct groups to hold out.
     """
     total = counts.groupBy(*keys).agg(F.sum("c").alias("_c"), F.sum("n").alias("_n"))
-    # totals have one row per key (methods, rules, settings): a scalar array beside each group
-    packed = total.agg(F.collect_list(F.struct(*keys, "_c", "_n"))).scalar()
-    every = groups.select(group).distinct().withColumn("_all", packed).select(group, F.inline("_all"))
+    # every key counts for every group, also where the group has no row of it; keys are the methods, rules or settings
+    # that are compared, so their number does not grow with the data
+    every = groups.select(group).distinct().crossJoin(F.broadcast(total))
     own = counts.select(group, *keys, "c", "n")
     out = every.join(own, [group, *keys], "left")
     return out.select(
@@ -147,6 +157,17 @@ def weighted_held_out(answers: DataFrame, fallback: str) -> DataFrame:
     return weighted_vote(answers.join(w, ["novel", "method"]), Q, fallback)
 
 
+def confidence_vote_held_out(answers: DataFrame, lead: str, methods: list[str]) -> DataFrame:
+    """Votes weighted by smoothed held-out accuracy; the lead's sure answers weigh by the accuracy of its sure answers."""
+    rows = answers.filter(F.col("method").isin(*methods))
+    plain = held_out(method_counts(rows, "method"), answers, ["method"]).select("novel", "method", ((F.col("c") + 1) / (F.col("n") + 2)).alias("plain"))
+    sure_rows = rows.filter((F.col("method") == lead) & (F.col("confidence") == "high"))
+    sure = held_out(method_counts(sure_rows, "method"), answers, ["method"]).select("novel", ((F.col("c") + 1) / (F.col("n") + 2)).alias("sure"))
+    both = rows.join(plain, ["novel", "method"]).join(sure, "novel", "left")
+    own = (F.col("method") == lead) & (F.col("confidence") == "high")
+    return weighted_vote(both.withColumn("weight", F.when(own, F.coalesce("sure", F.lit(0.5))).otherwise(F.col("plain"))), Q, lead)
+
+
 def routed_by_type(answers: DataFrame, at_least: int = 5) -> DataFrame:
     """Best method by raw held-out accuracy on the row's type, or on everything if the type is rare."""
     typed = held_out(method_counts(answers, "qtype", "method", "morder"), answers, ["qtype", "method", "morder"])

@@ -111,20 +111,20 @@ def deltas(spark, sf):
 @query(
     "cluster_bootstrap",
     check("answers", f"""WITH {DELTA}, cl AS (SELECT *, row_number() OVER (ORDER BY md5(novel)) - 1 AS idx FROM (SELECT novel, sum(value) AS s, count(*) AS n FROM delta GROUP BY novel) t),
-      {PICKS.format(2000)}, dv AS (SELECT draw, sum(s) / sum(n) AS value FROM picks JOIN cl USING (idx) GROUP BY draw) {ORDER_STATS.format(2000)}"""),
+      {PICKS.format(5000)}, dv AS (SELECT draw, sum(s) / sum(n) AS value FROM picks JOIN cl USING (idx) GROUP BY draw) {ORDER_STATS.format(5000)}"""),
 )
 def cluster_bootstrap(spark, sf):
-    return E.cluster_bootstrap(deltas(spark, sf), "novel", 2000).select(*six("low", "high"), "draws")
+    return E.cluster_bootstrap(deltas(spark, sf), "novel", 5000).select(*six("low", "high"), "draws")
 
 
 @query(
     "two_stage_bootstrap",
     check("answers", f"""WITH {DELTA}, cl AS (SELECT *, row_number() OVER (ORDER BY md5(novel)) - 1 AS idx FROM (SELECT novel, count(*) AS n, count(*) FILTER (value < 0) AS neg, count(*) FILTER (value > 0) AS pos FROM delta GROUP BY novel) t),
-      {PICKS.format(200)}, rr AS (SELECT draw, c.n, neg, pos, {H("'row:' || draw || ':' || slot || ':' || j")} % c.n AS r FROM picks JOIN cl c USING (idx), LATERAL (SELECT unnest(range(0, c.n)) AS j) x),
-      dv AS (SELECT draw, sum(CASE WHEN r < neg THEN -1 WHEN r < neg + pos THEN 1 ELSE 0 END) / count(*) AS value FROM rr GROUP BY draw) {ORDER_STATS.format(200)}"""),
+      {PICKS.format(10000)}, rr AS (SELECT draw, c.n, neg, pos, {H("'row:' || draw || ':' || slot || ':' || j")} % c.n AS r FROM picks JOIN cl c USING (idx), LATERAL (SELECT unnest(range(0, c.n)) AS j) x),
+      dv AS (SELECT draw, sum(CASE WHEN r < neg THEN -1 WHEN r < neg + pos THEN 1 ELSE 0 END) / count(*) AS value FROM rr GROUP BY draw) {ORDER_STATS.format(10000)}"""),
 )
 def two_stage_bootstrap(spark, sf):
-    return E.two_stage_bootstrap(deltas(spark, sf), "novel", 200).select(*six("low", "high"), "draws")
+    return E.two_stage_bootstrap(deltas(spark, sf), "novel", 10000).select(*six("low", "high"), "draws")
 
 
 # -- subsets and controls ------------------------------------------------------------------
@@ -433,19 +433,20 @@ def fact_coverage(spark, sf):
 # -- run diagnostics -------------------------------------------------------------------------
 @query(
     "run_diagnostics",
-    check("answers", """SELECT method, count(*) AS answers, count(*) FILTER (selected IS NULL) AS unparsed, round(avg(elapsed), 6) AS mean_elapsed, count(*) FILTER (confidence = 'high') AS grounded,
-      string_agg(DISTINCT coalesce(selected, '-') || '=' || n, ',' ORDER BY coalesce(selected, '-') || '=' || n) AS letters FROM (SELECT *, count(*) OVER (PARTITION BY method, selected) AS n FROM answers) t GROUP BY method"""),
+    check("answers", f"""WITH r AS (SELECT *, {H("'fb' || qid || method")} % 10 = 0 AS fallback, {H("'st' || qid || method")} % 3 AS stage FROM answers),
+      l AS (SELECT method, string_agg(x || '=' || n, ',' ORDER BY x || '=' || n) AS letters FROM (SELECT method, coalesce(selected, 'unparsed') AS x, count(*) AS n FROM r GROUP BY ALL) a GROUP BY 1),
+      s AS (SELECT method, string_agg(stage || '=' || n, ',' ORDER BY stage || '=' || n) AS stages FROM (SELECT method, stage, count(*) AS n FROM r GROUP BY ALL) a GROUP BY 1)
+    SELECT method, count(*) AS answers, count(*) FILTER (selected IS NULL) AS unparsed, round(avg(elapsed), 6) AS mean_elapsed, count(*) FILTER (confidence = 'high') AS grounded,
+      count(*) FILTER (fallback) AS fallbacks, count(*) FILTER (unanimous) AS consistent, count(*) FILTER (unanimous AND confidence = 'high') AS direct, any_value(letters) AS letters, any_value(stages) AS stages
+    FROM r JOIN l USING (method) JOIN s USING (method) GROUP BY method"""),
 )
 def run_diagnostics(spark, sf):
-    letter = F.coalesce("selected", F.lit("-"))
-    per = answers(spark, sf).groupBy("method", letter.alias("letter")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("elapsed").alias("e"), F.count_if(F.col("confidence") == "high").alias("g")
-    )
-    shown = F.array_sort(F.collect_list(F.concat_ws("=", "letter", F.col("n").cast("string"))))
-    return per.groupBy("method").agg(
-        F.sum("n").alias("answers"), F.sum(F.when(F.col("letter") == "-", F.col("n")).otherwise(0)).alias("unparsed"),
-        F.round(F.sum("e") / F.sum("n"), 6).alias("mean_elapsed"), F.sum("g").alias("grounded"), F.array_join(shown, ",").alias("letters"),
-    )
+    number = lambda p, n: hash_mod(F.concat(F.lit(p), "qid", "method"), n)
+    rows = answers(spark, sf).withColumns({"fallback": number("fb", 10) == 0, "stage": number("st", 3)})
+    rows = rows.withColumns({"grounded": F.col("confidence") == "high", "consistent": F.col("unanimous"), "direct": F.col("unanimous") & (F.col("confidence") == "high")})
+    out = E.run_diagnostics(rows, ["method"])
+    shown = lambda c: F.array_join(F.array_sort(F.transform(F.map_entries(c), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",").alias(c)
+    return out.select("method", "answers", "unparsed", *six("mean_elapsed"), "grounded", "fallbacks", "consistent", "direct", shown("letters"), shown("stages"))
 
 
 PRICE = K.TOKEN_PRICES

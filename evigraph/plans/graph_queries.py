@@ -9,7 +9,7 @@ from ..functions import constants as K
 from ..functions.text import hash_mod
 from ..operators import graph as G, iterate as I
 from .answer_queries import words_sql
-from .inputs import Dialect, check, relation
+from .inputs import UNIT, Dialect, check, relation
 from .registry import query
 from .text_queries import NAME, NORM, docs
 
@@ -33,16 +33,21 @@ def key_of(prefix, *cols):
 # -- endpoint resolution -----------------------------------------------------------
 RAW_SQL = f"""raw AS (SELECT e.graph_id, e.edge_id, e.type, e.evidence, e.confidence,
     CASE WHEN {H("'s' || e.edge_id")} % 10 = 0 THEN 'unknown stranger' WHEN {H("'s' || e.edge_id")} % 3 = 0 THEN a.alias ELSE 'The  ' || a.name END AS source,
-    CASE WHEN {H("'t' || e.edge_id")} % 12 = 0 THEN 'nowhere' ELSE upper(b.name) END AS target
+    CASE WHEN {H("'t' || e.edge_id")} % 12 = 0 THEN 'nowhere' WHEN {H("'t' || e.edge_id")} % 12 = 1 THEN 'Item  ' || e.dst ELSE upper(b.name) END AS target
   FROM edges e JOIN nodes a ON e.graph_id = a.graph_id AND e.src = a.node_id JOIN nodes b ON e.graph_id = b.graph_id AND e.dst = b.node_id)"""
 INDEX_SQL = f"""idx AS (SELECT graph_id, key, min(node_id) AS node_id FROM (
-    SELECT graph_id, node_id, {NAME(NORM('name'))} AS key FROM nodes UNION ALL SELECT graph_id, node_id, {NAME(NORM('alias'))} FROM nodes) k
+    SELECT graph_id, node_id, {NAME(NORM('name'))} AS key FROM nodes UNION ALL SELECT graph_id, node_id, {NAME(NORM('alias'))} FROM nodes
+    UNION ALL SELECT graph_id, node_id, {NAME(NORM("'item ' || node_id"))} FROM nodes) k
     WHERE key <> '' GROUP BY ALL)"""
 RES_SQL = f"""{RAW_SQL}, {INDEX_SQL}, res AS (SELECT r.*, s.node_id AS src, t.node_id AS dst FROM raw r
     LEFT JOIN idx s ON r.graph_id = s.graph_id AND s.key = {NAME(NORM('r.source'))}
     LEFT JOIN idx t ON r.graph_id = t.graph_id AND t.key = {NAME(NORM('r.target'))})"""
 
 
+def aliased_nodes(spark, sf):
+    return nodes_of(spark, sf).withColumn("aliases", F.array(F.concat(F.lit("item "), "node_id"), F.lit("")))
+
+
 def raw_relations(spark, sf):
     """Edges with names in place of ids; some names are unknown, some are aliases."""
     n = nodes_of(spark, sf).select("graph_id", "node_id", "name", "alias")
@@ -51,66 +56,78 @@ def raw_relations(spark, sf):
     e = edges_of(spark, sf).join(a, ["graph_id", "src"]).join(b, ["graph_id", "dst"])
     sh = hash_mod(key_of("s", "edge_id"), 1 << 32)
     source = F.when(sh % 10 == 0, "unknown stranger").when(sh % 3 == 0, F.col("a_alias")).otherwise(F.concat(F.lit("The  "), "a_name"))
-    target = F.when(hash_mod(key_of("t", "edge_id"), 12) == 0, "nowhere").otherwise(F.upper("b_name"))
+    th = hash_mod(key_of("t", "edge_id"), 12)
+    target = F.when(th == 0, "nowhere").when(th == 1, F.concat(F.lit("Item  "), "dst")).otherwise(F.upper("b_name"))
     return e.select("graph_id", "edge_id", "type", "evidence", "confidence", source.alias("source"), target.alias("target"))
 
 
 @query("endpoint_resolve", check("nodes edges", f"WITH {RES_SQL} SELECT graph_id, edge_id, src, dst FROM res"))
 def endpoint_resolve(spark, sf):
-    out = G.resolved_endpoints(raw_relations(spark, sf), nodes_of(spark, sf))
+    out = G.resolved_endpoints(raw_relations(spark, sf), aliased_nodes(spark, sf))
     return out.select("graph_id", "edge_id", "src", "dst")
 
 
-@query(
-    "merge_stats",
-    check("nodes edges", f"""WITH {RES_SQL}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst, type, {NORM('evidence')}
+KEPT_SQL = f"""{RES_SQL}, kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id, src, dst, type, {NORM('evidence')}
         ORDER BY edge_id) AS rn FROM res WHERE src IS NOT NULL AND dst IS NOT NULL) z WHERE rn = 1),
       nt AS (SELECT graph_id, sum(n) AS nodes, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS nodes_by_type FROM (SELECT graph_id, type, count(*) n FROM nodes GROUP BY ALL) a GROUP BY 1),
       et AS (SELECT graph_id, sum(n) AS edges, string_agg(type || '=' || n, ',' ORDER BY type || '=' || n) AS edges_by_type FROM (SELECT graph_id, type, count(*) n FROM kept GROUP BY ALL) b GROUP BY 1),
-      lost AS (SELECT graph_id, count(*) AS candidates, count(*) FILTER (src IS NULL OR dst IS NULL) AS dropped FROM res GROUP BY 1)
-    SELECT graph_id, cast(nodes AS BIGINT) AS nodes, nodes_by_type, cast(edges AS BIGINT) AS edges, edges_by_type, candidates, dropped,
-      cast(candidates - dropped - edges AS BIGINT) AS deduplicated
-    FROM nt LEFT JOIN et USING (graph_id) LEFT JOIN lost USING (graph_id)"""),
-)
-def merge_stats(spark, sf):
+      lost AS (SELECT graph_id, count(*) AS candidates, count(*) FILTER (src IS NULL OR dst IS NULL) AS dropped FROM res GROUP BY 1),
+      totals AS (SELECT graph_id, cast(nodes AS BIGINT) AS nodes, nodes_by_type, cast(edges AS BIGINT) AS edges, edges_by_type, candidates, dropped,
+        cast(candidates - dropped - edges AS BIGINT) AS deduplicated FROM nt LEFT JOIN et USING (graph_id) LEFT JOIN lost USING (graph_id))"""
+
+
+def totals_of(spark, sf):
     nodes = nodes_of(spark, sf)
-    raw = cut_lineage(G.resolved_endpoints(raw_relations(spark, sf), nodes))
+    raw = cut_lineage(G.resolved_endpoints(raw_relations(spark, sf), aliased_nodes(spark, sf)))
     kept = G.deduped_edges(raw.filter("src is not null and dst is not null"), ["edge_id"])
     return G.graph_totals(nodes, kept, raw)
 
 
-SOME_NODES = "part_nodes AS (SELECT * FROM nodes WHERE text_pos < 0.9)"
+@query("merge_stats", check("nodes edges", f"WITH {KEPT_SQL} SELECT * FROM totals"))
+def merge_stats(spark, sf):
+    return totals_of(spark, sf)
+
+
+# every tenth node or so gets an edge to a node that does not exist
+ALL_EDGES = """all_edges AS (SELECT graph_id, edge_id, src, dst FROM edges
+    UNION ALL SELECT graph_id, 'bad_' || node_id, node_id, 'ghost_' || node_id FROM nodes WHERE text_pos >= 0.9)"""
+
+
+def with_ghosts(spark, sf):
+    late = nodes_of(spark, sf).filter("text_pos >= 0.9")
+    bad = late.select("graph_id", key_of("bad_", "node_id").alias("edge_id"), F.col("node_id").alias("src"), key_of("ghost_", "node_id").alias("dst"))
+    return edges_of(spark, sf).select("graph_id", "edge_id", "src", "dst").unionByName(bad)
 
 
 @query(
     "dangling_edges",
-    check("nodes edges", f"""WITH {SOME_NODES} SELECT graph_id, edge_id, src, dst FROM edges e WHERE
-      NOT EXISTS (SELECT 1 FROM part_nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.src) OR
-      NOT EXISTS (SELECT 1 FROM part_nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.dst)"""),
+    check("nodes edges", f"""WITH {ALL_EDGES} SELECT graph_id, edge_id, src, dst FROM all_edges e WHERE
+      NOT EXISTS (SELECT 1 FROM nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.src) OR
+      NOT EXISTS (SELECT 1 FROM nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.dst)"""),
 )
 def dangling_edges(spark, sf):
-    return G.dangling_edges(edges_of(spark, sf), nodes_of(spark, sf).filter("text_pos < 0.9")).select("graph_id", "edge_id", "src", "dst")
+    return G.dangling_edges(with_ghosts(spark, sf), nodes_of(spark, sf)).select("graph_id", "edge_id", "src", "dst")
 
 
 @query(
     "referenced_entities",
     check("nodes edges", f"""WITH {RAW_SQL}, used AS (SELECT DISTINCT graph_id, key FROM (SELECT graph_id, {NAME(NORM('source'))} AS key FROM raw
         UNION ALL SELECT graph_id, {NAME(NORM('target'))} FROM raw) u WHERE key <> '')
-    SELECT graph_id, node_id, name FROM nodes n WHERE (graph_id, {NAME(NORM('n.name'))}) IN (SELECT graph_id, key FROM used)
-      OR (graph_id, {NAME(NORM('n.alias'))}) IN (SELECT graph_id, key FROM used)"""),
+    SELECT DISTINCT k.graph_id, k.node_id, k.name FROM (SELECT graph_id, node_id, name, {NAME(NORM('name'))} AS key FROM nodes
+      UNION ALL SELECT graph_id, node_id, name, {NAME(NORM('alias'))} FROM nodes
+      UNION ALL SELECT graph_id, node_id, name, {NAME(NORM("'item ' || node_id"))} FROM nodes) k JOIN used USING (graph_id, key)"""),
 )
 def referenced_entities(spark, sf):
-    return G.referenced_nodes(nodes_of(spark, sf), raw_relations(spark, sf)).select("graph_id", "node_id", "name")
+    return G.referenced_nodes(aliased_nodes(spark, sf), raw_relations(spark, sf)).select("graph_id", "node_id", "name")
 
 
 @query(
     "prune_isolates",
     check("nodes edges", """SELECT graph_id, node_id, mention_count FROM nodes n WHERE NOT (mention_count = 0 AND NOT EXISTS (
-      SELECT 1 FROM edges e WHERE e.confidence > 0.98 AND e.graph_id = n.graph_id AND n.node_id IN (e.src, e.dst)))"""),
+      SELECT 1 FROM (SELECT graph_id, src AS node_id FROM edges UNION ALL SELECT graph_id, dst FROM edges) e WHERE e.graph_id = n.graph_id AND e.node_id = n.node_id))"""),
 )
 def prune_isolates(spark, sf):
-    sure = edges_of(spark, sf).filter("confidence > 0.98")
-    return G.without_ungrounded_isolates(nodes_of(spark, sf), sure).select("graph_id", "node_id", "mention_count")
+    return G.without_ungrounded_isolates(nodes_of(spark, sf), edges_of(spark, sf)).select("graph_id", "node_id", "mention_count")
 
 
 @query(
@@ -163,7 +180,7 @@ def dup_names(spark, sf):
 
 
 # -- entity resolution ----------------------------------------------------------------
-ENT_SQL = f"""ent AS (SELECT source, doc_id * 100000 + seq AS rec, {NAME(NORM('substr(text, 1, 24)'))} AS k1, {NAME(NORM('right(text, 24)'))} AS k2 FROM lines),
+ENT_SQL = f"""ent AS (SELECT source, doc_id * 2147483648 + seq AS rec, {NAME(NORM('substr(text, 1, 24)'))} AS k1, {NAME(NORM('right(text, 24)'))} AS k2 FROM lines),
   links AS (SELECT DISTINCT source, rec, key FROM (SELECT source, rec, k1 AS key FROM ent UNION ALL SELECT source, rec, k2 FROM ent) u WHERE key <> ''),
   walk(source, rec, reach) AS (SELECT DISTINCT source, rec, rec FROM links
     UNION SELECT w.source, w.rec, b.rec FROM walk w JOIN links a ON a.source = w.source AND a.rec = w.reach JOIN links b ON b.source = a.source AND b.key = a.key)
@@ -174,12 +191,12 @@ ENT_SQL = f"""ent AS (SELECT source, doc_id * 100000 + seq AS rec, {NAME(NORM('s
 def entity_resolve(spark, sf):
     """Records named by the head and the tail of a line, merged within a source."""
     lines = relation(spark, sf, "lines")
-    records = lines.select("source", (F.col("doc_id") * 100000 + F.col("seq")).alias("rec"),
+    records = lines.select("source", (F.col("doc_id") * UNIT + F.col("seq")).alias("rec"),
                            F.array(F.left("text", F.lit(24)), F.right("text", F.lit(24))).alias("names"))
     return G.resolved_entities(records, ["source"], "rec")
 
 
-MEN_SQL = """men AS (SELECT c_nationkey AS graph_id, 'p' || l_partkey AS node_id, l_orderkey AS o, l_linenumber * 100000 + l_suppkey AS i, l_returnflag || l_linestatus AS alias,
+MEN_SQL = """men AS (SELECT c_nationkey AS graph_id, 'p' || l_partkey AS node_id, l_orderkey AS o, l_linenumber * 2147483648 + l_suppkey AS i, l_returnflag || l_linestatus AS alias,
     'qty ' || cast(l_quantity AS INT) AS evidence, 'seen on ' || strftime(l_shipdate, '%Y-%m-%d') || CASE WHEN l_tax > 0.05 THEN ' taxed' ELSE '' END AS description,
     1 + l_linenumber % 5 AS salience, o_totalprice AS char_pos, 700001 AS n_chars, l_discount AS time_pos, CASE WHEN l_tax > 0.02 THEN l_linenumber END AS day
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey)"""
@@ -191,7 +208,7 @@ def part_mentions(spark, sf):
     taxed = F.when(F.col("l_tax") > 0.05, " taxed").otherwise("")
     return j.select(
         F.col("c_nationkey").alias("graph_id"), key_of("p", "l_partkey").alias("node_id"),
-        F.struct(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 100000 + F.col("l_suppkey")).alias("i")).alias("ord"),
+        F.struct(F.col("l_orderkey").alias("o"), (F.col("l_linenumber").cast("bigint") * UNIT + F.col("l_suppkey")).alias("i")).alias("ord"),
         F.concat("l_returnflag", "l_linestatus").alias("alias"), key_of("qty ", F.col("l_quantity").cast("int").cast("string")).alias("evidence"),
         F.concat(F.lit("seen on "), F.date_format("l_shipdate", "yyyy-MM-dd"), taxed).alias("description"),
         (1 + F.col("l_linenumber") % 5).alias("salience"), F.col("o_totalprice").alias("char_pos"), F.lit(700001).alias("n_chars"),
@@ -363,19 +380,19 @@ def person_candidates(spark, sf):
 
 
 # -- metrics -----------------------------------------------------------------------------
-MET_SQL = f"""{SOME_NODES}, ok AS (SELECT e.* FROM edges e JOIN part_nodes s ON e.graph_id = s.graph_id AND e.src = s.node_id JOIN part_nodes t ON e.graph_id = t.graph_id AND e.dst = t.node_id),
+MET_SQL = f"""{ALL_EDGES}, ok AS (SELECT e.* FROM all_edges e JOIN nodes s ON e.graph_id = s.graph_id AND e.src = s.node_id JOIN nodes t ON e.graph_id = t.graph_id AND e.dst = t.node_id),
   lk AS (SELECT DISTINCT graph_id, node_id FROM (SELECT graph_id, src AS node_id FROM ok UNION ALL SELECT graph_id, dst FROM ok) a),
   met AS (SELECT n.*, coalesce(e.edges, 0) AS edges, coalesce(o.valid_edges, 0) AS valid_edges, coalesce(o.self_loops, 0) AS self_loops, coalesce(e.edges, 0) - coalesce(o.valid_edges, 0) AS dangling,
       isolates / nodes AS isolate_rate, coalesce(e.edges, 0) / nodes AS edge_node_ratio FROM (
     SELECT s.graph_id, count(*) AS nodes, count(*) FILTER (lk.node_id IS NULL) AS isolates, count(*) FILTER (mention_count = 0) AS ungrounded,
-      count(*) FILTER (mention_count = 0 AND lk.node_id IS NULL) AS ungrounded_isolates FROM part_nodes s LEFT JOIN lk USING (graph_id, node_id) GROUP BY 1) n
-    LEFT JOIN (SELECT graph_id, count(*) AS edges FROM edges GROUP BY 1) e USING (graph_id)
+      count(*) FILTER (mention_count = 0 AND lk.node_id IS NULL) AS ungrounded_isolates FROM nodes s LEFT JOIN lk USING (graph_id, node_id) GROUP BY 1) n
+    LEFT JOIN (SELECT graph_id, count(*) AS edges FROM all_edges GROUP BY 1) e USING (graph_id)
     LEFT JOIN (SELECT graph_id, count(*) AS valid_edges, count(*) FILTER (src = dst) AS self_loops FROM ok GROUP BY 1) o USING (graph_id))"""
 ROUNDED = "round(isolate_rate, 6) AS isolate_rate, round(edge_node_ratio, 6) AS edge_node_ratio"
 
 
 def metrics_of(spark, sf):
-    return G.graph_metrics(nodes_of(spark, sf).filter("text_pos < 0.9"), edges_of(spark, sf))
+    return G.graph_metrics(nodes_of(spark, sf), with_ghosts(spark, sf))
 
 
 @query(
@@ -397,23 +414,25 @@ def graph_metrics(spark, sf):
 
 @query(
     "graph_quality",
-    check("nodes edges", f"""WITH {MET_SQL}, x AS (SELECT *, graph_id * 200 AS dropped, 100 AS deduplicated, nodes AS candidate_persons, graph_id % 2 AS merged_nodes FROM met),
+    check("nodes edges", f"""WITH {MET_SQL}, {KEPT_SQL}, ppl AS (SELECT graph_id, count(*) AS candidate_persons FROM nodes WHERE type = 'person' GROUP BY 1),
+      x AS (SELECT met.*, dropped, deduplicated, candidate_persons, deduplicated AS merged_nodes FROM met JOIN totals USING (graph_id) JOIN ppl USING (graph_id)),
       y AS (SELECT *, dropped / (edges + dropped + deduplicated) AS dropped_rate FROM x)
     SELECT graph_id, {ROUNDED}, round(dropped_rate, 6) AS dropped_rate,
       array_to_string(list_filter([CASE WHEN isolate_rate > 0.05 THEN 'isolate_rate' END, CASE WHEN edge_node_ratio < 2.5 THEN 'edge_node_ratio' END,
         CASE WHEN dropped_rate > 0.4 THEN 'dropped_relation_rate' END, CASE WHEN dangling > 0 THEN 'dangling_edges' END,
         CASE WHEN ungrounded_isolates > 0 THEN 'ungrounded_isolates' END], lambda v: v IS NOT NULL), ',') AS failures,
-      array_to_string(list_filter([CASE WHEN candidate_persons >= 80 AND merged_nodes = 0 THEN 'no merges' END, CASE WHEN ungrounded > 0 THEN 'ungrounded_nodes' END], lambda v: v IS NOT NULL), ',') AS warnings
+      array_to_string(list_filter([CASE WHEN candidate_persons >= 80 AND merged_nodes = 0 THEN 'no merges' END, CASE WHEN ungrounded > 0 THEN 'ungrounded_nodes' END], lambda v: v IS NOT NULL), ',') AS warnings,
+      isolate_rate <= 0.05 AND edge_node_ratio >= 2.5 AND dropped_rate <= 0.4 AND dangling = 0 AND ungrounded_isolates = 0 AS passed
     FROM y"""),
 )
 def graph_quality(spark, sf):
-    m = metrics_of(spark, sf).withColumns({
-        "dropped": F.col("graph_id") * 200, "deduplicated": F.lit(100), "candidate_persons": F.col("nodes"), "merged_nodes": F.col("graph_id") % 2,
-    })
+    people = nodes_of(spark, sf).filter("type = 'person'").groupBy("graph_id").agg(F.count(F.lit(1)).alias("candidate_persons"))
+    totals = totals_of(spark, sf).select("graph_id", "dropped", "deduplicated", F.col("deduplicated").alias("merged_nodes"))
+    m = metrics_of(spark, sf).join(totals, "graph_id").join(people, "graph_id")
     out = G.quality_gate(m, 0.05, 2.5, 0.4)
     return out.select(
         "graph_id", *[F.round(c, 6).alias(c) for c in ("isolate_rate", "edge_node_ratio", "dropped_rate")],
-        F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"),
+        F.array_join("failures", ",").alias("failures"), F.array_join("warnings", ",").alias("warnings"), "passed",
     )
 
 
@@ -473,9 +492,8 @@ def simple_graph(spark, sf):
     return G.simple_pairs(edges_of(spark, sf))
 
 
-# A sparser graph peels over several rounds: rare links only.
 def core_sql(rounds: int) -> str:
-    steps = ["c0 AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst AND confidence > 0.98)"]
+    steps = ["c0 AS (SELECT DISTINCT graph_id, least(src, dst) AS a, greatest(src, dst) AS b FROM edges WHERE src <> dst)"]
     for i in range(rounds):
         deg = f"(SELECT graph_id, node FROM (SELECT graph_id, a AS node FROM c{i} UNION ALL SELECT graph_id, b FROM c{i}) u GROUP BY ALL HAVING count(*) >= 2)"
         steps.append(f"c{i + 1} AS MATERIALIZED (SELECT c.* FROM c{i} c JOIN {deg} x ON c.graph_id = x.graph_id AND c.a = x.node JOIN {deg} y ON c.graph_id = y.graph_id AND c.b = y.node)")
@@ -483,7 +501,7 @@ def core_sql(rounds: int) -> str:
 
 
 def sparse_core(spark, sf):
-    return I.k_core(G.simple_pairs(edges_of(spark, sf).filter("confidence > 0.98")), ["graph_id"], 2)
+    return I.k_core(G.simple_pairs(edges_of(spark, sf)), ["graph_id"], 2)
 
 
 @query("k_core", check("edges", f"WITH {core_sql(40)} SELECT graph_id, a, b FROM c40"))
@@ -534,14 +552,18 @@ def dense_region(spark, sf):
 @query(
     "suspect_chain",
     check("nodes edges", f"""WITH hit AS (SELECT e.graph_id, e.src, n.name, e.edge_id, e.type, e.confidence, confidence * CASE WHEN decoy THEN 0.3e0 ELSE 1.0e0 END * greatest(importance, 1) / 3.0e0 AS w
-        FROM edges e JOIN nodes n ON e.graph_id = n.graph_id AND e.src = n.node_id WHERE n.type = 'person' AND e.type IN ({quoted(K.SUSPECT_EDGE_TYPES)})),
+        FROM edges e JOIN nodes n ON e.graph_id = n.graph_id AND e.src = n.node_id WHERE n.type = 'person' AND e.type IN ({quoted(K.SUSPECT_EDGE_TYPES)})
+          AND n.node_id <> (SELECT min(v.node_id) FROM nodes v WHERE v.graph_id = n.graph_id AND v.type = 'person')),
       best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY graph_id ORDER BY score DESC, src) AS rank FROM (
         SELECT graph_id, src, name, round(sum(w), 6) AS score FROM hit GROUP BY ALL) s) r WHERE rank <= 4)
     SELECT b.graph_id, b.src, b.name, b.rank, b.score, h.edge_id, h.type, h.erank FROM best b JOIN (SELECT *, row_number() OVER (PARTITION BY graph_id, src ORDER BY confidence DESC, edge_id) AS erank FROM hit) h
       ON h.graph_id = b.graph_id AND h.src = b.src AND erank <= 4"""),
 )
 def suspect_chain(spark, sf):
-    best, proof = G.suspect_chain(nodes_of(spark, sf), edges_of(spark, sf))
+    """The first person of each graph is the victim; names are unique here."""
+    n = nodes_of(spark, sf)
+    victims = n.filter("type = 'person'").groupBy("graph_id").agg(F.upper(F.min_by("name", "node_id")).alias("victim"))
+    best, proof = G.suspect_chain(n, edges_of(spark, sf), victims=victims)
     return proof.join(best.select("graph_id", "src", "score"), ["graph_id", "src"]).select(
         "graph_id", "src", "name", F.col("person_rank").alias("rank"), "score", "edge_id", "type", F.col("rank").alias("erank")
     )
@@ -550,7 +572,7 @@ def suspect_chain(spark, sf):
 @query(
     "candidate_names",
     check("nodes edges", """WITH t AS (SELECT n.graph_id, n.name, 0 AS tier, n.node_id AS ord FROM edges e JOIN nodes n ON e.graph_id = n.graph_id AND e.src = n.node_id
-        WHERE e.dst = 'p5' AND n.type = 'person'
+        WHERE e.dst = (SELECT min(v.dst) FROM edges v WHERE v.graph_id = e.graph_id AND v.type <> 'belongs_to') AND n.type = 'person'
       UNION ALL SELECT graph_id, name, 1, lpad(cast(1000 - text_pos * 1000 AS INT)::VARCHAR, 6, '0') FROM nodes WHERE type = 'person'
       UNION ALL SELECT graph_id, name, 2, node_id FROM nodes WHERE type = 'event'),
       f AS (SELECT graph_id, name, min((tier, ord)) AS k FROM t GROUP BY ALL)
@@ -560,8 +582,9 @@ def candidate_names(spark, sf):
     """Neighbours of the victim node, then persons by position, then the remaining targets."""
     n = nodes_of(spark, sf)
     people = n.filter("type = 'person'")
-    near = G.adjacency(edges_of(spark, sf)).filter("node_id = 'p5'").select("graph_id", F.col("neighbor").alias("node_id"))
-    t0 = near.join(people, ["graph_id", "node_id"]).select("graph_id", "name", F.lit(0).alias("tier"), F.col("node_id").alias("ord"))
+    edges = edges_of(spark, sf)
+    victims = edges.filter("type <> 'belongs_to'").groupBy("graph_id").agg(F.min("dst").alias("node_id"))
+    t0 = G.victim_neighbours(n, edges, victims)
     place = F.lpad((F.lit(1000) - F.col("text_pos") * 1000).cast("int").cast("string"), 6, "0")
     t1 = people.select("graph_id", "name", F.lit(1).alias("tier"), place.alias("ord"))
     t2 = n.filter("type = 'event'").select("graph_id", "name", F.lit(2).alias("tier"), F.col("node_id").alias("ord"))

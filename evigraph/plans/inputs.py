@@ -12,6 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..common import TABLES, scratch_path, table
 
+#: Unit ids are text id * UNIT + place: no text has 2^31 places, and ids beyond 2^32 raise instead of colliding.
+UNIT = 1 << 31
+
 METHODS = [
     ("graph_a", 1, 54), ("graph_b", 2, 48), ("graph_c", 3, 50), ("graph_gate", 4, 52),
     ("graph_expand", 5, 58), ("tail", 6, 46), ("compress", 7, 51), ("vector", 8, 52),
@@ -151,10 +154,10 @@ def _relations(d: Dialect) -> dict[str, str]:
                 JOIN supplier s ON k.node_id = 's' || s.s_suppkey
             ) n""",
         "graph_questions": """
-            SELECT n_nationkey AS graph_id, n_nationkey AS qid, 'Who moved the ' || a.p_name || ' for ' || a.p_brand AS question,
+            SELECT n_nationkey AS graph_id, a.p_partkey * 25 + n_nationkey AS qid, 'Who moved the ' || a.p_name || ' for ' || a.p_brand AS question,
               b.p_name || ' ' || b.p_partkey AS choice_a, c.p_name AS choice_b
-            FROM nation JOIN part a ON a.p_partkey = n_nationkey * 7 JOIN part b ON b.p_partkey = n_nationkey * 7 + 3
-              JOIN part c ON c.p_partkey = n_nationkey * 7 + 5""",
+            FROM nation JOIN part a ON a.p_partkey % 10000 = n_nationkey * 7 JOIN part b ON b.p_partkey = a.p_partkey + 3
+              JOIN part c ON c.p_partkey = a.p_partkey + 5""",
         # benchmark items as questions over the chunks of one source
         "items": f"""
             SELECT item_id AS qid, 'src' || (item_id % 20) AS scope, text AS question,
@@ -170,7 +173,7 @@ SPARK_SQL, CHECK_SQL = _relations(Dialect(True)), _relations(Dialect(False))
 CHECK_SQL["chunks"] = """
     SELECT doc_id, source AS scope, cast(i as bigint) AS chunk_idx, cast(i * 1400 as bigint) AS start,
       cast(least(i * 1400 + 1500, length(text)) as bigint) AS "end", substr(text, cast(i * 1400 + 1 as bigint), 1500) AS text,
-      doc_id * 100000 + i AS unit
+      doc_id * 2147483648 + i AS unit
     FROM (SELECT doc_id, source, text, unnest(range(cast(CASE WHEN length(text) = 0 THEN 0
       WHEN length(text) <= 1500 THEN 1 ELSE ceil((length(text) - 1500) / 1400.0) + 1 END as bigint))) AS i FROM documents) c"""
 CHECK_SQL["chunk_terms"] = """

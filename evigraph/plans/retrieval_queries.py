@@ -9,7 +9,7 @@ from ..functions import constants as K
 from ..functions.text import hash_mod, norm_text
 from ..operators import bm25 as B, dense as D, graph as G, ground as J, iterate as I, retrieve as R, segment as S, select as C
 from .graph_queries import DEG, edges_of, key_of, nodes_of, quoted
-from .inputs import CHECK_SQL, NEEDS, Dialect, check, relation
+from .inputs import CHECK_SQL, NEEDS, UNIT, Dialect, check, relation
 from .registry import query
 from .text_queries import LINE_OFF, NORM, doc_text, docs
 
@@ -63,7 +63,7 @@ GRAPH_INPUTS = "nodes edges node_docs graph_asks"
 # -- shared Spark inputs -------------------------------------------------------------
 def chunk_units(spark, sf):
     chunks = S.chunk_fixed(doc_text(spark, sf, "source"))
-    return chunks.select(F.col("source").alias("scope"), (F.col("doc_id") * 100000 + F.col("chunk_idx")).alias("unit"), "text", "doc_id", "chunk_idx")
+    return chunks.select(F.col("source").alias("scope"), (F.col("doc_id") * UNIT + F.col("chunk_idx")).alias("unit"), "text", "doc_id", "chunk_idx")
 
 
 def labelled(rows, scope, labels):
@@ -156,14 +156,14 @@ def bm25_norm(spark, sf):
 
 @query(
     "top_sentences",
-    check("items", f"""WITH sents AS (SELECT source AS scope, doc_id * 100000 + idx AS unit, s AS text FROM (SELECT source, doc_id,
+    check("items", f"""WITH sents AS (SELECT source AS scope, doc_id * 2147483648 + idx AS unit, s AS text FROM (SELECT source, doc_id,
         generate_subscripts(regexp_extract_all(text, '{S.SENTENCE}'), 1) - 1 AS idx, unnest(regexp_extract_all(text, '{S.SENTENCE}')) AS s FROM documents) t),
       asks AS (SELECT scope, qid, 'Q' AS label, concat_ws(' ', question, choice_a, choice_b, choice_c) AS query FROM items), {bm25_ctes('sb', 'sents', 'asks')}
     SELECT qid, unit, rank, round(round(score, 9), 4) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM sb_scores) r WHERE rank <= 6"""),
 )
 def top_sentences(spark, sf):
     sents = S.sentence_spans(doc_text(spark, sf, "source"), min_chars=0)
-    units = sents.select(F.col("source").alias("scope"), (F.col("doc_id") * 100000 + F.col("idx")).alias("unit"), "text")
+    units = sents.select(F.col("source").alias("scope"), (F.col("doc_id") * UNIT + F.col("idx")).alias("unit"), "text")
     asks = relation(spark, sf, "items").select("scope", "qid", F.lit("Q").alias("label"), F.concat_ws(" ", "question", "choice_a", "choice_b", "choice_c").alias("query"))
     best = B.ranked(B.score_text(units, asks), 6)
     return best.select("qid", "unit", "rank", F.round("score", 4).alias("score"))
@@ -261,9 +261,9 @@ def lines_of(spark, sf):
     return relation(spark, sf, "lines")
 
 
-CHECK_SQL["line_units"] = "SELECT source AS scope, doc_id * 100000 + seq AS unit, text FROM lines"
+CHECK_SQL["line_units"] = "SELECT source AS scope, doc_id * 2147483648 + seq AS unit, text FROM lines"
 CHECK_SQL["line_chunk"] = f"""
-    SELECT l.doc_id, l.seq, l.doc_id * 100000 + l.seq AS node, l.doc_id * 100000 + max(c.chunk_idx) AS unit, max(c.chunk_idx) AS chunk_idx FROM ({LINE_OFF}) l
+    SELECT l.doc_id, l.seq, l.doc_id * 2147483648 + l.seq AS node, l.doc_id * 2147483648 + max(c.chunk_idx) AS unit, max(c.chunk_idx) AS chunk_idx FROM ({LINE_OFF}) l
     JOIN chunks c ON c.doc_id = l.doc_id AND c.start <= l.start AND l.start < c."end" GROUP BY l.doc_id, l.seq"""
 NEEDS |= {"line_units": ["lines"], "line_chunk": ["lines", "chunks"]}
 
@@ -287,9 +287,9 @@ def rrf_option(spark, sf):
     asks = item_queries(spark, sf)
     zero = lambda df: df.withColumn("rank0", F.col("rank") - 1)
     chunks = zero(B.ranked(item_scores(spark, sf), 4))
-    units = lines_of(spark, sf).select(F.col("source").alias("scope"), (F.col("doc_id") * 100000 + F.col("seq")).alias("unit"), "text")
+    units = lines_of(spark, sf).select(F.col("source").alias("scope"), (F.col("doc_id") * UNIT + F.col("seq")).alias("unit"), "text")
     nodes = zero(B.ranked(B.score_text(units, asks), 5)).withColumnRenamed("unit", "node")
-    at = line_chunks(spark, sf).select((F.col("doc_id") * 100000 + F.col("seq")).alias("node"), (F.col("doc_id") * 100000 + F.col("chunk_idx")).alias("unit"))
+    at = line_chunks(spark, sf).select((F.col("doc_id") * UNIT + F.col("seq")).alias("node"), (F.col("doc_id") * UNIT + F.col("chunk_idx")).alias("unit"))
     cs, ns = R.option_fusion(chunks, nodes, at, ["qid"])
     top = lambda df, unit, k, kind: B.ranked(df, k, ["qid"], unit).select(F.lit(kind).alias("kind"), "qid", F.col(unit).alias("item"), "rank", F.round("score", 6).alias("score"))
     return top(cs, "unit", 10, "chunk").unionByName(top(ns, "node", 16, "node"))
@@ -352,8 +352,8 @@ CHECK_SQL["doc_units"] = "SELECT source AS scope, doc_id AS unit, text FROM docu
 FUSE_IN = "items item_queries doc_units cent unit_vec"
 FUSE = f"""WITH asks AS (SELECT scope, qid, label, query FROM item_queries WHERE label = 'Q'), {bm25_ctes('db', 'doc_units', 'asks')},
   t AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) - 1 AS r FROM db_scores WHERE round(score, 9) > 0),
-  d AS (SELECT i.qid, v.vec_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY round(list_dot_product(c.vector, v.vector), 9) DESC, v.vec_id) - 1 AS r
-    FROM items i JOIN cent c ON c.label = i.qid % 10 JOIN documents x ON x.source = i.scope JOIN unit_vec v ON v.vec_id = x.doc_id),
+  d AS (SELECT i.qid, x.doc_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY round(list_dot_product(c.vector, v.vector), 9) DESC, x.doc_id) - 1 AS r
+    FROM items i JOIN cent c ON c.label = i.qid % 10 JOIN documents x ON x.source = i.scope JOIN unit_vec v ON v.vec_id = x.doc_id % (SELECT max(vec_id) + 1 FROM embeddings)),
   g AS (SELECT i.qid, x.doc_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY {H("'mass' || x.doc_id")} % 100000 DESC, x.doc_id) - 1 AS r FROM items i JOIN documents x ON x.source = i.scope)"""
 
 
@@ -363,10 +363,13 @@ def fusion_lists(spark, sf, caps):
     units = docs(spark, sf).select(F.col("source").alias("scope"), F.col("doc_id").alias("unit"), "text")
     asks = item_queries(spark, sf).filter("label = 'Q'")
     text = B.ranked(B.score_text(units, asks), caps[0]).select("qid", "unit", "rank")
-    vecs = unit_vectors(spark, sf).join(docs(spark, sf).select(F.col("doc_id").alias("vec_id"), F.col("source").alias("scope")), "vec_id")
+    # every document has a vector: ids beyond the vectors start over
+    count = table(spark, sf, "embeddings").select(F.max("vec_id") + 1).scalar()
+    owners = docs(spark, sf).select(F.col("doc_id").alias("unit"), F.col("source").alias("scope"), (F.col("doc_id") % count).alias("vec_id"))
+    vecs = unit_vectors(spark, sf).join(owners, "vec_id").drop("vec_id")
     labels = label_queries(spark, sf)
     asked = items.withColumn("label", F.col("qid") % 10).join(labels, "label").select("qid", "scope", "vector")
-    dense = D.dense_topk(vecs.withColumnRenamed("vec_id", "unit"), asked, caps[1], scoped=True).select("qid", "unit", "rank")
+    dense = D.dense_topk(vecs, asked, caps[1], scoped=True).select("qid", "unit", "rank")
     mass = units.select("scope", "unit", hash_mod(key_of("mass", "unit"), 100000).alias("mass"))
     heavy = top_k(mass, ["scope"], [F.desc("mass"), F.col("unit")], caps[2])
     graph = items.select("qid", "scope").join(heavy, "scope").select("qid", "unit", "rank")
@@ -425,18 +428,35 @@ def diverse_select(spark, sf):
     return out.select("qid", F.posexplode("picked").alias("pos", "unit")).withColumn("pos", F.col("pos") + 1)
 
 
+SWAP = f"""{LEX}, best AS (SELECT qid, unit, score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS r FROM lex) z WHERE r <= 60),
+  cand AS (SELECT qid, unit, score, row_number() OVER (PARTITION BY qid ORDER BY unit) AS pos FROM best),
+  sel AS (SELECT DISTINCT qid, 0::BIGINT AS pos, []::STRUCT(u BIGINT, s DOUBLE)[] AS acc, false AS done FROM cand
+    UNION ALL SELECT qid, pos, CASE WHEN wins THEN list_append(rest, {{'u': unit, 's': score}}) ELSE acc END, done OR (wins AND len(rest) + 1 >= 18) FROM (
+      SELECT *, NOT done AND (rival IS NULL OR score > 1.25 * rival.s) AS wins, list_filter(acc, lambda o: rival IS NULL OR o.u <> rival.u) AS rest FROM (
+        SELECT s.qid, c.pos, c.unit, c.score, s.acc, s.done, list_filter(s.acc, lambda o: abs(o.u - c.unit) <= 1)[1] AS rival FROM sel s JOIN cand c ON c.qid = s.qid AND c.pos = s.pos + 1) a) b),
+  fin AS (SELECT qid, arg_max(acc, pos) AS picked FROM sel GROUP BY qid)"""
+
+
+@query("diverse_swap", check(SCORES_IN, f"WITH RECURSIVE {SWAP} SELECT qid, generate_subscripts(picked, 1) AS pos, unnest(picked).u AS unit FROM fin"))
+def diverse_swap(spark, sf):
+    """The sixty best chunks in reading order; a chunk replaces its taken neighbour only if much stronger."""
+    best = top_k(lexical(spark, sf), ["qid"], [F.desc("score"), F.col("unit")], 60)
+    row = F.struct(F.col("unit").cast("bigint").alias("unit"), "score")
+    out = best.groupBy("qid").agg(F.array_sort(F.collect_list(row)).alias("cands")).withColumn("picked", C.diverse_swap("cands", 18))
+    return out.select("qid", F.posexplode("picked").alias("pos", "unit")).withColumn("pos", F.col("pos") + 1)
+
+
 @query(
     "neighbor_expand",
-    check(SCORES_IN, f"""WITH RECURSIVE {DIVERSE}, top AS (SELECT qid, pos, unit FROM ({SEL_ROWS}) r WHERE pos <= 6),
-      near AS (SELECT qid, pos * 10 + o.k AS ord, unit + o.d AS unit FROM top, (VALUES (1, -1), (2, 1)) o(k, d) WHERE unit + o.d >= 0),
+    check(SCORES_IN + " chunks", f"""WITH RECURSIVE {DIVERSE}, top AS (SELECT qid, pos, unit FROM ({SEL_ROWS}) r WHERE pos <= 6),
+      near AS (SELECT qid, pos * 10 + o.k AS ord, unit + o.d AS unit FROM top, (VALUES (1, -1), (2, 1)) o(k, d) WHERE unit + o.d IN (SELECT unit FROM chunks)),
       every AS (SELECT qid, pos AS ord, unit FROM top UNION ALL SELECT qid, 1000 + ord, unit FROM near),
       uniq AS (SELECT qid, unit, min(ord) AS ord FROM every GROUP BY ALL)
     SELECT qid, unit, pos FROM (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY ord) AS pos FROM uniq) z WHERE pos <= 12"""),
 )
 def neighbor_expand(spark, sf):
     sel = C.diverse(lexical(spark, sf), ["qid"], [F.desc("score"), F.col("unit")], 18).withColumn("top", F.slice("picked", 1, 6))
-    grown = C.expand_neighbors("top", F.lit(2**62), 1, 12)
-    return sel.select("qid", F.posexplode(grown).alias("pos", "unit")).withColumn("pos", F.col("pos") + 1)
+    return C.expand_neighbors(sel, chunk_units(spark, sf), ["qid"], "top", 1, 12).select("qid", "unit", "pos")
 
 
 # -- rank propagation ---------------------------------------------------------------------

@@ -31,11 +31,18 @@ def src_jsonl(spark, sf):
     return R.read_jsonl(spark, path, DOC)
 
 
-@query("src_json_concat", "SELECT doc_id, text, lang, source, n_chars FROM documents")
+HARD = ' } { "q" \\" {"a": 1}{ '
+
+
+@query("src_json_concat", f"SELECT doc_id, text || '{HARD}' AS text, lang, source, n_chars FROM documents")
 def src_json_concat(spark, sf):
+    """Objects with braces and quotes inside their strings, some indented, with any white space between."""
     path = scratch_path(spark, "concat")
-    row = F.to_json(F.struct("doc_id", "text", "lang", "source", "n_chars"))
-    docs(spark, sf).withColumn("raw", row).groupBy(F.floor(F.col("doc_id") / 5)).agg(F.array_join(F.collect_list("raw"), " ").alias("value")).select("value").write.text(path)
+    fields = F.struct("doc_id", "text", "lang", "source", "n_chars")
+    rows = docs(spark, sf).withColumn("text", F.concat("text", F.lit(HARD)))
+    raw = F.when(F.col("doc_id") % 3 == 0, F.to_json(fields, {"pretty": "true"})).otherwise(F.to_json(fields))
+    rows = rows.withColumn("raw", F.concat(raw, F.when(F.col("doc_id") % 2 == 0, "").otherwise(" \t")))
+    rows.groupBy(F.floor(F.col("doc_id") / 5)).agg(F.array_join(F.collect_list("raw"), "").alias("value")).select("value").write.text(path)
     return R.read_concatenated_json(spark, path, DOC)
 
 
@@ -59,23 +66,31 @@ def src_wholetext(spark, sf):
 
 @query(
     "src_answer_tree",
-    check("answers", "SELECT a.qid, CASE WHEN l.quality = 1 THEN 'Z' ELSE a.selected END AS selected, a.gold FROM answers a JOIN labels l ON l.doc_id = a.qid WHERE a.method = 'tail'"),
+    check("answers", "SELECT a.qid, a.method, CASE WHEN l.quality = 1 THEN 'Z' WHEN l.toxic = 1 THEN 'Y' ELSE a.selected END AS selected, a.gold FROM answers a JOIN labels l ON l.doc_id = a.qid"),
 )
 def src_answer_tree(spark, sf):
-    """Two runs in a tree; the second overwrites some questions."""
+    """Three runs in a tree: answers by line, one indented answer after the other, indented arrays; later runs overwrite."""
     path = scratch_path(spark, "tree")
-    a = answers(spark, sf).filter("method = 'tail'").select("novel", "qid", "selected", "gold")
+    a = answers(spark, sf).select("novel", "qid", "method", "selected", "gold")
     a.write.partitionBy("novel").json(f"{path}/run_1")
-    again = table(spark, sf, "labels").filter("quality = 1").select(F.col("doc_id").alias("qid"))
-    a.join(again, "qid", "left_semi").withColumn("selected", F.lit("Z")).write.partitionBy("novel").json(f"{path}/run_2")
-    return R.read_answer_tree(spark, path, "qid long, selected string, gold string")
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("qid"), "quality", "toxic")
+    again = a.join(labels, "qid")
+    answer = F.struct("qid", "method", "selected", "gold")
+    second = again.filter("toxic = 1").withColumn("selected", F.lit("Y"))
+    second.select("novel", F.to_json(answer, {"pretty": "true"}).alias("value")).write.partitionBy("novel").option("compression", "none").text(f"{path}/run_2")
+    third = again.filter("quality = 1").withColumn("selected", F.lit("Z"))
+    third.groupBy("novel").agg(F.to_json(F.collect_list(answer), {"pretty": "true"}).alias("value")).write.partitionBy("novel").text(f"{path}/run_3")
+    return R.read_answer_tree(spark, path, "qid long, method string, selected string, gold string", ["qid", "method"], glob="part-*")
+
+
+LISTED = """["Bob's x0", 'the x1', 'it\\'s "x2"', '\\\\ x3']"""
 
 
 @query(
     "src_cases_union",
     """SELECT CASE lang WHEN 'en' THEN 'list' WHEN 'fr' THEN 'map' WHEN 'de' THEN 'annotated' ELSE 'pairs' END AS dataset, doc_id::VARCHAR AS case_id, 'Which one, ' || source || '?' AS question,
-      CASE WHEN lang IN ('en', 'fr', 'de') THEN 'x0|x1|x2|x3' END AS choices, CASE WHEN lang IN ('en', 'fr', 'de') THEN doc_id % 4 END AS gold_index,
-      CASE WHEN lang IN ('en', 'fr', 'de') THEN 'x' || (doc_id % 4) END AS gold_text, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN (doc_id % 7) || ':' || (doc_id % 5) END AS gold_pairs FROM documents""",
+      CASE WHEN lang = 'en' THEN 'Bob''s x0|the x1|it''s "x2"|\\ x3' WHEN lang IN ('fr', 'de') THEN 'x0|x1|x2|x3' END AS choices, CASE WHEN lang IN ('en', 'fr', 'de') THEN doc_id % 4 END AS gold_index,
+      CASE WHEN lang = 'en' THEN ['Bob''s x0', 'the x1', 'it''s "x2"', '\\ x3'][(doc_id % 4 + 1)::INT] WHEN lang IN ('fr', 'de') THEN 'x' || (doc_id % 4) END AS gold_text, CASE WHEN lang NOT IN ('en', 'fr', 'de') THEN (doc_id % 7) || ':' || (doc_id % 5) END AS gold_pairs FROM documents""",
 )
 def src_cases_union(spark, sf):
     """One layout per language of the documents, converted to one case model."""
@@ -83,7 +98,7 @@ def src_cases_union(spark, sf):
     index = (F.col("case_id") % 4).cast("int")
     letter = F.lit(K.LETTERS).substr(index + 1, F.lit(1))
     options = F.create_map(*[F.lit(x) for i, n in enumerate(K.LETTERS) for x in (n, f"x{i}")])
-    a = R.from_list_layout(d.filter("lang = 'en'").withColumn("choices", F.lit("['x0', 'x1', 'x2', 'x3']")).withColumn("answer_index", index))
+    a = R.from_list_layout(d.filter("lang = 'en'").withColumn("choices", F.lit(LISTED)).withColumn("answer_index", index))
     b = R.from_option_map(d.filter("lang = 'fr'").withColumn("options", options).withColumn("answer", F.lower(letter)), "map")
     de = d.filter("lang = 'de'")
     notes = de.select("case_id", F.array(F.struct("question", options.alias("options"), letter.alias("answer"))).alias("questions"))
@@ -97,16 +112,21 @@ def src_cases_union(spark, sf):
 
 @query(
     "src_tree_leaves",
-    check("lines", """SELECT doc_id, seq::VARCHAR AS path, text AS value, 'fact' AS fact_type FROM lines WHERE length(text) <= 100
-    UNION ALL SELECT doc_id, seq || '.0', left(text, 50), 'explicit' FROM lines WHERE length(text) > 100 UNION ALL SELECT doc_id, seq || '.1', substr(text, 51), 'commonsense' FROM lines WHERE length(text) > 100"""),
+    check("lines", """SELECT doc_id, seq::VARCHAR AS path, text AS value, 'fact' AS fact_type, 'and' AS operator, (seq % 3)::VARCHAR AS deduction_type, seq % 2 = 0 AS prunable FROM lines WHERE length(text) <= 100
+    UNION ALL SELECT doc_id, seq || '.0', left(text, 50), 'explicit', 'or', 'syllogism', true FROM lines WHERE length(text) > 100
+    UNION ALL SELECT doc_id, seq || '.1', substr(text, 51), 'commonsense', 'or', NULL, false FROM lines WHERE length(text) > 100"""),
 )
 def src_tree_leaves(spark, sf):
     """Each document as a tree: its lines, long lines split in two."""
-    leaf = lambda v, t: F.struct(v.alias("value"), F.lit(t).alias("fact_type"))
+    def leaf(v, kind, deduction, prunable):
+        return F.struct(v.alias("value"), F.lit(kind).alias("fact_type"), F.lit("or").alias("operator"), F.lit(deduction).cast("string").alias("deduction_type"), F.lit(prunable).alias("prunable"))
 
     def branch(x, i):
-        long = F.array(leaf(F.left(x, F.lit(50)), "explicit"), leaf(F.substring(x, 51, F.length(x)), "commonsense"))
-        return F.struct(x.alias("value"), F.lit("fact").alias("fact_type"), F.when(F.length(x) > 100, long).alias("children"))
+        long = F.array(leaf(F.left(x, F.lit(50)), "explicit", "syllogism", True), leaf(F.substring(x, 51, F.length(x)), "commonsense", None, False))
+        return F.struct(
+            x.alias("value"), F.lit("fact").alias("fact_type"), F.lit("and").alias("operator"), (i % 3).cast("string").alias("deduction_type"), (i % 2 == 0).alias("prunable"),
+            F.when(F.length(x) > 100, long).alias("children"),
+        )
 
     tree = F.to_json(F.struct(F.lit("root").alias("value"), F.transform(F.split("text", "\n"), branch).alias("children")))
     return R.tree_leaves(docs(spark, sf).select("doc_id", tree.alias("tree")), ["doc_id"])
@@ -261,11 +281,16 @@ CLOSED = "(SELECT time_bucket(INTERVAL '1 millisecond', max(ts)) - INTERVAL '2 h
 
 @query(
     "stream_rate_tumbling",
-    f"""SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) w, {CLOSED} c WHERE start + INTERVAL '1 hour' <= wm""",
+    f"""WITH w AS (SELECT start, event_type, n FROM (SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL) w, {CLOSED} c WHERE start + INTERVAL '1 hour' <= wm),
+      r AS (SELECT w.*, t.total - sum(n) OVER (PARTITION BY event_type ORDER BY start) AS remaining FROM w JOIN (SELECT event_type, count(*) AS total FROM events GROUP BY 1) t USING (event_type))
+    SELECT strftime(start, '%Y-%m-%d %H:%M:%S') AS start, event_type, n, remaining::BIGINT AS remaining, round(remaining * 3600 / n, 6) AS eta FROM r""",
 )
 def stream_rate_tumbling(spark, sf):
+    """Rate per hour, what is left of each type's events, and the time they take at that rate."""
     out = run(spark, J.rate(event_feed(spark, sf), "2 hours", "1 hour"), "tumbling")
-    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+    totals = table(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("total"))
+    out = J.with_eta(out, totals, 3600)
+    return out.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", "remaining", F.round("eta", 6).alias("eta"))
 
 
 @query(

@@ -145,6 +145,36 @@ def route_rules(spark, sf):
     return ruled_rows(spark, sf).select("qid", "rule", "choice")
 
 
+# what the conditions of the routes look at, besides the answers
+FEATURES = {"graph_only_chunks": 6, "valid_relations": 12, "links": 12, "removed": 6}
+AGREEING = ["graph_a", "graph_c", "graph_gate"]
+VOTES = {
+    "perm3": (GRAPH3, "graph_a"), "graph5": ([*GRAPH3, "graph_gate", "graph_expand"], "graph_expand"), "with_both": ([*GRAPH3, "compress", "vector"], "graph_a"),
+    "with_compress": ([*GRAPH3, "compress"], "graph_a"), "with_vector": ([*GRAPH3, "vector"], "graph_a"),
+}
+ROUTE_ROWS = f"""{WIDE}, hi AS (SELECT qid, confidence = 'high' AS high FROM answers WHERE method = 'graph_expand'),
+  rr AS (SELECT wide.*, high, {' + '.join(f"CASE WHEN graph_expand = {m} THEN 1 ELSE 0 END" for m in AGREEING)} AS agreeing, coalesce(graph_a = graph_b AND graph_b = graph_c, false) AS stable,
+    {', '.join(f"{H(chr(39) + f + chr(39) + ' || qid')} % {n} AS {f}" for f, n in FEATURES.items())}, {H("'rag_overlap' || qid")} % 100 / 100.0e0 AS rag_overlap, {H("'margin' || qid")} % 9 - 4 AS margin,
+    {', '.join(f'{row_major_sql(m, fb)} AS {n}' for n, (m, fb) in VOTES.items())} FROM wide JOIN hi USING (qid))"""
+ROUTES_SQL = " UNION ALL ".join(
+    f"SELECT qid, '{study}' AS study, '{name}' AS rule, CASE WHEN {cond} THEN {then} ELSE {other} END AS choice FROM rr"
+    for study, rows in K.ROUTE_TABLES.items() for name, cond, then, other in rows
+)
+
+
+@query("route_tables", check("answers", f"WITH {ROUTE_ROWS} {ROUTES_SQL}"))
+def route_tables(spark, sf):
+    """The routes of four studies on every question."""
+    a = answers(spark, sf)
+    high = a.filter("method = 'graph_expand'").select("qid", (F.col("confidence") == "high").alias("high"))
+    number = lambda name, n: hash_mod(F.concat(F.lit(name), "qid"), n)
+    rows = wide_rows(spark, sf).join(high, "qid").withColumn("agreeing", V.agrees("graph_expand", *AGREEING))
+    same = F.coalesce((F.col("graph_a") == F.col("graph_b")) & (F.col("graph_b") == F.col("graph_c")), F.lit(False))
+    rows = rows.withColumns({"stable": same, "rag_overlap": number("rag_overlap", 100) / 100, "margin": number("margin", 9) - 4} | {f: number(f, n) for f, n in FEATURES.items()})
+    rows = rows.withColumns({n: V.row_majority(m, fb) for n, (m, fb) in VOTES.items()})
+    return V.route_tables(rows, K.ROUTE_TABLES).select("qid", "study", "rule", "choice")
+
+
 REL = """rel AS (SELECT t.qtype, t.method, 0.75e0 * g + 0.25e0 * (t.c + 2 * g) / (t.n + 2) AS weight FROM
   (SELECT qtype, method, sum(correct) AS c, count(*) AS n FROM answers GROUP BY ALL) t JOIN (SELECT method, (sum(correct) + 1) / (count(*) + 2) AS g FROM answers GROUP BY ALL) o USING (method))"""
 
@@ -211,6 +241,22 @@ def logo_weighted(spark, sf):
     return V.weighted_held_out(answers(spark, sf), "graph_gate").select("qid", "winner")
 
 
+SIX = ["graph_expand", "graph_a", "graph_c", "graph_gate", "compress", "vector"]
+
+
+@query(
+    "confidence_vote",
+    check("answers", f"""WITH {TRAIN}, sure AS (SELECT g.novel, (count(*) FILTER (a.correct = 1) + 1) / (count(a.qid) + 2) AS sure FROM grp g
+        LEFT JOIN (SELECT * FROM answers WHERE method = 'graph_expand' AND confidence = 'high') a ON a.novel <> g.novel GROUP BY 1),
+      w AS (SELECT a.*, CASE WHEN method = 'graph_expand' AND confidence = 'high' THEN sure ELSE (t.c + 1) / (t.n + 2) END AS weight FROM answers a JOIN tr t USING (novel, method) JOIN sure USING (novel) WHERE method IN ({quoted(SIX)}))
+    SELECT qid, winner, round(margin, 6) AS margin FROM ({weighted_sql('w', 'graph_expand')}) z"""),
+)
+def confidence_vote(spark, sf):
+    """Weights from the other groups; sure answers of the lead method weigh by how often such answers are right."""
+    out = V.confidence_vote_held_out(answers(spark, sf), "graph_expand", SIX)
+    return out.select("qid", "winner", F.round("margin", 6).alias("margin"))
+
+
 @query(
     "logo_rule",
     check("answers", f"""WITH {RULED}, s AS (SELECT *, CASE WHEN choice = gold THEN 1 ELSE 0 END AS hit FROM ruled), rc AS (SELECT novel, rule, priority, sum(hit) AS c FROM s GROUP BY ALL),

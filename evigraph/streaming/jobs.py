@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Window, SparkSession, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
@@ -60,6 +60,13 @@ def rate(events: DataFrame, delay: str, width: str, slide: str | None = None) ->
     return out.select(F.col("w.start").alias("start"), F.col("w.end").alias("end"), "event_type", "n")
 
 
+def with_eta(windows: DataFrame, totals: DataFrame, seconds: int) -> DataFrame:
+    """Finished windows of ``seconds`` with what is left of each type's total then, and the seconds it takes at this rate."""
+    done = F.sum("n").over(Window.partitionBy("event_type").orderBy("start"))
+    out = windows.join(totals, "event_type").withColumn("remaining", F.greatest(F.col("total") - done, F.lit(0)))
+    return out.withColumn("eta", F.col("remaining") * seconds / F.col("n")).drop("total")
+
+
 def work_sessions(events: DataFrame, delay: str, gap: str) -> DataFrame:
     """Runs of activity per worker, split at idle gaps."""
     out = events.withWatermark("ts", delay).groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count(F.lit(1)).alias("n"))

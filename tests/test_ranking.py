@@ -114,7 +114,7 @@ def test_dense_blocks_and_ties(spark, monkeypatch):
     vecs = spark.createDataFrame([(i, [float(i % 3), 1.0]) for i in range(12)], "unit long, vector array<double>")
     qs = spark.createDataFrame([(q, [1.0, float(q)]) for q in range(5)], "qid int, vector array<double>")
     whole = sorted(map(tuple, D.dense_topk(vecs, qs, 3).collect()))
-    monkeypatch.setattr(D, "MAX_QUERY_FLOATS", 4)
+    monkeypatch.setattr(D, "BLOCK", 2)
     assert sorted(map(tuple, D.dense_topk(vecs, qs, 3).collect())) == whole
     assert [r[1] for r in whole if r[0] == 0] == [2, 5, 8]
 
