@@ -1,5 +1,7 @@
 """Registered queries: every one is well-formed; a sample runs against its SQL on the smallest tables."""
 
+import re
+
 import duckdb
 import pytest
 
@@ -23,7 +25,8 @@ def con():
 
 
 def test_every_query_has_sql_or_a_fixture_test():
-    assert set(queries()) - set(oracle_sql()) == {"consolidate_plan", "name_compatible"}
+    own = {n for n in queries() if n != "pipeline" and not re.match(r"op\d+_", n)}  # the training-data operators have tests of their own
+    assert own - set(oracle_sql()) == {"consolidate_plan", "name_compatible"}
     assert set(oracle_sql()) <= set(queries())
 
 
