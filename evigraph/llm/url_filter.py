@@ -13,11 +13,16 @@ to each task (as a scalar subquery). Counting combines in the map tasks before i
 Defined results: a null url, or one without ``://``, has an empty host and path, and no rule fits it;
 its model score is 0. Equal urls get equal verdicts. Without labelled urls of both kinds the score is
 0 and the threshold 0, which allows. Columns of the input beyond id and url are ignored.
+
+``judge_long`` keeps the same rules and calibration, but its model is a table that grows with the pages:
+real characters, unfolded, in contexts of 0 to ``ORDER`` characters, from every url.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
+
+from evigraph.common import cut_lineage
 
 #: Letters, the digit class, and url signs; every other character folds to "?". 0 is the start.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0./-_%?$"
@@ -26,6 +31,8 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Threshold steps per unit of score, and the largest score they tell apart.
 STEPS, TOP = 100, 10
 FOLDS = 5
+#: Longest context of the model that grows with the pages, and the fractions of a log-probability that its sums count.
+ORDER, UNITS = 6, 10**9
 
 DEFAULT_RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
 
@@ -125,3 +132,70 @@ def judge(pages: DataFrame, rules: list[tuple[str, str]] = DEFAULT_RULES, id_col
     rows = rows.withColumn("_model", model).withColumn("score", score(codes(F.col("host"), F.col("path")), F.col("_model"))).withColumn("threshold", cut)
     own = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
     return rows.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"), "score", "threshold")
+
+
+def grams(texts: DataFrame, order: int) -> DataFrame:
+    """Rows (size, ctx, next, allow, block): how often a character follows a context, from rows (text, allow, block).
+
+    Every character of every text and the end of each (next = "") is there once for each context size, also
+    where both counts are 0. A context shorter than its size is the whole text before: it includes the start.
+    """
+    tops = texts.select("text", "allow", "block", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("i")).select(*top_gram(order), "allow", "block")
+    distinct = tops.groupBy("size", "ctx", "next").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    every = distinct.select("ctx", "next", "allow", "block", F.explode(F.sequence(F.lit(0), "size")).alias("size"))
+    return every.groupBy("size", F.expr("right(ctx, size)").alias("ctx"), "next").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+
+
+def top_gram(order: int) -> list[Column]:
+    """Columns size, ctx, next of the character at place ``i`` of ``text`` after its longest context."""
+    size = F.least(F.lit(order), F.col("i") + 1)
+    start = F.greatest(F.col("i") - order, F.lit(0))
+    return [size.alias("size"), F.substring(F.col("text"), start + 1, F.col("i") - start).alias("ctx"), F.substring(F.col("text"), F.col("i") + 1, F.lit(1)).alias("next")]
+
+
+def back_off(counted: DataFrame, order: int) -> DataFrame:
+    """Columns size, ctx, next, d: difference of both log-probabilities of each gram, as whole ``UNITS``.
+
+    A gram joins the one of the next shorter context, which at most as many grams share as there are characters.
+    """
+    own = W.partitionBy("size", "ctx")
+    kinds = ("allow", "block")
+    totals = [x for k in kinds for x in (F.sum(k).over(own).alias(f"{k}_n"), F.count_if(F.col(k) > 0).over(own).alias(f"{k}_t"))]
+    wide = cut_lineage(counted.select("size", "ctx", "next", *kinds, *totals, F.count(F.lit(1)).over(own).alias("symbols")))
+    p = [((F.col(k) + 1.0) / (F.col(f"{k}_n") + F.col("symbols"))).alias(f"p_{k}") for k in kinds]
+    level = wide.filter("size = 0").select("size", "ctx", "next", *p)
+    out = [level]
+    for size in range(1, order + 1):
+        rows = wide.filter(F.col("size") == size).withColumn("short", F.right("ctx", F.lit(size - 1)))
+        below = level.select(F.col("ctx").alias("short"), "next", *[F.col(f"p_{k}").alias(f"q_{k}") for k in kinds])
+        p = [F.when(F.col(f"{k}_n") > 0, (F.col(k) + F.col(f"{k}_t") * F.col(f"q_{k}")) / (F.col(f"{k}_n") + F.col(f"{k}_t"))).otherwise(F.col(f"q_{k}")).alias(f"p_{k}") for k in kinds]
+        level = cut_lineage(rows.join(below, ["short", "next"]).select("size", "ctx", "next", *p))
+        out.append(level)
+    every = out[0]
+    for level in out[1:]:
+        every = every.unionByName(level)
+    return every.select("size", "ctx", "next", F.round((F.log("p_allow") - F.log("p_block")) * UNITS).cast("long").alias("d"))
+
+
+def judge_long(pages: DataFrame, rules: list[tuple[str, str]] = DEFAULT_RULES, id_col: str = "page_id", url_col: str = "url", order: int = ORDER) -> DataFrame:
+    """As ``judge``, by the model whose contexts and characters grow with the pages. An empty host and path scores 0."""
+    host, path = host_and_path(F.col(url_col))
+    rows = pages.select(F.col(id_col), F.col(url_col).alias("_url"), host.alias("host"), path.alias("path"))
+    rows = rows.withColumn("fit", rule_column(F.col("host"), F.col("path"), rules)).withColumn("text", F.concat("host", "path"))
+    # One url may reach its text in several ways (scheme, query); each labelled row counts by its own fold.
+    held = (F.crc32(F.col("_url").cast("binary")) % FOLDS == 0) & F.col("fit").isNotNull()
+    rows = rows.withColumn("held", held).drop("_url")
+    seen = lambda k, h: F.count_if((F.col("fit.verdict") == k) & (F.col("held") == h))
+    texts = cut_lineage(rows.groupBy("text").agg(seen("allow", False).alias("allow"), seen("block", False).alias("block"), seen("allow", True).alias("x"), seen("block", True).alias("y")).filter("text <> ''"))
+    both = texts.agg(F.coalesce(F.sum("allow"), F.lit(0)).alias("a"), F.coalesce(F.sum("block"), F.lit(0)).alias("b"))
+    known = both.select(((F.col("a") > 0) & (F.col("b") > 0)).cast("int")).scalar()
+    values = back_off(grams(texts, order), order)
+    places = texts.select("text", F.explode(F.sequence(F.lit(0), F.length("text"))).alias("i")).select("text", *top_gram(order))
+    # Whole numbers: the sums do not hang on the order of rows.
+    sums = places.join(values, ["size", "ctx", "next"]).groupBy("text").agg(F.sum("d").alias("d"))
+    scored = cut_lineage(sums.join(texts, "text").select("text", (F.col("d") * known / F.lit(float(UNITS)) / (F.length("text") + 1)).alias("score"), "x", "y"))
+    cases = scored.select("score", F.explode(F.array_repeat(F.lit("allow"), F.col("x").cast("int"))).alias("verdict")).unionByName(scored.select("score", F.explode(F.array_repeat(F.lit("block"), F.col("y").cast("int"))).alias("verdict")))
+    cut = threshold(cases).scalar()
+    out = rows.join(scored.select("text", "score"), "text", "left").withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("threshold", cut)
+    own = F.when(F.col("score") >= F.col("threshold"), "allow").otherwise("block")
+    return out.select(id_col, "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), own).alias("verdict"), "score", "threshold")
