@@ -153,11 +153,11 @@ def _relations(d: Dialect) -> dict[str, str]:
                 FROM (SELECT DISTINCT graph_id, dst AS node_id FROM edges WHERE type = 'belongs_to') k
                 JOIN supplier s ON k.node_id = 's' || s.s_suppkey
             ) n""",
+        # every part asks in one graph; the last parts have no later ones to choose from and choose themselves
         "graph_questions": """
-            SELECT n_nationkey AS graph_id, a.p_partkey * 25 + n_nationkey AS qid, 'Who moved the ' || a.p_name || ' for ' || a.p_brand AS question,
-              b.p_name || ' ' || b.p_partkey AS choice_a, c.p_name AS choice_b
-            FROM nation JOIN part a ON a.p_partkey % 10000 = n_nationkey * 7 JOIN part b ON b.p_partkey = a.p_partkey + 3
-              JOIN part c ON c.p_partkey = a.p_partkey + 5""",
+            SELECT a.p_partkey % 25 AS graph_id, a.p_partkey * 25 + a.p_partkey % 25 AS qid, 'Who moved the ' || a.p_name || ' for ' || a.p_brand AS question,
+              coalesce(b.p_name || ' ' || b.p_partkey, a.p_name || ' ' || a.p_partkey) AS choice_a, coalesce(c.p_name, a.p_name) AS choice_b
+            FROM part a LEFT JOIN part b ON b.p_partkey = a.p_partkey + 3 LEFT JOIN part c ON c.p_partkey = a.p_partkey + 5""",
         # benchmark items as questions over the chunks of one source
         "items": f"""
             SELECT item_id AS qid, 'src' || (item_id % 20) AS scope, text AS question,
