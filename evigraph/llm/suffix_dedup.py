@@ -14,11 +14,12 @@ share before anything is shuffled, and in each shuffle partition, dealt by gram
    earlier is settled: every window over it repeats.
 2. An anchor whose gram occurs with other surroundings too is open: its surroundings are fetched, and each
    of the windows over it is compared with those of all earlier ones, again through levels.
-3. Spans join their texts by id.
+3. Spans join their texts by id and text hash.
 
 Defined results: null texts count as empty; texts shorter than ``least`` lose nothing; a null id sorts
-before all others; equal rows (same id, same text) are one document and get equal results; spans of rows
-that share an id but not the text are united. Columns beyond id and text are ignored.
+before all others; equal rows (same id, same text) are one document and get equal results; rows that
+share an id (or have none) but not the text are documents of their own, in order of their text's hash.
+Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -61,10 +62,10 @@ def slide(x: np.ndarray, width: int, op) -> np.ndarray:
     return x
 
 
-def anchors(parts: list[tuple[int, bytes, int, int, int]], least: int) -> tuple[np.ndarray, ...]:
-    """Anchors of text parts (document, loaded bytes, place of the first, first and last place to report, text length as sixth).
+def anchors(parts: list[tuple], least: int) -> tuple[np.ndarray, ...]:
+    """Anchors of text parts ((id, text hash), loaded bytes, place of the first, first and last place to report, text length as sixth).
 
-    Returns the document, place, gram hash, surroundings hash, and the room before and after.
+    Returns the id, text hash, place, gram hash, surroundings hash, and the room before and after.
     """
     left = least - GRAM
     size = PAD + sum(len(p[1]) + PAD for p in parts)
@@ -89,17 +90,17 @@ def anchors(parts: list[tuple[int, bytes, int, int, int]], least: int) -> tuple[
     where = np.flatnonzero((high == g[: len(high)]) & own[: len(high)] & gram_ok[: len(high)])
     part = np.searchsorted(np.array(bounds), where, side="right") - 1
     place = where + shift[part]
-    doc = np.array([p[0] for p in parts], np.int64)[part]
+    doc, row = np.array([p[0] for p in parts], np.int64).reshape(-1, 2)[part].T
     n = np.array([p[5] for p in parts], np.int64)[part]
     before, after = np.minimum(place, left), np.minimum(n - place, least)
     around = [w[where - left + 8 * i] for i in range((left + least) // 8)]
     tail = (left + least) % 8
     if tail:
         around.append(w[where + least - 8])
-    return doc, place, g[where], chain([*around, (before * ROOM + after).astype(np.uint64)]), before, after
+    return doc, row, place, g[where], chain([*around, (before * ROOM + after).astype(np.uint64)]), before, after
 
 
-def text_parts(rows: Iterator[tuple[int, bytes]], least: int) -> Iterator[list[tuple]]:
+def text_parts(rows: Iterator[tuple[tuple[int, int], bytes]], least: int) -> Iterator[list[tuple]]:
     """Texts in lots of about ``BLOCK`` bytes; longer ones are cut into parts that overlap by ``HALO`` bytes each way."""
     lot, held = [], 0
     for doc, raw in rows:
@@ -130,13 +131,13 @@ def united(start: np.ndarray, end: np.ndarray, new: np.ndarray) -> tuple[np.ndar
     return start[first], np.maximum.reduceat(end, first) if len(first) else end[:0], first
 
 
-FOUND = "open boolean, doc long, a long, b long, gram long, key long, fresh boolean"
+FOUND = "open boolean, doc long, row long, a long, b long, gram long, key long, fresh boolean"
 
 
-def _frame(doc, a, b, gram, key, fresh, open_=None) -> pa.RecordBatch:
+def _frame(doc, row, a, b, gram, key, fresh, open_=None) -> pa.RecordBatch:
     n = len(doc)
     flags = np.zeros(n, bool) if open_ is None else open_
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (flags, doc, a, b, gram, key, fresh)], ["open", "doc", "a", "b", "gram", "key", "fresh"])
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in (flags, doc, row, a, b, gram, key, fresh)], ["open", "doc", "row", "a", "b", "gram", "key", "fresh"])
 
 
 def _index_texts(least: int):
@@ -146,14 +147,13 @@ def _index_texts(least: int):
         def rows():
             last = None
             for batch in batches:
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    row = (doc, text.as_py().encode("utf-8", "surrogatepass"))
-                    if row != last:
-                        yield row
-                    last = row
+                for doc, row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                    if (doc, row) != last:
+                        yield (doc, row), text.as_py().encode("utf-8", "surrogatepass")
+                    last = (doc, row)
 
         for lot in text_parts(rows(), least):
-            doc, place, gram, key, before, after = anchors(lot, least)
+            doc, row, place, gram, key, before, after = anchors(lot, least)
             seen = levels.find(key)
             _, first = np.unique(key, return_index=True)
             again = np.ones(len(key), bool)
@@ -161,14 +161,14 @@ def _index_texts(least: int):
             again |= seen
             fresh = np.flatnonzero(~again)
             levels.add(np.sort(key[fresh]))
-            yield _frame(doc[fresh], place[fresh], (before * ROOM + after)[fresh], signed(gram[fresh]), signed(key[fresh]), np.ones(len(fresh), bool))
+            yield _frame(doc[fresh], row[fresh], place[fresh], (before * ROOM + after)[fresh], signed(gram[fresh]), signed(key[fresh]), np.ones(len(fresh), bool))
             old = np.flatnonzero(again)
             if len(old):
                 new = np.ones(len(old), bool)
-                new[1:] = doc[old][1:] != doc[old][:-1]
+                new[1:] = (doc[old][1:] != doc[old][:-1]) | (row[old][1:] != row[old][:-1])
                 a, b, at = united((place - before)[old], (place + after)[old], new)
-                d = doc[old][at]
-                yield _frame(d, a, b, signed(mix(d.astype(np.uint64) + a.astype(np.uint64))), np.zeros(len(d), np.int64), np.zeros(len(d), bool))
+                d, t = doc[old][at], row[old][at]
+                yield _frame(d, t, a, b, signed(mix(d.astype(np.uint64) + t.astype(np.uint64) + a.astype(np.uint64))), np.zeros(len(d), np.int64), np.zeros(len(d), bool))
 
     return run
 
@@ -177,14 +177,14 @@ def _scan_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Anchors of some grams in order of (document, place): repeats become spans; grams with several surroundings come out open."""
     levels, last = Levels(), None
     for batch in batches:
-        doc, a, b, gram, key, fresh = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+        doc, row, a, b, gram, key, fresh = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 8))
         # The same place once more comes from an equal row in another task; it is no earlier one.
         same = np.zeros(len(doc), bool)
-        same[1:] = (doc[1:] == doc[:-1]) & (a[1:] == a[:-1]) & (key[1:] == key[:-1])
-        same[0] = (doc[0], a[0], key[0]) == last
-        last = (doc[-1], a[-1], key[-1])
+        same[1:] = (doc[1:] == doc[:-1]) & (row[1:] == row[:-1]) & (a[1:] == a[:-1]) & (key[1:] == key[:-1])
+        same[0] = (doc[0], row[0], a[0], key[0]) == last
+        last = (doc[-1], row[-1], a[-1], key[-1])
         if (same & fresh).any():
-            doc, a, b, gram, key, fresh = (x[~(same & fresh)] for x in (doc, a, b, gram, key, fresh))
+            doc, row, a, b, gram, key, fresh = (x[~(same & fresh)] for x in (doc, row, a, b, gram, key, fresh))
         spans = np.flatnonzero(~fresh)
         rest = np.flatnonzero(fresh)
         k = key[rest].view(np.uint64)
@@ -194,22 +194,22 @@ def _scan_levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = levels.find(k)
         new = rest[first & ~found]
         by = new[np.argsort(key[new].view(np.uint64), kind="stable")]
-        levels.add(key[by].view(np.uint64), gram[by], doc[by], a[by], b[by])
+        levels.add(key[by].view(np.uint64), gram[by], doc[by], row[by], a[by], b[by])
         old = rest[~(first & ~found)]
         a, b = a.copy(), b.copy()
         a[old], b[old] = a[old] - b[old] // ROOM, a[old] + b[old] % ROOM
         out = np.sort(np.concatenate([spans, old]))
-        yield _frame(doc[out], a[out], b[out], gram[out], key[out], np.zeros(len(out), bool))
+        yield _frame(doc[out], row[out], a[out], b[out], gram[out], key[out], np.zeros(len(out), bool))
     if levels.runs:
-        _, gram, doc, a, b = levels.merged()
-        order = np.lexsort((a, doc, gram))
+        _, gram, doc, row, a, b = levels.merged()
+        order = np.lexsort((a, row, doc, gram))
         g = gram[order]
         same = np.zeros(len(g) + 1, bool)
         same[1:-1] = g[1:] == g[:-1]
         several = order[same[:-1] | same[1:]]
         for i in range(0, len(several), 20_000):
             at = several[i : i + 20_000]
-            yield _frame(doc[at], a[at], b[at], gram[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.ones(len(at), bool))
+            yield _frame(doc[at], row[at], a[at], b[at], gram[at], np.zeros(len(at), np.int64), np.zeros(len(at), bool), np.ones(len(at), bool))
 
 
 def _windows(least: int):
@@ -222,13 +222,13 @@ def _windows(least: int):
         for batch in batches:
             for lo in range(0, batch.num_rows, 2_000):
                 part = batch.slice(lo, 2_000)
-                doc, a, b, place, gram = (part.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-                around = np.frombuffer(b"".join(part.column(5).to_pylist()), np.uint8).reshape(len(doc), left + least)
+                doc, text, a, b, place, gram = (part.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+                around = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint8).reshape(len(doc), left + least)
                 new = np.ones(len(doc), bool)
-                new[1:] = (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-                new[0] = (int(doc[0]), int(place[0])) != last
-                last = (int(doc[-1]), int(place[-1]))
-                doc, a, b, place, gram, around = doc[new], a[new], b[new], place[new], gram[new], around[new]
+                new[1:] = (doc[1:] != doc[:-1]) | (text[1:] != text[:-1]) | (place[1:] != place[:-1])
+                new[0] = (int(doc[0]), int(text[0]), int(place[0])) != last
+                last = (int(doc[-1]), int(text[-1]), int(place[-1]))
+                doc, text, a, b, place, gram, around = doc[new], text[new], a[new], b[new], place[new], gram[new], around[new]
                 if not len(doc):
                     continue
                 padded = np.zeros((len(doc), left + least + 8), np.uint8)
@@ -252,7 +252,7 @@ def _windows(least: int):
                 if hit.any():
                     row, begin = row[hit], begin[hit]
                     edge = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[edge]]), pa.array(begin[edge]), pa.array(np.maximum.reduceat(begin, edge) + least)], ["doc", "a", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.array(doc[row[edge]]), pa.array(text[row[edge]]), pa.array(begin[edge]), pa.array(np.maximum.reduceat(begin, edge) + least)], ["doc", "row", "a", "b"])
 
     return run
 
@@ -263,31 +263,30 @@ def _fetch(least: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+            for doc, row, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), batch.column(3)):
                 raw = text.as_py().encode("utf-8", "surrogatepass")
                 place, room, gram = (wanted.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
-                # Rows that share an id may be too short for a place of another one.
-                ok = np.flatnonzero(place + room % ROOM <= len(raw))
-                around = [(b"\0" * max(0, left - p) + raw[max(0, p - left) : p + least]).ljust(left + least, b"\0") for p in place[ok].tolist()]
-                columns = [np.full(len(ok), doc, np.int64), place[ok] - room[ok] // ROOM, place[ok] + room[ok] % ROOM, place[ok], gram[ok]]
-                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], ["doc", "a", "b", "place", "gram", "around"])
+                around = [(b"\0" * max(0, left - p) + raw[max(0, p - left) : p + least]).ljust(left + least, b"\0") for p in place.tolist()]
+                columns = [np.full(len(place), doc, np.int64), np.full(len(place), row, np.int64), place - room // ROOM, place + room % ROOM, place, gram]
+                yield pa.RecordBatch.from_arrays([*map(pa.array, columns), pa.array(around, pa.binary())], ["doc", "row", "a", "b", "place", "gram", "around"])
 
     return run
 
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (doc, a, b): bytes [a, b) of a text are covered by strings that also start earlier. Spans may overlap."""
+    """Rows (doc, row, a, b), row the hash of the text: bytes [a, b) of it are covered by strings that also start earlier. Spans may overlap."""
     texts = _texts(docs, id_col, text_col)
-    placed = texts.sortWithinPartitions("doc", "text").mapInArrow(_index_texts(least), FOUND)
-    found = cut_lineage(placed.repartition("gram").sortWithinPartitions("doc", "a", "key").mapInArrow(_scan_levels, FOUND))
-    wanted = found.filter("open").groupBy("doc").agg(F.collect_list(F.struct("a", "b", "gram")).alias("wanted"))
-    around = texts.join(wanted, "doc").select("doc", "text", "wanted").mapInArrow(_fetch(least), "doc long, a long, b long, place long, gram long, around binary")
-    more = around.repartition("gram").sortWithinPartitions("doc", "place").mapInArrow(_windows(least), "doc long, a long, b long")
-    return found.filter("NOT open").select("doc", "a", "b").unionByName(more)
+    placed = texts.sortWithinPartitions("doc", "row").mapInArrow(_index_texts(least), FOUND)
+    found = cut_lineage(placed.repartition("gram").sortWithinPartitions("doc", "row", "a", "key").mapInArrow(_scan_levels, FOUND))
+    wanted = found.filter("open").groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b", "gram")).alias("wanted"))
+    around = texts.join(wanted, ["doc", "row"]).select("doc", "row", "text", "wanted").mapInArrow(_fetch(least), "doc long, row long, a long, b long, place long, gram long, around binary")
+    more = around.repartition("gram").sortWithinPartitions("doc", "row", "place").mapInArrow(_windows(least), "doc long, row long, a long, b long")
+    return found.filter("NOT open").select("doc", "row", "a", "b").unionByName(more)
 
 
 def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), whole: bool = False) -> DataFrame:
@@ -297,8 +296,9 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     are valid UTF-8; the numbers do not change.
     """
     others = [f"k{i}" for i in range(len(keep))]
-    spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, others)])
+    spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -322,7 +322,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
             columns = [pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, *batch.columns[3:]], ["id", "n_bytes", "n_removed", "n_spans", "kept", *others])
 
-    joined = rows.join(spans, "doc", "left").select("id", "text", "spans", *others)
+    joined = rows.join(spans, ["doc", "row"], "left").select("id", "text", "spans", *others)
     kinds = [f"{n} {rows.schema[n].dataType.simpleString()}" for n in others]
     out = joined.mapInArrow(run, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary", *kinds]))
     return out.select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept", *[F.col(n).alias(c) for c, n in zip(keep, others)])
