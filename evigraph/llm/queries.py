@@ -30,13 +30,6 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
-@query("op1_url_filter_long")
-def op1_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import judge_long
-
-    return judge_long(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
-
-
 @query("op4_token_counts")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
