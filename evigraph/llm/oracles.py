@@ -40,6 +40,56 @@ SUFFIX_DEDUP = """WITH raw AS MATERIALIZED (SELECT doc_id, hex(encode(coalesce(t
     FROM raw r JOIN text USING (doc_id)"""
 
 
+WARC = """WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+      d AS (SELECT page_id, strlen(body) AS payload_bytes, sha1(body) AS code FROM p),
+      c AS (SELECT page_id, payload_bytes, translate(concat(BASE32), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest FROM d),
+      l AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest) AS last FROM c)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id IS NOT DISTINCT FROM last THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN page_id IS DISTINCT FROM last THEN last END AS refers_to FROM l""".replace(
+    "BASE32", ", ".join(f"lpad(to_base(('0x' || substr(code, {10 * i + 1}, 10))::BIGINT, 32), 8, '0')" for i in range(4))
+)
+
+_SHARE = "1 + (1000000000::HUGEINT * ({} + 5)) // {}".format
+DIVERGENCE = f"""WITH docs AS MATERIALIZED (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents),
+      words AS MATERIALIZED (SELECT row, lang, source, unnest(regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')) AS term FROM docs),
+      kept AS MATERIALIZED (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT row) >= 30),
+      n AS MATERIALIZED (SELECT lang, source, term, count(*) AS n FROM words JOIN kept USING (lang, term) GROUP BY ALL),
+      v AS (SELECT lang, count(*) AS v FROM kept GROUP BY 1),
+      grp AS MATERIALIZED (SELECT lang, source, coalesce(v, 0) AS v, coalesce(c, 0) + 5 * coalesce(v, 0) AS total FROM (SELECT DISTINCT lang, source FROM docs) g LEFT JOIN v USING (lang)
+        LEFT JOIN (SELECT lang, source, sum(n)::BIGINT AS c FROM n GROUP BY ALL) s USING (lang, source)),
+      lg AS (SELECT lang, (sum(total - 5 * v) + 5 * max(v))::BIGINT AS total FROM grp GROUP BY 1),
+      p AS MATERIALIZED (SELECT g.lang, g.source, k.term, coalesce(n.n, 0) AS n, {_SHARE('coalesce(n.n, 0)', 'g.total')} AS p FROM grp g JOIN kept k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+      q AS (SELECT a.lang, a.term, {_SHARE('a.n', 'l.total')} AS q FROM (SELECT lang, term, sum(n)::BIGINT AS n FROM n GROUP BY ALL) a JOIN lg l USING (lang)),
+      pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(f, 0)::BIGINT AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+        LEFT JOIN (SELECT x.lang, x.source AS s, y.source AS t, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) z
+          ON z.lang = a.lang AND z.s = a.source AND z.t = b.source),
+      term AS (SELECT p.lang, p.source, p.term AS item, (p.p - q.q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE p.n > 0 AND p.p > q.q)
+    SELECT lang, source, part, item, value, rank::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank
+      FROM (SELECT lang, source, 'pair' AS part, item, value FROM pair UNION ALL SELECT lang, source, 'term', item, value FROM term) u) r WHERE part = 'pair' OR rank <= 50"""
+
+
+def clusters_sql(rounds: int = 10, k: int = 8) -> str:
+    """Lloyd's rounds over whole numbers, each round as two relations of its own."""
+    places = range(1, 65)
+    apart = " + ".join(f"(v.q[{i}] - c.q[{i}]) * (v.q[{i}] - c.q[{i}])" for i in places)
+    mean = ", ".join(f"((sum(v.q[{i}]) - ((sum(v.q[{i}]) % count(*)) + count(*)) % count(*)) // count(*))::BIGINT" for i in places)
+
+    def near(r: int) -> str:
+        return f"""a{r} AS MATERIALIZED (SELECT row, arg_min(c.n, ({apart}, c.n)) AS cluster, min({apart}) AS distance FROM v CROSS JOIN c{r} c GROUP BY row)"""
+
+    steps = [near(0)]
+    for r in range(1, rounds + 1):
+        steps.append(f"""c{r} AS MATERIALIZED (SELECT c.n, coalesce(m.q, c.q) AS q FROM c{r - 1} c LEFT JOIN (SELECT cluster AS n, [{mean}] AS q FROM v JOIN a{r - 1} USING (row) GROUP BY 1) m USING (n))""")
+        steps.append(near(r))
+    return f"""WITH v AS MATERIALIZED (SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: floor(1024.0e0 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+        WHERE len(embedding) = 64 AND NOT coalesce(list_bool_or(list_transform(embedding, lambda x: x IS NULL OR NOT isfinite(x))), false)),
+      c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q) - 1 AS n, q FROM v ORDER BY sha256('3:' || coalesce(vec_id::VARCHAR, '')), q LIMIT {k}),
+      {', '.join(steps)},
+      s AS (SELECT cluster, sum(distance)::BIGINT AS t FROM a{rounds} GROUP BY 1)
+    SELECT vec_id, a.cluster::INT AS cluster, distance::BIGINT AS distance, s.t AS cluster_inertia, (SELECT sum(t)::BIGINT FROM s) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+    FROM v JOIN a{rounds} a USING (row) JOIN s USING (cluster) JOIN c{rounds} c ON c.n = a.cluster"""
+
+
 def url_filter_sql() -> str:
     """Rules, both Markov models, the calibrated threshold and the verdicts. Character codes as in ``url_filter.codes``."""
     fits = []

@@ -102,3 +102,30 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("piece_bpe_32k.model")
     return decoded_digest(sample_encodings(read(spark, sf_dir, "documents"), path), path, ["doc_id", "rank", "log_prob", "inclusion"])
+
+
+@query("op11_warc", oracles.WARC)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to an archive and read back; revisits take their size from the response they name."""
+    from .warc import round_trip
+
+    pages = read(spark, sf_dir, "pages")
+    back = round_trip(pages)
+    kind = pages.schema["page_id"].dataType
+    named = F.when(F.col("type") == "revisit", F.col("full_key")).cast(kind).alias("refers_to")
+    return back.select(F.col("page_key").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", F.col("type").alias("record_type"), named)
+
+
+@query("op12_source_divergence", oracles.DIVERGENCE)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .divergence import audit
+
+    return audit(read(spark, sf_dir, "documents"))
+
+
+@query("op13_simplex_clusters", oracles.clusters_sql())
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simplex_clusters import centroid_digest, cluster
+
+    rows = cluster(read(spark, sf_dir, "embeddings"))
+    return rows.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", centroid_digest(F.col("centroid")).alias("centroid_sha256"))

@@ -102,7 +102,7 @@ def test_round_trip_and_awkward_rows(spark, make_docs):
 
 def test_every_operator_is_registered():
     names = queries()
-    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)] == [1] * 10 and "pipeline" in names
+    assert [sum(n.startswith(f"op{i}_") for n in names) for i in range(1, 14)] == [1] * 13 and "pipeline" in names
     assert set(oracle_sql()) <= set(names)
 
 
