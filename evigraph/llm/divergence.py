@@ -1,12 +1,14 @@
 """Divergence of sources: how far the sources of a language differ in their terms, and in which.
 
 Chunk factorization. Texts are cut at ASCII white space, which no term holds. Chunks are counted per document
-and summed per task and per (lang, source); each globally distinct chunk is cut into its terms once; the terms
-are joined back to the counts. Occurrences are sums. The number of documents of a term lies between that of
-its most frequent chunk and the sum over its chunks; only where these do not decide are the documents
-themselves counted, each once however many of a term's chunks it holds. A partial count that could matter
-there (fewer than ``least`` documents) carries the documents' row numbers, so this needs no second look at
-the texts, and no list ever has ``least`` entries.
+and summed per task and (lang, source); each globally distinct chunk meets in one place, where it is cut into
+its terms once; the terms take over its counts. Occurrences are sums. The number of documents of a term lies
+between that of its most frequent chunk and the sum over its chunks; only where these do not decide are the
+documents themselves looked at again, each counted once however many of a term's chunks it holds. A bit table
+of fixed size tells tasks which chunks are worth a row there; what it lets through in vain a join drops.
+
+Counts move in packed rows: one row holds all chunks of a task that hash to one bucket, so a shuffled row is
+hundreds of counts.
 
 Results are exact: whole numbers throughout. Null lang, source and text count as empty. Rows are documents,
 whatever their ids; repeated rows count each. A group without terms takes part; a language without kept terms
@@ -15,9 +17,11 @@ has pairs of value 0. An empty table gives no rows. Columns beside text, lang an
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -26,86 +30,206 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evigraph.common import cut_lineage, top_k
 
-from .oracles import LOWER, UPPER
-
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: Terms within the bytes of a chunk in which A-Z are lower-cased; no byte of a longer character is below 80.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCALE = 1_000_000_000
-ENTRIES = 150_000  # (lang, source, chunk) counts that a task holds before it passes them on
+ENTRIES = 400_000  # (lang, source, chunk) counts that a task holds before it passes them on
+BITS = 26  # the table of chunks to look at again has 2^26 bits, 8 MB
 SOURCES = 256  # sources in one side of a comparison
 TERMS = 2048  # expected terms in one comparison
 
-PARTIAL = "lang string, source string, chunk string, n long, docs long, ids array<long>"
+PACKED = pa.schema([
+    ("bucket", pa.int32()), ("langs", pa.list_(pa.string())), ("sources", pa.list_(pa.string())),
+    ("chunks", pa.list_(pa.string())), ("groups", pa.list_(pa.int32())), ("n", pa.list_(pa.int64())), ("docs", pa.list_(pa.int64())),
+])
+
+
+def _inputs(docs: DataFrame) -> DataFrame:
+    empty = lambda c: F.coalesce(F.col(c), F.lit(""))
+    return docs.select(empty("lang").alias("lang"), empty("source").alias("source"), empty("text").cast("binary").alias("text"))
 
 
-def chunk_counts(docs: DataFrame, least: int) -> DataFrame:
-    """Partial counts per (lang, source, chunk): occurrences, documents, and these if fewer than ``least``.
+def _lists(cuts: np.ndarray, values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
-    Every group has a row with a null chunk, which counts its documents.
-    """
-    rows = docs.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in ("lang", "source")], F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("chunk", pa.string()), ("n", pa.int64()), ("docs", pa.int64()), ("ids", pa.list_(pa.int64()))])
 
-    def batch(groups: dict) -> pa.RecordBatch:
-        cols: list[list] = [[], [], [], [], [], []]
-        for (lang, source), (size, chunks) in groups.items():
-            k = len(chunks) + 1
-            cols[0] += [lang] * k
-            cols[1] += [source] * k
-            cols[2] += [None, *(c.decode() for c in chunks)]
-            cols[3] += [0, *(v[0] for v in chunks.values())]
-            cols[4] += [size, *(v[1] for v in chunks.values())]
-            cols[5] += [None, *(v[2] for v in chunks.values())]
-        return pa.record_batch([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+def _pack(groups: dict[tuple[str, str], tuple[Counter, Counter]], buckets: int) -> pa.RecordBatch:
+    """One row per bucket with the counts of its chunks and the groups they belong to."""
+    names = list(groups)
+    chunks = [c for n, _ in groups.values() for c in n]
+    group = np.repeat(np.arange(len(names), dtype=np.int32), [len(n) for n, _ in groups.values()])
+    n = np.fromiter((x for c, _ in groups.values() for x in c.values()), np.int64, len(chunks))
+    docs = np.fromiter((d[c] for m, d in groups.values() for c in m), np.int64, len(chunks))
+    bucket = np.fromiter(map(crc32, chunks), np.uint32, len(chunks)) % np.uint32(buckets)
+    order = np.argsort(bucket, kind="stable")
+    bucket, group = bucket[order], group[order]
+    here, starts = np.unique(bucket, return_index=True)
+    cuts = np.append(starts, len(order))
+    used, local = [], np.empty(len(order), np.int32)
+    for a, b in zip(cuts[:-1], cuts[1:]):
+        own, local[a:b] = np.unique(group[a:b], return_inverse=True)
+        used.append([names[g] for g in own])
+    columns = [
+        pa.array(here.astype(np.int32)), pa.array([[x for x, _ in u] for u in used], pa.list_(pa.string())), pa.array([[x for _, x in u] for u in used], pa.list_(pa.string())),
+        _lists(cuts, pa.array(chunks, pa.binary()).take(pa.array(order)).cast(pa.string())), _lists(cuts, pa.array(local)), _lists(cuts, pa.array(n[order])), _lists(cuts, pa.array(docs[order])),
+    ]
+    return pa.record_batch(columns, schema=PACKED)
+
+
+def chunk_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """Packed counts per (lang, source, chunk): occurrences and documents. The empty chunk stands for each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], list] = {}
+        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
         held = 0
         for b in batches:
-            for lang, source, text, row in zip(*(b.column(i).to_pylist() for i in range(4))):
-                group = groups.setdefault((lang, source), [0, {}])
-                group[0] += 1
-                chunks = group[1]
-                for chunk, n in Counter(text.split()).items():
-                    known = chunks.get(chunk)
-                    if known is None:
-                        chunks[chunk] = [n, 1, [row] if least > 1 else None]
-                        held += 1
-                    else:
-                        known[0] += n
-                        known[1] += 1
-                        if known[2] is not None:
-                            if known[1] < least:
-                                known[2].append(row)
-                            else:
-                                known[2] = None
+            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
+                n, seen = groups.setdefault((lang, source), (Counter(), Counter()))
+                before = len(n)
+                words = text.split()
+                words.append(b"")
+                n.update(words)
+                seen.update(set(words))
+                held += len(n) - before
                 if held > ENTRIES:
-                    yield batch(groups)
+                    yield _pack(groups, buckets)
                     groups, held = {}, 0
         if groups:
-            yield batch(groups)
+            yield _pack(groups, buckets)
+
+    kinds = {"int32": "int", "list<item: string>": "array<string>", "list<item: int32>": "array<int>", "list<item: int64>": "array<long>"}
+    return _inputs(docs).mapInArrow(count, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in PACKED))
+
+
+def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of the columns over each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], *(np.add.reduceat(c[order], starts) if len(key) else c for c in columns)
+
+
+TERM_ROWS = "lang string, source string, chunk string, term string, n long"
+
+
+def _terms_of_bucket(rows: list[dict]) -> pa.RecordBatch:
+    """All counts of the chunks of one bucket, handed on to their terms."""
+    at: dict[tuple[str, str], int] = {}
+    group = np.concatenate([np.array([at.setdefault(g, len(at)) for g in zip(r["langs"].as_py(), r["sources"].as_py())], np.int64)[r["groups"].values.to_numpy()] for r in rows])
+    n, docs = (np.concatenate([r[c].values.to_numpy() for r in rows]) for c in ("n", "docs"))
+    coded = pa.concat_arrays([r["chunks"].values for r in rows]).dictionary_encode()
+    chunk = coded.indices.to_numpy().astype(np.int64)
+    names = list(at)
+    langs = sorted({lang for lang, _ in names})
+    lang_of = np.array([langs.index(lang) for lang, _ in names], np.int64)
+    key, n, docs = _summed(chunk * len(names) + group, n, docs)
+    chunk, group = key // len(names), key % len(names)
+    wide, per_lang = _summed(chunk * len(langs) + lang_of[group], docs)
 
-    return rows.select("lang", "source", "text", "row").mapInArrow(count, PARTIAL)
+    owner, terms, times = [], [], []  # the terms of each distinct chunk, by chunk
+    for i, text in enumerate(coded.dictionary.cast(pa.binary()).to_pylist()):
+        found = TERM.findall(text.lower())
+        if len(found) > 1:
+            found = Counter(found)
+            owner += [i] * len(found)
+            terms += found
+            times += found.values()
+        elif found:
+            owner.append(i)
+            terms += found
+            times.append(1)
+    owner, times, terms = np.array(owner, np.int64), np.array(times, np.int64), pa.array(terms, pa.binary()).cast(pa.string())
+    many = np.bincount(owner, minlength=len(coded.dictionary))
+    first = np.cumsum(many) - many
 
+    def spread(chunk: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For rows of chunks: the row and the place of the term, for each of the chunk's terms."""
+        row = np.repeat(np.arange(len(chunk)), many[chunk])
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(many[chunk]) - many[chunk], many[chunk])
+        return row, first[chunk[row]] + inside
+
+    pick = lambda values, places: pa.array(values, pa.string()).take(pa.array(places))
+    none = lambda size: pa.nulls(size, pa.string())
+    row, place = spread(chunk)
+    parts = [[pick([x for x, _ in names], group[row]), pick([x for _, x in names], group[row]), none(len(row)), terms.take(pa.array(place)), pa.array(n[row] * times[place])]]
+    row, place = spread(wide // len(langs))
+    parts.append([pick(langs, wide[row] % len(langs)), none(len(row)), coded.dictionary.take(pa.array(wide[row] // len(langs))), terms.take(pa.array(place)), pa.array(per_lang[row])])
+    lone = [i for i, c in enumerate(coded.dictionary.to_pylist()) if c == ""]
+    here = group[np.isin(chunk, lone)]
+    parts.append([pick([x for x, _ in names], here), pick([x for _, x in names], here), none(len(here)), none(len(here)), pa.array(np.zeros(len(here), np.int64))])
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], [f.split()[0] for f in TERM_ROWS.split(", ")])
+
+
+def term_rows(packed: DataFrame, parts: int) -> DataFrame:
+    """Rows of three kinds: (lang, source, term, n) occurrences; (lang, chunk, term, n) documents that hold the chunk, without a
+    source; (lang, source) alone for each group."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row = {name: batch.column(name)[i] for name in batch.schema.names}
+                bucket = row["bucket"].as_py()
+                if now is not None and bucket != now:
+                    yield _terms_of_bucket(rows)
+                    rows = []
+                now = bucket
+                rows.append(row)
+        if rows:
+            yield _terms_of_bucket(rows)
+
+    return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(cut, TERM_ROWS)
+
+
+class _Marked(dict):
+    """Whether the table has the bit of a chunk; answers are kept, up to a bounded number."""
+
+    def __init__(self, table: np.ndarray):
+        super().__init__()
+        self.table = table
+
+    def __missing__(self, chunk: bytes) -> bool:
+        if len(self) >= ENTRIES:
+            self.clear()
+        place = crc32(chunk) >> (32 - BITS)
+        self[chunk] = hit = bool(self.table[place >> 3] >> (place & 7) & 1)
+        return hit
+
+
+def documents_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(lang, term, docs) of ``wanted`` (lang, chunk, term): documents that hold any of a term's chunks."""
+    place = F.shiftrightunsigned(F.crc32(F.col("chunk").cast("binary")), 32 - BITS)
+    words = wanted.select(F.shiftright(place, 5).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (place % 32).cast("int")).alias("bit"))
+    words = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # at most 2^BITS / 32 rows
+    table = np.zeros(1 << (BITS - 5), np.uint32)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(table.astype("<u4").view(np.uint8))
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marked = _Marked(shared.value)
+        for b in batches:
+            out: tuple[list, list, list] = ([], [], [])
+            for lang, text, row in zip(*(b.column(i).to_pylist() for i in range(3))):
+                hits = [w for w in set(text.split()) if marked[w]]
+                out[0].extend([lang] * len(hits))
+                out[1].extend(hits)
+                out[2].extend([row] * len(hits))
+            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(out[2], pa.int64())], ["lang", "chunk", "row"])
 
-def chunk_terms(partial: DataFrame) -> DataFrame:
-    """(chunk, term, k): the terms of each globally distinct chunk, cut once."""
-    chunks = partial.filter("chunk IS NOT NULL").select("chunk").distinct()
-    cut = F.regexp_extract_all(F.translate("chunk", UPPER, LOWER), F.lit(TERM), F.lit(0))
-    return chunks.select("chunk", F.explode(cut).alias("term")).groupBy("chunk", "term").agg(F.count(F.lit(1)).alias("k"))
+    rows = _inputs(docs).select("lang", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(find, "lang string, chunk string, row long")
+    held = rows.join(wanted, ["lang", "chunk"]).select("lang", "term", "row").distinct()
+    return held.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
 
 
-def kept_terms(partial: DataFrame, terms: DataFrame, least: int) -> DataFrame:
+def kept_terms(docs: DataFrame, rows: DataFrame, least: int) -> DataFrame:
     """(lang, term) of all terms in at least ``least`` documents of the language, each document counted once."""
-    per_chunk = partial.filter("chunk IS NOT NULL").groupBy("lang", "chunk").agg(F.sum("docs").alias("docs"))
-    bounds = per_chunk.join(terms.select("chunk", "term"), "chunk").groupBy("lang", "term").agg(F.max("docs").alias("lo"), F.sum("docs").alias("hi"))
+    chunks = rows.filter("source IS NULL")
+    bounds = chunks.groupBy("lang", "term").agg(F.max("n").alias("lo"), F.sum("n").alias("hi"))
     bounds = cut_lineage(bounds.filter(F.col("hi") >= least))
     open_terms = bounds.filter(F.col("lo") < least).select("lang", "term")
-    where = terms.select("chunk", "term").join(open_terms, "term").select("lang", "chunk", "term")
-    # every chunk of an open term has fewer than ``least`` documents, so each of its partial counts lists them
-    rows = partial.filter("ids IS NOT NULL").join(where, ["lang", "chunk"]).select("lang", "term", F.explode("ids").alias("row"))
-    counted = rows.distinct().groupBy("lang", "term").agg(F.count(F.lit(1)).alias("docs"))
-    return bounds.filter(F.col("lo") >= least).select("lang", "term").unionByName(counted.filter(F.col("docs") >= least).select("lang", "term"))
+    wanted = cut_lineage(chunks.join(open_terms, ["lang", "term"]).select("lang", "chunk", "term"))
+    counted = documents_with(docs, wanted).filter(F.col("docs") >= least)
+    return bounds.filter(F.col("lo") >= least).select("lang", "term").unionByName(counted.select("lang", "term"))
 
 
 def share(n: Column, total: Column) -> Column:
@@ -117,16 +241,15 @@ class Audit:
     """Tables of one run: ``groups`` (lang, source, n, v, total), ``langs`` (lang, n, v, total) and ``counts`` (lang, source, term, n)."""
 
     def __init__(self, docs: DataFrame, least: int = 30):
-        partial = cut_lineage(chunk_counts(docs, least))
-        terms = cut_lineage(chunk_terms(partial))
-        kept = cut_lineage(kept_terms(partial, terms, least))
-        sums = partial.filter("chunk IS NOT NULL").groupBy("lang", "source", "chunk").agg(F.sum("n").alias("n"))
-        found = sums.join(terms, "chunk").groupBy("lang", "source", "term").agg(F.sum(F.col("n") * F.col("k")).alias("n"))
-        self.counts = cut_lineage(found.join(kept, ["lang", "term"], "left_semi"))
+        parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        rows = cut_lineage(term_rows(chunk_counts(docs, 4 * parts), parts))
+        kept = cut_lineage(kept_terms(docs, rows, least))
+        found = rows.filter("source IS NOT NULL AND term IS NOT NULL").join(kept, ["lang", "term"], "left_semi")
+        self.counts = cut_lineage(found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n")))
         total = F.coalesce("n", F.lit(0)) + 5 * F.coalesce("v", F.lit(0))
         sizes = kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"))
         pick = [F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("v", F.lit(0)).alias("v"), total.alias("total")]
-        here = partial.select("lang", "source").distinct()
+        here = rows.filter("source IS NOT NULL AND term IS NULL").select("lang", "source").distinct()
         here = here.join(self.counts.groupBy("lang", "source").agg(F.sum("n").alias("n")), ["lang", "source"], "left").join(sizes, "lang", "left")
         self.groups = cut_lineage(here.select("lang", "source", *pick))
         langs = self.groups.groupBy("lang").agg(F.sum("n").alias("n"), F.max("v").alias("v"))
