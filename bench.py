@@ -1,4 +1,4 @@
-"""Time the headline queries and print one JSON line."""
+"""Time the headline queries; print one JSON line after each, the last of which holds all of them."""
 
 import json
 import os
@@ -22,13 +22,17 @@ def main() -> None:
     spark = build_session(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8)
     spark.sparkContext.setLogLevel("ERROR")
     QUERIES["accuracy"](spark, sf).collect()  # start the JVM's workers before timing
-    times = {}
+    times, failed = {}, {}
     for name in names:
         start = time.time()
-        QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.time() - start, 3)
-        print(f"{name} {times[name]}", file=sys.stderr)
-    print(json.dumps({"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf.rsplit("sf", 1)[-1]}))
+        try:
+            QUERIES[name](spark, sf).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.time() - start, 3)
+        except Exception as e:  # one query's failure leaves the others' figures
+            failed[name] = f"{type(e).__name__}: {str(e)[:200]}"
+        print(f"{name} {times.get(name, 'failed')}", file=sys.stderr)
+        line = {"metric": "total_seconds", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": sf.rsplit("sf", 1)[-1]}
+        print(json.dumps(line | ({"failed": failed} if failed else {})), flush=True)
 
 
 if __name__ == "__main__":

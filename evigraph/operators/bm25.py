@@ -37,27 +37,40 @@ class Index:
         return cls(*[spark.table(f"{prefix}_{name}") for name in ("postings", "terms", "stats")])
 
 
-def scope_stats(units: DataFrame) -> DataFrame:
-    return units.groupBy("scope").agg(F.count(F.lit(1)).alias("n"), F.avg(F.size(tokenize("text"))).alias("avgdl"))
+#: Term of the row that each unit adds to the postings' shuffle, so that length statistics need no second pass over the texts.
+UNIT_ROW = ""
 
 
 def build_index(units: DataFrame, vocabulary: DataFrame | None = None) -> Index:
     """Index of all units; with a (scope, term) ``vocabulary``, postings hold only those terms.
 
     The vocabulary filter runs before the shuffle, so scoring a batch of queries against raw
-    text moves only the query terms' occurrences.
+    text moves only the query terms' occurrences. Texts are tokenised once: postings, document
+    frequencies and statistics read the same exchange.
     """
     toks = units.select("scope", "unit", tokenize("text").alias("toks"))
-    rows = toks.select("scope", "unit", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
+    rows = toks.select("scope", "unit", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit(UNIT_ROW)), "toks")).alias("term"))
     if vocabulary is not None:
-        rows = rows.join(vocabulary, ["scope", "term"], "left_semi")
-    postings = rows.groupBy("scope", "term", "unit", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    stats = scope_stats(units)
+        marks = units.select("scope").distinct().withColumn("term", F.lit(UNIT_ROW))
+        rows = rows.join(vocabulary.select("scope", "term").unionByName(marks), ["scope", "term"], "left_semi")
+    counted = rows.groupBy("scope", "term", "unit", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    # a filter here would be pushed below the aggregate and part the exchanges
+    stats = counted.groupBy("scope").agg(F.sum(F.when(F.col("term") == UNIT_ROW, F.col("tf"))).alias("n"), F.avg(F.when(F.col("term") == UNIT_ROW, F.col("dl"))).alias("avgdl"))
     # uses tf so that both users of the postings share one exchange
-    df = postings.groupBy("scope", "term").agg(F.sum(F.least("tf", F.lit(1))).alias("df"))
+    df = counted.groupBy("scope", "term").agg(F.sum(F.least("tf", F.lit(1))).alias("df")).filter(F.col("df") > 0)
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    terms = df.join(stats.select("scope", "n"), "scope").select("scope", "term", "df", idf.alias("idf"))
-    return Index(postings, terms, stats)
+    terms = df.join(stats.select("scope", "n"), "scope").filter(F.col("term") != UNIT_ROW).select("scope", "term", "df", idf.alias("idf"))
+    return Index(counted.filter(F.col("term") != UNIT_ROW), terms, stats)
+
+
+def weighted(index: Index) -> DataFrame:
+    """Postings with what a query term adds to a unit's score: (scope, term, unit, weight)."""
+    rows = index.postings.join(index.terms.select("scope", "term", "idf"), ["scope", "term"]).join(index.stats.select("scope", "avgdl"), "scope")
+    return rows.select("scope", "term", "unit", saturated().alias("weight"))
+
+
+def text_vocabulary(queries: DataFrame) -> DataFrame:
+    return queries.select("scope", F.explode(F.array_distinct(tokenize("query"))).alias("term")).distinct()
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -86,8 +99,7 @@ def score(index: Index, queries: DataFrame, formula: Column | None = None) -> Da
 
 def score_text(units: DataFrame, queries: DataFrame, formula: Column | None = None) -> DataFrame:
     """Score raw units without a stored index."""
-    vocabulary = queries.select("scope", F.explode(F.array_distinct(tokenize("query"))).alias("term")).distinct()
-    return score(build_index(units, vocabulary), queries, formula)
+    return score(build_index(units, text_vocabulary(queries)), queries, formula)
 
 
 def ranked(scores: DataFrame, k: int, keys: list[str] | None = None, unit: str = "unit") -> DataFrame:

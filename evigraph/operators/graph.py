@@ -91,21 +91,29 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def name_mentions(nodes: DataFrame, texts: DataFrame, min_chars: int = 3) -> DataFrame:
     """Nodes whose name or alias occurs as whole words in a text of their graph.
 
-    Every token of a name must be a token of the text, so the join is on the one that fewest names of
-    the graph share.
+    A name from its first to its last letter or digit is a run of whole words with what stands between
+    them, so it equals a run of as many words of the text: an equi-join on runs of the lengths that the
+    graph's names have. Texts stay behind; only those that meet a name with signs around it, or a name
+    without letters and digits, are joined back for a look at the signs.
     """
     names = all_names(nodes, "graph_id", "node_id").select("graph_id", "node_id", norm_text("raw").alias("nm")).filter(F.length("nm") >= min_chars).distinct()
-    parts = names.withColumn("tok", F.explode(F.array_distinct(F.regexp_extract_all("nm", F.lit("[a-z0-9]+"), F.lit(0)))))
-    shared = parts.groupBy("graph_id", "tok").agg(F.count(F.lit(1)).alias("n"))
-    rarest = parts.join(shared, ["graph_id", "tok"]).groupBy("graph_id", "node_id", "nm").agg(F.min_by("tok", F.struct("n", -F.length("tok"), "tok")).alias("tok"))
+    core = F.regexp_replace("nm", "^[^a-z0-9]+|[^a-z0-9]+$", "")
+    names = names.withColumn("run", core).withColumn("words", F.size(F.regexp_extract_all("nm", F.lit("[a-z0-9]+"), F.lit(0))))
+    lengths = names.filter("words > 0").groupBy("graph_id").agg(F.collect_set("words").alias("lengths"))
     body = texts.select("graph_id", "qid", norm_text("text").alias("body"))
-    words = body.withColumn("tok", F.explode(F.array_distinct(F.regexp_extract_all("body", F.lit("[a-z0-9]+"), F.lit(0)))))
+    pieces = body.join(lengths, "graph_id").select("graph_id", "qid", "lengths", F.regexp_extract_all("body", F.lit("[a-z0-9]+|[^a-z0-9]+"), F.lit(0)).alias("p"))
+    first = F.when(F.get("p", F.lit(0)).rlike("^[a-z0-9]"), 1).otherwise(2)
+    span = lambda k: 2 * k - 1  # noqa: E731  # words and what stands between them
+    at = lambda k: F.when(F.size("p") - span(k) + 1 >= first, F.sequence(first, F.size("p") - span(k) + 1, F.lit(2))).otherwise(F.array().cast("array<int>"))
+    runs = F.flatten(F.transform("lengths", lambda k: F.transform(at(k), lambda i: F.array_join(F.slice("p", i, span(k)), ""))))
+    words = pieces.select("graph_id", "qid", F.explode(F.array_distinct(runs)).alias("run"))
+    hits = names.filter("words > 0").join(words, ["graph_id", "run"])
     exact = F.concat(F.lit(r"(?<![a-z0-9])\Q"), "nm", F.lit(r"\E(?![a-z0-9])"))
-    hits = rarest.join(words, ["graph_id", "tok"])
-    hits = hits.filter(F.rlike("body", exact)).select("graph_id", "qid", "node_id")
-    bare = names.filter(~F.col("nm").rlike("[a-z0-9]"))
+    signs = hits.filter("nm <> run").select("graph_id", "qid", "node_id", "nm").join(body, ["graph_id", "qid"]).filter(F.rlike("body", exact))
+    bare = names.filter("words = 0").select("graph_id", "node_id", "nm")
     odd = contained_pairs(bare, body, GID, "nm", "body").filter(F.rlike("body", exact))
-    return hits.unionByName(odd.select("graph_id", "qid", "node_id")).distinct()
+    found = [df.select("graph_id", "qid", "node_id") for df in (hits.filter("nm = run"), signs, odd)]
+    return found[0].unionByName(found[1]).unionByName(found[2]).distinct()
 
 
 def find_nodes(lookups: DataFrame, nodes: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from ..common import cut_lineage, top_k
 from ..functions import constants as K
 from ..functions.answers import clean_link
 from ..functions.text import norm_text
+from . import bm25, iterate, walk
 from .graph import adjacency
 
 NODE = ["graph_id", "node_id"]
@@ -167,6 +168,36 @@ def rank_seeds(asked: DataFrame, scores: DataFrame, mentions: DataFrame, nodes:
     return raw.join(total, ASK).select(*ASK, "node_id", (F.col("s") / F.col("t")).alias("seed")).unionByName(even)
 
 
+def graph_ranks(
+    nodes: DataFrame, edges: DataFrame, units: DataFrame, asks: DataFrame, mentions: DataFrame, alpha: float = K.RANK_ALPHA, iterations: int = K.RANK_ITERATIONS,
+    graph_rows: int = walk.GRAPH_ROWS, question: float = 0.45, option: float = 0.30,
+) -> DataFrame:
+    """Query-personalised rank of every node: (graph_id, qid, node_id, rank).
+
+    ``units`` (scope = graph, unit = node, text) and ``asks`` (scope, qid, label, query) give the text scores,
+    ``mentions`` the named nodes. Graphs that fit a task are walked in blocks; others as tables.
+    """
+    index = bm25.build_index(units, bm25.text_vocabulary(asks))
+    postings = cut_lineage(bm25.weighted(index).withColumnsRenamed({"scope": "graph_id", "unit": "node_id"}))
+    edges = edges.select("graph_id", "src", "dst", transition_weight().alias("weight"))
+    asked = asks.withColumnRenamed("scope", "graph_id")
+    sizes = cut_lineage(walk.fitting(nodes, edges, postings, graph_rows))
+    weight = F.when(F.col("label") == "Q", question).otherwise(option)
+    small = walk.question_ranks(sizes, nodes, edges, postings, asked, mentions, weight, alpha, iterations)
+    large = sizes.filter("NOT fits").select("graph_id")
+    if large.isEmpty():
+        return small
+    of = lambda df: df.join(large, "graph_id", "left_semi")
+    terms = bm25.query_terms(of(asked).withColumnRenamed("graph_id", "scope")).withColumnRenamed("scope", "graph_id")
+    scores = of(postings).join(terms, ["graph_id", "term"]).groupBy("graph_id", "qid", "label", "node_id").agg(F.sum("weight").alias("score"))
+    scores = cut_lineage(scores).withColumnRenamed("graph_id", "scope")
+    scores = bm25.normalized(scores).withColumnRenamed("scope", "graph_id")
+    seeds = rank_seeds(of(asked).select(*ASK).distinct(), scores, of(mentions), of(nodes), question, option)
+    inside = of(edges).join(nodes.select("graph_id", F.col("node_id").alias("src")), ["graph_id", "src"], "left_semi")
+    inside = inside.join(nodes.select("graph_id", F.col("node_id").alias("dst")), ["graph_id", "dst"], "left_semi")
+    return small.unionByName(iterate.personalized_rank(inside, seeds, ["graph_id"], alpha, iterations).select("graph_id", "qid", "node_id", "rank"))
+
+
 def edge_mass(weights: Column, default_confidence: float) -> Column:
     conf = F.coalesce("confidence", F.lit(default_confidence))
     return weights * conf * (F.col("src_rank") + F.col("dst_rank"))

@@ -484,18 +484,16 @@ def rank_rounds() -> str:
 
 
 def ranks(spark, sf):
-    scores = B.normalized(cut_lineage(node_scores(spark, sf))).withColumnsRenamed({"scope": "graph_id", "unit": "node_id"})
     q = relation(spark, sf, "graph_questions")
     nodes, edges = nodes_of(spark, sf), edges_of(spark, sf)
-    mentions = G.name_mentions(nodes, q.withColumn("text", F.concat_ws(" ", "question", "choice_a", "choice_b")))
-    seeds = R.rank_seeds(q.select("graph_id", "qid"), scores, mentions, nodes)
-    weighted = edges.withColumn("weight", R.transition_weight())
-    return I.personalized_rank(weighted, seeds, ["graph_id"], K.RANK_ALPHA, K.RANK_ITERATIONS)
+    mentions = cut_lineage(G.name_mentions(nodes, q.withColumn("text", F.concat_ws(" ", "question", "choice_a", "choice_b"))))
+    return R.graph_ranks(nodes, edges, node_doc_units(spark, sf), graph_asks(spark, sf), mentions)
 
 
 @query("ppr", check(GRAPH_INPUTS, f"WITH {RANKED_SQL}, {rank_rounds()} SELECT graph_id, qid, node_id, round(rank, 7) AS rank FROM r{K.RANK_ITERATIONS}"))
 def ppr(spark, sf):
-    return ranks(spark, sf).withColumn("rank", F.round("rank", 7))
+    # rounding by floor: a rank per node and question is too many for the decimal arithmetic behind round()
+    return ranks(spark, sf).withColumn("rank", F.floor(F.col("rank") * 1e7 + 0.5) / 1e7)
 
 
 # a graph per document: one node per line, an edge to the next line, evidence in the line's chunk
