@@ -20,6 +20,14 @@ def fold(key: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+def whole_id(df: DataFrame, name: str) -> Column:
+    """The id column as a long. Ids of other types are refused by name: these operators order ids as numbers."""
+    kind = df.schema[name].dataType.simpleString()
+    if kind not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise TypeError(f"column {name} must hold whole numbers, not {kind}")
+    return F.col(name).cast("long")
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Scramble 64-bit keys; a bijection."""
     x = x.astype(np.uint64, copy=True)

@@ -18,7 +18,8 @@ Memory: a task holds one tile and streams the queries past it. Defined results:
 empty, zero or hold null or non-finite components, and rows with a null id, take no part; vectors of
 another length than most are in no query's reach but of their own kind (they are searched apart); a
 query with fewer candidates than ``k`` gets all that were found. Rows that share an id are each a
-candidate. Columns beyond id and vector are ignored.
+candidate. Ids are whole numbers; others are refused by name.
+Columns beyond id and vector are ignored.
 """
 
 from __future__ import annotations

@@ -15,11 +15,14 @@ Equal sets are one class. In each list of a key, the members are first held agai
 components of those links then leave pairs of different components, which pass two exact bounds (length
 and place of the shared shingles; parity bitmaps, whose differing bits each need a differing shingle)
 before their whole sets are compared. Long lists are cut into tiles. Every pair is linked already,
-excluded by a bound, or compared: no link is lost, and none rests on a sketch.
+excluded by a bound, or compared over all its shingles: no link is lost, and none rests on a sketch.
+Shingles are compared by 64-bit hashes of their words' 64-bit hashes, so unequal ones are taken as equal with a
+chance of 2^-64 a pair.
 
 Defined results: null and empty texts, and those without words, have no shingles and link with nothing;
 texts of fewer words than a shingle are one shingle. Repeated rows repeat; rows that share an id count
-as linked; a null id keeps a null component. Columns beyond id and text are ignored.
+as linked; a null id keeps a null component. Ids are whole numbers; others are refused by name. Columns beyond
+id and text are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evigraph.common import cut_lineage
 
-from .common import chain, components, mix, signed
+from .common import chain, components, mix, signed, whole_id
 
 HEAVY = 100_000
 CHUNK = 2_000_000
@@ -46,59 +49,34 @@ SEEN = 300_000
 MEET = 4.0
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[32, *range(9, 14)]] = True
-SPAN = 1 << 18
 LOT = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_POWERS = [np.multiply.accumulate(np.r_[np.uint64(1), np.full(SPAN, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64))]
 
 
-def word_hashes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of every word of some bytes, without a step per word.
-
-    A word's polynomial value is the difference of two prefix sums, moved to place 0. Words longer than
-    ``SPAN`` bytes are hashed one by one.
-    """
-    edge = np.flatnonzero(np.diff(np.r_[True, _SPACE[raw], True].view(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    out = np.empty(len(start), np.uint64)
-    at = 0
-    while at < len(start):
-        lo = int(start[at])
-        to = int(np.searchsorted(end, lo + SPAN, side="right"))
-        if to == at:
-            out[at] = xxhash.xxh3_64_intdigest(raw[lo : int(end[at])].tobytes())
-            at += 1
-            continue
-        piece = raw[lo : int(end[to - 1])].astype(np.uint64) + np.uint64(1)
-        sums = np.r_[np.uint64(0), np.cumsum(piece * _POWERS[0][: len(piece)])]
-        a, b = start[at:to] - lo, end[at:to] - lo
-        out[at:to] = (sums[b] - sums[a]) * _POWERS[1][a] + (b - a).astype(np.uint64)
-        at = to
-    return mix(out), start
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    """64-bit hashes of words, each of its whole bytes."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
 
 
 def shingles(texts: list[str], words: int) -> list[np.ndarray]:
     """Distinct shingle hashes of each text, sorted. A-Z are lower-cased; words are cut at ASCII white space."""
-    raws = [t.encode("utf-8", "surrogatepass").lower() for t in texts]
     out: list[np.ndarray] = []
     at = 0
-    while at < len(raws):
-        to, held = at, 0
-        while to < len(raws) and (to == at or held + len(raws[to]) <= LOT):
-            held += len(raws[to])
-            to += 1
-        w, start = word_hashes(np.frombuffer(b"\n".join(raws[at:to]), np.uint8))
-        lengths = np.array([len(r) + 1 for r in raws[at:to]])
-        ends = np.searchsorted(start, np.cumsum(lengths)).tolist()
+    while at < len(texts):
+        held: list[bytes] = []
+        ends: list[int] = []
+        size = 0
+        while at < len(texts) and (not ends or size + len(texts[at]) <= LOT):
+            held += texts[at].encode("utf-8", "surrogatepass").lower().split()
+            ends.append(len(held))
+            size += len(texts[at])
+            at += 1
+        w = word_hashes(held)
         every = chain([w[i : len(w) - words + 1 + i] for i in range(words)]) if len(w) >= words else w[:0]
         for lo, hi in zip([0, *ends], ends):
             if hi - lo >= words:
                 out.append(np.unique(every[lo : hi - words + 1]))
             else:
                 out.append(chain([w[i : i + 1] for i in range(lo, hi)]) if hi > lo else w[:0])
-        at = to
     return out
 
 
@@ -375,7 +353,7 @@ def _differing(percent: int):
 
 def near_sets(docs: DataFrame, words: int = 5, percent: int = 80, tile: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, n_shingles, component_id for every row; ``percent`` is the least similarity in hundredths."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    texts = docs.select(whole_id(docs, id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = cut_lineage(texts.mapInArrow(_survey(words), "kind long, doc long, n long, h1 long, h2 long, bitmap binary, wide binary"))
     rows = found.filter("kind = 0").select("doc", "n", "h1", "h2")
     whole = found.filter("kind = 0 AND n > 0 AND doc IS NOT NULL")

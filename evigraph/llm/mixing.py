@@ -121,9 +121,9 @@ def fit_budget(lengths: np.ndarray, counts: np.ndarray, budget: int, dp_words: i
 
 def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: float = 1.5, limit: float = 2.0, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """Columns id, size, source_size, target, copies (how often the text is in the mix) and taken (words)."""
-    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+    key = F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), F.col(text_col))  # with the text: rows without id differ too
     rows = docs.select(
-        F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"),
+        F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.shiftrightunsigned(key, 8).alias("key"), F.pmod(key, F.lit(SLOTS)).cast("int").alias("slot"),
     )
     rows = cut_lineage(rows)
@@ -146,15 +146,21 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), budget: fl
     before = F.coalesce(F.sum("n").over(W.partitionBy("source", "size").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ends = slots.withColumn("before", before).alias("s").join(extra.alias("e"), same("s", "e")).select("s.source", "s.size", "s.slot", (F.col("extra") - F.col("before")).alias("quota"))
     place = F.row_number().over(W.partitionBy("source", "size", "slot").orderBy("key", "id"))
-    placed = rows.withColumn("place", place).alias("r").join(ends.alias("q"), same("r", "q") & (F.col("r.slot") == F.col("q.slot"))).select("r.id", "r.source", "r.size", (F.col("place") <= F.col("quota")).cast("int").alias("more"))
+    placed = rows.withColumn("place", place).alias("r").join(ends.alias("q"), same("r", "q") & (F.col("r.slot") == F.col("q.slot"))).select("r.id", "r.text_hash", "r.source", "r.size", (F.col("place") <= F.col("quota")).cast("int").alias("more"))
     joined = placed.alias("p").join(aims.alias("a"), F.col("p.source").eqNullSafe(F.col("a.source")))
     copies = whole + F.col("more")
-    return joined.select(F.col("id").alias(id_col), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return joined.select(F.col("id").alias(id_col), "text_hash", "p.source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
-    """The rows of ``docs``, each as often as the mix takes it; rows that share an id go by the one taken most."""
-    key = options.get("id_col", "doc_id")
-    plan = mix_plan(docs, **options).groupBy(F.col(key).alias("_id")).agg(F.max("copies").alias("_n")).filter("_n > 0")
-    rows = docs.join(plan, docs[key].eqNullSafe(plan["_id"]))
+    """The rows of ``docs``, each as often as the mix takes it.
+
+    Rows are told apart by id, text and source. Rows alike in these are taken equally often, their mean count
+    rounded.
+    """
+    id_col, text_col, source_col = (options.get(f"{c}_col", d) for c, d in (("id", "doc_id"), ("text", "text"), ("source", "source")))
+    plan = mix_plan(docs, **options)
+    plan = plan.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_text"), F.col("source").alias("_source")).agg(F.round(F.avg("copies")).cast("int").alias("_n")).filter("_n > 0")
+    text = F.xxhash64(docs[text_col])
+    rows = docs.join(plan, docs[id_col].eqNullSafe(F.col("_id")) & (text == F.col("_text")) & docs[source_col].cast("string").eqNullSafe(F.col("_source")))
     return rows.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*[docs[c] for c in docs.columns])

@@ -13,7 +13,8 @@ no pair is ever written. Equal vectors are one class with a size and are compare
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with
 a null id, link with nothing (no links, the id as component). Rows that share an id count each.
-Vectors of different length never link. Columns beyond id and vector are ignored.
+Vectors of different length never link. Ids are whole numbers; others are refused by name.
+Columns beyond id and vector are ignored.
 """
 
 from __future__ import annotations

@@ -146,6 +146,8 @@ def fit_rules(stats: np.ndarray, y: np.ndarray, names: list[str] = STATS, penalt
     cuts = [np.unique(np.quantile(stats[:, f], np.linspace(0.01, 0.99, 63))) for f in range(stats.shape[1])]
     binned = np.stack([np.searchsorted(c, stats[:, f], side="left") for f, c in enumerate(cuts)], 1).astype(np.uint8)
     found = tree_rules(binned, y)
+    if not found:  # no statistic tells the labels apart: the share of good ones is all there is
+        return RuleModel(float(np.log(y.mean() / (1 - y.mean()))))
     x = np.stack([np.logical_and.reduce([(binned[:, f] > cut) == above for f, above, cut in r]) for r in found], 1).astype(np.float64)
     held = np.arange(len(y)) % 5 == 0
     if len(set(y[~held])) < 2:
@@ -173,9 +175,10 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold_parts:
     """Rule model from the labels of all folds but ``held_fold``; ``sample`` bounds the rows that are read for it."""
     chosen = F.broadcast(training_rows(labels, label, fold_parts, held_fold, sample, id_col))  # at most `sample` rows of 16 bytes
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
-    rows = with_statistics(texts, ["id", "y"]).toPandas().sort_values(["id", "y", "stat_n_words", "stat_mean_word"])
-    order = np.argsort((rows["id"].to_numpy().astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")
-    rows = rows.iloc[order]
+    stats = with_statistics(texts, ["id", "y"])
+    # one row a label, however many rows share its id
+    one = stats.groupBy("id", "y").agg(F.min(F.struct(*[f"stat_{c}" for c in STATS])).alias("s")).select(F.xxhash64("id").alias("place"), "y", "s.*")
+    rows = one.toPandas().sort_values(["place", "y", *[f"stat_{c}" for c in STATS]])
     return fit_rules(rows[[f"stat_{s}" for s in STATS]].to_numpy(), rows["y"].to_numpy())
 
 

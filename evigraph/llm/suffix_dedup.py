@@ -19,7 +19,7 @@ share before anything is shuffled, and in each shuffle partition, dealt by gram
 Defined results: null texts count as empty; texts shorter than ``least`` lose nothing; a null id sorts
 before all others; equal rows (same id, same text) are one document and get equal results; rows that
 share an id (or have none) but not the text are documents of their own, in order of their text's hash.
-Columns beyond id and text are ignored.
+Ids are whole numbers; others are refused by name. Columns beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from evigraph.common import cut_lineage
 
-from .common import Levels, chain, mix, signed
+from .common import chain, Levels, mix, signed, whole_id
 
 GRAM = 32
 BLOCK = 1 << 18
@@ -275,7 +275,7 @@ def _fetch(least: int):
 
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
+    return docs.select(F.coalesce(whole_id(docs, id_col), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"))
 
 
 def repeated_spans(docs: DataFrame, least: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -298,7 +298,7 @@ def remove_repeats(docs: DataFrame, least: int = 100, id_col: str = "doc_id", te
     others = [f"k{i}" for i in range(len(keep))]
     spans = repeated_spans(docs, least, id_col, text_col).groupBy("doc", "row").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, others)])
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(whole_id(docs, id_col), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("row"), text.alias("text"), *[F.col(c).alias(n) for c, n in zip(keep, others)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

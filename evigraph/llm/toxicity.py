@@ -169,6 +169,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", fold_parts: in
     pick = lambda v: rows.filter(F.col("y") == v).orderBy(F.xxhash64("id"), "id").limit(sample)
     chosen = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * sample rows of 16 bytes
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(chosen, "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # one row a label, however many rows share its id
     got = texts.toPandas().sort_values(["id", "y", "text"])
     listed, y = got["text"].tolist(), got["y"].to_numpy(dtype=float)
     del got

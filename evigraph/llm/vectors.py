@@ -6,6 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .common import whole_id
+
 
 def is_valid(vec: Column) -> Column:
     """Not null, not empty, all components finite, not all zero."""
@@ -15,7 +17,7 @@ def is_valid(vec: Column) -> Column:
 
 def keyed(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """Columns id, vec, k1, k2 and ok; equal vectors share the 128-bit key (k1, k2)."""
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"))
+    rows = vectors.select(whole_id(vectors, id_col).alias("id"), F.col(vec_col).alias("vec"))
     return rows.select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(1), "vec").alias("k2"), (is_valid(F.col("vec")) & F.col("id").isNotNull()).alias("ok"))
 
 
