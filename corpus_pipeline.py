@@ -16,6 +16,8 @@ second stage keeps the one of smallest text, and rows without an id link with no
 
 from __future__ import annotations
 
+import functools
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -24,17 +26,37 @@ from evigraph.llm import jaccard_join, mixing, piece_sampler, quality_rules, suf
 from evigraph.llm.common import read
 
 
+#: Columns that stages read by name.
+OWN = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def _apart(stage):
+    """The stage with every other column under a plain name of its own, so that no name clashes inside it."""
+
+    @functools.wraps(stage)
+    def run_apart(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        inner = [c if c in OWN else f"extra_{i}" for i, c in enumerate(docs.columns)]
+        names = dict(zip(inner, docs.columns))
+        out = stage(spark, docs.toDF(*inner), sf_dir)
+        return out.toDF(*[names.get(c, c) for c in out.columns])
+
+    return run_apart
+
+
+@_apart
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = quality_rules.fit(docs, read(spark, sf_dir, "labels"))
     return quality_rules.score(docs, model, docs.columns, names=("_score", "_good")).filter("_good = 1").select(*docs.columns)
 
 
+@_apart
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     kept = jaccard_join.near_sets(docs).filter("doc_id = component_id").select("doc_id").distinct()
     named = first_per_key(docs.join(kept, "doc_id", "left_semi"), ["doc_id"], ["text"])
     return named.select(*docs.columns).unionByName(docs.filter("doc_id IS NULL"))
 
 
+@_apart
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text", "n_chars"))
     rows = suffix_dedup.remove_repeats(docs, keep=others, whole=True)
@@ -42,10 +64,12 @@ def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(*docs.columns)
 
 
+@_apart
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mixed(docs)
 
 
+@_apart
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return piece_sampler.sample_encodings(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
