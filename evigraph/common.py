@@ -48,16 +48,19 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
+_own_dirs: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: ``spark.checkpoint.dir``, or a temp folder in local mode."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``, or one temp folder a process in local mode."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-    base = tempfile.mkdtemp(prefix="evigraph-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not _own_dirs:
+        _own_dirs.append(tempfile.mkdtemp(prefix="evigraph-"))
+    return _own_dirs[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -10,3 +10,19 @@ def test_every_part_asks(spark):
     assert {r["qid"] // 25 for r in rows} == parts and len(rows) == len(parts) == len({r["qid"] for r in rows})
     assert {r["graph_id"] for r in rows} == {p % 25 for p in parts}
     assert all(r["question"] and r["choice_a"] and r["choice_b"] for r in rows)
+
+
+def test_scratch_folder_without_a_setting(monkeypatch):
+    """Local mode without spark.checkpoint.dir: one folder of its own; a cluster must name one."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from evigraph import common
+
+    monkeypatch.setattr(common, "_own_dirs", [])
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
+    first = common.shared_dir(session("local[4]"))
+    assert first and common.shared_dir(session("local")) == first
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        common.shared_dir(session("spark://host:7077"))
