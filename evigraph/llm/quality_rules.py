@@ -17,6 +17,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from operator import eq
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -177,8 +178,11 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", fold_parts:
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(chosen, "id")
     stats = with_statistics(texts, ["id", "y"])
     # one row a label, however many rows share its id
-    one = stats.groupBy("id", "y").agg(F.min(F.struct(*[f"stat_{c}" for c in STATS])).alias("s")).select(F.xxhash64("id").alias("place"), "y", "s.*")
-    rows = one.toPandas().sort_values(["place", "y", *[f"stat_{c}" for c in STATS]])
+    one = stats.groupBy("id", "y").agg(F.min(F.struct(*[f"stat_{c}" for c in STATS])).alias("s")).select("id", "y", "s.*")
+    rows = one.toPandas().sort_values(["id", "y"])
+    ids = rows["id"].to_numpy()
+    numbers = ids.astype(np.uint64) if ids.dtype.kind in "iu" else np.array([crc32(str(i).encode()) for i in ids], np.uint64)
+    rows = rows.iloc[np.argsort((numbers * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20), kind="stable")]
     return fit_rules(rows[[f"stat_{s}" for s in STATS]].to_numpy(), rows["y"].to_numpy())
 
 
