@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructField, StructType, BooleanType
 
-from ..common import first_per_key, prefix_scan
+from ..common import first_per_key, prefix_scan, top_k
 from ..functions.text import norm_text
 
 
@@ -178,6 +178,27 @@ def locate_nearest(rows: DataFrame, text: str, span: str, near: str | None = Non
     return out.withColumn("at", F.coalesce(pick, F.lit(-1))).drop("_o")
 
 
+def locate_quotes(quotes: DataFrame, chunks: DataFrame, keys: list[str], ids: list[str], limit: int = 32) -> DataFrame:
+    """Offset of each quote in the text that the chunks cut up: (keys, ids, pos, length); quotes not found are left out.
+
+    ``quotes``: (keys, ids, quote, near); ``chunks``: (keys, chunk_idx, start, end, text). Quotes meet chunks by the block
+    grams of their normalised text, so no quote carries the whole text. Of the first ``limit`` occurrences the one closest
+    to ``near`` (a share of the text; null: the first) counts. A quote no longer than the overlap of chunks lies whole in one
+    of them wherever it stands.
+    """
+    asked = quotes.select(*keys, *ids, "quote", "near", norm_text("quote").alias("nq")).filter("nq <> ''")
+    parts = chunks.select(*keys, "chunk_idx", norm_text("text").alias("nt"))
+    met = contained_pairs(asked.select(*keys, *ids, "nq"), parts, keys, "nq", "nt").select(*keys, *ids, "chunk_idx")
+    rows = met.join(asked.drop("nq"), [*keys, *ids]).join(chunks.select(*keys, "chunk_idx", "start", "text"), [*keys, "chunk_idx"])
+    here = F.explode(occurrences(F.col("text"), F.col("quote"), limit)).alias("at")
+    places = rows.select(*keys, *ids, "near", F.length("quote").alias("length"), "start", here).withColumn("pos", F.col("start") + F.col("at")).drop("start", "at")
+    size = chunks.groupBy(*keys).agg(F.max("end").alias("_n"))
+    first = top_k(places.distinct(), [*keys, *ids], [F.col("pos")], limit).join(size, keys)
+    expected = F.greatest(F.lit(0), F.least(F.col("_n") - 1, (F.col("near") * F.col("_n")).cast("int")))
+    apart = F.when(F.col("near").isNull(), F.lit(0)).otherwise(F.abs(F.col("pos") - expected))
+    return first.groupBy(*keys, *ids).agg(F.min(F.struct(apart.alias("d"), "pos", "length")).alias("b")).select(*keys, *ids, "b.pos", "b.length")
+
+
 # -- evidence repair on misses ------------------------------------------------------
 REPAIR = StructType([StructField("grounded", StringType()), StructField("repaired", BooleanType())])
 

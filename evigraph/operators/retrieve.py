@@ -211,6 +211,14 @@ def chunk_mass(edge_rows: DataFrame, node_rows: DataFrame | None, keys: list[str
     return rows.groupBy(*keys, "chunk_idx").agg(F.sum("mass").alias("mass"))
 
 
+def passage_scores(lexical: DataFrame, mass: DataFrame, keys: list[str], text: float = 0.48, graph: float = 0.52) -> DataFrame:
+    """Blend of text score and graph mass over its question's largest: (keys, chunk_idx, lexical, graph, score)."""
+    most = mass.groupBy(*keys).agg(F.max("mass").alias("most")).filter("most > 0")
+    share = mass.join(most, keys).select(*keys, "chunk_idx", (F.col("mass") / F.col("most")).alias("graph"))
+    both = lexical.select(*keys, "chunk_idx", F.col("score").alias("lexical")).join(share, [*keys, "chunk_idx"], "full").na.fill(0.0, ["lexical", "graph"])
+    return both.withColumn("score", text * F.col("lexical") + graph * F.col("graph"))
+
+
 def link_overlay(edge_rows: DataFrame, selected: DataFrame, keys: list[str], cap: int = 6) -> DataFrame:
     """Heaviest high-value edges inside the selected chunks, each edge once."""
     rows = edge_rows.filter(F.col("type").isin(K.HIGH_VALUE_RELATIONS) & (norm_text("src_name") != norm_text("dst_name")) & (F.trim("src_name") != "") & (F.trim("dst_name") != ""))

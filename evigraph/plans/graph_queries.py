@@ -101,9 +101,9 @@ def with_ghosts(spark, sf):
 
 @query(
     "dangling_edges",
-    check("nodes edges", f"""WITH {ALL_EDGES} SELECT graph_id, edge_id, src, dst FROM all_edges e WHERE
-      NOT EXISTS (SELECT 1 FROM nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.src) OR
-      NOT EXISTS (SELECT 1 FROM nodes s WHERE s.graph_id = e.graph_id AND s.node_id = e.dst)"""),
+    check("nodes edges", f"""WITH {ALL_EDGES}, n AS (SELECT DISTINCT graph_id, node_id FROM nodes) SELECT e.graph_id, edge_id, src, dst FROM all_edges e
+      LEFT JOIN n s ON s.graph_id = e.graph_id AND s.node_id = e.src LEFT JOIN n t ON t.graph_id = e.graph_id AND t.node_id = e.dst
+      WHERE s.node_id IS NULL OR t.node_id IS NULL"""),
 )
 def dangling_edges(spark, sf):
     return G.dangling_edges(with_ghosts(spark, sf), nodes_of(spark, sf)).select("graph_id", "edge_id", "src", "dst")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import re
+
+from pyspark.sql import Window as W, functions as F
 
 from ..common import cut_lineage, prefix_scan, table, top_k
 from ..functions import constants as K
@@ -496,7 +498,121 @@ def ppr(spark, sf):
     return ranks(spark, sf).withColumn("rank", F.floor(F.col("rank") * 1e7 + 0.5) / 1e7)
 
 
-# a graph per document: one node per line, an edge to the next line, evidence in the line's chunk
+# a graph per document: one node per non-blank line, an edge to the next such line; evidence is the head of the line, located in the chunks.
+# Each document is asked one question with two options over its own chunks.
+CHECK_SQL["ln_nodes"] = f"""
+    SELECT o.doc_id AS graph_id, o.seq AS node_id, left(trim(o.text), 12) AS name, '' AS alias, left(trim(o.text), 60) AS evidence, o.text, o.start * 1.0e0 / d.n AS text_pos
+    FROM ({LINE_OFF}) o JOIN (SELECT doc_id, length(text) AS n FROM documents) d USING (doc_id) WHERE trim(o.text) <> ''"""
+CHECK_SQL["ln_edges"] = f"""
+    SELECT graph_id, node_id AS edge, node_id AS src, dst, CASE node_id % 12 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(K.EDGE_TYPES))} END AS type,
+      CASE WHEN node_id % 5 = 4 THEN NULL ELSE (50 + {H("'c' || graph_id || ':' || node_id")} % 50) / 100.0e0 END AS raw_confidence, coalesce(raw_confidence, 0.6e0) AS confidence,
+      name AS src_name, dst_name, evidence, (text_pos + dst_pos) / 2 AS near
+    FROM (SELECT *, lead(node_id) OVER w AS dst, lead(name) OVER w AS dst_name, lead(text_pos) OVER w AS dst_pos FROM ln_nodes WINDOW w AS (PARTITION BY graph_id ORDER BY node_id)) x WHERE dst IS NOT NULL"""
+CHECK_SQL["ln_questions"] = """
+    SELECT doc_id AS graph_id, doc_id AS qid, substr(text, cast(1 + length(text) // 2 AS BIGINT), 200) AS question, substr(text, 1, 80) AS choice_a, substr(text, cast(1 + 3 * length(text) // 4 AS BIGINT), 80) AS choice_b FROM documents"""
+CHECK_SQL["ln_docs"] = "SELECT graph_id AS scope, node_id AS unit, text FROM ln_nodes"
+CHECK_SQL["ln_asks"] = CHECK_SQL["graph_asks"].replace("graph_questions", "ln_questions")
+CHECK_SQL["ln_quotes"] = "SELECT graph_id, 'node' AS kind, node_id AS item, evidence AS quote, text_pos AS near FROM ln_nodes UNION ALL SELECT graph_id, 'edge', edge, evidence, near FROM ln_edges"
+# occurrences chunk by chunk; the closest to the expected place of the first 32
+CHECK_SQL["ln_at"] = f"""
+    SELECT graph_id, kind, item, size, arg_min(pos, (abs(pos - greatest(0, least(n - 1, cast(trunc(near * n) AS BIGINT)))), pos)) AS pos FROM (
+      SELECT *, row_number() OVER (PARTITION BY graph_id, kind, item ORDER BY pos) AS rk FROM (
+        SELECT DISTINCT graph_id, kind, item, near, n, length(quote) AS size, start + list_sum(list_transform(pieces[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS pos FROM (
+          SELECT *, unnest(range(1, least(len(hits), 32) + 1)) AS i FROM (
+            SELECT q.*, c.start, d.n, regexp_extract_all(lower(c.text), pat) AS hits, string_split_regex(lower(c.text), pat) AS pieces
+            FROM (SELECT *, replace(regexp_escape({NORM('quote')}), '\\ ', '\\s+') AS pat FROM ln_quotes) q JOIN chunks c ON c.doc_id = q.graph_id AND regexp_matches(lower(c.text), pat)
+              JOIN (SELECT doc_id, max("end") AS n FROM chunks GROUP BY 1) d ON d.doc_id = q.graph_id) a) b) c) e WHERE rk <= 32 GROUP BY ALL"""
+CHECK_SQL["ln_chunks"] = """
+    SELECT graph_id, kind, item, k AS chunk_idx FROM (SELECT a.*, max(c.chunk_idx) AS k FROM ln_at a JOIN chunks c ON c.doc_id = a.graph_id AND c.start <= a.pos GROUP BY ALL) h
+    UNION ALL SELECT h.graph_id, kind, item, k + 1 FROM (SELECT a.*, max(c.chunk_idx) AS k FROM ln_at a JOIN chunks c ON c.doc_id = a.graph_id AND c.start <= a.pos GROUP BY ALL) h
+      JOIN chunks c ON c.doc_id = h.graph_id AND c.chunk_idx = h.k + 1 WHERE c.start <= h.pos + h.size"""
+NEEDS |= {
+    "ln_nodes": ["lines"], "ln_edges": ["ln_nodes"], "ln_docs": ["ln_nodes"], "ln_asks": ["ln_questions"], "ln_quotes": ["ln_nodes", "ln_edges"],
+    "ln_at": ["ln_quotes", "chunks"], "ln_chunks": ["ln_at"], "lo_units": ["chunks"],
+}
+_LINE_NAMES = {"nodes": "ln_nodes", "edges": "ln_edges", "graph_questions": "ln_questions", "node_docs": "ln_docs", "graph_asks": "ln_asks"}
+CHECK_SQL["lo_units"] = "SELECT doc_id AS scope, chunk_idx AS unit, text FROM chunks"
+LINE_RANKED = re.sub(r"\b(" + "|".join(_LINE_NAMES) + r")\b", lambda m: _LINE_NAMES[m.group()], RANKED_SQL)
+LINE_RANKS = f"""{LINE_RANKED}, {rank_rounds()}, lr AS MATERIALIZED (SELECT graph_id, node_id, rank FROM r{K.RANK_ITERATIONS}),
+  ler AS MATERIALIZED (SELECT e.graph_id AS doc_id, e.edge, e.type, e.raw_confidence AS confidence, src_name, dst_name, evidence, coalesce(a.rank, 0) AS src_rank, coalesce(b.rank, 0) AS dst_rank, c.chunk_idx FROM ln_edges e
+    JOIN ln_chunks c ON c.graph_id = e.graph_id AND c.kind = 'edge' AND c.item = e.edge LEFT JOIN lr a ON a.graph_id = e.graph_id AND a.node_id = e.src LEFT JOIN lr b ON b.graph_id = e.graph_id AND b.node_id = e.dst),
+  lnr AS MATERIALIZED (SELECT c.graph_id AS doc_id, c.chunk_idx, r.rank FROM ln_chunks c JOIN lr r ON r.graph_id = c.graph_id AND r.node_id = c.item WHERE c.kind = 'node')"""
+LINE_INPUTS = "ln_nodes ln_edges ln_questions ln_docs ln_asks ln_chunks chunks lo_units"
+_line_ranked: dict[tuple, tuple] = {}
+
+
+def line_graph(spark, sf):
+    """Nodes, edges and quotes of the documents' line graphs."""
+    size = docs(spark, sf).select("doc_id", F.length("text").alias("n"))
+    rows = S.line_spans(doc_text(spark, sf)).join(size, "doc_id")
+    head = lambda n: F.left(F.trim("text"), F.lit(n))
+    nodes = rows.select(F.col("doc_id").alias("graph_id"), F.col("idx").cast("long").alias("node_id"), head(12).alias("name"), F.lit("").alias("alias"), head(60).alias("evidence"), "text", (F.col("start") / F.col("n")).alias("text_pos"))
+    after = W.partitionBy("graph_id").orderBy("node_id")
+    nxt = lambda c: F.lead(c).over(after)
+    key = F.concat(F.lit("c"), "graph_id", F.lit(":"), "node_id")
+    conf = F.when(F.col("node_id") % 5 != 4, (50 + hash_mod(key, 50)) / 100)
+    edges = nodes.select(
+        "graph_id", F.col("node_id").alias("edge"), F.col("node_id").alias("src"), nxt("node_id").alias("dst"), F.get(F.array(*[F.lit(t) for t in K.EDGE_TYPES]), (F.col("node_id") % 12).cast("int")).alias("type"),
+        conf.alias("confidence"), F.col("name").alias("src_name"), nxt("name").alias("dst_name"), "evidence", ((F.col("text_pos") + nxt("text_pos")) / 2).alias("near"),
+    ).filter("dst IS NOT NULL")
+    return nodes, edges
+
+
+def line_asks(spark, sf):
+    part = lambda a, b, k: F.substring("text", F.floor(a * F.length("text") / b).cast("int") + 1, F.lit(k))
+    q = docs(spark, sf).select(F.col("doc_id").alias("graph_id"), F.col("doc_id").alias("qid"), part(1, 2, 200).alias("question"), F.substring("text", 1, 80).alias("choice_a"), part(3, 4, 80).alias("choice_b"))
+    return q, labelled(q, "graph_id", "AB")
+
+
+def line_passages(spark, sf):
+    """Edge rows and node rows of every document's question with real ranks, on the chunks that hold their evidence.
+
+    Written once per application: several queries read them.
+    """
+    at = (spark.sparkContext.applicationId, sf)
+    if at not in _line_ranked:
+        nodes, edges = map(cut_lineage, line_graph(spark, sf))
+        q, asks = line_asks(spark, sf)
+        mentions = cut_lineage(G.name_mentions(nodes, q.withColumn("text", F.concat_ws(" ", "question", "choice_a", "choice_b"))))
+        rank = cut_lineage(R.graph_ranks(nodes, edges, nodes.select(F.col("graph_id").alias("scope"), F.col("node_id").alias("unit"), "text"), asks, mentions))
+        quotes = nodes.select("graph_id", F.lit("node").alias("kind"), F.col("node_id").alias("item"), F.col("evidence").alias("quote"), F.col("text_pos").alias("near"))
+        quotes = quotes.unionByName(edges.select("graph_id", F.lit("edge").alias("kind"), F.col("edge").alias("item"), F.col("evidence").alias("quote"), "near"))
+        chunks = cut_lineage(S.chunk_fixed(doc_text(spark, sf)).withColumnRenamed("doc_id", "graph_id"))
+        points = J.locate_quotes(quotes, chunks, ["graph_id"], ["kind", "item"])
+        found = cut_lineage(J.evidence_chunks(cut_lineage(points), chunks.select("graph_id", "chunk_idx", "start", "end"), ["graph_id"], ["kind", "item"]))
+        by = lambda c, name: rank.select("graph_id", F.col("node_id").alias(c), F.col("rank").alias(name))
+        e = edges.join(found.filter("kind = 'edge'").select("graph_id", F.col("item").alias("edge"), "chunk_idx"), ["graph_id", "edge"])
+        e = e.join(by("src", "src_rank"), ["graph_id", "src"], "left").join(by("dst", "dst_rank"), ["graph_id", "dst"], "left").na.fill(0.0, ["src_rank", "dst_rank"])
+        n = found.filter("kind = 'node'").select("graph_id", F.col("item").alias("node_id"), "chunk_idx").join(rank, ["graph_id", "node_id"])
+        _line_ranked[at] = tuple(cut_lineage(x.withColumnRenamed("graph_id", "doc_id")) for x in (e, n))
+    return _line_ranked[at]
+
+
+def own_lexical(spark, sf, question, option):
+    """Best weighted text score of each document's chunks for its own question: (qid, unit, score)."""
+    units = S.chunk_fixed(doc_text(spark, sf)).select(F.col("doc_id").alias("scope"), F.col("chunk_idx").cast("long").alias("unit"), "text")
+    _, asks = line_asks(spark, sf)
+    scores = B.normalized(cut_lineage(B.score_text(units, asks)))
+    return R.combined_lexical(scores, ["qid"], question, option).withColumn("score", F.round("score", 9))
+
+
+LO_LEX = f"""{bm25_ctes('lo', 'lo_units', 'ln_asks')}, lon AS MATERIALIZED (SELECT qid, label, unit, score / max(score) OVER (PARTITION BY qid, label) AS s FROM lo_scores),
+  lop AS MATERIALIZED (SELECT qid, unit, round(max(s * CASE label WHEN 'Q' THEN 0.65e0 ELSE 0.55e0 END), 9) AS score FROM lon GROUP BY ALL),
+  lol AS MATERIALIZED (SELECT qid, unit, round(max(s * CASE label WHEN 'Q' THEN 0.55e0 ELSE 0.45e0 END), 9) AS score FROM lon GROUP BY ALL),
+  cand AS MATERIALIZED (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY score DESC, unit) AS pos FROM lop),
+  sel AS (SELECT DISTINCT qid, 0::BIGINT AS pos, []::BIGINT[] AS acc FROM cand
+    UNION ALL SELECT s.qid, c.pos, CASE WHEN len(acc) < 18 AND NOT coalesce(list_bool_or(list_transform(acc, lambda o: abs(o - c.unit) <= 1)), false) THEN list_append(acc, c.unit) ELSE acc END
+    FROM sel s JOIN cand c ON c.qid = s.qid AND c.pos = s.pos + 1),
+  picked AS MATERIALIZED (SELECT qid AS doc_id, unnest(acc) AS chunk_idx FROM (SELECT qid, arg_max(acc, pos) AS acc FROM sel GROUP BY qid) z)"""
+
+
+def picked_chunks(spark, sf):
+    """The question's passages: best text scores, no two adjacent."""
+    best = own_lexical(spark, sf, 0.65, 0.55)
+    return C.diverse(best, ["qid"], [F.desc("score"), F.col("unit")], 18).select(F.col("qid").alias("doc_id"), F.explode("picked").alias("chunk_idx"))
+
+
+# the same graphs for dossiers, whose links stand for answers of a model: their scores are drawn, not walked
 CHECK_SQL["line_edges"] = f"""
     SELECT a.doc_id, a.seq AS edge, {H("'r' || a.doc_id || ':' || a.seq")} % 1000 / 1000.0e0 AS src_rank, {H("'r' || b.doc_id || ':' || b.seq")} % 1000 / 1000.0e0 AS dst_rank,
       CASE a.seq % 12 {' '.join(f"WHEN {i} THEN '{t}'" for i, t in enumerate(K.EDGE_TYPES))} END AS type,
@@ -536,31 +652,54 @@ def mass_col(name: str):
     return R.edge_mass(R.relation_weight(hi, lo, mid), conf)
 
 
+PASSAGE = f"""{LINE_RANKS}, lm AS MATERIALIZED (SELECT doc_id, chunk_idx, sum(mass) AS mass FROM (SELECT doc_id, chunk_idx, {mass_sql('passage')} AS mass FROM ler UNION ALL SELECT doc_id, chunk_idx, rank FROM lnr) u GROUP BY ALL)"""
+
+
+def passage_mass(spark, sf):
+    edges, nodes = line_passages(spark, sf)
+    return R.chunk_mass(edges.withColumn("mass", mass_col("passage")), nodes, ["doc_id"])
+
+
 @query(
     "chunk_mass",
-    check("line_edges line_chunk", "SELECT weights, doc_id, chunk_idx, round(sum(mass), 6) AS mass FROM (" + " UNION ALL ".join(
-        f"SELECT '{n}' AS weights, doc_id, chunk_idx, {mass_sql(n)} AS mass FROM line_edges" for n in WEIGHT_SETS)
-        + f""" UNION ALL SELECT 'passage', doc_id, chunk_idx, {H("'r' || doc_id || ':' || seq")} % 1000 / 1000.0e0 FROM line_chunk) u GROUP BY ALL"""),
+    check(LINE_INPUTS, f"WITH {LINE_RANKS} SELECT weights, doc_id, chunk_idx, round(sum(mass), 6) AS mass FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS weights, doc_id, chunk_idx, {mass_sql(n)} AS mass FROM ler" for n in WEIGHT_SETS)
+        + " UNION ALL SELECT 'passage', doc_id, chunk_idx, rank FROM lnr) u GROUP BY ALL"),
 )
 def chunk_mass(spark, sf):
-    """Edge mass per chunk under three weight sets; the passage set adds the mass of nodes."""
-    edges = line_edges(spark, sf)
+    """Ranks carried onto the chunks that hold the evidence, edges under three weight sets; the passage set adds the mass of nodes."""
+    edges, nodes = line_passages(spark, sf)
     sets = F.inline(F.array(*[F.struct(F.lit(n).alias("weights"), mass_col(n).alias("mass")) for n in WEIGHT_SETS]))
-    nodes = line_chunks(spark, sf).select(F.lit("passage").alias("weights"), "doc_id", "chunk_idx", line_rank().alias("rank"))
+    nodes = nodes.select(F.lit("passage").alias("weights"), "doc_id", "chunk_idx", "rank")
     out = R.chunk_mass(edges.select("doc_id", "chunk_idx", sets), nodes, ["weights", "doc_id"])
     return out.withColumn("mass", F.round("mass", 6))
 
 
+@query(
+    "graph_passage",
+    check(LINE_INPUTS, f"""WITH RECURSIVE {LO_LEX}, {PASSAGE}, best AS (SELECT doc_id, max(mass) AS most FROM lm GROUP BY 1)
+    SELECT p.doc_id AS qid, p.chunk_idx, round(coalesce(l.score, 0), 6) AS lexical, round(coalesce(mass / most, 0), 6) AS graph, round(0.48e0 * coalesce(l.score, 0) + 0.52e0 * coalesce(mass / most, 0), 6) AS score
+    FROM picked p LEFT JOIN lol l ON l.qid = p.doc_id AND l.unit = p.chunk_idx LEFT JOIN lm m ON m.doc_id = p.doc_id AND m.chunk_idx = p.chunk_idx LEFT JOIN best b ON b.doc_id = p.doc_id AND most > 0"""),
+)
+def graph_passage(spark, sf):
+    """Passages of each document's question: picked by text, scored by the blend of text and walked graph mass."""
+    lexical = own_lexical(spark, sf, 0.55, 0.45).select(F.col("qid").alias("doc_id"), F.col("unit").alias("chunk_idx"), "score")
+    blend = R.passage_scores(lexical, passage_mass(spark, sf), ["doc_id"])
+    out = picked_chunks(spark, sf).join(blend, ["doc_id", "chunk_idx"], "left").na.fill(0.0, ["lexical", "graph", "score"])
+    return out.select(F.col("doc_id").alias("qid"), "chunk_idx", *[F.round(c, 6).alias(c) for c in ("lexical", "graph", "score")])
+
+
 @query(
     "link_overlay",
-    check("line_edges", f"""SELECT doc_id, edge, chunk_idx, type, rank, round(mass, 6) AS mass FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(mass, 9) DESC, edge DESC) AS rank FROM (
-      SELECT *, {mass_sql('passage')} AS mass FROM line_edges WHERE type IN ({quoted(K.HIGH_VALUE_RELATIONS)}) AND {NORM('src_name')} <> {NORM('dst_name')} AND trim(src_name) <> '' AND trim(dst_name) <> ''
-        AND chunk_idx % 2 = 0) e) r WHERE rank <= 6"""),
+    check(LINE_INPUTS, f"""WITH RECURSIVE {LO_LEX}, {LINE_RANKS}, inside AS (SELECT e.*, {mass_sql('passage')} AS mass FROM ler e SEMI JOIN picked p ON p.doc_id = e.doc_id AND p.chunk_idx = e.chunk_idx
+        WHERE type IN ({quoted(K.HIGH_VALUE_RELATIONS)}) AND {NORM('src_name')} <> {NORM('dst_name')} AND trim(src_name) <> '' AND trim(dst_name) <> ''),
+      once AS (SELECT doc_id, edge, type, mass, max(chunk_idx) AS chunk_idx FROM inside GROUP BY ALL)
+    SELECT doc_id, edge, chunk_idx, type, rank, round(mass, 6) AS mass FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(mass, 9) DESC, edge DESC) AS rank FROM once) r WHERE rank <= 6"""),
 )
 def link_overlay(spark, sf):
-    edges = line_edges(spark, sf).withColumn("mass", mass_col("passage"))
-    selected = S.chunk_fixed(doc_text(spark, sf)).select("doc_id", "chunk_idx").filter("chunk_idx % 2 = 0")
-    out = R.link_overlay(edges, selected, ["doc_id"])
+    """Heaviest links by walked ranks inside the passages picked for the question."""
+    edges, _ = line_passages(spark, sf)
+    out = R.link_overlay(edges.withColumn("mass", mass_col("passage")), picked_chunks(spark, sf), ["doc_id"])
     return out.select("doc_id", "edge", "chunk_idx", "type", "rank", F.round("mass", 6).alias("mass"))
 
 

@@ -5,6 +5,7 @@ import random
 from pyspark.sql import functions as F
 
 from evigraph.operators import ground as G
+from evigraph.operators import ground as G, retrieve as R, segment as S
 
 
 def sample(rng, n, length):
@@ -73,3 +74,21 @@ def test_evidence_next_chunk(spark):
     got = {tuple(r) for r in G.evidence_chunks(points, chunks, ["doc"], ["p"]).select("p", "chunk_idx").collect()}
     assert got == {(1, 0), (2, 0), (2, 1), (3, 2)}
     assert points.select(F.count("*")).first()[0] == 3
+
+
+def test_quotes_located_in_chunks(spark):
+    """The occurrence closest to the expected place, over chunk borders, whatever the white space and case."""
+    text = "same evidence" + " x" * 900 + " Same \n evidence" + " y" * 700 + " alpha\n\n\n beta\r\n gamma target phrase omega" + " ha ha ha"
+    docs = spark.createDataFrame([(1, text), (2, "nothing here"), (3, "")], "doc_id int, text string")
+    chunks = S.chunk_fixed(docs)
+    quotes = [(1, 0, "same   evidence", 0.95), (1, 1, "SAME evidence", None), (1, 2, "same evidence", 0.0), (1, 3, "target   phrase", 0.1), (1, 4, "absent", 0.5), (1, 5, " ", 0.5), (2, 6, "here", 0.0), (3, 7, "x", 0.0), (1, 8, "beta gamma", None)]
+    rows = spark.createDataFrame(quotes, "doc_id int, id int, quote string, near double")
+    got = {r.id: (r.pos, r.length) for r in G.locate_quotes(rows, chunks, ["doc_id"], ["id"]).collect()}
+    assert got == {0: (text.index("Same"), 15), 1: (0, 13), 2: (0, 13), 3: (text.index("target"), 15), 6: (8, 4), 8: (text.index("beta"), 10)}
+
+
+def test_passage_blend_over_the_largest_mass(spark):
+    lexical = spark.createDataFrame([(1, 0, 0.5), (1, 1, 1.0), (2, 0, 0.4)], "q int, chunk_idx int, score double")
+    mass = spark.createDataFrame([(1, 0, 3.0), (1, 2, 6.0), (2, 0, 0.0)], "q int, chunk_idx int, mass double")
+    got = {(r.q, r.chunk_idx): round(r.score, 9) for r in R.passage_scores(lexical, mass, ["q"]).collect()}
+    assert got == {(1, 0): 0.48 * 0.5 + 0.52 * 0.5, (1, 1): 0.48, (1, 2): 0.52, (2, 0): round(0.48 * 0.4, 9)}
