@@ -355,12 +355,11 @@ FUSE_IN = "items item_queries doc_units cent unit_vec"
 FUSE = f"""WITH asks AS (SELECT scope, qid, label, query FROM item_queries WHERE label = 'Q'), {bm25_ctes('db', 'doc_units', 'asks')},
   t AS (SELECT qid, unit, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) - 1 AS r FROM db_scores WHERE round(score, 9) > 0),
   d AS (SELECT i.qid, x.doc_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY round(list_dot_product(c.vector, v.vector), 9) DESC, x.doc_id) - 1 AS r
-    FROM items i JOIN cent c ON c.label = i.qid % 10 JOIN documents x ON x.source = i.scope JOIN unit_vec v ON v.vec_id = x.doc_id % (SELECT max(vec_id) + 1 FROM embeddings)),
-  g AS (SELECT i.qid, x.doc_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY {H("'mass' || x.doc_id")} % 100000 DESC, x.doc_id) - 1 AS r FROM items i JOIN documents x ON x.source = i.scope)"""
+    FROM items i JOIN cent c ON c.label = i.qid % 10 JOIN documents x ON x.source = i.scope JOIN unit_vec v ON v.vec_id = x.doc_id % (SELECT max(vec_id) + 1 FROM embeddings))"""
 
 
 def fusion_lists(spark, sf, caps):
-    """Ranked lists per question: text (BM25), dense (label direction) and graph (document mass), 0-based."""
+    """Ranked lists per question, 0-based: text (BM25) and dense (label direction)."""
     items = relation(spark, sf, "items")
     units = docs(spark, sf).select(F.col("source").alias("scope"), F.col("doc_id").alias("unit"), "text")
     asks = item_queries(spark, sf).filter("label = 'Q'")
@@ -372,11 +371,17 @@ def fusion_lists(spark, sf, caps):
     labels = label_queries(spark, sf)
     asked = items.withColumn("label", F.col("qid") % 10).join(labels, "label").select("qid", "scope", "vector")
     dense = D.dense_topk(vecs, asked, caps[1], scoped=True).select("qid", "unit", "rank")
-    mass = units.select("scope", "unit", hash_mod(key_of("mass", "unit"), 100000).alias("mass"))
-    heavy = top_k(mass, ["scope"], [F.desc("mass"), F.col("unit")], caps[2])
-    graph = items.select("qid", "scope").join(heavy, "scope").select("qid", "unit", "rank")
     named = lambda df, n: df.select("qid", "unit", F.lit(n).alias("list"), (F.col("rank") - 1).alias("rank0"))
-    return named(text, "text"), named(dense, "dense"), named(graph, "graph")
+    return named(text, "text"), named(dense, "dense")
+
+
+def graph_list(spark, sf, cap):
+    """Documents of the question's source by the heaviest of their chunks, masses from walked ranks."""
+    best = passage_mass(spark, sf).groupBy(F.col("doc_id").alias("unit")).agg(F.round(F.max("mass"), 6).alias("mass"))
+    owned = docs(spark, sf).select(F.col("source").alias("scope"), F.col("doc_id").alias("unit")).join(best, "unit", "left").na.fill(0.0, ["mass"])
+    heavy = top_k(owned, ["scope"], [F.desc("mass"), F.col("unit")], cap)
+    asked = relation(spark, sf, "items").select("qid", "scope")
+    return asked.join(heavy, "scope").select("qid", "unit", F.lit("graph").alias("list"), (F.col("rank") - 1).alias("rank0"))
 
 
 @query(
@@ -386,23 +391,11 @@ def fusion_lists(spark, sf, caps):
     SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 18"""),
 )
 def rrf_dense(spark, sf):
-    text, dense, _ = fusion_lists(spark, sf, (18, 80, 1))
+    text, dense = fusion_lists(spark, sf, (18, 80))
     out = R.fused(text.unionByName(dense), ["qid"], {"text": 1.0, "dense": 1.0}, 60)
     return B.ranked(out, 18, ["qid"]).select("qid", "unit", "rank", F.round("score", 6).alias("score"))
 
 
-@query(
-    "rrf_three",
-    check(FUSE_IN, f"""{FUSE}, f AS (SELECT qid, unit, 1.0e0 / (40 + coalesce(t.r, 1000000)) + 1.2e0 / (40 + coalesce(d.r, 1000000)) + 1.5e0 / (40 + coalesce(g.r, 1000000)) AS score
-      FROM (SELECT * FROM t WHERE r < 36) t FULL JOIN (SELECT * FROM d WHERE r < 80) d USING (qid, unit) FULL JOIN (SELECT * FROM g WHERE r < 40) g USING (qid, unit))
-    SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 10"""),
-)
-def rrf_three(spark, sf):
-    a, b, c = fusion_lists(spark, sf, (36, 80, 40))
-    out = R.fused(a.unionByName(b).unionByName(c), ["qid"], {"text": 1.0, "dense": 1.2, "graph": 1.5}, 40)
-    return B.ranked(out, 10, ["qid"]).select("qid", "unit", "rank", F.round("score", 6).alias("score"))
-
-
 LEX = """lex AS (SELECT qid, unit, round(max(s * CASE label WHEN 'Q' THEN 0.65e0 ELSE 0.55e0 END), 9) AS score FROM (
     SELECT qid, label, unit, score / max(score) OVER (PARTITION BY qid, label) AS s FROM item_scores) n GROUP BY ALL)"""
 
@@ -703,6 +696,22 @@ def link_overlay(spark, sf):
     return out.select("doc_id", "edge", "chunk_idx", "type", "rank", F.round("mass", 6).alias("mass"))
 
 
+FUSE_G = f"""{FUSE}, {PASSAGE}, dm AS (SELECT doc_id, round(max(mass), 6) AS mass FROM lm GROUP BY 1),
+  g AS (SELECT i.qid, x.doc_id AS unit, row_number() OVER (PARTITION BY i.qid ORDER BY coalesce(dm.mass, 0) DESC, x.doc_id) - 1 AS r FROM items i JOIN documents x ON x.source = i.scope LEFT JOIN dm ON dm.doc_id = x.doc_id)"""
+
+
+@query(
+    "rrf_three",
+    check(FUSE_IN + " " + LINE_INPUTS, f"""{FUSE_G}, f AS (SELECT qid, unit, 1.0e0 / (40 + coalesce(t.r, 1000000)) + 1.2e0 / (40 + coalesce(d.r, 1000000)) + 1.5e0 / (40 + coalesce(g.r, 1000000)) AS score
+      FROM (SELECT * FROM t WHERE r < 36) t FULL JOIN (SELECT * FROM d WHERE r < 80) d USING (qid, unit) FULL JOIN (SELECT * FROM g WHERE r < 40) g USING (qid, unit))
+    SELECT qid, unit, rank, round(round(score, 9), 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, unit) AS rank FROM f) z WHERE rank <= 10"""),
+)
+def rrf_three(spark, sf):
+    a, b = fusion_lists(spark, sf, (36, 80))
+    out = R.fused(a.unionByName(b).unionByName(graph_list(spark, sf, 40)), ["qid"], {"text": 1.0, "dense": 1.2, "graph": 1.5}, 40)
+    return B.ranked(out, 10, ["qid"]).select("qid", "unit", "rank", F.round("score", 6).alias("score"))
+
+
 @query(
     "graph_chunk_rank",
     check("cent unit_vec", """WITH s AS (SELECT v.vec_id AS doc, v.vec_id // 4 AS chunk, round(max(list_dot_product(q.vector, v.vector)), 9) AS score FROM unit_vec v, cent q GROUP BY ALL),
@@ -894,9 +903,9 @@ def frontier(spark, sf):
 
 @query(
     "retrieval_union",
-    check(FUSE_IN, f"""{FUSE}, u AS (SELECT qid, unit, 'text' AS list FROM t WHERE r < 10 UNION ALL SELECT qid, unit, 'dense' FROM d WHERE r < 10 UNION ALL SELECT qid, unit, 'graph' FROM g WHERE r < 10)
+    check(FUSE_IN + " " + LINE_INPUTS, f"""{FUSE_G}, u AS (SELECT qid, unit, 'text' AS list FROM t WHERE r < 10 UNION ALL SELECT qid, unit, 'dense' FROM d WHERE r < 10 UNION ALL SELECT qid, unit, 'graph' FROM g WHERE r < 10)
     SELECT qid, unit, string_agg(list, '+' ORDER BY list) AS sources FROM u GROUP BY ALL"""),
 )
 def retrieval_union(spark, sf):
-    a, b, c = fusion_lists(spark, sf, (10, 10, 10))
-    return R.with_provenance(a.unionByName(b).unionByName(c), ["qid"])
+    a, b = fusion_lists(spark, sf, (10, 10))
+    return R.with_provenance(a.unionByName(b).unionByName(graph_list(spark, sf, 10)), ["qid"])
