@@ -8,9 +8,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..common import top_k
+from ..common import cut_lineage, top_k
 from ..functions import constants as K
 from ..functions.text import tokenize
 
@@ -109,6 +109,53 @@ def ranked(scores: DataFrame, k: int, keys: list[str] | None = None, unit: str =
     return top_k(even, keys, [F.desc("score"), F.col(unit)], k)
 
 
+#: What bounds allow for the order of sums and for scores rounded to nine places.
+SLACK = 1e-6
+#: Blocks of a term's postings per wanted rank.
+BLOCKS = 4
+
+
+def term_bounds(weights: DataFrame, k: int) -> DataFrame:
+    """(scope, term, high, kth): the largest weight of a term, and a weight that at least ``k`` of its units reach (0 if unknown).
+
+    Postings fall into ``BLOCKS * k`` blocks by unit. The k-th largest of the blocks' best weights belongs to
+    k different units, so it bounds the k-th largest weight from below; blocks combine before the shuffle.
+    """
+    block = F.pmod(F.xxhash64("unit"), F.lit(BLOCKS * k))
+    best = weights.groupBy("scope", "term", block.alias("block")).agg(F.max("weight").alias("weight"))
+    tops = F.sort_array(F.collect_list("weight"), asc=False)
+    return best.groupBy("scope", "term").agg(F.max("weight").alias("high"), F.coalesce(F.get(tops, F.lit(k - 1)), F.lit(0.0)).alias("kth"))
+
+
+def top(weights: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The rows of ``ranked(score(...), k)``, from ``weighted`` postings, without scoring every hit of every query.
+
+    A score is at least each of its parts, so the k-th best score of a query reaches the largest ``kth`` of
+    its terms. Its terms of least ``high`` whose sum stays below that cannot lift a unit into the top k alone:
+    only units that hold another of its terms are candidates. Those are scored by these other terms first; the
+    k-th best of these sums raises the bound, and only units that can still reach it meet the terms left over.
+    Such terms are the frequent ones, whose postings would make most of the rows.
+    """
+    wanted = query_terms(queries).join(term_bounds(weights, k), ["scope", "term"])
+    own = W.partitionBy(*QUERY)
+    upto = own.orderBy("high", "term").rowsBetween(W.unboundedPreceding, W.currentRow)
+    plan = cut_lineage(wanted.select(*QUERY, "term", "high", (F.sum("high").over(upto) + SLACK < F.max("kth").over(own)).alias("minor")))
+    minor = plan.filter("minor").select(*QUERY, "term")
+    rest = plan.filter("minor").groupBy(*QUERY).agg(F.sum("high").alias("rest"))
+    major = plan.filter("NOT minor").select(*QUERY, "term").join(weights, ["scope", "term"])
+    parts = major.groupBy(*QUERY, "unit").agg(F.sum("weight").alias("part"))
+    least = top_k(parts, QUERY, [F.desc("part"), F.col("unit")], k, "_r").groupBy(*QUERY).agg(F.min(F.when(F.col("_r") == k, F.col("part"))).alias("least"))
+    bound = least.join(rest, QUERY, "left").select(*QUERY, (F.coalesce("least", F.lit(0.0)) - F.coalesce("rest", F.lit(0.0)) - SLACK).alias("need"))
+    left = cut_lineage(parts.join(bound, QUERY).filter("part >= need").select(*QUERY, "unit", "part"))
+    more = left.join(minor, QUERY).join(weights, ["scope", "term", "unit"]).select(*QUERY, "unit", F.col("weight").alias("part"))
+    return ranked(left.unionByName(more).groupBy(*QUERY, "unit").agg(F.sum("part").alias("score")), k)
+
+
+def top_text(units: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``top`` over raw units without a stored index; the postings of the query terms are written once."""
+    return top(cut_lineage(weighted(build_index(units, text_vocabulary(queries)))), queries, k)
+
+
 def normalized(scores: DataFrame) -> DataFrame:
     """Scores divided by the best score of their query."""
     best = scores.groupBy(*QUERY).agg(F.max("score").alias("best"))

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..common import cut_lineage, first_per_key, top_k
+from ..common import cut_lineage, discard, first_per_key, prefix_scan, top_k
 from ..functions import constants as K
 from ..functions.answers import is_generic_name
 from ..functions.text import canonical_name, norm_text, word_regex
@@ -135,17 +135,50 @@ def near_duplicate_names(names: DataFrame, keys: list[str]) -> DataFrame:
 
 
 # -- merging records into a graph ------------------------------------------------------
-def resolved_entities(records: DataFrame, keys: list[str], entity: str) -> DataFrame:
-    """One node per set of records linked by shared names; order-free.
-
-    ``records`` carry ``names`` (array) and their order in ``entity``. A node keeps the name
-    of its first record.
+def resolved_entities(records: DataFrame, keys: list[str], entity: str, mode: str = "linked") -> DataFrame:
+    """One node per set of records that share names: (keys, entity, label), the label being the node's first record.
+
+    ``records`` carry ``names`` (array, the name before its aliases) and their order in ``entity``. A node keeps
+    the name of its first record. ``mode="linked"`` is order-free: records linked by any chain of shared names are
+    one node. ``mode="first"`` reads records in order (``entity`` a whole number, once per key): a record joins the
+    node that its first known name stands for at that moment, and all its names stand for that node from then on;
+    a record whose own name is empty makes none.
     """
+    if mode == "first":
+        return _first_resolved(records, keys, entity)
     links = records.select(*keys, entity, F.explode("names").alias("raw"))
     links = links.select(*keys, entity, canonical_name("raw").alias("key")).filter("key <> ''")
     return components(links, keys, entity, "key")
 
 
+#: Stretch of record numbers that one window covers when earlier holders of a name are looked up.
+RECORD_SPAN = 2**40
+
+
+def _first_resolved(records: DataFrame, keys: list[str], entity: str) -> DataFrame:
+    """Records in order, without a loop over them.
+
+    A name always stands for the node of the last record that held it. So each record follows one earlier
+    record, known beforehand: the last holder of its first name that has one. These steps form trees, whose roots
+    start the nodes; pointers double their reach each round, so a chain of n records takes log2(n) rounds. A record
+    is followed at most once per name, so no join key is hot at first, and pointers that reached a root stop joining.
+    """
+    known = records.filter(canonical_name(F.get("names", F.lit(0))) != "")
+    names = known.select(*keys, F.col(entity).alias("rec"), F.posexplode("names").alias("pos", "raw"))
+    names = names.select(*keys, "rec", "pos", canonical_name("raw").alias("key")).filter("key <> ''")
+    held = names.groupBy(*keys, "key", "rec").agg(F.min("pos").alias("pos")).withColumn("back", -F.col("rec"))
+    held = held.withColumn("stretch", F.floor(F.col("back") / F.lit(RECORD_SPAN)))
+    seen = prefix_scan(held, [*keys, "key"], ["stretch"], ["back"], {"before": ("next", "rec")})
+    step = seen.groupBy(*keys, "rec").agg(F.min_by("before", F.when(F.col("before").isNotNull(), F.col("pos"))).alias("up"))
+    state = cut_lineage(step.select(*keys, "rec", F.coalesce("up", "rec").alias("up"), F.col("up").isNull().alias("done")))
+    while not state.filter("NOT done").isEmpty():
+        ahead = state.select(*keys, F.col("rec").alias("up"), F.col("up").alias("to"), F.col("done").alias("there"))
+        jumped = state.filter("NOT done").join(ahead, [*keys, "up"]).select(*keys, "rec", F.col("to").alias("up"), F.col("there").alias("done"))
+        old, state = state, cut_lineage(state.filter("done").unionByName(jumped))
+        discard(old)
+    return state.select(*keys, F.col("rec").alias(entity), F.col("up").alias("label"))
+
+
 def folded_nodes(mentions: DataFrame) -> DataFrame:
     """Mentions (graph_id, node_id, ord, alias, evidence, description, salience) -> one row per node.
 

@@ -90,25 +90,29 @@ def induced(hops: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(s, ["graph_id", "src"]).join(got.withColumnRenamed("node_id", "dst"), [*ASK, "dst"])
 
 
-def planned_scores(nodes: DataFrame, scores: DataFrame, weights: dict[str, float], targets: DataFrame) -> DataFrame:
-    """Weighted sum of per-part scores, +3 per named target, times the type boost, plus a salience bonus.
+def planned_top(nodes: DataFrame, scores: DataFrame, weights: dict[str, float], targets: DataFrame, k: int) -> DataFrame:
+    """Best ``k`` nodes per question by planned score: the weighted sum of per-part scores, +3 per named target, times the type boost, plus a salience bonus.
 
-    ``scores``: (graph_id, qid, label, node_id, score); ``targets``: (graph_id, qid, name).
+    ``scores``: (graph_id, qid, label, node_id, score); ``targets``: (graph_id, qid, name). Candidates are the
+    text hits, the named nodes and, per graph, the ``k`` nodes of largest bonus. The bonus hangs on the node
+    alone and the other part is never negative: a node that is none of these has ``k`` nodes before it.
     """
     w = F.lit(0.0)
     for label, value in weights.items():
         w = F.when(F.col("label") == label, value).otherwise(w)
-    text = scores.groupBy(*ASK, "node_id").agg(F.sum(F.col("score") * w).alias("text_score"))
-    asked = scores.select(*ASK).unionByName(targets.select(*ASK)).distinct()
-    named = targets.join(nodes.select("graph_id", "node_id", "name"), ["graph_id", "name"]).groupBy(*ASK, "node_id").agg((F.count(F.lit(1)) * 3.0).alias("named"))
     boost = F.lit(1.0)
     for kind, value in K.TYPE_BOOST.items():
         boost = F.when(F.col("type") == kind, value).otherwise(boost)
-    rows = asked.join(nodes.select(*NODE, "type", "salience"), "graph_id")
-    rows = rows.join(text, [*ASK, "node_id"], "left").join(named, [*ASK, "node_id"], "left")
-    base = F.coalesce("text_score", F.lit(0.0)) + F.coalesce("named", F.lit(0.0))
-    total = base * boost + 0.4 * F.greatest(F.coalesce("salience", F.lit(3)) - 1, F.lit(0))
-    return rows.select(*ASK, "node_id", total.alias("score"))
+    valued = nodes.select(*NODE, "name", boost.alias("boost"), (0.4 * F.greatest(F.coalesce("salience", F.lit(3)) - 1, F.lit(0))).alias("bonus"))
+    plain = valued.select(*NODE, "bonus")
+    heads = top_k(plain, ["graph_id"], [F.desc("bonus"), F.col("node_id")], k)
+    asked = scores.select(*ASK).unionByName(targets.select(*ASK)).distinct()
+    by_bonus = asked.join(heads, "graph_id").select(*ASK, "node_id", F.lit(0.0).alias("part"))
+    by_name = targets.join(valued, ["graph_id", "name"]).select(*ASK, "node_id", F.lit(3.0).alias("part"))
+    by_text = scores.select(*ASK, "node_id", (F.col("score") * w).alias("part"))
+    found = by_text.unionByName(by_name).unionByName(by_bonus).groupBy(*ASK, "node_id").agg(F.sum("part").alias("part"))
+    total = found.join(valued.select(*NODE, "boost", "bonus"), NODE).select(*ASK, "node_id", (F.col("part") * F.col("boost") + F.col("bonus")).alias("score"))
+    return top_k(total.withColumn("score", F.round("score", 9)).filter("score > 0"), ASK, [F.desc("score"), F.col("node_id")], k)
 
 
 def glossary(nodes: DataFrame, degree: DataFrame, cap: int = 60) -> DataFrame:

@@ -187,13 +187,30 @@ ENT_SQL = f"""ent AS (SELECT source, doc_id * 2147483648 + seq AS rec, {NAME(NOR
   SELECT source, rec, min(reach) AS label FROM walk GROUP BY source, rec"""
 
 
+def line_records(spark, sf):
+    """Records named by the head and the tail of a line."""
+    lines = relation(spark, sf, "lines")
+    return lines.select("source", (F.col("doc_id") * UNIT + F.col("seq")).alias("rec"), F.array(F.left("text", F.lit(24)), F.right("text", F.lit(24))).alias("names"))
+
+
 @query("entity_resolve", check("lines", f"WITH RECURSIVE {ENT_SQL}"))
 def entity_resolve(spark, sf):
-    """Records named by the head and the tail of a line, merged within a source."""
-    lines = relation(spark, sf, "lines")
-    records = lines.select("source", (F.col("doc_id") * UNIT + F.col("seq")).alias("rec"),
-                           F.array(F.left("text", F.lit(24)), F.right("text", F.lit(24))).alias("names"))
-    return G.resolved_entities(records, ["source"], "rec")
+    """Records merged within a source, whatever their order."""
+    return G.resolved_entities(line_records(spark, sf), ["source"], "rec")
+
+
+FIRST_SQL = f"""ent AS (SELECT source, doc_id * 2147483648 + seq AS rec, {NAME(NORM('substr(text, 1, 24)'))} AS k1, {NAME(NORM('right(text, 24)'))} AS k2 FROM lines),
+  held AS (SELECT source, rec, key, min(pos) AS pos FROM (SELECT source, rec, k1 AS key, 0 AS pos FROM ent WHERE k1 <> '' UNION ALL SELECT source, rec, k2, 1 FROM ent WHERE k1 <> '' AND k2 <> '') u GROUP BY ALL),
+  prior AS (SELECT *, lag(rec) OVER (PARTITION BY source, key ORDER BY rec) AS before FROM held),
+  step AS MATERIALIZED (SELECT source, rec, arg_min(before, pos) FILTER (WHERE before IS NOT NULL) AS up FROM prior GROUP BY ALL),
+  walk(source, rec, label) AS (SELECT source, rec, rec FROM step WHERE up IS NULL UNION ALL SELECT s.source, s.rec, w.label FROM walk w JOIN step s ON s.source = w.source AND s.up = w.rec)
+  SELECT source, rec, label FROM walk"""
+
+
+@query("entity_resolve_first", check("lines", f"WITH RECURSIVE {FIRST_SQL}"))
+def entity_resolve_first(spark, sf):
+    """Records merged within a source in their order: the first known name decides, the last holder of a name owns it."""
+    return G.resolved_entities(line_records(spark, sf), ["source"], "rec", mode="first")
 
 
 MEN_SQL = """men AS (SELECT c_nationkey AS graph_id, 'p' || l_partkey AS node_id, l_orderkey AS o, l_linenumber * 2147483648 + l_suppkey AS i, l_returnflag || l_linestatus AS alias,

@@ -97,7 +97,7 @@ def node_scores(spark, sf):
 
 def first_nodes(spark, sf):
     q = graph_asks(spark, sf).filter("label = 'Q'")
-    best = B.ranked(B.score_text(node_doc_units(spark, sf), q), 8)
+    best = B.top_text(node_doc_units(spark, sf), q, 8)
     return best.select(F.col("scope").alias("graph_id"), "qid", F.col("unit").alias("node_id"), "score", "rank")
 
 
@@ -135,7 +135,7 @@ def bm25_score(spark, sf):
 def bm25_top(spark, sf):
     """Best eight passages per question: chunk, tokenise, score, rank."""
     q = item_queries(spark, sf).filter("label = 'Q'")
-    best = B.ranked(B.score_text(chunk_units(spark, sf), q), 8)
+    best = B.top_text(chunk_units(spark, sf), q, 8)
     return best.select("qid", "scope", "unit", "rank", F.round("score", 6).alias("score"))
 
 
@@ -167,7 +167,7 @@ def top_sentences(spark, sf):
     sents = S.sentence_spans(doc_text(spark, sf, "source"), min_chars=0)
     units = sents.select(F.col("source").alias("scope"), (F.col("doc_id") * UNIT + F.col("idx")).alias("unit"), "text")
     asks = relation(spark, sf, "items").select("scope", "qid", F.lit("Q").alias("label"), F.concat_ws(" ", "question", "choice_a", "choice_b", "choice_c").alias("query"))
-    best = B.ranked(B.score_text(units, asks), 6)
+    best = B.top_text(units, asks, 6)
     return best.select("qid", "unit", "rank", F.round("score", 4).alias("score"))
 
 
@@ -242,8 +242,7 @@ def planned_retrieve(spark, sf):
     )))
     scores = B.score_text(node_doc_units(spark, sf), asks).withColumnsRenamed({"scope": "graph_id", "unit": "node_id"})
     weights = {"question": 1.0, "terms": 1.2, "clue": 0.7, "follow": 0.5}
-    total = R.planned_scores(nodes_of(spark, sf), scores, weights, q.select("graph_id", "qid", F.col("choice_a").alias("name")))
-    first = cut_lineage(B.ranked(total, 8, ["graph_id", "qid"], "node_id"))
+    first = cut_lineage(R.planned_top(nodes_of(spark, sf), scores, weights, q.select("graph_id", "qid", F.col("choice_a").alias("name")), 8))
     out = R.k_hop(first, edges_of(spark, sf), [12], R.planned_weight())
     return out.withColumn("score", F.round("score", 6))
 

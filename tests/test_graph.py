@@ -164,3 +164,33 @@ def test_rank_equals_dense_iteration(spark):
         spark.createDataFrame([(1, 7, n, v) for n, v in seed.items()], "graph_id int, qid int, node_id string, seed double"), ["graph_id"], 0.78, 16,
     ).collect()
     assert all(abs(r["rank"] - rank[r.node_id]) < 1e-12 for r in got) and len(got) == 4
+
+
+def resolve_in_order(rows):
+    """(graph, record) -> first record of its node, reading records one by one."""
+    owner, node = {}, {}
+    for g, rec, names in sorted(rows):
+        keys = [" ".join(n.lower().split()) for n in names if n]
+        if not names[0]:
+            continue
+        known = [owner[g, k] for k in keys if (g, k) in owner]
+        node[g, rec] = known[0] if known else rec
+        owner.update({(g, k): node[g, rec] for k in keys})
+    return node
+
+
+def test_resolution_in_order(spark, monkeypatch):
+    monkeypatch.setattr(G, "RECORD_SPAN", 16)
+    rng = random.Random(11)
+    rows = [("a", i, [f"x{i}", f"x{i + 1}"]) for i in range(40)]  # a chain that the order-free form also joins
+    # r2 knows both names and follows its own; its alias stands for that node from then on
+    rows += [("b", 0, ["p"]), ("b", 1, ["q"]), ("b", 2, ["p", "q"]), ("b", 3, ["q"]), ("b", 4, ["", "p"]), ("b", 5, ["z", "q", "p"]), ("b", 6, ["Z"])]
+    rows += [("c", i, [f"n{rng.randrange(40)}" for _ in range(rng.randint(1, 3))]) for i in range(150)]
+    rows += [("d", i, ["same"]) for i in range(60)]
+    df = spark.createDataFrame(rows, "g string, rec long, names array<string>").repartition(5)
+    got = {(r.g, r.rec): r.label for r in G.resolved_entities(df, ["g"], "rec", mode="first").collect()}
+    want = resolve_in_order(rows)
+    assert got == want and got["b", 3] == 0 and got["b", 1] == 1 and ("b", 4) not in got
+    linked = {(r.g, r.rec): r.label for r in G.resolved_entities(df, ["g"], "rec").collect()}
+    assert linked["b", 1] == 0 and len({v for (g, _), v in got.items() if g == "c"}) > len({v for (g, _), v in linked.items() if g == "c"})
+    assert G.resolved_entities(df.limit(0), ["g"], "rec", mode="first").count() == 0

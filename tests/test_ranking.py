@@ -5,7 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
-from evigraph.operators import bm25 as B, dense as D, evaluate as E, select as C, vote as V
+from evigraph.functions import constants as K
+from evigraph.operators import bm25 as B, dense as D, evaluate as E, retrieve as R, select as C, vote as V
 
 
 def test_bm25_prefers_the_matching_unit(spark):
@@ -123,3 +124,52 @@ def test_histogram_keeps_the_right_edge(spark):
     rows = spark.createDataFrame([(1, 0.0), (1, 1.0), (1, 0.999)], "k int, x double")
     got = {r.bin: r.value for r in E.histogram(rows, ["k"], "x", 4).collect()}
     assert got == {0: 1, 1: 0, 2: 0, 3: 2}
+
+
+def test_bounded_top_equals_full_scoring(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(60)]
+    weights = [1 / (i + 1) for i in range(60)]  # few frequent words, many rare ones
+    units = [(s, u, " ".join(rng.choices(words, weights, k=rng.randint(1, 40)))) for s in "ab" for u in range(300)]
+    units += [("a", 1000 + i, "w0 w1 w40") for i in range(30)] + [("c", 1, "w0"), ("c", 2, ""), ("c", 3, None)]
+    asks = [(s, q, x, " ".join(rng.choices(words, k=rng.randint(1, 6)))) for s in "abc" for q in range(12) for x in "QA"]
+    asks += [("a", 90, "Q", "w0 w1 w40"), ("a", 91, "Q", "w0"), ("a", 92, "Q", "unheard"), ("a", 93, "Q", None), ("d", 94, "Q", "w0")]
+    units = spark.createDataFrame(units, "scope string, unit long, text string")
+    asks = spark.createDataFrame(asks, "scope string, qid long, label string, query string")
+    for k in (1, 3, 25):
+        got = sorted(map(tuple, B.top_text(units, asks, k).select("scope", "qid", "label", "unit", "rank", F.round("score", 8)).collect()))
+        want = sorted(map(tuple, B.ranked(B.score_text(units, asks), k).select("scope", "qid", "label", "unit", "rank", F.round("score", 8)).collect()))
+        assert got == want and want
+
+
+def test_term_bounds_hold(spark):
+    rng = random.Random(8)
+    rows = [("s", t, u, rng.random()) for t in "xyz" for u in rng.sample(range(500), 200)] + [("s", "few", u, 1.0) for u in range(3)]
+    got = {r.term: r for r in B.term_bounds(spark.createDataFrame(rows, "scope string, term string, unit long, weight double"), 5).collect()}
+    for t in "xyz":
+        own = sorted((r[3] for r in rows if r[1] == t), reverse=True)
+        assert got[t].high == own[0] and 0 < got[t].kth <= own[4]
+    assert got["few"].kth == 0
+
+
+def test_planned_top_equals_scoring_every_node(spark):
+    rng = random.Random(5)
+    kinds = ["person", "clue", "place", "other"]
+    nodes = [(g, f"n{i:03d}", f"name{i % 50}", rng.choice(kinds), rng.choice([None, 1, 2, 3, 5])) for g in (1, 2) for i in range(80)]
+    scores = [(g, q, x, f"n{rng.randrange(80):03d}", rng.random() * 3) for g in (1, 2) for q in range(6) for x in ("question", "terms") for _ in range(4)]
+    targets = [(g, q, f"name{rng.randrange(60)}") for g in (1, 2) for q in range(8)]
+    weights = {"question": 1.0, "terms": 1.2}
+    got = R.planned_top(
+        spark.createDataFrame(nodes, "graph_id int, node_id string, name string, type string, salience int"),
+        spark.createDataFrame(scores, "graph_id int, qid int, label string, node_id string, score double"), weights,
+        spark.createDataFrame(targets, "graph_id int, qid int, name string"), 8,
+    ).collect()
+    want = []
+    for g, q in {(t[0], t[1]) for t in targets}:
+        every = []
+        for n in (n for n in nodes if n[0] == g):
+            text = sum(s[4] * weights[s[2]] for s in scores if s[:2] == (g, q) and s[3] == n[1])
+            named = 3.0 * sum(t[:2] == (g, q) and t[2] == n[2] for t in targets)
+            every.append((-round((text + named) * K.TYPE_BOOST.get(n[3], 1.0) + 0.4 * max((3 if n[4] is None else n[4]) - 1, 0), 9), n[1]))
+        want += [(g, q, n, i + 1, -s) for i, (s, n) in enumerate(sorted(every)[:8])]
+    assert sorted((r.graph_id, r.qid, r.node_id, r.rank) for r in got) == sorted(w[:4] for w in want)
