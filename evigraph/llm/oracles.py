@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .url_filter import A, ALPHABET, DEFAULT_RULES, FOLDS, LOWER, STEPS, TOP, UPPER
+from .url_filter import DEFAULT_RULES, FOLDS, LOWER, ORDER, STEPS, TOP, UNITS, UPPER
 
 
 def components_sql(links: str, nodes: str, node: str) -> str:
@@ -91,41 +91,37 @@ def clusters_sql(rounds: int = 10, k: int = 8) -> str:
 
 
 def url_filter_sql() -> str:
-    """Rules, both Markov models, the calibrated threshold and the verdicts. Character codes as in ``url_filter.codes``."""
+    """Rules, both Markov models over real characters, the calibrated threshold and the verdicts. Grams as in ``url_filter.grams``."""
     fits = []
     for verdict, rule in sorted(DEFAULT_RULES, key=lambda r: (-len(r[1]), r[1])):
         host, slash, path = rule.partition("/")
         fits.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{slash}{path}') THEN '{verdict} {rule}'")
-    symbol = f"instr('{ALPHABET}', c)"
     kinds = ("allow", "block")
-
-    def model(k: str) -> str:
-        n2, n1, n0 = (f"coalesce({x}.{k}, 0)" for x in ("n2", "n1", "n0"))
-        p0 = f"(({n0} + 1.0e0) / (t.{k} + {A}.0e0))"
-        p1 = f"(CASE WHEN coalesce(b1.{k}, 0) > 0 THEN ({n1} + b1.{k}_t * {p0}) / (b1.{k} + b1.{k}_t) ELSE {p0} END)"
-        return f"ln(CASE WHEN coalesce(b2.{k}, 0) > 0 THEN ({n2} + b2.{k}_t * {p1}) / (b2.{k} + b2.{k}_t) ELSE {p1} END)"
-
     count = ", ".join(f"sum({k})::DOUBLE AS {k}" for k in kinds)
-    types = ", ".join(f"count(*) FILTER ({k} > 0)::DOUBLE AS {k}_t" for k in kinds)
+    totals = ", ".join(f"sum({k}) OVER w AS {k}_n, (count(*) FILTER ({k} > 0) OVER w)::DOUBLE AS {k}_t" for k in kinds)
+    first = ", ".join(f"({k} + 1.0e0) / ({k}_n + symbols) AS p_{k}" for k in kinds)
+    mixed = ", ".join(f"CASE WHEN {k}_n > 0 THEN ({k} + {k}_t * q.p_{k}) / ({k}_n + {k}_t) ELSE q.p_{k} END AS p_{k}" for k in kinds)
+    levels = [f"l0 AS MATERIALIZED (SELECT size, ctx, next, {first} FROM wide WHERE size = 0)"]
+    for n in range(1, ORDER + 1):
+        levels.append(f"l{n} AS MATERIALIZED (SELECT w.size, w.ctx, w.next, {mixed} FROM wide w JOIN l{n - 1} q ON right(w.ctx, {n - 1}) = q.ctx AND w.next = q.next WHERE w.size = {n})")
+    labels = ", ".join(f"count(*) FILTER (verdict = '{k}' AND {'' if held else 'NOT '}held) AS {name}" for k, held, name in (("allow", False, "allow"), ("block", False, "block"), ("allow", True, "x"), ("block", True, "y")))
     return f"""WITH parsed AS (SELECT page_id, url, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
       hosted AS (SELECT page_id, url, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{LOWER}') AS host, regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path FROM parsed),
-      ruled AS MATERIALIZED (SELECT *, CASE {' '.join(fits)} END AS fit FROM hosted),
-      chars AS MATERIALIZED (SELECT page_id, list_concat([0, 0], list_transform(string_split(folded, ''), lambda c: {symbol}), [instr('{ALPHABET}', '$')]) AS ids FROM (
-        SELECT page_id, regexp_replace(regexp_replace(lower(host || path), '[1-9]', '0', 'g'), '[^a-z0./_%-]', '?', 'g') AS folded FROM ruled) x),
-      steps AS MATERIALIZED (SELECT page_id, i, ids[i - 2] AS a, ids[i - 1] AS b, ids[i] AS c FROM (SELECT page_id, ids, unnest(range(3, len(ids) + 1)) AS i FROM chars) x),
-      held AS (SELECT page_id, split_part(fit, ' ', 1) AS verdict, crc AS crc FROM (SELECT page_id, fit, {crc32_sql('url')} % {FOLDS} = 0 AS crc FROM ruled WHERE fit IS NOT NULL) x),
-      n2 AS MATERIALIZED (SELECT a, b, c, count(*) FILTER (verdict = 'allow') AS allow, count(*) FILTER (verdict = 'block') AS block FROM steps JOIN held USING (page_id) WHERE NOT crc GROUP BY ALL),
-      n1 AS MATERIALIZED (SELECT b, c, {count} FROM n2 GROUP BY ALL), n0 AS MATERIALIZED (SELECT c, {count} FROM n1 GROUP BY ALL),
-      b2 AS MATERIALIZED (SELECT a, b, {count}, {types} FROM n2 GROUP BY ALL), b1 AS MATERIALIZED (SELECT b, {count}, {types} FROM n1 GROUP BY ALL), t AS (SELECT {', '.join(f'coalesce(sum({k}), 0)::DOUBLE AS {k}' for k in kinds)} FROM n0),
-      known AS (SELECT (count(*) FILTER (verdict = 'allow') > 0 AND count(*) FILTER (verdict = 'block') > 0)::INT AS yes FROM held WHERE NOT crc),
-      scored AS MATERIALIZED (SELECT page_id, sum(({model('allow')}) - ({model('block')})) * any_value(yes) / count(*) AS score FROM steps s CROSS JOIN t CROSS JOIN known
-        LEFT JOIN n2 ON n2.a = s.a AND n2.b = s.b AND n2.c = s.c LEFT JOIN n1 ON n1.b = s.b AND n1.c = s.c LEFT JOIN n0 ON n0.c = s.c
-        LEFT JOIN b2 ON b2.a = s.a AND b2.b = s.b LEFT JOIN b1 ON b1.b = s.b GROUP BY page_id),
-      bins AS MATERIALIZED (SELECT floor(least(greatest(score, -{TOP}), {TOP}) * {STEPS})::INT AS step, count(*) FILTER (verdict = 'allow') AS x, count(*) FILTER (verdict = 'block') AS y FROM scored JOIN held USING (page_id) WHERE crc GROUP BY 1),
+      ruled AS MATERIALIZED (SELECT *, host || path AS text, CASE {' '.join(fits)} END AS fit FROM hosted),
+      texts AS MATERIALIZED (SELECT text, {labels} FROM (SELECT text, split_part(fit, ' ', 1) AS verdict, {crc32_sql('url')} % {FOLDS} = 0 AS held FROM ruled WHERE text <> '') r GROUP BY text),
+      places AS MATERIALIZED (SELECT text, allow, block, i, least({ORDER}, i + 1) AS size, substr(text, greatest(i - {ORDER}, 0) + 1, i - greatest(i - {ORDER}, 0)) AS ctx, substr(text, i + 1, 1) AS next
+        FROM (SELECT *, unnest(range(0, length(text) + 1)) AS i FROM texts) x),
+      grams AS (SELECT n AS size, right(ctx, n) AS ctx, next, {count} FROM (SELECT *, unnest(range(0, size + 1)) AS n FROM places) x GROUP BY ALL),
+      wide AS MATERIALIZED (SELECT *, {totals}, count(*) OVER w AS symbols FROM grams WINDOW w AS (PARTITION BY size, ctx)),
+      {', '.join(levels)},
+      model AS MATERIALIZED (SELECT size, ctx, next, round((ln(p_allow) - ln(p_block)) * {UNITS})::BIGINT AS d FROM ({' UNION ALL '.join(f'SELECT * FROM l{n}' for n in range(ORDER + 1))}) u),
+      known AS (SELECT (coalesce(sum(allow), 0) > 0 AND coalesce(sum(block), 0) > 0)::INT AS yes FROM texts),
+      scored AS MATERIALIZED (SELECT text, sum(d)::BIGINT * any_value(yes) / {UNITS}.0e0 / count(*) AS score FROM places JOIN model USING (size, ctx, next) CROSS JOIN known GROUP BY text),
+      bins AS MATERIALIZED (SELECT floor(least(greatest(score, -{TOP}), {TOP}) * {STEPS})::INT AS step, sum(x) AS x, sum(y) AS y FROM scored JOIN texts USING (text) WHERE x + y > 0 GROUP BY 1),
       cuts AS (SELECT c.step / {STEPS}.0e0 AS edge, (SELECT sum(x) FILTER (b.step >= c.step) / sum(x) + coalesce(sum(y) FILTER (b.step < c.step), 0) / sum(y) FROM bins b) AS good FROM bins c),
       cut AS (SELECT coalesce(arg_min(edge, (-round(good, 9), abs(edge), edge)), 0.0) AS threshold FROM cuts WHERE good IS NOT NULL)
-    SELECT page_id, host, path, nullif(split_part(fit, ' ', 2), '') AS rule, coalesce(nullif(split_part(fit, ' ', 1), ''), CASE WHEN score >= threshold THEN 'allow' ELSE 'block' END) AS verdict,
-      round(score, 6) AS score, threshold FROM ruled JOIN scored USING (page_id) CROSS JOIN cut"""
+    SELECT page_id, host, path, nullif(split_part(fit, ' ', 2), '') AS rule, coalesce(nullif(split_part(fit, ' ', 1), ''), CASE WHEN coalesce(score, 0) >= threshold THEN 'allow' ELSE 'block' END) AS verdict,
+      round(coalesce(score, 0), 6) AS score, threshold FROM ruled LEFT JOIN scored USING (text) CROSS JOIN cut"""
 
 
 def crc32_sql(text: str) -> str:

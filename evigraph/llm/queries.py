@@ -25,9 +25,10 @@ def query(name: str, sql: str | None = None):
 
 @query("op1_url_filter", oracles.url_filter_sql())
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .url_filter import judge
+    """By the model that grows with the pages."""
+    from .url_filter import judge_long
 
-    return judge(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
+    return judge_long(read(spark, sf_dir, "pages")).withColumn("score", F.round("score", 6))
 
 
 @query("op4_token_counts")

@@ -1,21 +1,21 @@
 """URL filter: host and path rules, and a character language-model ratio for urls that no rule fits.
 
-Two variable-order Markov models over url characters are learnt from the urls that the rules accept
-and reject. Orders 2, 1 and 0 are mixed by Witten-Bell smoothing: the more often a context was seen
-with few different successors, the more its own counts weigh against the next shorter context. A url
-is judged by the difference of both log-likelihoods, divided by its length, against a threshold
-calibrated on rule-labelled urls that the models have not seen.
+Two variable-order Markov models over url characters are learnt from the urls that the rules accept and
+reject. Contexts of ``ORDER`` down to 0 characters are mixed by Witten-Bell smoothing: the more often a
+context was seen with few different successors, the more its own counts weigh against the next shorter
+context. A url is judged by the difference of both log-likelihoods, divided by its length, against a
+threshold calibrated on rule-labelled urls that the models have not seen.
 
-Only DataFrame and SQL functions run. Characters are folded to an alphabet of 35 symbols, so the
-whole model is an array of 35^3 numbers whatever the input: this is the proven bound of what travels
-to each task (as a scalar subquery). Counting combines in the map tasks before its shuffle.
+``judge_long`` is the registered form: its model is a table that grows with the pages, of real characters
+in every context that occurs. ``judge`` is a small form for samples and streams: order 2 over 35 folded
+symbols, so its model is an array of 35^3 numbers whatever the input, which travels to each task as a
+scalar subquery.
 
-Defined results: a null url, or one without ``://``, has an empty host and path, and no rule fits it;
-its model score is 0. Equal urls get equal verdicts. Without labelled urls of both kinds the score is
-0 and the threshold 0, which allows. Columns of the input beyond id and url are ignored.
+Only DataFrame and SQL functions run. Counting combines in the map tasks before its shuffle.
 
-``judge_long`` keeps the same rules and calibration, but its model is a table that grows with the pages:
-real characters, unfolded, in contexts of 0 to ``ORDER`` characters, from every url.
+Defined results: a null url, or one without ``://``, has an empty host and path, and no rule fits it;
+its score is 0 by ``judge_long``. Equal urls get equal verdicts. Without labelled urls of both kinds the
+score is 0 and the threshold 0, which allows. Columns of the input beyond id and url are ignored.
 """
 
 from __future__ import annotations
