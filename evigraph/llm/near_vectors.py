@@ -1,15 +1,19 @@
 """Embedding near-dedup by sorted projection passes.
 
-Each pass orders the vectors lexicographically by a string of random sign hashes of its own. Vectors
-that share the leading ``bits`` of the string stand next to each other; this run is the window in which
-they are compared. ``bits`` follows from the number of vectors, so that a window of unrelated vectors
-holds about ``window`` rows, and the number of passes follows from ``bits``, so that a pair at exactly
-``cos`` meets with probability ``recall`` (closer pairs more surely). A run that is longer, such as a
-large group of near copies, is cut into tiles, and all pairs of tiles are compared: windows bound a
-task's memory, never what is found.
+Each pass orders the vectors lexicographically by a string of random sign hashes of its own: slim rows
+(pass, string, id) are range-partitioned and sorted, and their places cut the order into tiles. Every tile
+is compared with itself and the next one, so each vector meets at least the ``tile`` vectors on either side,
+whatever bits they differ in. A run of vectors with equal leading ``bits`` may be longer than that, such as
+a large group of near copies: then all pairs of its tiles are compared too. Windows bound a task's memory,
+never what is found in a run.
 
-A pair counts in the first pass where it meets; tasks return links per vector and a spanning forest, so
-no pair is ever written. Equal vectors are one class with a size and are compared once.
+``bits`` follows from the number of vectors, so that a run of unrelated vectors holds about ``window`` rows,
+and the number of passes follows from ``bits``, so that a pair at exactly ``cos`` shares a run with
+probability ``recall`` (closer pairs more surely); windows across the borders of runs come on top.
+
+A pair counts in the first pass where it meets, which the places of both in the earlier passes tell; tasks
+return links per vector and a spanning forest, so no pair is ever written. Equal vectors are one class with a
+size and are compared once.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows with
 a null id, link with nothing (no links, the id as component). Rows that share an id count each.
@@ -24,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from evigraph.common import cut_lineage
 
@@ -51,25 +55,32 @@ def sign_strings(x: np.ndarray, passes: int, seed: int) -> np.ndarray:
     return bits.astype(np.int64) @ (np.int64(1) << np.arange(STRING - 1, -1, -1, dtype=np.int64))
 
 
-def _passes(passes: int, bits: int, seed: int):
+def _strings(passes: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lengths = np.array([len(v) for v in batch.column(2)])
+            lengths = np.array([len(v) for v in batch.column(1)])
             for dim in np.unique(lengths):
                 part = batch.filter(pa.array(lengths == dim))
-                strings = sign_strings(matrix(part.column(2)), passes, seed)
-                runs = (strings >> (STRING - bits)).astype(np.int32) if bits else np.zeros(strings.shape, np.int32)
-                n = part.num_rows
-                all_runs = pa.FixedSizeListArray.from_arrays(pa.array(runs.reshape(-1)), passes).cast(pa.list_(pa.int32()))
+                strings = sign_strings(matrix(part.column(1)), passes, seed)
                 for p in range(passes):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(n, p, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(runs[:, p]), pa.array(strings[:, p]), part.column(0), part.column(1), part.column(2), all_runs],
-                        ["pass", "dim", "run", "string", "cls", "n", "vec", "runs"],
-                    )
+                    same = [pa.array(np.full(part.num_rows, x, np.int32)) for x in (p, dim)]
+                    yield pa.RecordBatch.from_arrays([*same, pa.array(strings[:, p]), part.column(0)], ["pass", "dim", "string", "cls"])
 
     return run
 
 
+def placed(strings: DataFrame, bits: int, tile: int) -> DataFrame:
+    """Rows (pass, dim, cls, tile, run): the tile of each vector's place in the order of its pass, and its leading bits."""
+    order = ["pass", "dim", "string", "cls"]
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    ordered = cut_lineage(strings.repartitionByRange(*order).sortWithinPartitions(*order).select(*order, F.spark_partition_id().alias("part"), row.alias("row")))
+    # One row per partition: the places before it.
+    before = W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    starts = ordered.groupBy("part").agg(F.count(F.lit(1)).alias("size")).select("part", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    at = F.floor((F.col("start") + F.col("row")) / tile).cast("int")
+    return ordered.join(starts, "part").select("pass", "dim", "cls", at.alias("tile"), F.shiftright("string", STRING - bits).alias("run"))
+
+
 def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Smallest position linked with each of ``n`` positions."""
     label = np.arange(n)
@@ -85,30 +96,28 @@ def _forest(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
 
 
 def link_tile(table: pa.Table, cos: float) -> pa.Table:
-    """Links of one pair of tiles (or of one tile with itself): rows (cls, links, root)."""
+    """Links of tile ``lo`` with tile ``hi``, and with itself where ``hi`` is the next one: rows (cls, links, root)."""
     table = table.sort_by([("cls", "ascending")])
-    cls, n, chunk = (table[c].to_numpy() for c in ("cls", "n", "chunk"))
-    p = table["pass"][0].as_py()
-    runs = table["runs"].combine_chunks()
-    runs = runs.flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1)
+    cls, n, tile = (table[c].to_numpy() for c in ("cls", "n", "tile"))
+    p, low, high = (table[c][0].as_py() for c in ("pass", "lo", "hi"))
+    listed = lambda c: table[c].combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(len(cls), -1)
+    tiles, runs = listed("tiles"), listed("runs")
     x = matrix(table["vec"])
     x /= np.sqrt((x * x).sum(1))[:, None]
-    a = np.flatnonzero(chunk == chunk.min())
-    b = a if chunk.min() == chunk.max() else np.flatnonzero(chunk == chunk.max())
-    if table["lo"][0].as_py() != table["hi"][0].as_py() and b is a:
-        a = b = a[:0]  # the other tile of this pair is empty
+    a, b = np.flatnonzero(tile == low), np.flatnonzero(tile == high)
     found_i, found_j = [], []
-    for lo in range(0, len(a), 512):
-        rows = a[lo : lo + 512]
-        i, j = np.nonzero(x[rows] @ x[b].T >= cos)
-        i, j = rows[i], b[j]
-        if a is b:
-            i, j = i[i < j], j[i < j]
-        if p and len(i):
-            new = ~(runs[i, :p] == runs[j, :p]).any(1)
-            i, j = i[new], j[new]
-        found_i.append(i)
-        found_j.append(j)
+    for other in (a, b) if high == low + 1 else (b,):
+        for lo in range(0, len(a), 512):
+            rows = a[lo : lo + 512]
+            i, j = np.nonzero(x[rows] @ x[other].T >= cos)
+            i, j = rows[i], other[j]
+            if other is a:
+                i, j = i[i < j], j[i < j]
+            if p and len(i):
+                met = (np.abs(tiles[i, :p] - tiles[j, :p]) <= 1) | (runs[i, :p] == runs[j, :p])
+                i, j = i[~met.any(1)], j[~met.any(1)]
+            found_i.append(i)
+            found_j.append(j)
     i, j = (np.concatenate(f) if f else np.zeros(0, int) for f in (found_i, found_j))
     links = np.bincount(i, n[j], len(cls)) + np.bincount(j, n[i], len(cls))
     root = _forest(len(cls), i, j)
@@ -116,22 +125,23 @@ def link_tile(table: pa.Table, cos: float) -> pa.Table:
     return pa.table({"cls": cls[at], "links": links[at].astype(np.int64), "root": cls[root[at]]})
 
 
-def near_links(vectors: DataFrame, cos: float = 0.9, window: int = 1000, recall: float = 0.999, tile: int = 2048, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def near_links(vectors: DataFrame, cos: float = 0.9, window: int = 1000, recall: float = 0.999, tile: int = 1024, seed: int = 11, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Columns id, n_links, component_id, kept for every row."""
     rows = cut_lineage(keyed(vectors, id_col, vec_col).select("id", "k1", "k2", "ok", F.when(F.col("ok"), F.col("vec")).alias("vec")))
     classes = cut_lineage(rows.filter("ok").groupBy("k1", "k2").agg(F.min("id").alias("cls"), F.count(F.lit(1)).alias("n"), F.any_value("vec").alias("vec")))
     bits, passes = plan(classes.count(), cos, window, recall)
-    placed = classes.select("cls", "n", "vec").mapInArrow(
-        _passes(passes, bits, seed), "pass int, dim int, run int, string long, cls long, n long, vec array<float>, runs array<int>" if dict(rows.dtypes)["vec"] == "array<float>" else "pass int, dim int, run int, string long, cls long, n long, vec array<double>, runs array<int>"
-    )
-    key = ["pass", "dim", "run"]
-    tiles = classes.select("cls", "n", "vec").mapInArrow(_passes(passes, bits, seed), placed.schema).groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / tile).cast("int").alias("tiles"))
-    # The long runs alone are few; each row of theirs goes to one pair of tiles per tile.
-    cut = placed.join(tiles, key)
-    chunk = F.pmod(F.xxhash64("cls"), F.col("tiles")).cast("int")
-    cut = cut.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    cut = cut.withColumn("lo", F.least("chunk", "other")).withColumn("hi", F.greatest("chunk", "other")).drop("other", "tiles", "string")
-    found = cut_lineage(cut.groupBy(*key, "lo", "hi").applyInArrow(lambda t: link_tile(t, cos), "cls long, links long, root long"))
+    strings = classes.select("cls", "vec").mapInArrow(_strings(passes, seed), "pass int, dim int, string long, cls long")
+    home = cut_lineage(placed(strings, bits, tile))
+    run = ["pass", "dim", "run"]
+    long_runs = home.groupBy(*run).agg(F.min("tile").alias("first"), F.max("tile").alias("last")).filter("last - first >= 2")
+    spots = home.groupBy("cls", "dim").agg(F.array_sort(F.collect_list(F.struct("pass", "tile", "run"))).alias("at"))
+    each = spots.join(classes.select("cls", "n", "vec"), "cls").select("cls", "n", "vec", "dim", F.col("at.tile").alias("tiles"), F.col("at.run").alias("runs"), F.inline("at"))
+    near = each.withColumn("lo", F.explode(F.array("tile", F.col("tile") - 1))).withColumn("hi", F.col("lo") + 1).withColumn("run", F.lit(-1).cast("long"))
+    # Long runs are few; a row of theirs goes to one pair of tiles per tile beyond the next.
+    far = each.join(long_runs, run).withColumn("other", F.explode(F.sequence("first", "last"))).filter("abs(other - tile) >= 2")
+    far = far.withColumn("lo", F.least("tile", "other")).withColumn("hi", F.greatest("tile", "other")).select(*near.columns)
+    met = near.unionByName(far).groupBy("pass", "dim", "lo", "hi", "run")
+    found = cut_lineage(met.applyInArrow(lambda t: link_tile(t, cos), "cls long, links long, root long"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     labels = components(found.select(F.col("root").alias("a"), F.col("cls").alias("b"))).withColumnRenamed("node", "cls")
     by_class = classes.join(links, "cls", "left").join(labels, "cls", "left").select("k1", "k2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "cls").alias("component"), F.lit(True).alias("ok"))
