@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from pyspark.sql.types import DoubleType
 
-from ..common import cut_lineage, discard, first_per_key, prefix_scan, top_k
+from ..common import cut_lineage, discard, first_per_key, prefix_scan, scratch_path, top_k
 from ..functions import constants as K
 from ..functions.answers import is_generic_name
 from ..functions.text import canonical_name, norm_text, word_regex
@@ -296,8 +296,7 @@ def consolidation_plan(groups: DataFrame, nodes: DataFrame) -> DataFrame:
 
     A group joins its nodes under one head. It may hold nodes of at most one head of earlier groups,
     and that head must be in it; without one, its node of highest degree becomes the head. Which
-    names go together is decided beforehand, for all pairs of a group, by ``name_compatible``. Groups
-    that share no member cannot influence each other, so the order matters per connected component.
+    names go together is decided beforehand, for all pairs of a group, by ``name_compatible``.
     """
     index = nodes.groupBy("graph_id", norm_text("name").alias("key")).agg(F.max_by(F.struct("node_id", "name", "degree"), "node_id").alias("n"))
     rows = groups.select("graph_id", "group_no", F.posexplode("members").alias("pos", "raw"))
@@ -314,25 +313,48 @@ def consolidation_plan(groups: DataFrame, nodes: DataFrame) -> DataFrame:
     member = F.struct("pos", "node_id", "fits")
     best = F.min_by("node_id", F.struct(-F.col("degree"), "pos"))
     packed = rows.join(fits, [*group, "node_id"], "left").groupBy(*group).agg(F.array_sort(F.collect_list(member)).alias("members"), best.alias("best"))
-    comp = components(rows.select("graph_id", "group_no", "node_id"), GID, "group_no", "node_id")
-    packed = packed.filter(F.size("members") > 1).join(comp, group)
-
-    def settle(pdf: pd.DataFrame) -> pd.DataFrame:
-        head_of: dict[str, str] = {}  # heads stand for themselves
-        moved = []
-        for row in pdf.sort_values("group_no").itertuples():
-            fits_of = {m["node_id"]: m["fits"] for m in row.members}
-            heads = {head_of[n] for n in fits_of if n in head_of}
-            head = next(iter(heads), row.best)
-            if len(heads) > 1 or head not in fits_of or fits_of[head] is None:
-                continue
-            new = [n for n in fits_of if n in set(fits_of[head]) and n not in head_of]
-            head_of.update(dict.fromkeys([*new, head] if new else [], head))
-            moved += [(row.graph_id, row.group_no, n, head) for n in new]
-        return pd.DataFrame(moved, columns=["graph_id", "group_no", "node_id", "canonical"])
-
-    kind = dict(groups.dtypes)["graph_id"]
-    return packed.groupBy("graph_id", "label").applyInPandas(settle, f"graph_id {kind}, group_no long, node_id string, canonical string")
+    return _in_waves(packed.filter(F.size("members") > 1))
+
+
+def _in_waves(packed: DataFrame) -> DataFrame:
+    """Settle ordered groups in waves: each wave takes every group that no open earlier group can still change.
+
+    A node's head is written once. So a group waits only for nodes without a head that an open earlier
+    group may still take in; a node with a head keeps nobody waiting, however many groups hold it, and
+    a group that holds two heads of earlier groups is out whatever else comes. The earliest open group
+    of each graph never waits, so every wave settles some.
+    """
+    spark, group, node = packed.sparkSession, ["graph_id", "group_no"], ["graph_id", "node_id"]
+    packed = cut_lineage(packed)
+    fitting = F.flatten(F.transform("members", lambda m: F.coalesce(m.fits, F.array().cast("array<string>"))))
+    rows = packed.select(*group, F.explode("members").alias("m"), fitting.alias("fitting"))
+    can = F.col("m.fits").isNotNull() | F.array_contains("fitting", F.col("m.node_id"))
+    rows = rows.select(*group, "m.node_id", can.alias("can"), F.lit(None).cast("string").alias("head"), F.lit(None).cast("long").alias("since"))
+    path, wave, past = scratch_path(spark, "waves"), 0, None
+    while True:
+        first = rows.filter("can AND head IS NULL").groupBy(*node).agg(F.min("group_no").alias("first"))
+        seen = rows.join(first, node, "left").withColumn("earlier", F.when(F.col("since") < F.col("group_no"), F.col("head")))
+        verdict = seen.groupBy(*group).agg(
+            F.collect_set("earlier").alias("heads"), F.collect_set(F.when(F.col("earlier").isNotNull(), F.col("node_id"))).alias("taken"),
+            F.coalesce(F.bool_or(F.col("head").isNull() & (F.col("first") < F.col("group_no"))), F.lit(False)).alias("waits"),
+        )
+        ready = verdict.filter("NOT waits OR size(heads) > 1").join(packed, group).withColumn("canonical", F.coalesce(F.get("heads", F.lit(0)), "best"))
+        of_head = F.get(F.filter("members", lambda m: m.node_id == F.col("canonical")), F.lit(0)).fits
+        takes = F.filter(F.transform("members", lambda m: m.node_id), lambda n: F.array_contains(of_head, n) & ~F.array_contains("taken", n))
+        news = F.when(F.size("heads") < 2, F.coalesce(takes, F.array().cast("array<string>"))).otherwise(F.array().cast("array<string>"))
+        done = ready.select(*group, "canonical", news.alias("news"))
+        done.write.parquet(f"{path}/wave={wave}")
+        done = spark.read.schema(done.schema).parquet(f"{path}/wave={wave}")
+        held = F.explode(F.concat("news", F.array("canonical"))).alias("node_id")
+        fresh = done.filter(F.size("news") > 0).select("graph_id", held, F.col("canonical").alias("to"), F.col("group_no").alias("at"))
+        left = rows.join(done.select(*group), group, "left_anti").join(fresh.dropDuplicates(node), node, "left")
+        rows = cut_lineage(left.select(*group, "node_id", "can", F.coalesce("head", "to").alias("head"), F.coalesce("since", "at").alias("since")))
+        discard(past)
+        past, wave = rows, wave + 1
+        if rows.isEmpty():
+            break
+    every = spark.read.schema(done.schema).parquet(path)
+    return every.select(*group, F.explode("news").alias("node_id"), "canonical")
 
 
 def merged_graph(edges: DataFrame, mapping: DataFrame, order: list[str]) -> DataFrame:

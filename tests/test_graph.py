@@ -102,18 +102,42 @@ def brute_plan(groups, nodes, fits):
     return {i: h for i, h in head.items() if i != h}
 
 
-def test_consolidation_fold_by_component_equals_whole_graph(spark):
+def plan_of(spark, graphs):
+    """The plan of several graphs next to the fold of each."""
+    names = sorted({n for nodes, _ in graphs.values() for _, n, _ in nodes})
+    pairs = spark.createDataFrame([(a, b) for a in names for b in names], "a string, b string")
+    fits = {(r.a, r.b) for r in G.name_compatible(pairs, "a", "b").collect() if r.compatible}
+    want = {(g, i): h for g, (nodes, groups) in graphs.items() for i, h in brute_plan(groups, nodes, fits).items()}
+    out = G.consolidation_plan(
+        spark.createDataFrame([(g, n, m) for g, (_, groups) in graphs.items() for n, m in groups], "graph_id int, group_no long, members array<string>"),
+        spark.createDataFrame([(g, i, n, d) for g, (nodes, _) in graphs.items() for i, n, d in nodes], "graph_id int, node_id string, name string, degree int"),
+    ).collect()
+    assert len(out) == len({(r.graph_id, r.node_id) for r in out})
+    return {(r.graph_id, r.node_id): r.canonical for r in out}, want
+
+
+def test_consolidation_in_waves_equals_the_ordered_fold(spark):
     rng = random.Random(4)
     base = ["anna grey", "ann grey", "mrs grey", "mr grey", "tom hale", "thomas hale", "t. hale", "eve stone", "eva stone", "dr stone", "max", "maxim"]
-    nodes = [(f"n{i}", n, rng.randint(0, 3)) for i, n in enumerate(base)]
-    groups = [(i, rng.sample(base, rng.randint(2, 3))) for i in range(14)]
-    pairs = spark.createDataFrame([(a, b) for a in base for b in base], "a string, b string")
-    want = brute_plan(groups, nodes, {(r.a, r.b) for r in G.name_compatible(pairs, "a", "b").collect() if r.compatible})
-    out = G.consolidation_plan(
-        spark.createDataFrame([(1, g, m) for g, m in groups], "graph_id int, group_no long, members array<string>"),
-        spark.createDataFrame([(1, i, n, d) for i, n, d in nodes], "graph_id int, node_id string, name string, degree int"),
-    )
-    assert want and {r.node_id: r.canonical for r in out.collect()} == want
+    graphs = {}
+    for g in range(6):
+        nodes = [(f"n{i}", n, rng.randint(0, 3)) for i, n in enumerate(base)]
+        graphs[g] = nodes, [(i, rng.sample(base, rng.randint(2, 3 + g % 3))) for i in range(14)]
+    got, want = plan_of(spark, graphs)
+    assert len(want) > 12 and got == want
+
+
+def test_consolidation_of_chains_and_of_a_node_in_all_groups(spark):
+    chain = [(f"n{i}", f"lee part{i:02}", 9 - i) for i in range(7)]  # each group hands its head on to the next
+    hot = [("hot", "lee", 1)] + [(f"m{i}", f"lee x{i}", 0) for i in range(40)]
+    graphs = {
+        1: (chain, [(i, [chain[i][1], chain[i + 1][1]]) for i in range(6)]),
+        2: (hot, [(i, ["lee", f"lee x{i}"]) for i in range(40)]),
+        3: ([("a", "ann", 0)], [(1, ["ann", "ann", "nobody"])]),
+    }
+    got, want = plan_of(spark, graphs)
+    assert got == want and sum(g == 2 for g, _ in got) == 40
+    assert plan_of(spark, {1: (chain, [(0, ["nobody"])])})[0] == {}
 
 
 def test_name_guard(spark):
