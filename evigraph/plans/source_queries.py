@@ -270,6 +270,26 @@ def stream_vote(spark, sf):
     return out.groupBy("qid").agg(F.max_by("winner", "updated").alias("winner"), F.max("cast").cast("long").alias("cast"))
 
 
+TIMED = "qid long, method string, morder long, selected string, ts timestamp"
+
+
+@query(
+    "stream_vote_closed",
+    check("answers", """WITH t AS (SELECT *, epoch_ms(TIMESTAMP '2024-01-01') + qid * 60000 + morder * 1000 AS ms FROM answers),
+      c AS (SELECT qid, max(ms) AS latest, count(DISTINCT CASE WHEN selected IS NOT NULL THEN morder END) AS votes FROM t GROUP BY qid),
+      v AS (SELECT qid, arg_max(selected, (n, late)) AS winner FROM (SELECT qid, selected, count(*) AS n, max(morder) AS late FROM answers WHERE selected IS NOT NULL GROUP BY ALL) z GROUP BY qid)
+    SELECT qid, CASE WHEN votes >= 2 THEN winner END AS winner, votes AS "cast", latest FROM c LEFT JOIN v USING (qid) WHERE latest + 1800000 < (SELECT max(ms) - 600000 FROM t)"""),
+)
+def stream_vote_closed(spark, sf):
+    """Final votes: question q is asked in minute q, each method answers a second after the one before, half an hour idle closes."""
+    path = scratch_path(spark, "timed")
+    at = F.unix_millis(F.lit("2024-01-01").cast("timestamp")) + F.col("qid") * 60000 + F.col("morder") * 1000
+    rows = answers(spark, sf).select("qid", "method", "morder", "selected", F.timestamp_millis(at.cast("long")).alias("ts"))
+    rows.write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
+    out = run(spark, J.closing_votes(J.json_feed(spark, path, TIMED), "10 minutes", 1_800_000), "closed")
+    return out.select("qid", "winner", F.col("cast").cast("long").alias("cast"), "latest")
+
+
 @query("stream_dedup", "SELECT DISTINCT user_id, event_type FROM events")
 def stream_dedup(spark, sf):
     out = run(spark, J.first_answers(event_feed(spark, sf), ["user_id", "event_type"], "60 days"), "dedup")

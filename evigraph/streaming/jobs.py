@@ -75,27 +75,66 @@ def work_sessions(events: DataFrame, delay: str, gap: str) -> DataFrame:
 
 VOTE_OUT = "qid long, winner string, cast int, updated int"
 VOTE_STATE = "letters array<string>, orders array<long>, updated int"
+CLOSED_OUT = "qid long, winner string, cast int, latest long"
+CLOSED_STATE = "letters array<string>, orders array<long>, latest long"
+
+
+def _first_letters(votes: dict, pdf: pd.DataFrame) -> dict:
+    """The votes with the first letter of each method that has none yet."""
+    given = pdf[pdf["selected"].notna()].drop_duplicates("morder")
+    return dict(zip(given["morder"].astype(int), given["selected"])) | votes
+
+
+def _winner(votes: dict) -> str:
+    """The letter of most methods; a tie goes to the latest method."""
+    counts = pd.Series(votes).value_counts()
+    tied = set(counts[counts == counts.max()].index)
+    return votes[max(o for o, x in votes.items() if x in tied)]
 
 
 def _vote(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     letters, orders, updated = state.get if state.exists else ([], [], 0)
     votes = dict(zip(orders, letters))
     for pdf in batches:
-        for order, letter in zip(pdf["morder"], pdf["selected"]):
-            if letter is not None and letter == letter:
-                votes.setdefault(int(order), letter)
+        votes = _first_letters(votes, pdf)
     updated += 1
     state.update((list(votes.values()), list(votes), updated))
     if len(votes) >= 2:
-        counts = pd.Series(votes).value_counts()
-        tied = set(counts[counts == counts.max()].index)
-        winner = votes[max(o for o, x in votes.items() if x in tied)]
-        yield pd.DataFrame({"qid": [key[0]], "winner": [winner], "cast": [len(votes)], "updated": [updated]})
+        yield pd.DataFrame({"qid": [key[0]], "winner": [_winner(votes)], "cast": [len(votes)], "updated": [updated]})
 
 
 def incremental_votes(answers: DataFrame) -> DataFrame:
     """Vote per question, re-emitted as more methods answer (update mode). A tie goes to the latest method.
 
-    State per question is one letter per method, so it is bounded by the number of methods.
+    State per question is one letter per method, so it is bounded by the number of methods; it is kept for
+    good, so that an answer may come at any time. ``closing_votes`` lets go of questions that are done.
     """
     return answers.groupBy("qid").applyInPandasWithState(_vote, VOTE_OUT, VOTE_STATE, "update", GroupStateTimeout.NoTimeout)
+
+
+def closing_votes(answers: DataFrame, delay: str, idle_ms: int) -> DataFrame:
+    """One final vote per question, once it has been idle for ``idle_ms`` of event time (append mode).
+
+    A question closes when the watermark (``delay`` behind the latest ``ts``) passes its latest answer by
+    ``idle_ms``; its state is then removed, so only open questions hold any. ``winner`` is null where
+    fewer than two methods gave a letter; ``latest`` is its latest answer in epoch milliseconds. Answers
+    behind the watermark are dropped; one that comes after the close but ahead of the watermark opens
+    the question anew.
+    """
+
+    def settle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        letters, orders, latest = state.get if state.exists else ([], [], None)
+        votes = dict(zip(orders, letters))
+        if state.hasTimedOut:
+            state.remove()
+            winner = _winner(votes) if len(votes) >= 2 else None
+            yield pd.DataFrame({"qid": [key[0]], "winner": [winner], "cast": [len(votes)], "latest": [latest]})
+            return
+        for pdf in batches:
+            votes = _first_letters(votes, pdf)
+            latest = max(latest or 0, int(pdf["at"].max()))
+        state.update((list(votes.values()), list(votes), latest))
+        state.setTimeoutTimestamp(latest + idle_ms)
+
+    timed = answers.withWatermark("ts", delay).withColumn("at", F.unix_millis("ts"))
+    return timed.groupBy("qid").applyInPandasWithState(settle, CLOSED_OUT, CLOSED_STATE, "append", GroupStateTimeout.EventTimeTimeout)

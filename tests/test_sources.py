@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evigraph.operators import graph as G, iterate as I, select as C
 from evigraph.sources import readers as R
+from evigraph.streaming import jobs as J
 
 
 def test_concatenated_json(spark, tmp_path):
@@ -71,3 +72,23 @@ def test_alias_arrays_and_victims(spark):
     assert [r.src for r in best.collect()] == ["n2"]
     tier = G.victim_neighbours(nodes, edges, spark.createDataFrame([(1, "n3")], "graph_id int, node_id string"))
     assert {r.name for r in tier.collect()} == {"Alice", "Bob"} and tier.select(F.max("tier")).first()[0] == 0
+
+
+def test_votes_close_when_idle(spark, tmp_path):
+    feed, schema = tmp_path / "in", "qid long, morder long, selected string, ts timestamp"
+    at = lambda minute: f"2024-01-01T00:{minute:02}:00.000Z"
+    batches = [
+        [(1, 1, "A", 0), (1, 2, "B", 1), (2, 1, "C", 1), (4, 1, None, 1), (3, 1, "A", 30)],  # watermark then 00:28
+        [(1, 3, "A", 2), (3, 2, "A", 29), (3, 2, "D", 31), (5, 1, "B", 50)],  # question 1 comes too late
+        [(2, 2, "D", 49), (2, 3, "D", 49), (5, 2, "B", 59)],  # question 2 anew, watermark then 00:57
+        [(6, 1, "A", 59)],
+    ]
+    for n, rows in enumerate(batches):
+        feed.mkdir(exist_ok=True)
+        lines = [json.dumps({"qid": q, "morder": m, "selected": x, "ts": at(t)}) for q, m, x, t in rows]
+        (feed / f"{n}.json").write_text("\n".join(lines))
+        df = J.closing_votes(J.json_feed(spark, str(feed), schema), "2 minutes", 5 * 60_000)
+        out = J.run_to_files(df, str(tmp_path / "out"), str(tmp_path / "state"))
+    got = sorted(((r.qid, r.winner, r.cast) for r in out.collect()), key=lambda r: (r[0], r[2]))
+    # 5 and 6 are still open; the second sitting of 2 has closed (00:49 + 5 before 00:57)
+    assert got == [(1, "B", 2), (2, None, 1), (2, "D", 2), (3, "A", 2), (4, None, 0)]
