@@ -466,18 +466,35 @@ def masked_nodes(nodes: DataFrame, limit: Column | float) -> DataFrame:
     return nodes.filter(F.coalesce("text_pos", F.lit(1.0)) <= limit)
 
 
+def proven_quotes(quotes: DataFrame, texts: DataFrame, lot: int = 1000) -> DataFrame:
+    """Distinct quotes (graph_id, quote), normalised, that lie in the visible text of their graph.
+
+    Quotes meet their text in lots of about ``lot``: the text is copied once a lot, not once a quote, and
+    a graph with very many quotes spreads over as many rows as it has lots.
+    """
+    asked = quotes.filter("quote <> ''").distinct()
+    lots = asked.groupBy("graph_id").agg(F.ceil(F.count(F.lit(1)) / lot).alias("lots"))
+    packed = asked.join(lots, "graph_id").groupBy("graph_id", F.expr("pmod(xxhash64(quote), lots)").alias("lot")).agg(F.collect_list("quote").alias("asked"))
+    body = texts.select("graph_id", norm_text("visible").alias("body"))
+    return packed.join(body, "graph_id").select("graph_id", F.explode(F.filter("asked", lambda q: F.contains("body", q))).alias("quote"))
+
+
 def strict_mask(nodes: DataFrame, edges: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Keep only what the visible text proves: evidence found in it, rebuilt descriptions, no aliases.
 
-    ``texts`` carry visible and visible_ratio per graph; nodes carry evidence as an array.
+    ``texts`` carry visible and visible_ratio, one row per graph; nodes carry evidence as an array.
     """
-    v = texts.select("graph_id", norm_text("visible").alias("_v"), "visible_ratio")
-    seen = F.filter("evidence", lambda e: (norm_text(e) != "") & F.contains(F.col("_v"), norm_text(e)))
-    kept = nodes.join(v, "graph_id").withColumn("evidence", seen)
+    items = nodes.select("graph_id", "node_id", F.posexplode("evidence").alias("pos", "item")).withColumn("quote", norm_text("item"))
+    linked = edges.withColumn("quote", norm_text("evidence"))
+    seen = proven_quotes(items.select("graph_id", "quote").unionByName(linked.select("graph_id", "quote")), texts)
+    held = F.transform(F.array_sort(F.collect_list(F.struct("pos", "item"))), lambda x: x["item"])
+    proof = items.join(seen, ["graph_id", "quote"], "left_semi").groupBy("graph_id", "node_id").agg(held.alias("seen"))
+    kept = nodes.join(texts.select("graph_id", "visible_ratio"), "graph_id").join(proof, ["graph_id", "node_id"], "left")
+    kept = kept.withColumn("evidence", F.coalesce("seen", F.array().cast("array<string>"))).drop("seen")
     kept = kept.filter((F.size("evidence") > 0) | (F.coalesce("text_pos", F.lit(1.0)) <= F.col("visible_ratio")))
     kept = kept.withColumn("description", F.array_join(F.slice("evidence", 1, 3), " ")).withColumn("alias", F.lit(None).cast("string"))
-    proven = edges.join(v, "graph_id").filter((norm_text("evidence") != "") & F.contains(F.col("_v"), norm_text("evidence")))
-    return kept.drop("_v", "visible_ratio"), valid_edges(proven.drop("_v", "visible_ratio"), kept)
+    proven = linked.join(seen, ["graph_id", "quote"], "left_semi").drop("quote")
+    return kept.drop("visible_ratio"), valid_edges(proven, kept)
 
 
 # -- reading off the graph ----------------------------------------------------------------

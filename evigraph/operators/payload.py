@@ -75,21 +75,28 @@ def validated_relations(payloads: DataFrame, cap: int = 60, default_confidence:
 
 
 def validated_spans(payloads: DataFrame) -> DataFrame:
-    """Kept and dropped spans of a chunk payload; ``found`` is false for text the chunk lacks."""
-    kept = _items(payloads, SPANS, "kept", None).withColumn("kind", F.lit("kept"))
-    dropped = _items(payloads, SPANS, "dropped", None).withColumn("kind", F.lit("dropped"))
-    rows = (
-        kept.withColumn("reason", F.lit(None).cast("string"))
-        .unionByName(dropped.withColumn("time_label", F.lit(None).cast("string")))
-        .withColumnRenamed("text", "span").withColumn("span", F.trim("span")).filter("span <> ''")
-    )
-    label = F.when(F.col("kind") == "kept", F.coalesce("time_label", F.lit("unknown")))
-    return (
-        rows.withColumn("found", norm_text("chunk_text").contains(norm_text("span")))
-        .withColumn("time_label", label).withColumn("day", time_day("time_label"))
-        .withColumn("period", F.when(F.col("kind") == "kept", time_period("time_label")))
-        .withColumn("reason", F.when(F.col("kind") == "dropped", F.coalesce("reason", F.lit("other"))))
-    )
+    """Kept and dropped spans of a chunk payload; ``found`` is false for text the chunk lacks.
+
+    All spans of a payload are looked up in its own row, so the chunk's text is normalised once and goes no further.
+    """
+    keep = [c for c in payloads.columns if c not in ("payload", "chunk_text")]
+    parsed = payloads.select(*keep, norm_text("chunk_text").alias("_body"), F.from_json("payload", SPANS).alias("_p"))
+
+    def looked_up(kind: str, label, reason) -> Column:
+        def one(item: Column, pos: Column) -> Column:
+            span = F.trim(item["text"])
+            return F.struct(
+                F.lit(kind).alias("kind"), pos.alias("pos"), span.alias("span"), label(item).cast("string").alias("time_label"),
+                reason(item).cast("string").alias("reason"), F.contains("_body", norm_text(span)).alias("found"),
+            )
+
+        return F.coalesce(F.transform(F.col("_p")[kind], one), F.array())
+
+    none = lambda item: F.lit(None)
+    kept = looked_up("kept", lambda item: F.coalesce(item["time_label"], F.lit("unknown")), none)
+    dropped = looked_up("dropped", none, lambda item: F.coalesce(item["reason"], F.lit("other")))
+    rows = parsed.select(*keep, F.inline(F.concat(kept, dropped))).filter("span <> ''")
+    return rows.withColumn("day", time_day("time_label")).withColumn("period", F.when(F.col("kind") == "kept", time_period("time_label")))
 
 
 def attribute_map(value) -> Column:

@@ -140,6 +140,17 @@ def test_consolidation_of_chains_and_of_a_node_in_all_groups(spark):
     assert plan_of(spark, {1: (chain, [(0, ["nobody"])])})[0] == {}
 
 
+def test_proven_quotes_in_lots(spark):
+    quotes = [(1, f"w{i}") for i in range(30)] * 2 + [(1, ""), (1, None), (2, "w1"), (3, "w1")]
+    texts = [(1, " ".join(f"W{i}" for i in range(0, 30, 2))), (2, None), (4, "w1")]
+    asked = spark.createDataFrame(quotes, "graph_id int, quote string")
+    out = G.proven_quotes(asked, spark.createDataFrame(texts, "graph_id int, visible string"), lot=4).collect()
+    body = G.norm_text(F.lit(texts[0][1]))
+    shown = spark.range(1).select(body.alias("b")).first().b
+    assert sorted(map(tuple, out)) == sorted((1, f"w{i}") for i in range(30) if f"w{i}" in shown)
+    assert len(out) == len(set(out))
+
+
 def test_name_guard(spark):
     names = ["Mr. Grey", "Mrs Grey", "Anna Grey", "Ana Grey", "Dr", "Jean-Paul Hale", "Hale", "Bob", "Boris"]
     together = [{"Mr. Grey", "Anna Grey", "Ana Grey"}, {"Mrs Grey", "Anna Grey", "Ana Grey"}, {"Jean-Paul Hale", "Hale"}]
