@@ -37,10 +37,11 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 MARK = "▁"
-#: Edges of word lattices that a task keeps, characters of a block of new words and of a lot of texts.
-EDGES = 2_000_000
-BLOCK = 1 << 17
-LOT = 1 << 20
+#: Edges of word lattices that a task keeps, characters of a block of new words and of a lot of texts. They bound a
+#: worker's memory and change no result; larger ones were slower, as their arrays leave the cache.
+EDGES = 1_000_000
+BLOCK = 1 << 16
+LOT = 1 << 18
 GATHER = 1 << 14
 _U = np.uint64
 _ALL = (1 << 64) - 1

@@ -167,3 +167,21 @@ def test_pipeline_of_awkward_rows(spark, make_docs):
     for _, stage in corpus_pipeline.STAGES:
         empty = corpus_pipeline.cut_lineage(stage(spark, empty, SF))
     assert empty.count() == 0
+
+
+def test_a_lot_of_texts_of_new_words_needs_little_memory():
+    """Several workers share an executor, so what one of them holds for a lot and its lattices is bounded."""
+    import tracemalloc
+
+    sampler = piece_sampler.Sampler(piece_sampler.piece_model(public_tokenizers.path("piece_bpe_32k.model")), 2, 5)
+    rng = np.random.default_rng(3)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    texts = ["".join(letters[rng.integers(0, 26, 8)]) for _ in range(1 << 17)]
+    per = piece_sampler.LOT // 9
+    tracemalloc.start()
+    for at in range(0, len(texts), per):
+        lot = texts[at : at + per]
+        sampler([at], [" ".join(lot)])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150e6
