@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from evigraph.common import cut_lineage
 from evigraph.operators import graph as G, iterate as I, retrieve as R
 
 EDGE = "graph_id int, edge_id string, src string, dst string, type string, evidence string, confidence double, decoy boolean, importance int"
@@ -229,3 +230,31 @@ def test_resolution_in_order(spark, monkeypatch):
     linked = {(r.g, r.rec): r.label for r in G.resolved_entities(df, ["g"], "rec").collect()}
     assert linked["b", 1] == 0 and len({v for (g, _), v in got.items() if g == "c"}) > len({v for (g, _), v in linked.items() if g == "c"})
     assert G.resolved_entities(df.limit(0), ["g"], "rec", mode="first").count() == 0
+
+
+def test_hops_and_induced_edges_around_hubs(spark):
+    """A hub's edges do not meet every question that holds it; the rows are those of plain loops."""
+    rng = random.Random(9)
+    rows = [(0, f"e{i}", f"n{rng.randint(0, 3)}", f"n{rng.randint(0, 150)}", rng.randint(0, 6) / 6) for i in range(500)]
+    e = spark.createDataFrame(rows, "graph_id int, edge_id string, src string, dst string, confidence double")
+    asks = {q: {f"n{rng.randint(0, 150)}" for _ in range(4)} | {"n0"} for q in range(12)}
+    first = spark.createDataFrame([(0, q, n, 1, 1.0) for q, ns in asks.items() for n in ns], "graph_id int, qid int, node_id string, rank int, score double")
+    links = R.best_links(e, F.col("confidence"), 11)
+    assert links.groupBy("node_id").count().agg(F.max("count")).first()[0] == 11
+    want = set()
+    for q, ns in asks.items():
+        seen, front = {n: 1 for n in ns}, ns
+        for hop, k in ((2, 3), (3, 4)):
+            near = {}
+            for _, _, a, b, w in rows:
+                for x, y in ((a, b), (b, a)):
+                    if x in front and y not in seen:
+                        near[y] = max(near.get(y, 0), w)
+            front = {n for n, _ in sorted(near.items(), key=lambda p: (-p[1], p[0]))[:k]}
+            seen |= {n: hop for n in front}
+        want |= {(q, n, h) for n, h in seen.items()}
+    hops = cut_lineage(R.k_hop(first, e, [3, 4]))
+    assert {(r.qid, r.node_id, r.hop) for r in hops.collect()} == want
+    got = [(r.qid, r.edge_id, r.src, r.dst) for r in R.induced(hops, e).collect()]
+    held = {q: {n for p, n, _ in want if p == q} for q in asks}
+    assert sorted(got) == sorted((q, i, a, b) for q in asks for _, i, a, b, _ in rows if a in held[q] and b in held[q])

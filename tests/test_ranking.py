@@ -173,3 +173,27 @@ def test_planned_top_equals_scoring_every_node(spark):
             every.append((-round((text + named) * K.TYPE_BOOST.get(n[3], 1.0) + 0.4 * max((3 if n[4] is None else n[4]) - 1, 0), 9), n[1]))
         want += [(g, q, n, i + 1, -s) for i, (s, n) in enumerate(sorted(every)[:8])]
     assert sorted((r.graph_id, r.qid, r.node_id, r.rank) for r in got) == sorted(w[:4] for w in want)
+
+
+def test_best_units_equal_full_scoring(spark, monkeypatch):
+    """Slices, blocks, ties, frequent and rare terms, scopes of two types: the rows of full scoring, in fewer rows."""
+    monkeypatch.setattr(B, "SLICE", 3000)
+    monkeypatch.setattr(B, "ASKED", 16)
+    rng = random.Random(6)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(rng.choice(words[: rng.choice((3, 10, 40))]) for _ in range(n))
+    units = spark.createDataFrame([(i % 3, f"u{i}", text(rng.randint(0, 14))) for i in range(2400)], "scope int, unit string, text string")
+    rows = [(i % 4, i, x, text(rng.randint(0, 5)) + " unheard") for i in range(40) for x in "QA"]
+    asks = spark.createDataFrame(rows, "scope long, qid long, label string, query string")
+    pick = lambda df: sorted(map(tuple, df.select("scope", "qid", "label", "unit", "rank", F.round("score", 8)).collect()))
+    for k in (1, 8):
+        assert pick(B.best_of_text(units, asks, k)) == pick(B.ranked(B.score_text(units, asks), k))
+
+
+def test_first_nodes_make_no_row_per_question_and_node(spark):
+    """Full scoring puts every pair of a question and a node that share a word through a shuffle."""
+    units = spark.createDataFrame([(0, i, f"common word{i}") for i in range(3000)], "scope int, unit long, text string")
+    asks = spark.createDataFrame([(0, i, "Q", f"common word{i}") for i in range(200)], "scope int, qid long, label string, query string")
+    best = B.best_of_text(units, asks, 2)
+    plan = best._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and best.count() == 400
