@@ -26,3 +26,23 @@ def test_scratch_folder_without_a_setting(monkeypatch):
     assert first and common.shared_dir(session("local")) == first
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         common.shared_dir(session("spark://host:7077"))
+
+
+def test_relations_and_tables_between_steps_stay_narrow(spark, tmp_path):
+    """A count of relations keeps no ids and names of theirs, and tables between steps are written small."""
+    from evigraph.common import cut_lineage
+    from evigraph.plans import graph_queries
+
+    seen = []
+    keep = graph_queries.cut_lineage
+    try:
+        graph_queries.cut_lineage = lambda df: seen.append(df.columns) or keep(df)
+        graph_queries.totals_of(spark, "/root/testdata/sf0.001")
+    finally:
+        graph_queries.cut_lineage = keep
+    assert seen == [["graph_id", "type", "evidence", "src", "dst"]]
+    ids = spark.range(20000).selectExpr("substr(md5(cast(id as string)), 1, 16) AS edge_id")
+    table = cut_lineage(ids.coalesce(1))
+    from pathlib import Path
+    size = sum(p.stat().st_size for p in Path(table._scratch).rglob("*.parquet"))
+    assert size < 20000 * 13 and table.count() == 20000
