@@ -258,3 +258,20 @@ def test_hops_and_induced_edges_around_hubs(spark):
     got = [(r.qid, r.edge_id, r.src, r.dst) for r in R.induced(hops, e).collect()]
     held = {q: {n for p, n, _ in want if p == q} for q in asks}
     assert sorted(got) == sorted((q, i, a, b) for q in asks for _, i, a, b, _ in rows if a in held[q] and b in held[q])
+
+
+def test_found_nodes_equal_brute_force(spark):
+    rng = random.Random(9)
+    name = lambda: " ".join(rng.choice(["Old", "old", "ring", "ringlet", "bolt", "5", "55"]) for _ in range(rng.randint(1, 3)))
+    nodes = [(1, f"n{rng.randint(0, 70)}", name()) for _ in range(120)]  # a node may have several names
+    asks = [(1, name()) for _ in range(60)]
+    got = G.find_nodes(spark.createDataFrame(asks, "graph_id int, lookup string"), spark.createDataFrame(nodes, "graph_id int, node_id string, name string"), 3)
+    want = set()
+    for _, ask in set(asks):
+        tiers = {}
+        for _, node, held in nodes:
+            a, b = ask.lower(), held.lower()
+            if a in b or b in a:
+                tiers[node] = min(tiers.get(node, 1), int(a != b))
+        want |= {(1, ask, node, tier, i + 1) for i, (tier, node) in enumerate(sorted((t, n) for n, t in tiers.items())[:3])}
+    assert {tuple(r) for r in got.collect()} == want

@@ -92,3 +92,18 @@ def test_passage_blend_over_the_largest_mass(spark):
     mass = spark.createDataFrame([(1, 0, 3.0), (1, 2, 6.0), (2, 0, 0.0)], "q int, chunk_idx int, mass double")
     got = {(r.q, r.chunk_idx): round(r.score, 9) for r in R.passage_scores(lexical, mass, ["q"]).collect()}
     assert got == {(1, 0): 0.48 * 0.5 + 0.52 * 0.5, (1, 1): 0.48, (1, 2): 0.52, (2, 0): round(0.48 * 0.4, 9)}
+
+
+def test_texts_held_by_words_equal_brute_force(spark):
+    rng = random.Random(8)
+    words = ["a", "ab", "b", "ba", "abc", "", "ring", "ringer"]
+    text = lambda: " ".join(rng.choice(words) for _ in range(rng.randint(1, 5))).strip()
+    needles = sorted({(rng.randint(1, 2), t) for _ in range(120) if (t := text())})
+    hay = [(rng.randint(1, 2), rng.randint(0, 60), t) for _ in range(150) if (t := text())]
+    a, b = spark.createDataFrame(needles, "k int, n string"), spark.createDataFrame(hay, "k int, unit int, body string")
+    want = {(k, n, u) for k, n in needles for j, u, body in hay if k == j and n in body}
+    assert {tuple(r) for r in G.held_texts(a, b, ["k"], "n", "body").collect()} == want
+    few = [tuple(r) for r in G.held_texts(a, b, ["k"], "n", "body", ("unit", 2)).collect()]
+    for k, n in needles:
+        all_units = sorted(u for i, m, u in want if (i, m) == (k, n))
+        assert sorted({u for i, m, u in few if (i, m) == (k, n)}) == all_units[:2]
