@@ -275,3 +275,13 @@ def test_found_nodes_equal_brute_force(spark):
                 tiers[node] = min(tiers.get(node, 1), int(a != b))
         want |= {(1, ask, node, tier, i + 1) for i, (tier, node) in enumerate(sorted((t, n) for n, t in tiers.items())[:3])}
     assert {tuple(r) for r in got.collect()} == want
+
+
+def test_mentions_of_shared_names_are_not_shuffled_again(spark):
+    nodes = spark.createDataFrame([(1, f"n{i}", f"Big Ring {i}", "Brand#7") for i in range(6)] + [(1, "n9", "--", "(Brand#7)")], "graph_id int, node_id string, name string, alias string")
+    texts = spark.createDataFrame([(1, 1, "the big ring 2 of brand#7"), (1, 1, "big ring 3"), (1, 2, "a (brand#7) -- lock"), (1, 3, "brand#77")], "graph_id int, qid long, text string")
+    found = G.name_mentions(nodes, texts)
+    every = [f"n{i}" for i in range(6)]
+    assert sorted((r.qid, r.node_id) for r in found.collect()) == sorted([(1, n) for n in every] + [(2, n) for n in every + ["n9"]])
+    plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert "Join" in plan[1] and "Aggregate" not in plan[0]  # nothing gathers the rows that the last join makes
