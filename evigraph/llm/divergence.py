@@ -26,6 +26,7 @@ from zlib import crc32
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from evigraph.common import cut_lineage, top_k
@@ -34,6 +35,7 @@ from evigraph.common import cut_lineage, top_k
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
 SCALE = 1_000_000_000
 ENTRIES = 400_000  # (lang, source, chunk) counts that a task holds before it passes them on
+SLICE = 4 << 20  # bytes of text cut into chunks at a time
 BITS = 26  # the table of chunks to look at again has 2^26 bits, 8 MB
 SOURCES = 256  # sources in one side of a comparison
 TERMS = 2048  # expected terms in one comparison
@@ -53,62 +55,111 @@ def _lists(cuts: np.ndarray, values: pa.Array) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
 
 
-def _pack(groups: dict[tuple[str, str], tuple[Counter, Counter]], buckets: int) -> pa.RecordBatch:
-    """One row per bucket with the counts of its chunks and the groups they belong to."""
-    names = list(groups)
-    chunks = [c for n, _ in groups.values() for c in n]
-    group = np.repeat(np.arange(len(names), dtype=np.int32), [len(n) for n, _ in groups.values()])
-    n = np.fromiter((x for c, _ in groups.values() for x in c.values()), np.int64, len(chunks))
-    docs = np.fromiter((d[c] for m, d in groups.values() for c in m), np.int64, len(chunks))
-    bucket = np.fromiter(map(crc32, chunks), np.uint32, len(chunks)) % np.uint32(buckets)
-    order = np.argsort(bucket, kind="stable")
-    bucket, group = bucket[order], group[order]
-    here, starts = np.unique(bucket, return_index=True)
-    cuts = np.append(starts, len(order))
-    used, local = [], np.empty(len(order), np.int32)
-    for a, b in zip(cuts[:-1], cuts[1:]):
-        own, local[a:b] = np.unique(group[a:b], return_inverse=True)
-        used.append([names[g] for g in own])
-    columns = [
-        pa.array(here.astype(np.int32)), pa.array([[x for x, _ in u] for u in used], pa.list_(pa.string())), pa.array([[x for _, x in u] for u in used], pa.list_(pa.string())),
-        _lists(cuts, pa.array(chunks, pa.binary()).take(pa.array(order)).cast(pa.string())), _lists(cuts, pa.array(local)), _lists(cuts, pa.array(n[order])), _lists(cuts, pa.array(docs[order])),
-    ]
-    return pa.record_batch(columns, schema=PACKED)
+def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct keys and the sums of the columns over each."""
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    return key[starts], *(np.add.reduceat(c[order], starts) if len(key) else c for c in columns)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in runs of about ``SLICE`` bytes of text."""
+    size = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)) // SLICE
+    starts = np.flatnonzero(np.append(True, size[1:] != size[:-1])) if len(size) else size
+    for a, z in zip(starts, np.append(starts[1:], len(size))):
+        yield batch.slice(a, z - a)
+
+
+def _chunks(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Cut texts at ASCII white space: the text and the number of each chunk, and the distinct chunks."""
+    parts = pc.ascii_split_whitespace(texts.cast(pa.string()))
+    coded = pc.dictionary_encode(parts.flatten())
+    code = coded.indices.to_numpy()
+    owner = np.repeat(np.arange(len(texts)), np.diff(parts.offsets.to_numpy()))
+    blank = pc.index(coded.dictionary, pa.scalar("")).as_py()  # beside white space at either end
+    if blank >= 0:
+        real = code != blank
+        owner, code = owner[real], code[real]
+    return owner, code, coded.dictionary.cast(pa.binary())
+
+
+class _Held:
+    """Counts per (lang, source, chunk) of a task, summed up whenever their rows exceed ``ENTRIES``."""
+
+    def __init__(self):
+        self.names: dict[tuple[str, str], int] = {}
+        self.parts: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        group = np.array([self.names.setdefault(g, len(self.names)) for g in zip(batch.column("lang").to_pylist(), batch.column("source").to_pylist())], np.int64)
+        order = np.argsort(group, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        owner, code, chunks = _chunks(batch.column("text"))
+        # by chunk, and inside by group: documents are numbered in the order of their groups
+        key = np.sort(code * np.int64(len(order)) + place[owner])
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        times = np.diff(np.append(starts, len(key)))
+        code, group = key[starts] // len(order), group[order]
+        here = group[key[starts] % len(order)]
+        cuts = np.flatnonzero(np.append(True, (code[1:] != code[:-1]) | (here[1:] != here[:-1]))) if len(code) else starts
+        n = np.add.reduceat(times, cuts) if len(cuts) else times
+        docs = np.diff(np.append(cuts, len(code)))
+        known, each = np.unique(group, return_counts=True)  # the empty chunk of each document
+        chunks = pa.concat_arrays([chunks.take(pa.array(code[cuts])), pa.array([b""] * len(known), pa.binary())])
+        self.parts.append((chunks, np.append(here[cuts], known), np.append(n, each), np.append(docs, each)))
+        self.rows += len(chunks)
+
+    def fold(self) -> None:
+        if len(self.parts) > 1:
+            coded = pc.dictionary_encode(pa.concat_arrays([x[0] for x in self.parts]))
+            group, n, docs = (np.concatenate([x[i] for x in self.parts]) for i in (1, 2, 3))
+            key, n, docs = _summed(coded.indices.to_numpy().astype(np.int64) * len(self.names) + group, n, docs)
+            self.parts = [(coded.dictionary.take(pa.array(key // len(self.names))), key % len(self.names), n, docs)]
+            self.rows = len(key)
+
+    def pack(self, buckets: int) -> pa.RecordBatch:
+        """One row per bucket with the counts of its chunks and the groups they belong to."""
+        self.fold()
+        names, (chunks, group, n, docs) = list(self.names), self.parts[0]
+        bucket = np.fromiter(map(crc32, chunks.to_numpy(zero_copy_only=False)), np.uint32, len(chunks)) % np.uint32(buckets)
+        order = np.argsort(bucket, kind="stable")
+        bucket, group = bucket[order], group[order]
+        here, starts = np.unique(bucket, return_index=True)
+        cuts = np.append(starts, len(order))
+        used, local = [], np.empty(len(order), np.int32)
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            own, local[a:b] = np.unique(group[a:b], return_inverse=True)
+            used.append([names[g] for g in own])
+        columns = [
+            pa.array(here.astype(np.int32)), pa.array([[x for x, _ in u] for u in used], pa.list_(pa.string())), pa.array([[x for _, x in u] for u in used], pa.list_(pa.string())),
+            _lists(cuts, chunks.take(pa.array(order)).cast(pa.string())), _lists(cuts, pa.array(local)), _lists(cuts, pa.array(n[order])), _lists(cuts, pa.array(docs[order])),
+        ]
+        return pa.record_batch(columns, schema=PACKED)
 
 
 def chunk_counts(docs: DataFrame, buckets: int) -> DataFrame:
     """Packed counts per (lang, source, chunk): occurrences and documents. The empty chunk stands for each document."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        held = 0
-        for b in batches:
-            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3))):
-                n, seen = groups.setdefault((lang, source), (Counter(), Counter()))
-                before = len(n)
-                words = text.split()
-                words.append(b"")
-                n.update(words)
-                seen.update(set(words))
-                held += len(n) - before
-                if held > ENTRIES:
-                    yield _pack(groups, buckets)
-                    groups, held = {}, 0
-        if groups:
-            yield _pack(groups, buckets)
+        held = _Held()
+        for batch in batches:
+            for rows in _slices(batch):
+                held.add(rows)
+                if held.rows > ENTRIES:
+                    held.fold()
+                    if held.rows > ENTRIES // 2:
+                        yield held.pack(buckets)
+                        held = _Held()
+        if held.parts:
+            yield held.pack(buckets)
 
     kinds = {"int32": "int", "list<item: string>": "array<string>", "list<item: int32>": "array<int>", "list<item: int64>": "array<long>"}
     return _inputs(docs).mapInArrow(count, ", ".join(f"{f.name} {kinds[str(f.type)]}" for f in PACKED))
 
 
-def _summed(key: np.ndarray, *columns: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct keys and the sums of the columns over each."""
-    order = np.argsort(key, kind="stable")
-    key = key[order]
-    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
-    return key[starts], *(np.add.reduceat(c[order], starts) if len(key) else c for c in columns)
-
-
 TERM_ROWS = "lang string, source string, chunk string, term string, n long"
 
 
@@ -127,8 +178,8 @@ def _terms_of_bucket(rows: list[dict]) -> pa.RecordBatch:
     wide, per_lang = _summed(chunk * len(langs) + lang_of[group], docs)
 
     owner, terms, times = [], [], []  # the terms of each distinct chunk, by chunk
-    for i, text in enumerate(coded.dictionary.cast(pa.binary()).to_pylist()):
-        found = TERM.findall(text.lower())
+    for i, text in enumerate(pc.ascii_lower(coded.dictionary).cast(pa.binary()).to_numpy(zero_copy_only=False)):
+        found = TERM.findall(text)
         if len(found) > 1:
             found = Counter(found)
             owner += [i] * len(found)
@@ -154,8 +205,7 @@ def _terms_of_bucket(rows: list[dict]) -> pa.RecordBatch:
     parts = [[pick([x for x, _ in names], group[row]), pick([x for _, x in names], group[row]), none(len(row)), terms.take(pa.array(place)), pa.array(n[row] * times[place])]]
     row, place = spread(wide // len(langs))
     parts.append([pick(langs, wide[row] % len(langs)), none(len(row)), coded.dictionary.take(pa.array(wide[row] // len(langs))), terms.take(pa.array(place)), pa.array(per_lang[row])])
-    lone = [i for i, c in enumerate(coded.dictionary.to_pylist()) if c == ""]
-    here = group[np.isin(chunk, lone)]
+    here = group[chunk == pc.index(coded.dictionary, pa.scalar("")).as_py()]
     parts.append([pick([x for x, _ in names], here), pick([x for _, x in names], here), none(len(here)), none(len(here)), pa.array(np.zeros(len(here), np.int64))])
     return pa.RecordBatch.from_arrays([pa.concat_arrays(c) for c in zip(*parts)], [f.split()[0] for f in TERM_ROWS.split(", ")])
 
@@ -181,21 +231,6 @@ def term_rows(packed: DataFrame, parts: int) -> DataFrame:
     return packed.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(cut, TERM_ROWS)
 
 
-class _Marked(dict):
-    """Whether the table has the bit of a chunk; answers are kept, up to a bounded number."""
-
-    def __init__(self, table: np.ndarray):
-        super().__init__()
-        self.table = table
-
-    def __missing__(self, chunk: bytes) -> bool:
-        if len(self) >= ENTRIES:
-            self.clear()
-        place = crc32(chunk) >> (32 - BITS)
-        self[chunk] = hit = bool(self.table[place >> 3] >> (place & 7) & 1)
-        return hit
-
-
 def documents_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lang, term, docs) of ``wanted`` (lang, chunk, term): documents that hold any of a term's chunks."""
     place = F.shiftrightunsigned(F.crc32(F.col("chunk").cast("binary")), 32 - BITS)
@@ -206,15 +241,16 @@ def documents_with(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(table.astype("<u4").view(np.uint8))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marked = _Marked(shared.value)
-        for b in batches:
-            out: tuple[list, list, list] = ([], [], [])
-            for lang, text, row in zip(*(b.column(i).to_pylist() for i in range(3))):
-                hits = [w for w in set(text.split()) if marked[w]]
-                out[0].extend([lang] * len(hits))
-                out[1].extend(hits)
-                out[2].extend([row] * len(hits))
-            yield pa.record_batch([pa.array(out[0], pa.string()), pa.array(out[1], pa.binary()).cast(pa.string()), pa.array(out[2], pa.int64())], ["lang", "chunk", "row"])
+        for batch in batches:
+            for b in _slices(batch):
+                owner, code, chunks = _chunks(b.column("text"))
+                place = np.fromiter(map(crc32, chunks.to_numpy(zero_copy_only=False)), np.int64, len(chunks)) >> (32 - BITS)
+                marked = (shared.value[place >> 3] >> (place & 7) & 1).astype(bool)
+                hit = marked[code]
+                key = np.sort(code[hit] * np.int64(b.num_rows) + owner[hit])
+                key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
+                code, row = pa.array(key // b.num_rows), pa.array(key % b.num_rows)
+                yield pa.record_batch([b.column("lang").take(row), chunks.take(code).cast(pa.string()), b.column("row").take(row)], ["lang", "chunk", "row"])
 
     rows = _inputs(docs).select("lang", "text", F.monotonically_increasing_id().alias("row")).mapInArrow(find, "lang string, chunk string, row long")
     held = rows.join(wanted, ["lang", "chunk"]).select("lang", "term", "row").distinct()

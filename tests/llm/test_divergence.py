@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from evigraph.llm import divergence
@@ -86,3 +87,23 @@ def test_large_counts_stay_exact(spark):
     df = spark.createDataFrame([(10**17, 3 * 10**17 + 1), (0, 5), (7, 12)], "n long, t long")
     for r in df.select("n", "t", divergence.share(df["n"], df["t"]).alias("p")).collect():
         assert int(r["p"]) == 1 + 10**9 * (r["n"] + 5) // r["t"]
+
+
+def test_chunks_are_cut_as_python_cuts_bytes():
+    """Texts of one task are cut at once, with the same chunks, counts and documents as one by one."""
+    texts = [b"", b"  ", b"\x0b a\x0cb\x1ca \t\n\r", "x y z\u0085 é".encode(), b"dog dog Dog", b"a" * 40 + b" a"]
+    owner, code, chunks = divergence._chunks(pa.array(texts, pa.binary()))
+    assert [[chunks[c].as_py() for c in code[owner == i]] for i in range(len(texts))] == [t.split() for t in texts]
+    held = divergence._Held()
+    groups = [("en", "a"), ("en", "b"), ("en", "a"), ("de", "a"), ("en", "b"), ("en", "a")]
+    for lo in (0, 3):
+        held.add(pa.record_batch([pa.array([g[i] for g in groups[lo : lo + 3]]) for i in (0, 1)] + [pa.array(texts[lo : lo + 3], pa.binary())], ["lang", "source", "text"]))
+    held.fold()
+    names = list(held.names)
+    got = {(names[g], c): (n, d) for c, g, n, d in zip(held.parts[0][0].to_pylist(), *(x.tolist() for x in held.parts[0][1:]))}
+    want = {}
+    for g, t in zip(groups, texts):
+        for c, n in [*Counter(t.split()).items(), (b"", 1)]:
+            old = want.get((g, c), (0, 0))
+            want[g, c] = (old[0] + n, old[1] + 1)
+    assert got == want
