@@ -2,6 +2,7 @@
 
 import json
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from evigraph.operators import graph as G, iterate as I, select as C
@@ -92,3 +93,19 @@ def test_votes_close_when_idle(spark, tmp_path):
     got = sorted(((r.qid, r.winner, r.cast) for r in out.collect()), key=lambda r: (r[0], r[2]))
     # 5 and 6 are still open; the second sitting of 2 has closed (00:49 + 5 before 00:57)
     assert got == [(1, "B", 2), (2, None, 1), (2, "D", 2), (3, "A", 2), (4, None, 0)]
+
+
+def test_json_values_are_cut_in_bounded_pieces(monkeypatch):
+    """However few bytes are text at a time, the values, their places and what is broken stay the same."""
+    files = [
+        "", "﻿ ﻿", '﻿{"a": "é漢😀}{"} [1, {"b": "\\"]"}] 12 -3.5e+10 7e2 true "x y"  null', '{"a": 1}{"b": [1, 2]}\n\t{"c"', "1.5 2", '{"long": "' + "漢字" * 60 + '"}3', "x", None,
+    ]
+    batch = pa.record_batch([pa.array([f"f{i}" for i in range(len(files))]), pa.array(files)], ["path", "value"])
+    cut = lambda: [tuple(r.values()) for b in R._cut_objects(iter([batch])) for r in b.to_pylist()]
+    whole = cut()
+    assert [r[2] for r in whole if r[0] == "f2"] == ['{"a": "é漢😀}{"}', "1", '{"b": "\\"]"}', "12", "-3.5e+10", "7e2", "true", '"x y"', "null"]
+    assert [r[1:] for r in whole if r[0] in ("f3", "f6")] == [(0, '{"a": 1}', False), (1, '{"b": [1, 2]}', False), (2, '{"c"', True), (0, "x", True)]
+    for width in (4, 5, 7, 16, 50):
+        monkeypatch.setattr(R, "WINDOW", width)
+        assert cut() == whole
+        assert max(b.num_rows for b in R._cut_objects(iter([batch]))) <= width + 1
