@@ -109,3 +109,12 @@ def test_json_values_are_cut_in_bounded_pieces(monkeypatch):
         monkeypatch.setattr(R, "WINDOW", width)
         assert cut() == whole
         assert max(b.num_rows for b in R._cut_objects(iter([batch]))) <= width + 1
+
+
+def test_whole_texts_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    from evigraph.plans import source_queries
+
+    monkeypatch.setattr(source_queries, "scratch_path", lambda spark, name: str(tmp_path / name))
+    source_queries.src_wholetext(spark, "/root/testdata/sf0.001")
+    tasks = {p.name.split("-")[1] for p in (tmp_path / "texts").rglob("part-*.txt")}
+    assert len(tasks) == spark.sparkContext.defaultParallelism
