@@ -22,7 +22,7 @@ QUERY = ["scope", "qid", "label"]
 
 @dataclass
 class Index:
-    """Postings (scope, term, unit, tf, dl), term table (scope, term, df, idf), stats (scope, n, avgdl)."""
+    """Postings (scope, term, unit, tf, dl), term table (scope, term, df, cf, idf), stats (scope, n, avgdl)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -40,30 +40,40 @@ class Index:
         return cls(*[spark.table(f"{prefix}_{name}") for name in ("postings", "terms", "stats")])
 
 
-#: Term of the row that each unit adds to the postings' shuffle, so that length statistics need no second pass over the texts.
+#: Term of the row that each unit adds to the term counts, so that length statistics need no second pass over the texts.
 UNIT_ROW = ""
 
 
 def build_index(units: DataFrame, vocabulary: DataFrame | None = None) -> Index:
-    """Index of all units; with a (scope, term) ``vocabulary``, postings hold only those terms.
+    """Index of all units, one row each; with a (scope, term) ``vocabulary``, postings hold only those terms.
 
-    The vocabulary filter runs before the shuffle, so scoring a batch of queries against raw
-    text moves only the query terms' occurrences. Texts are tokenised once: postings, document
-    frequencies and statistics read the same exchange.
+    Terms and statistics are counted where the texts lie, and only a scope's terms with their counts are shuffled: postings
+    move for those who read them, once. The vocabulary filter runs before that. Units may carry their scope's
+    vocabulary in an array ``only``, if it is small; other terms then leave the row they stand in, with no join.
     """
-    toks = units.select("scope", "unit", tokenize("text").alias("toks"))
-    rows = toks.select("scope", "unit", F.size("toks").alias("dl"), F.explode(F.concat(F.array(F.lit(UNIT_ROW)), "toks")).alias("term"))
-    if vocabulary is not None:
-        marks = units.select("scope").distinct().withColumn("term", F.lit(UNIT_ROW))
-        rows = rows.join(vocabulary.select("scope", "term").unionByName(marks), ["scope", "term"], "left_semi")
-    counted = rows.groupBy("scope", "term", "unit", "dl").agg(F.count(F.lit(1)).alias("tf"))
-    # a filter here would be pushed below the aggregate and part the exchanges
-    stats = counted.groupBy("scope").agg(F.sum(F.when(F.col("term") == UNIT_ROW, F.col("tf"))).alias("n"), F.avg(F.when(F.col("term") == UNIT_ROW, F.col("dl"))).alias("avgdl"))
-    # uses tf so that both users of the postings share one exchange
-    df = counted.groupBy("scope", "term").agg(F.sum(F.least("tf", F.lit(1))).alias("df")).filter(F.col("df") > 0)
+    own = "only" in units.columns
+    toks = units.select("scope", "unit", tokenize("text").alias("toks"), *["only"] * own).withColumn("dl", F.size("toks"))
+    keep = F.lit(True)
+    if own:  # hashes are compared much faster; those found are looked up as they are
+        toks = toks.withColumn("hashes", F.transform("only", lambda t: F.xxhash64(t)))
+        keep = F.array_contains("hashes", F.xxhash64("term")) & F.array_contains("only", F.col("term"))
+    rows = toks.select("*", F.explode("toks").alias("term")).filter(keep).select("scope", "unit", "dl", "term")
+    # in order, a term's first place is the one after another term; the unit's row comes before all and counts its length
+    order = F.sort_array(F.concat(F.array(F.lit(UNIT_ROW)), "toks"))
+    zipped = F.arrays_zip(order.alias("term"), F.concat(F.array(F.lit(None).cast("string")), order).alias("before"))
+    seen = toks.select("*", F.inline(zipped).alias("term", "before")).filter("term IS NOT NULL").filter((F.col("term") == UNIT_ROW) | keep)
+    seen = seen.select("scope", "term", (~F.col("term").eqNullSafe(F.col("before"))).cast("int").alias("df"), F.when(F.col("term") == UNIT_ROW, F.col("dl")).otherwise(1).alias("cf"))
+    counts = seen.groupBy("scope", "term").agg(F.sum("df").alias("df"), F.sum("cf").alias("cf"))
+    if vocabulary is not None and not own:
+        rows = rows.join(vocabulary.select("scope", "term"), ["scope", "term"], "left_semi")
+    postings = rows.groupBy("scope", "term", "unit", "dl").agg(F.count(F.lit(1)).alias("tf"))
+    stats = counts.filter(F.col("term") == UNIT_ROW).select("scope", F.col("df").alias("n"), (F.col("cf") / F.col("df")).alias("avgdl"))
+    wanted = counts.filter(F.col("term") != UNIT_ROW)
+    if vocabulary is not None and not own:
+        wanted = wanted.join(vocabulary.select("scope", "term"), ["scope", "term"], "left_semi")
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1.0)
-    terms = df.join(stats.select("scope", "n"), "scope").filter(F.col("term") != UNIT_ROW).select("scope", "term", "df", idf.alias("idf"))
-    return Index(counted.filter(F.col("term") != UNIT_ROW), terms, stats)
+    terms = wanted.join(stats.select("scope", "n"), "scope").select("scope", "term", "df", "cf", idf.alias("idf"))
+    return Index(postings, terms, stats)
 
 
 def weighted(index: Index) -> DataFrame:
@@ -94,7 +104,7 @@ def flat() -> Column:
 
 def score(index: Index, queries: DataFrame, formula: Column | None = None) -> DataFrame:
     """(scope, qid, label, unit, score) for every unit that shares a term with the query."""
-    wanted = query_terms(queries).join(index.terms, ["scope", "term"]).join(index.stats.select("scope", "avgdl"), "scope")
+    wanted = query_terms(queries).join(index.terms.drop("cf"), ["scope", "term"]).join(index.stats.select("scope", "avgdl"), "scope")
     hits = index.postings.join(wanted, ["scope", "term"])
     part = saturated() if formula is None else formula
     return hits.groupBy(*QUERY, "unit").agg(F.sum(part).alias("score"))

@@ -197,3 +197,27 @@ def test_first_nodes_make_no_row_per_question_and_node(spark):
     best = B.best_of_text(units, asks, 2)
     plan = best._jdf.queryExecution().toString()
     assert "FlatMapCoGroupsInArrow" in plan and best.count() == 400
+
+def test_own_vocabulary_and_counts_without_postings(spark):
+    """A scope's own terms in its rows give the same scores as a join; counts and scores of all terms shuffle no row per token."""
+    import itertools
+
+    rng = random.Random(3)
+    words = ["a", "b", "cd", "e9", "漢", "zz", "killer", "key"]
+    rows = [(s, s * 100 + u, " ".join(rng.choices(words, k=rng.choice([0, 1, 5, 30])))) for s in range(4) for u in range(6)] + [(9, 900, None), (9, 901, "...")]
+    units = spark.createDataFrame(rows, "scope long, unit long, text string")
+    asks = spark.createDataFrame([(s, s, x, " ".join(rng.choices(words, k=3)) + " nowhere") for s, x in itertools.product(range(4), "QA")], "scope long, qid long, label string, query string")
+    only = B.text_vocabulary(asks).groupBy("scope").agg(F.collect_list("term").alias("only"))
+    pick = lambda df: sorted((r.scope, r.qid, r.label, r.unit, round(r.score, 9)) for r in df.collect())
+    with_own = units.join(only, "scope", "left").withColumn("only", F.coalesce("only", F.array().cast("array<string>")))
+    full = pick(B.score(B.build_index(units), asks))
+    assert pick(B.score_text(units, asks)) == full and pick(B.score_text(with_own, asks)) == full and len(full) > 20
+    index = B.build_index(units)
+    want = {}
+    for s, u, t in rows:
+        for w in (t or "").split():
+            if w != "...":
+                want.setdefault((s, w), []).append(u)
+    assert {(r.scope, r.term): (r.df, r.cf) for r in index.terms.collect()} == {k: (len(set(v)), len(v)) for k, v in want.items()}
+    plan = index.terms._jdf.queryExecution().executedPlan().toString()
+    assert "unit" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0] and all("unit" not in x.split(")")[0] for x in plan.split("Exchange hashpartitioning(")[1:])
