@@ -1,6 +1,7 @@
 """Containment, location and repair against brute force."""
 
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -107,3 +108,17 @@ def test_texts_held_by_words_equal_brute_force(spark):
     for k, n in needles:
         all_units = sorted(u for i, m, u in want if (i, m) == (k, n))
         assert sorted({u for i, m, u in few if (i, m) == (k, n)}) == all_units[:2]
+
+
+def test_a_quote_of_several_ids_is_looked_for_once(spark):
+    """Ids that share a quote each get the occurrence closest to their own place, and the text meets the quote once."""
+    text = "the key" + " x" * 200 + " The  KEY" + " y" * 200 + " the key end"
+    chunks = S.chunk_fixed(spark.createDataFrame([(1, text)], "doc_id int, text string"))
+    rows = spark.createDataFrame([(1, i, "the  key" if i % 2 else "the key", i / 20) for i in range(21)], "doc_id int, id int, quote string, near double")
+    found = G.locate_quotes(rows, chunks, ["doc_id"], ["id"])
+    at = [m.start() for m in re.finditer(r"the\s+key", text, re.I)]
+    want = {i: (min(at, key=lambda p: (abs(p - max(0, min(len(text) - 1, int(i / 20 * len(text))))), p)), 8 if i % 2 else 7) for i in range(21)}
+    assert {r.id: (r.pos, r.length) for r in found.collect()} == want and len(set(want.values())) >= 4
+    lines = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    above = [x for x, y in zip(lines, lines[1:]) if "Generate explode(" in y and "split(" in y]
+    assert above and all("nq#" in x and not re.search(r"\bid#", x) for x in above)
