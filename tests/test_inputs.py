@@ -46,3 +46,31 @@ def test_relations_and_tables_between_steps_stay_narrow(spark, tmp_path):
     from pathlib import Path
     size = sum(p.stat().st_size for p in Path(table._scratch).rglob("*.parquet"))
     assert size < 20000 * 13 and table.count() == 20000
+
+
+def test_edges_move_few_rows(spark, tmp_path):
+    """Lines are shuffled twice and parted into edges after that; equal rows are still one edge, missing ends none."""
+    import duckdb
+
+    from evigraph.plans import inputs
+
+    con = duckdb.connect()
+    con.execute("SET TimeZone='UTC'")
+    for t in ("customer", "part", "orders", "lineitem"):
+        con.execute(f"create table {t} as select * from '{SF}/{t}.parquet'")
+    con.execute("insert into lineitem select * from lineitem where l_orderkey % 7 = 0")
+    con.execute("insert into lineitem select * replace (99999999 as l_partkey) from lineitem limit 5")
+    con.execute("insert into part select * from part where p_partkey % 50 = 0")
+    for t in ("customer", "part", "orders", "lineitem"):
+        con.execute(f"copy {t} to '{tmp_path}/{t}.parquet' (format parquet)")
+    want = con.execute(f"select graph_id, src, dst, type, evidence, confidence, decoy, importance, edge_id from ({inputs.CHECK_SQL['edges']})").fetchall()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        df = inputs._derive(spark, str(tmp_path), "edges").select("graph_id", "src", "dst", "type", "evidence", "confidence", "decoy", "importance", "edge_id")
+        moves = df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+        got = df.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert moves == 6  # three joins of two sides, and none to drop equal rows
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10_000
