@@ -285,3 +285,54 @@ def test_mentions_of_shared_names_are_not_shuffled_again(spark):
     assert sorted((r.qid, r.node_id) for r in found.collect()) == sorted([(1, n) for n in every] + [(2, n) for n in every + ["n9"]])
     plan = found._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert "Join" in plan[1] and "Aggregate" not in plan[0]  # nothing gathers the rows that the last join makes
+
+
+def joined_after(plan, word):
+    """Whether ``word`` stands only below the plan's first join."""
+    lines = plan.split("\n")
+    join = min(i for i, line in enumerate(lines) if "Join " in line)
+    return any(word in line for line in lines[join + 1 :]) and not any(word in line for line in lines[: join + 1])
+
+
+def test_names_are_cleaned_once(spark):
+    """A name is cleaned in one place of the plan, and a name that many relations hold once before its ends are compared."""
+    nodes = spark.createDataFrame([(1, "n1", "The  Old--Man", "x"), (1, "n2", "Bob", "")], "graph_id int, node_id string, name string, alias string")
+    index = G.name_index(nodes)
+    assert {(r.key, r.node_id) for r in index.collect()} == {("old man", "n1"), ("x", "n1"), ("bob", "n2")}
+    assert index._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    rel = spark.createDataFrame([(1, "old man", "nobody")] * 50, "graph_id int, source string, target string")
+    out = G.referenced_nodes(nodes, rel)
+    assert [r.node_id for r in out.collect()] == ["n1"]
+    lines = out._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    cleaned = [i for i, line in enumerate(lines) if "regexp_extract_all" in line]
+    assert len(cleaned) == 2 and any("Aggregate" in line and "raw" in line for line in lines[cleaned[1] :])
+
+
+def test_canonical_name_keeps_words(spark):
+    cases = {"The  Old--Man ": "old man", "the": "the", " the the": "the", "--": "", "一龥 The A": "一龥 the a", "théa": "th a", "\u00a0The\u2003x": "x"}
+    rows = spark.createDataFrame([(k,) for k in cases], "raw string").select("raw", G.canonical_name("raw").alias("key")).collect()
+    assert {r.raw: r.key for r in rows} == cases
+
+
+def test_core_reads_edges_and_writes_them_once(spark, monkeypatch):
+    """A chain peels one node a round; edges are written once, and anew only beyond the number of nodes sent to tasks."""
+    chain = [(1, "a", "b"), (1, "b", "c"), (1, "a", "c")] + [(1, f"x{i}", f"x{i + 1}") for i in range(6)] + [(1, "a", "x0"), (2, "p", "q"), (None, "a", "b")]
+    pairs = spark.createDataFrame(chain, "graph_id int, a string, b string")
+    keep, seen = I.cut_lineage, []
+    monkeypatch.setattr(I, "cut_lineage", lambda df: seen.append(df.columns) or keep(df))
+    want = {(1, "a", "b"), (1, "b", "c"), (1, "a", "c")}
+    assert {tuple(r) for r in I.k_core(pairs, ["graph_id"]).collect()} == want
+    assert seen.count(["graph_id", "a", "b"]) == 1
+    seen.clear()
+    monkeypatch.setattr(I, "PEELED", 1)
+    assert {tuple(r) for r in I.k_core(pairs, ["graph_id"]).collect()} == want
+    assert seen.count(["graph_id", "a", "b"]) > 2
+
+
+def test_only_pronoun_edges_look_up_their_ends(spark):
+    nodes = spark.createDataFrame([(1, "n1", "Alice"), (1, "n2", "the woman")], "graph_id int, node_id string, name string")
+    e = edges(spark, [("n2", "n1", "motive", "a key", 0.9, False, 3), ("n1", "n2", "motive", "she saw", 0.9, False, 3), ("n2", "n1", "motive", None, 0.9, False, 3)])
+    ante = spark.createDataFrame([(1, 3, "alice")], "graph_id int, seq long, name string")
+    out = G.reattached_edges(e.withColumn("seq", F.col("importance").cast("long")), nodes, ante)
+    assert {r.edge_id: (r.src, r.dst, r.moved) for r in out.collect()} == {"e0": ("n2", "n1", None), "e1": ("n1", "n1", True), "e2": ("n2", "n1", None)}
+    assert joined_after(out.drop("evidence")._jdf.queryExecution().optimizedPlan().toString(), "RLIKE")
