@@ -336,3 +336,16 @@ def test_only_pronoun_edges_look_up_their_ends(spark):
     out = G.reattached_edges(e.withColumn("seq", F.col("importance").cast("long")), nodes, ante)
     assert {r.edge_id: (r.src, r.dst, r.moved) for r in out.collect()} == {"e0": ("n2", "n1", None), "e1": ("n1", "n1", True), "e2": ("n2", "n1", None)}
     assert joined_after(out.drop("evidence")._jdf.queryExecution().optimizedPlan().toString(), "RLIKE")
+
+
+def test_waves_send_no_tables_to_the_driver(spark, monkeypatch):
+    """However small the tables of a wave are, none is broadcast; the plan equals the fold in order."""
+    keep, plans = G.cut_lineage, []
+    monkeypatch.setattr(G, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df))
+    names = ["Mr. Ash", "Ash", "Dr. Ash", "Mr. Birch", "Birch", "Lady Birch"]
+    nodes = spark.createDataFrame([(1, f"n{i}", n, 10 - i) for i, n in enumerate(names)], "graph_id int, node_id string, name string, degree long")
+    groups = [(1, 1, ["Mr. Ash", "Ash"]), (1, 2, ["Ash", "Dr. Ash"]), (1, 3, ["Mr. Birch", "Birch"]), (1, 4, ["Birch", "Lady Birch", "Ash"])]
+    out = G.consolidation_plan(spark.createDataFrame(groups, "graph_id int, group_no long, members array<string>"), nodes).collect()
+    assert {(r.group_no, r.node_id, r.canonical) for r in out} == {(1, "n1", "n0"), (3, "n4", "n3")}
+    waves = [p for p in plans if "waits" in p or "earlier" in p]
+    assert waves and not any("Broadcast" in p for p in waves)
