@@ -221,3 +221,42 @@ def test_own_vocabulary_and_counts_without_postings(spark):
     assert {(r.scope, r.term): (r.df, r.cf) for r in index.terms.collect()} == {k: (len(set(v)), len(v)) for k, v in want.items()}
     plan = index.terms._jdf.queryExecution().executedPlan().toString()
     assert "unit" not in plan.split("Exchange hashpartitioning(")[1].split(")")[0] and all("unit" not in x.split(")")[0] for x in plan.split("Exchange hashpartitioning(")[1:])
+
+
+def test_slices_score_few_blocks(monkeypatch):
+    """The best units of a slice by bounds equal those of full scoring, with few units scored; ties go to the smaller unit."""
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    n_units, n_terms = 20_000, 60
+    pairs = np.unique(np.stack([np.repeat(np.arange(n_units), 6), rng.integers(0, n_terms, 6 * n_units)], axis=1), axis=0)
+    weight = rng.choice([0.5, 1.0, 2.0], len(pairs)) * (1 + pairs[:, 1] % 7)
+    rng.shuffle(order := np.arange(len(pairs)))
+    part = B._Slice(pairs[order, 0], pairs[order, 1], weight[order], n_units, n_terms)
+    scored, plain = [], part.scores
+    monkeypatch.setattr(part, "scores", lambda blocks: scored.append(len(blocks) * B.STRIDE) or plain(blocks))
+    for k in (1, 8, 40):
+        for _ in range(30):
+            terms = rng.choice(n_terms, 5, replace=False)
+            factors = rng.choice([1.0, 0.7, 2.4], 5)
+            full = np.zeros((n_units, n_terms))
+            full[pairs[:, 0], pairs[:, 1]] = weight
+            total = np.floor(full[:, terms] @ factors * 1e9 + 0.5)
+            want = np.lexsort((np.arange(n_units), -total))[:k]
+            unit, score = part.best(terms.tolist(), factors.tolist(), k)
+            assert unit.tolist() == want.tolist() and np.floor(score * 1e9 + 0.5).tolist() == total[want].tolist()
+    assert sum(scored) < 90 * n_units / 2
+    assert len(part.best([], [], 8)[0]) == 0
+
+
+def test_texts_are_cut_into_terms_once(spark):
+    """Weights of dear texts equal those of the plain index, also for empty texts, and read each text a single time."""
+    rng = random.Random(8)
+    rows = [(i % 3, f"u{i}", None if i % 17 == 0 else " ".join(rng.choices(["a", "b", "cd", "e9", "漢", "zz"], k=i % 9))) for i in range(200)]
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda t: seen.add(1) or t, "string").asNondeterministic()
+    units = spark.createDataFrame(rows, "scope int, unit string, text string")
+    words = spark.createDataFrame([(s, w) for s in range(4) for w in ("a", "cd", "漢", "none")], "scope int, term string")
+    pick = lambda df: sorted((r.scope, r.term, r.unit, round(r.weight, 9)) for r in df.collect())
+    assert pick(B.text_weights(units.withColumn("text", count("text")), words)) == pick(B.weighted(B.build_index(units, words)))
+    assert seen.value == len(rows)
