@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..common import prefix_scan, top_k
@@ -107,24 +111,99 @@ def cluster_bootstrap(rows: DataFrame, group: str, draws: int) -> DataFrame:
     return interval(values, draws)
 
 
+_SHIFTS = [7, 12, 17, 22] * 4 + [5, 9, 14, 20] * 4 + [4, 11, 16, 23] * 4 + [6, 10, 15, 21] * 4
+_SINES = np.floor(np.abs(np.sin(np.arange(1, 65))) * 2**32).astype(np.uint32)
+_STATE = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+
+
+def md5_heads(words: list[np.ndarray | None]) -> np.ndarray:
+    """Whole number of the first eight hex digits of the MD5 of many one-block messages at once.
+
+    ``words``: the block's sixteen 32-bit words, an array each with a place per message; None where all are zero.
+    """
+    n = next(len(w) for w in words if w is not None)
+    a, b, c, d = (np.full(n, x, np.uint32) for x in _STATE)
+    for i in range(64):
+        if i < 16:
+            f, g = d ^ (b & (c ^ d)), i
+        elif i < 32:
+            f, g = c ^ (d & (b ^ c)), (5 * i + 1) % 16
+        elif i < 48:
+            f, g = b ^ c ^ d, (3 * i + 5) % 16
+        else:
+            f, g = c ^ (b | ~d), 7 * i % 16
+        f += a
+        f += _SINES[i]
+        if words[g] is not None:
+            f += words[g]
+        left = f << np.uint32(_SHIFTS[i])
+        f >>= np.uint32(32 - _SHIFTS[i])
+        f |= left
+        f += b
+        a, b, c, d = d, f, b, c
+    return (a + np.uint32(_STATE[0])).byteswap().astype(np.int64)
+
+
+def _row_hashes(draw: np.ndarray, slot: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``md5_heads`` of the texts row:draw:slot:j, all numbers of one number of digits in each place."""
+    text, digits = [np.full(len(j), x, np.uint8) for x in b"row:"], lambda x: len(str(int(x[0])))
+    for numbers in (draw, slot, j):
+        text += [(numbers // 10**p % 10 + 48).astype(np.uint8) for p in range(digits(numbers) - 1, -1, -1)] + [np.full(len(j), ord(":"), np.uint8)]
+    size = len(text) - 1
+    if size > 55:  # more than one block
+        return np.array([int(hashlib.md5(f"row:{x}:{y}:{z}".encode()).hexdigest()[:8], 16) for x, y, z in zip(draw, slot, j)], np.int64)
+    text[size] = np.full(len(j), 0x80, np.uint8)
+    text += [np.zeros(len(j), np.uint8)] * (-len(text) % 4)
+    words = [np.ascontiguousarray(np.stack(text[i : i + 4], axis=1)).view("<u4")[:, 0] for i in range(0, len(text), 4)]
+    return md5_heads(words + [None] * (14 - len(words)) + [np.full(len(j), 8 * size, np.uint32), None])
+
+
+HASHED = 1 << 14  # rows hashed at a time
+
+
+def _sampled(batches):
+    """Blocks (draw, slot, from, upto, n, neg, pos) to (draw, total, rows): the sum of the values drawn for the rows from ``from`` up to ``upto``."""
+    for batch in batches:
+        draw, slot, first, upto, n, neg, pos = (batch.column(c).to_numpy() for c in ("draw", "slot", "from", "upto", "n", "neg", "pos"))
+        size = upto - first
+        total = np.zeros(len(size), np.int64)
+        ends = np.cumsum(size)
+        lo = 0
+        while lo < len(size):
+            hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] - size[lo] + HASHED, side="right")))
+            row = np.repeat(np.arange(lo, hi), size[lo:hi])
+            j = np.arange(len(row)) - np.repeat(ends[lo:hi] - size[lo:hi] - (ends[lo] - size[lo]), size[lo:hi]) + first[row]
+            places = [np.searchsorted(10 ** np.arange(1, 19), x, side="right") for x in (draw[row], slot[row], j)]
+            kind = (places[0] * 20 + places[1]) * 20 + places[2]
+            for k in np.unique(kind):
+                at = np.flatnonzero(kind == k)
+                r = row[at]
+                hit = _row_hashes(draw[r], slot[r], j[at]) % n[r]
+                value = np.where(hit < neg[r], -1, np.where(hit < neg[r] + pos[r], 1, 0))
+                total += np.bincount(r, weights=value, minlength=len(size)).astype(np.int64)
+            lo = hi
+        yield pa.RecordBatch.from_arrays([pa.array(draw), pa.array(total), pa.array(size)], names=["draw", "total", "rows"])
+
+
 def two_stage_bootstrap(rows: DataFrame, group: str, draws: int) -> DataFrame:
-    """Resample groups, then rows inside each group. Values are -1, 0 or 1, so three counts describe a group."""
+    """Resample groups, then rows inside each group. Values are -1, 0 or 1, so three counts describe a group.
+
+    Every row of every draw is picked by the hash of its place. A large group is drawn in blocks, blocks are dealt over
+    all tasks, and a task hashes many rows at once.
+    """
+    spark = rows.sparkSession
     counts = rows.groupBy(group).agg(
         F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") < 0).alias("neg"), F.count_if(F.col("value") > 0).alias("pos")
     )
     sums = cluster_index(counts, group)
-    picks = draw_slots(rows.sparkSession, draws, sums.agg(F.count(F.lit(1)).alias("n_clusters")))
+    picks = draw_slots(spark, draws, sums.agg(F.count(F.lit(1)).alias("n_clusters")))
     joined = picks.join(sums.select(F.col("idx").alias("pick"), "n", "neg", "pos"), "pick")
-
-    def sampled(acc: Column, j: Column) -> Column:
-        r = hash_mod(F.concat_ws(":", F.lit("row"), "draw", "slot", j), F.col("n"))
-        return acc + F.when(r < F.col("neg"), -1).when(r < F.col("neg") + F.col("pos"), 1).otherwise(0)
-
-    # a large group is drawn in blocks, so no row holds more than one block
     blocks = joined.withColumn("from", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(BLOCK).cast("long"))))
-    upto = F.least(F.col("from") + BLOCK, F.col("n"))
-    inner = F.aggregate(F.sequence(F.col("from"), upto - 1), F.lit(0), sampled)
-    values = blocks.groupBy("draw").agg((F.sum(inner) / F.sum(upto - F.col("from"))).alias("value"))
+    blocks = blocks.select("draw", "slot", "from", F.least(F.col("from") + BLOCK, F.col("n")).alias("upto"), "n", "neg", "pos")
+    # a number of parts of its own: few bytes, but much work, so they must not be put together again
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+    drawn = blocks.repartition(parts, "draw", "slot", "from").mapInArrow(_sampled, "draw long, total long, rows long")
+    values = drawn.groupBy("draw").agg((F.sum("total") / F.sum("rows")).alias("value"))
     return interval(values, draws)
 
 

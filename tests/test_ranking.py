@@ -260,3 +260,40 @@ def test_texts_are_cut_into_terms_once(spark):
     pick = lambda df: sorted((r.scope, r.term, r.unit, round(r.weight, 9)) for r in df.collect())
     assert pick(B.text_weights(units.withColumn("text", count("text")), words)) == pick(B.weighted(B.build_index(units, words)))
     assert seen.value == len(rows)
+
+
+def test_two_stage_draws_are_hashed_in_lots_and_dealt_out(spark, monkeypatch):
+    """Every row of every draw by its hash, as one by one; numbers of many digits; the draws' blocks fill several tasks."""
+    import hashlib
+
+    import numpy as np
+
+    from evigraph.operators import evaluate as E
+
+    head = lambda text: int(hashlib.md5(text.encode()).hexdigest()[:8], 16)
+    for draw, slot, j in ((0, 0, 7), (9999, 12, 4095), (10**17, 10**17, 10**17), (12345, 678901234567, 10**18)):
+        many = [np.full(3, x, np.int64) for x in (draw, slot, j)]
+        assert E._row_hashes(*many).tolist() == [head(f"row:{draw}:{slot}:{j}")] * 3
+    monkeypatch.setattr(E, "BLOCK", 50)
+    monkeypatch.setattr(E, "HASHED", 64)
+    values = {"a": [1] * 70 + [-1] * 30 + [0] * 37, "b": [-1, 0], "c": [1] * 12}
+    rows = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs], "novel string, value int")
+    order, draws = sorted(values, key=lambda g: hashlib.md5(g.encode()).hexdigest()), 40
+    means = []
+    for d in range(draws):
+        total = count = 0
+        for slot in range(3):
+            v = values[order[head(f"seed:{d}:{slot}") % 3]]
+            n, neg, pos = len(v), v.count(-1), v.count(1)
+            hits = [head(f"row:{d}:{slot}:{j}") % n for j in range(n)]
+            total += sum(-1 if r < neg else 1 if r < neg + pos else 0 for r in hits)
+            count += n
+        means.append(total / count)
+    means.sort()
+    seen = []
+    keep = E.interval
+    monkeypatch.setattr(E, "interval", lambda df, n: seen.append(df) or keep(df, n))
+    got = E.two_stage_bootstrap(rows, "novel", draws).first()
+    assert (round(got.low, 12), round(got.high, 12)) == (round(means[int(0.025 * draws)], 12), round(means[int(0.975 * draws)], 12))
+    plan = seen[0]._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "REPARTITION_BY_NUM" in plan
