@@ -349,3 +349,43 @@ def test_waves_send_no_tables_to_the_driver(spark, monkeypatch):
     assert {(r.group_no, r.node_id, r.canonical) for r in out} == {(1, "n1", "n0"), (3, "n4", "n3")}
     waves = [p for p in plans if "waits" in p or "earlier" in p]
     assert waves and not any("Broadcast" in p for p in waves)
+
+
+def test_top_valid_edges_look_up_few_ends(spark, monkeypatch):
+    """The first valid edges per graph, also where most edges dangle; where none do, only twice as many look up their ends."""
+    from evigraph.operators import graph as G
+
+    looked = []
+    keep = G.valid_edges
+    monkeypatch.setattr(G, "valid_edges", lambda e, n: looked.append(e.count()) or keep(e, n))
+    nodes = spark.createDataFrame([(g, f"n{i}") for g in (1, 2, 3) for i in range(5)], "graph_id int, node_id string")
+    rows = [(g, f"e{i:04d}", f"n{i % 5}", f"n{i % 7 if g == 1 else i % 5}" if g < 3 or i > 300 else "gone", (i % 10) / 10 if i % 10 and g < 3 else None) for g in (1, 2, 3) for i in range(400 if g != 2 else 3)]
+    edges = spark.createDataFrame(rows, "graph_id int, edge_id string, src string, dst string, confidence double")
+    for k in (1, 4, 30):
+        got = G.top_valid_edges(edges, nodes, "confidence", k).collect()
+        valid = [r for r in rows if r[3] in {f"n{i}" for i in range(5)}]
+        want = []
+        for g in (1, 2, 3):
+            mine = sorted((r for r in valid if r[0] == g), key=lambda r: (r[4] is None, -(r[4] or 0), r[1]))[:k]
+            want += [(r[0], r[1], i + 1) for i, r in enumerate(mine)]
+        assert sorted((r.graph_id, r.edge_id, r["rank"]) for r in got) == sorted(want)
+    looked.clear()
+    assert G.top_valid_edges(edges.filter("graph_id = 1 and dst not in ('n5', 'n6')"), nodes, "confidence", 4).count() == 4 and looked == [8]
+
+
+def test_dedup_without_texts_moves_them_once(spark):
+    """Evidence that is only compared is not returned; a row that is only counted is its own key; what orders travels once."""
+    from evigraph.common import first_per_key
+    from evigraph.operators import graph as G
+
+    rows = [(1, "e2", "a", "b", "t", " The  Key "), (1, "e1", "a", "b", "t", "the key"), (1, "e3", "a", "b", "t", None), (1, "e4", "a", None, "t", "x"), (1, None, "a", None, "t", "x")]
+    edges = spark.createDataFrame(rows, "graph_id int, edge_id string, src string, dst string, type string, evidence string")
+    full = G.deduped_edges(edges, ["edge_id"])
+    slim = G.deduped_edges(edges, ["edge_id"], texts=False)
+    pick = lambda df: sorted((str(r.dst), str(r.edge_id)) for r in df.collect())
+    assert pick(full) == pick(slim) == [("None", "None"), ("b", "e1"), ("b", "e3")] and "evidence" not in slim.columns
+    assert G.deduped_edges(edges.drop("edge_id"), ["evidence"], texts=False).count() == 3
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "min_by" in plan(full) and "min_by" not in plan(slim)
+    two = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (2, None, "z"), (2, 1, "y")], "k int, x int, y string")
+    assert sorted(first_per_key(two, ["k"], ["x", "y"]).collect()) == [(1, 5, "a"), (2, None, "z")]
